@@ -10,12 +10,14 @@ similarity, concentrated as for independent bins.  With 32 bands of 5 rows a
 pair at a similarity of 0.8 shares no band with a probability of 3 in a million.
 
 Equal sets form a class, and only one document of each class goes on.  Members of a
-band bucket become candidates without listing all pairs: each is compared with
-its bucket's hub, and verified links are joined to components.  Buckets whose
-members still differ in component take further rounds with other hubs, until the
-pairs left between different components of a bucket are few beside the members or rounds bring
-nothing more; those pairs are then all compared.  A pair that is never compared is thus in one
-component already.  Links are confirmed on the full sets.
+band bucket become candidates without listing all pairs: each is first compared
+with its bucket's hub, and verified links are joined to components.  What is
+left are pairs of different components in one bucket.  For those the sets of the
+documents in such buckets are joined exactly: shingles are ordered by
+their frequency there, a pair must share one among its rarest, and the places
+of that one must leave room for enough others.  A pair that is never
+compared is thus in one component already, or too different.  Links are
+confirmed on the full sets.
 
 Defined results: words are runs of anything but ASCII white space, A-Z in lower
 case.  A text with fewer words than a shingle is one shingle, a text without
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
@@ -41,8 +43,6 @@ from corpusloom.llm.storage import materialize
 BANDS, ROWS = 32, 5
 SLICE_DOCS = 128
 CACHED_WORDS = 400_000
-PAIRS_PER_MEMBER = 4
-MAX_HUB_ROUNDS = 6
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -149,39 +149,42 @@ def _similar_sizes(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
+def _rare_pairs(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that can be similar enough, by prefix, place and size.
+
+    ``open_`` has ``id, n, label``.  A shingle at place ``p`` of the ``n`` in order of
+    frequency leaves at most ``1 + n - p`` shared ones if it is the first that is shared.
+    """
+    each = sets.join(open_, "id").select("id", "n", "label", F.explode("shingles").alias("s"))
+    each = materialize(each, "open-shingles")
+    counts = materialize(each.groupBy("s").agg(F.count("*").alias("c")), "shingle-counts")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("c", "s"))
+    placed = each.join(counts, "s").withColumn("p", place).where((F.col("c") > 1) & (100 * (F.col("n") - F.col("p") + 1) >= percent * F.col("n")))
+    placed = materialize(placed.select("s", "id", "n", "label", "p"), "rare-shingles")
+    x = placed.where((100 + percent) * (F.col("n") - F.col("p") + 1) >= 2 * percent * F.col("n")).select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("label").alias("la"))
+    y = placed.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("label").alias("lb"))
+    room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = (100 + percent) * room >= percent * (F.col("na") + F.col("nb"))
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    return x.join(y, "s").where((F.col("la") != F.col("lb")) & first & (100 * F.col("na") >= percent * F.col("nb")) & fits).select("a", "b").distinct()
+
+
 def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """``id`` and ``root`` of class representatives that are linked with others."""
     postings = reps.select(F.explode("bands").alias("key"), "id", "n")
-    buckets = postings.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
-    members = materialize(postings.join(materialize(buckets, "buckets"), "key"), "members")
-    wanted = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "candidates")
+    hub = F.min(F.struct(F.col("id").alias("b"), F.col("n").alias("nb"))).alias("hub")
+    buckets = materialize(postings.groupBy("key").agg(hub, F.max("id").alias("last")).where("last <> hub.b").select("key", "hub.b", "hub.nb"), "buckets")
+    members = materialize(postings.join(buckets, "key"), "members")
+    wanted = members.select(F.col("id").alias("doc_id")).distinct()
     sets = materialize(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), "shingle-sets")
-    edges = members.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    labelled = members.withColumn("label", F.col("id"))
-    left = None
-    for round_ in range(MAX_HUB_ROUNDS + 1):
-        # pairs of a bucket between different components: all pairs but those within a component
-        sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        state = sizes.agg(F.sum(F.expr("(all * all - same) div 2")).alias("pairs"), F.sum("all").alias("members")).first()
-        pairs, n = state["pairs"] or 0, state["members"] or 0
-        if not pairs:
-            break
-        last = pairs <= PAIRS_PER_MEMBER * n or round_ == MAX_HUB_ROUNDS or pairs == left
-        left = pairs
-        if last:
-            x, y = (labelled.select("key", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("label").alias(f"l{i}")) for i in ("a", "b"))
-            found = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _similar_sizes("na", "nb", percent))
-        else:
-            by = F.col("id") if round_ == 0 else F.xxhash64("id", F.lit(round_))
-            hub = labelled.groupBy("key").agg(F.min(F.struct(by.alias("o"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))).alias("hub")).select("key", "hub.b", "hub.nb", "hub.lb")
-            found = labelled.join(materialize(hub, "hubs"), "key").where((F.col("label") != F.col("lb")) & _similar_sizes("n", "nb", percent)).select(F.col("id").alias("a"), "b")
-        new = _verified(materialize(found.select("a", "b").distinct(), "pairs"), sets, percent)
-        edges = materialize(edges.unionByName(new), "links")
-        roots = components(edges)
-        if last:
-            return roots
-        labelled = materialize(members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label")), "labelled")
-    return components(edges)
+    near = members.where((F.col("id") != F.col("b")) & _similar_sizes("n", "nb", percent)).select(F.col("id").alias("a"), "b").distinct()
+    links = materialize(_verified(materialize(near, "hub-pairs"), sets, percent), "hub-links")
+    roots = components(links)
+    labelled = materialize(members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("label")), "labelled")
+    mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed-buckets")
+    open_ = labelled.join(mixed, "key").select("id", "n", "label").distinct()
+    others = materialize(_rare_pairs(sets, open_, percent), "rare-pairs")
+    return components(links.unionByName(_verified(others, sets, percent)))
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, exact_topk, language_id, secret_scan, token_files, toxicity
+from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, minhash_dedup, secret_scan, sentencepiece_codec, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -20,6 +20,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.link(_read(spark, sf_dir, "documents"), k=4)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=1)
+    return encoded.select("row.doc_id", "ids", "n_tokens", "ids_crc32", "lossless")
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_messages(_read(spark, sf_dir, "conversations"))
 
@@ -32,6 +41,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(_read(spark, sf_dir, "documents"))
 
@@ -52,6 +65,25 @@ SELECT conv_id, turn, turn AS seq_turn, CAST(0 AS INTEGER) AS seq_after, role,
 FROM conversations
 """
 
+#: Exact similarities by an inverted index, components by spreading the smallest id.
+OP1_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+    FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM sets LEFT JOIN least USING (doc_id)
+"""
+
 OP7_SQL = r"""
 WITH rules AS (SELECT * FROM (VALUES ('assign', 0, 12), ('access', 1, 18), ('hex', 2, 16)) r(rule, ord, least)),
 found AS (
@@ -92,9 +124,12 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_sentencepiece": op2_sentencepiece,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_language_id": op4_language_id,
         "op5_token_files": op5_token_files,
+        "op6_decontamination": op6_decontamination,
         "op7_secret_scan": op7_secret_scan,
         "op8_toxicity": op8_toxicity,
         "op10_exact_topk": op10_exact_topk,
@@ -102,4 +137,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op7_secret_scan": OP7_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_secret_scan": OP7_SQL, "op10_exact_topk": OP10_SQL}
