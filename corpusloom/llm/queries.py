@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, minhash_dedup, secret_scan, sentencepiece_codec, token_files, toxicity
+from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, secret_scan, sentencepiece_codec, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +53,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -77,8 +81,8 @@ shared AS (
     SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
     FROM each a JOIN each b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
 links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(a, b) AS (SELECT a, b FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a),
+ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON r.b = e.a),
 least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
 FROM sets LEFT JOIN least USING (doc_id)
@@ -109,6 +113,35 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN digest USING (doc_id)
 """
 
+#: Words in order of frequency, candidates by a common prefix word, exact Jaccard.
+OP9_SQL = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
+sets AS (
+    SELECT doc_id, line_no, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS s FROM lines),
+big AS (SELECT doc_id, line_no, s, len(s) AS n FROM sets WHERE len(s) >= 2),
+classes AS (
+    SELECT min({'d': doc_id, 'l': line_no}) AS first, any_value(list_sort(s)) AS s, any_value(n) AS n FROM big GROUP BY list_sort(s)),
+words AS (SELECT first, n, unnest(s) AS w FROM classes),
+df AS (SELECT w, count(*) AS c FROM words GROUP BY w),
+placed AS (SELECT first, n, w, row_number() OVER (PARTITION BY first ORDER BY c, w) AS p FROM words JOIN df USING (w)),
+prefix AS (SELECT first, n, w FROM placed WHERE 100 * (n - p + 1) >= 80 * n),
+candidates AS (
+    SELECT DISTINCT b.first AS later, a.first AS earlier FROM prefix a JOIN prefix b ON a.w = b.w AND a.first < b.first AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n),
+near AS (
+    SELECT DISTINCT later FROM candidates JOIN classes x ON x.first = later JOIN classes y ON y.first = earlier
+    WHERE 100 * len(list_intersect(x.s, y.s)) >= 80 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+gone AS (
+    SELECT b.doc_id, b.line_no FROM big b JOIN classes c ON list_sort(b.s) = c.s
+    WHERE {'d': b.doc_id, 'l': b.line_no} <> c.first OR c.first IN (SELECT later FROM near)),
+marked AS (SELECT l.doc_id, l.line_no, l.line, g.doc_id IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no),
+docs AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (removed), '') AS removed,
+           coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT removed), '') AS text
+    FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, docs.text FROM documents d LEFT JOIN docs USING (doc_id)
+"""
+
 OP10_SQL = """
 WITH q AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -132,9 +165,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_secret_scan": op7_secret_scan,
         "op8_toxicity": op8_toxicity,
+        "op9_line_dedup": op9_line_dedup,
         "op10_exact_topk": op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_secret_scan": OP7_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL}
