@@ -4,15 +4,17 @@ Documents are range-partitioned and sorted by id, encoded, and each task writes
 one shard.  A shard holds segments; a segment is an opaque byte string with the
 ids of consecutive documents and can be read alone:
 
-=========  ==================================================================
-header     magic ``PFR1``, number of ids, number of blocks (u32 little-endian)
-index      per block u32: where its bytes begin, counted from the segment start
-block      u32 minimum, u8 width, u8 exceptions, 128 offsets from the minimum
-           packed at that width, then the positions (u8) and values (u32) of
-           the exceptions
-=========  ==================================================================
-
-The width is the least that holds ``percentile`` of a block's offsets; the rest
+==========  =================================================================
+header      magic ``PFR1``; numbers of ids, of blocks and of exceptions (u32)
+index       per block: where its bytes begin, counted from the segment start
+minima      per block (u32)
+widths      per block (u8)
+counts      exceptions per block (u8)
+blocks      128 offsets from the minimum, packed at the block's width
+exceptions  places in their blocks (u8), then values (u32)
+==========  =================================================================
+
+All numbers are little-endian.  The width is the least that holds ``percentile`` of a block's offsets; the rest
 are exceptions.  The last block is padded with its first id.  A document's ids
 end with ``end_id`` and lie at ``local_start`` in their shard; ids of all shards
 before are added when reading, from one row per shard.  The container is a
@@ -40,18 +42,19 @@ from corpusloom.llm.storage import new_path
 BLOCK = 128
 MAGIC = b"PFR1"
 SEGMENT_IDS = 1 << 19
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
+_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%&$*|])")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file, remembering the ids of words.
 
-    The byte-level pre-tokeniser always cuts before a lone space, and on both
-    sides of a lone line end, between two other characters.  A text is thus a
-    sequence of words, those inside a line with the space before them, and every
-    distinct word goes through the library once.  Texts with other white space
-    are cut at inner lone spaces only.
+    The byte-level pre-tokeniser always cuts before a lone space, on both sides
+    of a lone line end, and between a letter and a mark after it.  A text is thus
+    a sequence of words, those inside a line with the space before them, and
+    every distinct word goes through the library once.  Texts with other white
+    space are cut at inner lone spaces only.
     """
 
     def __init__(self, path: str):
@@ -61,33 +64,51 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._special = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._end = self._library(["\n"])[0]
         self._forget()
 
     def _forget(self) -> None:
-        self._first: dict[str, bytes] = {}
-        self._inner: dict[str, bytes] = {}
-        self._learn(self._first, {"\n"}, "")
-
-    def _learn(self, known: dict[str, bytes], words: set[str], prefix: str) -> None:
-        fresh = list(words.difference(known))
-        for word, found in zip(fresh, self._tokenizer.encode_batch_fast([prefix + w for w in fresh], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        self._ids: dict[str, bytes] = {"\n": self._end, "": b""}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_plain(self, words: set[str]) -> None:
+        """Words without line ends and special strings go through the library as the lines of one text."""
+        fresh = list(words.difference(self._ids))
+        for at in range(0, len(fresh), 4096):
+            lines = fresh[at : at + 4096]
+            found = np.frombuffer(self._library(["\n".join(lines)])[0], "<u4")
+            ends = np.flatnonzero(found == np.frombuffer(self._end, "<u4")[0])
+            if len(self._end) != 4 or len(ends) != len(lines) - 1:
+                self._learn_odd(set(lines))
+                continue
+            data, begins, stops = found.tobytes(), [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), 4 * len(found)]
+            self._ids.update(zip(lines, map(data.__getitem__, map(slice, begins, stops)), strict=True))
+
+    def _learn_odd(self, words: set[str]) -> None:
+        fresh = list(words.difference(self._ids))
+        self._ids.update(zip(fresh, self._library(fresh), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian u32 ids of each text."""
-        lines = [self._lines(t) if t else [] for t in texts]
-        if len(self._first) + len(self._inner) > CACHED_WORDS:
+        split = [self._words(t) if t else ([], True) for t in texts]
+        if len(self._ids) > CACHED_WORDS:
             self._forget()
-        self._learn(self._first, {words[0] for text in lines for words in text}, "")
-        self._learn(self._inner, set().union(*(words[1:] for text in lines for words in text)), " ")
-        first, inner, end = self._first, self._inner.__getitem__, self._first["\n"]
-        return [end.join([first[words[0]] + b"".join(map(inner, words[1:])) for words in text]) for text in lines]
+        self._learn_plain(set().union(*(words for words, plain in split if plain)))
+        self._learn_odd(set().union(*(words for words, plain in split if not plain)))
+        ids = self._ids.__getitem__
+        return [b"".join(map(ids, words)) for words, _ in split]
 
-    @staticmethod
-    def _lines(text: str) -> list[list[str]]:
-        if " ".join(text.split()) == text.replace("\n", " "):
-            return [line.split(" ") for line in text.split("\n")]
-        return [_INNER_SPACE.split(text)]
+    def _words(self, text: str) -> tuple[list[str], bool]:
+        """The words of a text, and whether none holds white space but the space before it."""
+        if any(t in text for t in self._special):
+            return [text], False
+        if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text:
+            return _MARK.sub("\0", text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"), True
+        words = _INNER_SPACE.split(text)
+        return [words[0], *[" " + w for w in words[1:]]], False
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -134,56 +155,55 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
 def pack_segment(ids: np.ndarray, percentile: float = 0.9) -> bytes:
     """The bytes of one segment; ``ids`` are unsigned 32-bit numbers."""
     n = len(ids)
+    if not n:
+        return MAGIC + np.zeros(3, "<u4").tobytes()
     blocks = -(-n // BLOCK)
-    padded = np.empty(blocks * BLOCK, np.uint32)
+    padded = np.full(blocks * BLOCK, ids[(n - 1) // BLOCK * BLOCK], np.uint32)
     padded[:n] = ids
-    if blocks:
-        padded[n:] = ids[(blocks - 1) * BLOCK]
     values = padded.reshape(blocks, BLOCK)
-    low = values.min(axis=1) if blocks else np.zeros(0, np.uint32)
+    low = values.min(axis=1)
     offsets = values - low[:, None]
-    width = _widths(offsets, percentile) if blocks else np.zeros(0, np.uint8)
-    # a full word's width keeps every value and has no exceptions
+    width = _widths(offsets, percentile)
     odd = offsets.astype(np.uint64) >> width[:, None].astype(np.uint64) != 0
-    bodies: list[bytes] = [b""] * blocks
+    sizes = 16 * width.astype(np.int64)
+    starts = 16 + 10 * blocks + np.cumsum(sizes) - sizes
+    bodies = np.empty(int(sizes.sum()), np.uint8)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        packed = _pack(np.where(odd[rows], 0, offsets[rows]), int(w)) if w else np.zeros((len(rows), 0), "<u4")
-        for r, body in zip(rows, packed, strict=True):
-            where = np.flatnonzero(odd[r])
-            head = int(low[r]).to_bytes(4, "little") + bytes((int(w), len(where)))
-            bodies[r] = head + body.tobytes() + where.astype(np.uint8).tobytes() + values[r, where].astype("<u4").tobytes()
-    starts = 12 + 4 * blocks + np.cumsum([0, *map(len, bodies)])[:blocks]
-    return b"".join([MAGIC, np.array([n, blocks], "<u4").tobytes(), starts.astype("<u4").tobytes(), *bodies])
+        if w:
+            packed = _pack(np.where(odd[rows], 0, offsets[rows]), int(w))
+            bodies[(starts[rows] - starts[0])[:, None] + np.arange(16 * int(w))] = packed.view(np.uint8)
+    where = np.nonzero(odd)
+    counts = odd.sum(axis=1).astype(np.uint8)
+    head = [np.array([n, blocks, len(where[0])], "<u4"), starts.astype("<u4"), low.astype("<u4"), width, counts]
+    return b"".join([MAGIC, *(x.tobytes() for x in head), bodies.tobytes(), where[1].astype(np.uint8).tobytes(), values[where].astype("<u4").tobytes()])
 
 
 def unpack_segment(data: bytes) -> np.ndarray:
     """The ids of one segment."""
     if data[:4] != MAGIC:
         raise ValueError("not a token segment")
-    n, blocks = (int(x) for x in np.frombuffer(data, "<u4", 2, 4))
+    n, blocks, exceptions = (int(x) for x in np.frombuffer(data, "<u4", 3, 4))
     raw = np.frombuffer(data, np.uint8)
-    starts = np.frombuffer(data, "<u4", blocks, 12).astype(np.int64)
-    low = raw[starts[:, None] + np.arange(4)].copy().view("<u4")[:, 0] if blocks else np.zeros(0, np.uint32)
-    width, odd = raw[starts + 4], raw[starts + 5]
+    starts = np.frombuffer(data, "<u4", blocks, 16).astype(np.int64)
+    low = np.frombuffer(data, "<u4", blocks, 16 + 4 * blocks)
+    width, counts = raw[16 + 8 * blocks : 16 + 9 * blocks], raw[16 + 9 * blocks : 16 + 10 * blocks]
     out = np.empty((blocks, BLOCK), np.uint32)
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
+        out[rows] = low[rows][:, None]
         if w:
-            words = raw[starts[rows][:, None] + 6 + np.arange(16 * int(w))].view("<u4")
-            out[rows] = _unpack(words, int(w)) + low[rows][:, None]
-        else:
-            out[rows] = low[rows][:, None]
-    for r in np.flatnonzero(odd):
-        k, at = int(odd[r]), int(starts[r]) + 6 + 16 * int(width[r])
-        out[r, raw[at : at + k]] = np.frombuffer(data, "<u4", k, at + k)
+            out[rows] += _unpack(raw[starts[rows][:, None] + np.arange(16 * int(w))].view("<u4"), int(w))
+    at = len(data) - 5 * exceptions
+    place = raw[at : at + exceptions]
+    out[np.repeat(np.arange(blocks), counts), place] = np.frombuffer(data, "<u4", exceptions, at + exceptions)
     return out.reshape(-1)[:n]
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, percentile: float = 0.9) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) into shards below ``path``, in ascending id order."""
     spark = docs.sparkSession
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
     schema = "shard int, segment int, local_start long, n_ids long, doc_ids array<bigint>, counts array<int>, payload binary"
 
@@ -223,40 +243,48 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, percentil
     ordered.mapInArrow(encode, schema).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id``, ``start``, ``ids`` of every document in the files below ``path``."""
+def _shards(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int]]:
+    """The segments, and for each shard the number of ids before it (one number per task that wrote)."""
     shards = spark.read.parquet(path)
-    # one row per shard, so as many numbers as there were tasks
-    totals = shards.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     base, at = {}, 0
-    for row in totals:
+    for row in shards.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect():
         base[row["shard"]] = at
         at += row["n"]
+    return shards.select("shard", "local_start", "doc_ids", "counts", "payload"), base
+
+
+def _documents(batches: Iterator[pa.RecordBatch], base: dict[int, int]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per segment: document ids, their starts, where they end in the segment, and its ids."""
+    for batch in batches:
+        for shard, local, keys, counts, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends = np.cumsum(counts, dtype=np.int64)
+            yield keys, base[shard] + local + ends - counts, ends, unpack_segment(payload)
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id``, ``start``, ``ids`` of every document in the files below ``path``."""
+    shards, base = _shards(spark, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, local, keys, counts, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = unpack_segment(payload)
-                ends = np.cumsum(counts, dtype=np.int64)
-                starts = base[shard] + local + ends - counts
-                offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64)))], ["doc_id", "start", "ids"])
+        for keys, starts, ends, ids in _documents(batches, base):
+            offsets = pa.array(np.concatenate(([0], ends)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int64)))], ["doc_id", "start", "ids"])
 
-    return shards.select("shard", "local_start", "doc_ids", "counts", "payload").mapInArrow(decode, "doc_id long, start long, ids array<bigint>")
+    return shards.mapInArrow(decode, "doc_id long, start long, ids array<bigint>")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of every document in the files."""
+    shards, base = _shards(spark, path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            values = lists.values.to_numpy().astype("<u4")
-            offsets = lists.offsets.to_numpy()
-            crcs = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        for keys, starts, ends, ids in _documents(batches, base):
+            ids = ids.astype("<u4")
+            begins = np.concatenate(([0], ends[:-1]))
+            crcs = [zlib.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read(spark, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
