@@ -1,11 +1,713 @@
-"""Queries of the driver tables for the library's own operators."""
+"""Queries of the library's operators over the driver tables, with their SQL.
+
+The driver's corpus is Latin script, so sentences are split at ``.!?`` and line
+ends and tokens are runs of letters.  The global corpus is all documents, the
+personal one those labelled with quality 1; anchors are the 150 tokens of at most four
+letters that most sentences have.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.functions import keys as K
+from corpusloom.functions import lexicon as L
+from corpusloom.functions import text as T
+from corpusloom.functions import tokenizers as TK
+from corpusloom.functions.statistics import emerged, mastery
+from corpusloom.operators import anchors as A
+from corpusloom.operators import corpus as C
+from corpusloom.operators import patterns as P
+from corpusloom.operators import similarity as M
+from corpusloom.operators import statistics as S
+from corpusloom.plans import reports as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+TOP_K, MAX_LEN, CAP, SEED = 150, 4, 5, 7
+
+# SQL of the shared relations.
+_W = T.WHITE
+_CTE = {
+    "sent": r"sent AS (SELECT doc_id * 100000 + i - 1 AS sid, doc_id, trim(s) AS text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?\n]+'), 1) AS i FROM documents) WHERE trim(s) <> '')",
+    "toks": r"toks AS (SELECT sid, doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ts FROM sent)",
+    "tok": "tok AS (SELECT sid, doc_id, ts, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM toks)",
+    "anc": f"anc AS (SELECT t, c FROM (SELECT t, count(DISTINCT sid) AS c FROM tok WHERE length(t) <= {MAX_LEN} GROUP BY t) ORDER BY c DESC, t LIMIT {TOP_K})",
+    "occ": "occ AS (SELECT sid, ts, t, i, row_number() OVER (PARTITION BY sid ORDER BY i) AS k, lead(t) OVER (PARTITION BY sid ORDER BY i) AS nt, lead(i) OVER (PARTITION BY sid ORDER BY i) AS ni, lag(i) OVER (PARTITION BY sid ORDER BY i) AS pi FROM tok WHERE t IN (SELECT t FROM anc))",
+    "ptok": "ptok AS (SELECT * FROM tok WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))",
+}
+
+
+def _with(*names: str, more: str = "") -> str:
+    need = {"sent": ("sent",), "toks": ("sent", "toks"), "tok": ("sent", "toks", "tok"), "anc": ("sent", "toks", "tok", "anc"), "occ": ("sent", "toks", "tok", "anc", "occ"), "ptok": ("sent", "toks", "tok", "ptok")}
+    wanted = {x for n in names for x in need[n]}
+    parts = [_CTE[n] for n in _CTE if n in wanted]
+    return "WITH " + ",\n".join(parts + ([more] if more else [])) + "\n"
+
+
+def _query(sql: str | None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sid, doc_id, text`` of the documents' sentences."""
+    split = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?\n]+")).alias("i", "s"))
+    return split.select((F.col("doc_id") * 100000 + F.col("i")).alias("sid"), "doc_id", F.trim("s").alias("text")).where("text <> ''")
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sid, doc_id, tokens``."""
+    return sentences(spark, sf_dir).select("sid", "doc_id", TK.words(F.col("text")).alias("tokens"))
+
+
+def personal_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return tokens(spark, sf_dir).join(good, "doc_id", "left_semi")
+
+
+def anchor_tokens(spark: SparkSession, sf_dir: str) -> list[str]:
+    return A.anchor_list(A.top_tokens(tokens(spark, sf_dir), TOP_K, "df", MAX_LEN))
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.top_tokens(tokens(spark, sf_dir), TOP_K, "df", MAX_LEN).select("token")
+
+
+def extracted(spark: SparkSession, sf_dir: str, *families: str, personal: bool = False, **options) -> DataFrame:
+    rows = personal_tokens(spark, sf_dir) if personal else tokens(spark, sf_dir)
+    return P.extract(rows, anchor_tokens(spark, sf_dir), families=families or P.DEFAULT_FAMILIES, **options)
+
+
+def _benchmark_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "benchmark").select(F.explode(TK.words(F.col("text"))).alias("token")).distinct()
+
+
+_BENCH = r"bench AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS token FROM benchmark)"
+
+
+# Text.
+
+
+@_query(f"SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{_W}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM documents")
+def norm_whitespace(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", T.normalize(F.col("text")).alias("text"))
+
+
+_NEWS = f"regexp_replace(regexp_replace(regexp_replace(CAST(turn AS VARCHAR) || chr(9) || text, '^{_W}+|{_W}+$', '', 'g'), '^[^\\t]*\\t', ''), '{_W}+', '', 'g')"
+
+
+@_query(f"""SELECT conv_id, turn, regexp_replace({_NEWS}, '[“”"''‘’]', '', 'g') AS value FROM conversations""")
+def clean_news_line(spark, sf_dir):
+    numbered = F.concat(F.col("turn").cast("string"), F.lit("\t"), F.col("text"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_news(numbered).alias("value"))
+
+
+_WIKI_IN = "'（x） (' || role || ') [' || CAST(turn AS VARCHAR) || '] ' || text"
+
+
+@_query(f"""SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_WIKI_IN}, '{_W}+', '', 'g'), '[“”"''‘’]', '', 'g'), '（.*?）|\\(.*?\\)', '', 'g'), '\\[[0-9]+\\]', '', 'g') AS value FROM conversations""")
+def clean_wiki_line(spark, sf_dir):
+    marked = F.concat(F.lit("（x） ("), "role", F.lit(") ["), F.col("turn").cast("string"), F.lit("] "), "text")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_wiki(marked).alias("value"))
+
+
+@_query(_with("sent") + "SELECT sid, text FROM sent WHERE length(text) BETWEEN 6 AND 60 AND NOT regexp_matches(text, '[A-Za-z0-9]{6,}')")
+def length_noise_filter(spark, sf_dir):
+    return sentences(spark, sf_dir).where(T.good_length(F.col("text"))).select("sid", "text")
+
+
+_ZH = "replace(replace(replace(text, '.', '。'), '!', '！'), '?', '？')"
+
+
+@_query(f"SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS chars, count(*) FILTER (s LIKE '%。') AS ended FROM (SELECT doc_id, unnest(regexp_extract_all({_ZH}, '[^。！？]*[。！？]|[^。！？]+')) AS s FROM documents) GROUP BY doc_id")
+def split_sentences(spark, sf_dir):
+    text = F.replace(F.replace(F.replace("text", F.lit("."), F.lit("。")), F.lit("!"), F.lit("！")), F.lit("?"), F.lit("？"))
+    each = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.split_sentences(text)).alias("s")).where("s <> ''")
+    return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("s")).alias("chars"), F.count_if(F.col("s").endswith("。")).alias("ended"))
+
+
+_HTML = r"regexp_replace(regexp_replace(coalesce(html, ''), '\[sound:[^\]]+\]', '', 'g'), '<[^>]*>', ' ', 'g')"
+for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_e}', '{_c}')"
+
+
+@_query(f"SELECT page_id, regexp_replace(regexp_replace({_HTML}, '{_W}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages")
+def html_to_text(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@_query(f"SELECT doc_id, regexp_extract(coalesce({_ZH}, ''), '[一-龯，。！？、；：“”‘’（）…—]+', 0) AS run FROM documents")
+def first_run_extract(spark, sf_dir):
+    text = F.replace(F.replace(F.replace("text", F.lit("."), F.lit("。")), F.lit("!"), F.lit("！")), F.lit("?"), F.lit("？"))
+    return _read(spark, sf_dir, "documents").select("doc_id", T.first_cjk_run(text).alias("run"))
+
+
+@_query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}\p{Nd}]'), ' ') AS chars FROM documents")
+def char_tokens(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(TK.characters(F.col("text")), " ").alias("chars"))
+
+
+@_query(_with("toks") + "SELECT sid, CAST(len(ts) AS INTEGER) AS n, array_to_string(ts, ' ') AS words FROM toks")
+def word_tokens(spark, sf_dir):
+    return tokens(spark, sf_dir).select("sid", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("words"))
+
+
+_NATIONS = "(SELECT string_agg(n_name, '|' ORDER BY length(n_name) DESC, n_name) FROM nation)"
+
+
+@_query(r"SELECT p_partkey, array_to_string(regexp_extract_all(p_name || ' CHINA INDIA 42', '(?:GERMANY|INDIA|CHINA|blue|red|green|lace|box|[\x{4E00}-\x{9FFF}\p{Nd}])'), '/') AS tokens FROM part")
+def lexicon_longest_match(spark, sf_dir):
+    tokenize = TK.lexicon_words(["GERMANY", "INDIA", "CHINA", "blue", "red", "green", "lace", "box"])
+    named = F.concat(F.col("p_name"), F.lit(" CHINA INDIA 42"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(tokenize(named), "/").alias("tokens"))
+
+
+@_query(_with("tok") + "SELECT g, count(*) AS n FROM (SELECT array_to_string(ts[i + 1:i + 3], ' ') AS g FROM tok WHERE i + 3 <= len(ts)) GROUP BY g HAVING count(*) > 1")
+def token_ngrams(spark, sf_dir):
+    grams = tokens(spark, sf_dir).select(F.explode(TK.ngrams(F.col("tokens"), 3)).alias("g"))
+    return grams.select(F.array_join("g", " ").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query(r"SELECT event_id, coalesce(from_json_strict, '') AS keys FROM (SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS from_json_strict FROM events)")
+def json_props(spark, sf_dir):
+    names = F.array_sort(F.coalesce(F.json_object_keys("props"), F.array().cast("array<string>")))
+    return _read(spark, sf_dir, "events").select("event_id", F.array_join(names, ",").alias("keys"))
+
+
+# Keys.
+
+_ESC = r"replace(replace(replace(replace({}, '\', '\\'), '|', '\|'), ',', '\,'), '=', '\=')"
+
+
+@_query("SELECT page_id, " + _ESC.format("html") + " AS escaped FROM pages")
+def escape_component(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", K.escape(F.col("html")).alias("escaped"))
+
+
+def _sql_bucket(gap: str) -> str:
+    return f"CASE WHEN {gap} <= 0 THEN '0' WHEN {gap} = 1 THEN '1' WHEN {gap} <= 3 THEN '2-3' WHEN {gap} <= 7 THEN '4-7' ELSE '8+' END"
+
+
+@_query(f"SELECT {_sql_bucket('l_quantity - 5')} AS bucket, count(*) AS n FROM lineitem GROUP BY 1")
+def gap_bucket_dist(spark, sf_dir):
+    return _read(spark, sf_dir, "lineitem").groupBy(K.gap_bucket(F.col("l_quantity") - 5).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+_SOME_KEY = "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN event_type || '|a=|p=' WHEN 2 THEN event_type || ':old' ELSE event_type END"
+
+
+def _some_keys(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    t = F.col("event_type")
+    key = F.when(kind == 0, "").when(kind == 1, F.concat(t, F.lit("|a=|p="))).when(kind == 2, F.concat(t, F.lit(":old"))).otherwise(t)
+    return _read(spark, sf_dir, "events").select(key.alias("pattern_key"))
+
+
+@_query(f"SELECT family, legacy, count(*) AS n FROM (SELECT CASE WHEN k = '' THEN 'unknown' ELSE split_part(k, '|', 1) END AS family, CASE WHEN contains(k, '|') THEN split_part(k, '|', 1) WHEN contains(k, ':') THEN split_part(k, ':', 1) ELSE 'unknown' END AS legacy FROM (SELECT {_SOME_KEY} AS k FROM events)) GROUP BY ALL")
+def family_from_key(spark, sf_dir):
+    key = F.col("pattern_key")
+    return _some_keys(spark, sf_dir).groupBy(K.family_of(key).alias("family"), K.legacy_family_of(key).alias("legacy")).agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT count(*) AS n_keys, count(*) FILTER (k <> '' AND contains(k, '|a=') AND contains(k, '|p=')) AS n_valid, count(*) - count(*) FILTER (k <> '' AND contains(k, '|a=') AND contains(k, '|p=')) AS n_invalid FROM (SELECT {_SOME_KEY} AS k FROM events)")
+def key_validity(spark, sf_dir):
+    return R.key_validity(_some_keys(spark, sf_dir))
+
+
+@_query("SELECT sha256('7:' || p_name) AS digest, count(*) AS n FROM part GROUP BY 1")
+def sha256_text(spark, sf_dir):
+    return _read(spark, sf_dir, "part").groupBy(F.sha2(F.concat(F.lit("7:"), "p_name"), 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+# Anchors.
+
+
+@_query(_with("tok") + "SELECT t AS token, count(*) AS tf FROM tok GROUP BY t")
+def token_tf(spark, sf_dir):
+    return A.token_tf(tokens(spark, sf_dir))
+
+
+@_query(_with("tok") + "SELECT t AS token, count(DISTINCT sid) AS df FROM tok GROUP BY t")
+def token_df(spark, sf_dir):
+    return A.token_df(tokens(spark, sf_dir))
+
+
+@_query(_with("anc") + "SELECT t AS token, c AS n FROM anc")
+def anchor_topk_df(spark, sf_dir):
+    return A.top_tokens(tokens(spark, sf_dir), TOP_K, "df", MAX_LEN)
+
+
+@_query(_with("tok") + f"SELECT t AS token, count(*) AS n FROM tok WHERE length(t) <= {MAX_LEN} GROUP BY t ORDER BY n DESC, t LIMIT {TOP_K}")
+def anchor_topk_tf(spark, sf_dir):
+    return A.top_tokens(tokens(spark, sf_dir), TOP_K, "tf", MAX_LEN)
+
+
+@_query(_with("tok", more=_BENCH) + f"SELECT t AS token, count(DISTINCT sid) AS n FROM tok WHERE length(t) <= {MAX_LEN} AND t IN (SELECT token FROM bench) GROUP BY t ORDER BY n DESC, t LIMIT 60")
+def anchor_allowed(spark, sf_dir):
+    return A.top_tokens(tokens(spark, sf_dir), 60, "df", MAX_LEN, _benchmark_tokens(spark, sf_dir))
+
+
+_SIDES = "sides AS (SELECT o.t, 'l' AS side, CASE WHEN i = 0 THEN '<BOS>' ELSE ts[i] END AS n FROM occ o UNION ALL SELECT o.t, 'r', CASE WHEN i + 1 = len(ts) THEN '<EOS>' ELSE ts[i + 2] END FROM occ o),\nh AS (SELECT t, side, ln(sum(c)) - sum(c * ln(c)) / sum(c) AS h FROM (SELECT t, side, n, count(*) AS c FROM sides GROUP BY ALL) GROUP BY t, side)"
+
+
+@_query(_with("occ", more=_SIDES) + "SELECT t AS token, round(coalesce(max(h) FILTER (side = 'l'), 0), 6) AS h_left, round(coalesce(max(h) FILTER (side = 'r'), 0), 6) AS h_right FROM h GROUP BY t")
+def anchor_neighbors_entropy(spark, sf_dir):
+    found = A.neighbour_entropy(tokens(spark, sf_dir), anchor_tokens(spark, sf_dir))
+    return found.select("token", F.round("h_left", 6).alias("h_left"), F.round("h_right", 6).alias("h_right"))
+
+
+_SCORED = (
+    _SIDES
+    + ",\nlines AS (SELECT count(*) AS n FROM toks WHERE len(ts) > 0),\nscored AS (SELECT a.t AS token, count(DISTINCT o.sid) AS df, count(*) AS tf, count(DISTINCT o.sid) / any_value(lines.n) AS df_rate FROM anc a JOIN occ o ON a.t = o.t, lines GROUP BY a.t),\nfinal AS (SELECT s.*, (l.h + r.h) / 2 AS entropy, 2.0 * df_rate + 0.25 * (l.h + r.h) / 2 + 0.10 * ln(1 + tf) AS score FROM scored s JOIN h l ON l.t = token AND l.side = 'l' JOIN h r ON r.t = token AND r.side = 'r')"
+)
+
+
+@_query(_with("occ", more=_SCORED) + "SELECT token, df, tf, round(df_rate, 6) AS df_rate, round(entropy, 6) AS entropy, round(score, 6) AS score FROM final WHERE df >= 20 AND entropy >= 2.0 ORDER BY final.score DESC, token LIMIT 100")
+def anchor_score_final(spark, sf_dir):
+    scored = A.score_candidates(tokens(spark, sf_dir), anchor_tokens(spark, sf_dir))
+    best = A.final_anchors(scored, 100, min_df=20, min_entropy=2.0)
+    return best.select("token", "df", "tf", *[F.round(c, 6).alias(c) for c in ("df_rate", "entropy", "score")])
+
+
+@_query(_with("tok", more=_BENCH) + "SELECT token FROM bench WHERE token NOT IN (SELECT t FROM tok WHERE doc_id % 2 = 0)")
+def zero_df_anchors(spark, sf_dir):
+    even = tokens(spark, sf_dir).where("doc_id % 2 = 0")
+    return A.zero_df(_benchmark_tokens(spark, sf_dir), even)
+
+
+@_query(_with("tok", more=_BENCH) + "SELECT token, coalesce(c, 0) AS df FROM bench LEFT JOIN (SELECT t, count(DISTINCT sid) AS c FROM tok GROUP BY t) ON t = token ORDER BY df DESC, token LIMIT 25")
+def top_df_candidates(spark, sf_dir):
+    return R.top_df_candidates(tokens(spark, sf_dir), _benchmark_tokens(spark, sf_dir))
+
+
+@_query(_with("tok") + "SELECT t AS token, count(DISTINCT sid) AS df, count(*) AS tf FROM tok GROUP BY t ORDER BY df DESC, token LIMIT 25")
+def top_df_tokens(spark, sf_dir):
+    return R.top_df_tokens(tokens(spark, sf_dir))
+
+
+# Patterns: occurrences, sentences and realizations of each key.
+
+
+def _pattern_stats(spark, sf_dir, *families, personal=False, **options):
+    rows = extracted(spark, sf_dir, *families, personal=personal, **options)
+    return S.pattern_counts(rows)
+
+
+def _pattern_sql(rows: str, *, before: str = "") -> str:
+    return _with("occ", more=(before + ",\n" if before else "") + f"pat AS ({rows})") + "SELECT pattern_key, count(*) AS count_occurrences, count(DISTINCT sid) AS count_sentences, count(DISTINCT nullif(realization, '')) AS n_realizations FROM pat GROUP BY pattern_key"
+
+
+_IN = "list_contains((SELECT list(t) FROM anc), {})"
+_SLOTTED = "array_to_string(list_transform({}, lambda x: CASE WHEN list_contains((SELECT list(t) FROM anc), x) THEN x ELSE '<X>' END), ' ')"
+_KEPT = "array_to_string(list_filter({}, lambda x: list_contains((SELECT list(t) FROM anc), x)), ',')"
+
+_ANCSET = "aset AS (SELECT list(t) AS a FROM anc)"
+
+
+def _slotted(tokens_: str) -> str:
+    return f"array_to_string(list_transform({tokens_}, lambda x: CASE WHEN list_contains(a, x) THEN x ELSE '<X>' END), ' ')"
+
+
+def _kept(tokens_: str) -> str:
+    return f"array_to_string(list_filter({tokens_}, lambda x: list_contains(a, x)), ',')"
+
+
+_NG = " UNION ALL ".join(f"SELECT sid, {n} AS n, ts[i + 1:i + {n}] AS g FROM tok WHERE i + {n} <= len(ts)" for n in (2, 3))
+_TOK_NG = f"SELECT sid, 'tok_ng|a=' || {_kept('g')} || '|p=n=' || n || ',sig=' || {_slotted('g')} AS pattern_key, array_to_string(g, ' ') AS realization FROM ({_NG}), aset WHERE len(list_filter(g, lambda x: list_contains(a, x))) > 0"
+_WIN = f"SELECT sid, 'anch_win|a=' || {_kept('w')} || '|p=l=' || l || ',r=' || r || ',sig=' || {_slotted('w')} AS pattern_key, array_to_string(w, ' ') AS realization FROM (SELECT sid, least(i, 2) AS l, least(len(ts) - i - 1, 2) AS r, ts[greatest(i - 2, 0) + 1:i + 3] AS w FROM occ), aset"
+_PAIR = f"SELECT x.sid, 'anch_pair|a=' || x.t || ',' || y.t || '|p=gap=' || {_sql_bucket('(y.i - x.i - 1)')} AS pattern_key, array_to_string(x.ts[x.i + 1:y.i + 1], ' ') AS realization FROM occ x JOIN occ y ON x.sid = y.sid AND y.i > x.i AND y.i - x.i - 1 <= 20"
+_SEQ = "SELECT sid, 'anch_seq|a=' || string_agg(t, ',' ORDER BY i) || '|p=' AS pattern_key, string_agg(t, ' ' ORDER BY i) AS realization FROM occ GROUP BY sid HAVING count(*) >= 2"
+_CLASSES = "CASE WHEN list_contains(a, x) THEN x WHEN regexp_full_match(x, '\\p{Nd}+(\\.\\p{Nd}+)?') THEN '<NUM>' WHEN length(x) = 1 THEN '<C1>' WHEN length(x) = 2 THEN '<C2>' ELSE '<W>' END"
+_SKEL = f"SELECT sid, 'skel|a=' || {_kept('ts')} || '|p=sig=' || array_to_string(list_transform(ts, lambda x: {_CLASSES}), ' ') AS pattern_key, array_to_string(ts, ' ') AS realization FROM toks, aset"
+_CSKEL = "SELECT sid, 'cskel|a=' || string_agg(t, ',' ORDER BY i) || '|p=sig=' || string_agg(CASE WHEN pi IS NOT NULL AND i - pi > 1 THEN '<SPAN> ' || t ELSE t END, ' ' ORDER BY i) AS pattern_key, array_to_string(any_value(ts), ' ') AS realization FROM occ GROUP BY sid"
+_SPANS = "spans AS (SELECT sid, ts, t, i, CASE WHEN ni - i <= 20 THEN nt ELSE '<END>' END AS tail, CASE WHEN ni - i <= 20 THEN ni - i - 1 ELSE least(20, len(ts) - i - 1) END AS gap, CASE WHEN ni - i <= 20 THEN ni ELSE least(i + 20, len(ts) - 1) END AS last FROM occ)"
+_SPAN = f"SELECT sid, 'anch_span|a=' || t || ',' || tail || '|p=gap=' || {_sql_bucket('gap')} AS pattern_key, array_to_string(ts[i + 1:last + 1], ' ') AS realization FROM spans"
+_SIG = f"SELECT sid, 'span_sig|a=' || t || ',' || tail || '|p=gap=' || {_sql_bucket('gap')} || ',kA=0,kX=' || gap AS pattern_key, array_to_string(ts[i + 1:last + 1], ' ') AS realization FROM spans"
+_SKIP2 = "SELECT x.sid, 'a_skip2|a=' || x.t || ',' || y.t || '|p=max_jump=10' AS pattern_key, x.t || ' ... ' || y.t AS realization FROM occ x JOIN occ y ON x.sid = y.sid AND y.i > x.i AND y.i - x.i <= 10"
+_SKIP3 = "SELECT x.sid, 'a_skip3|a=' || x.t || ',' || y.t || ',' || z.t || '|p=max_jump=4' AS pattern_key, x.t || ' ... ' || y.t || ' ... ' || z.t AS realization FROM occ x JOIN occ y ON x.sid = y.sid AND y.i > x.i AND y.i - x.i <= 4 JOIN occ z ON y.sid = z.sid AND z.i > y.i AND z.i - y.i <= 4"
+
+
+@_query(_pattern_sql(_TOK_NG, before=_ANCSET))
+def pat_tok_ng(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "tok_ng", max_ngram_n=3)
+
+
+@_query(_pattern_sql(_WIN, before=_ANCSET))
+def pat_anch_win(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "anch_win")
+
+
+@_query(_pattern_sql(_PAIR))
+def pat_anch_pair(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "anch_pair")
+
+
+@_query(_pattern_sql(_SEQ))
+def pat_anch_seq(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "anch_seq")
+
+
+@_query(_pattern_sql(_SKEL, before=_ANCSET))
+def pat_skel(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "skel")
+
+
+@_query(_pattern_sql(_CSKEL))
+def pat_cskel(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "cskel")
+
+
+@_query(_pattern_sql(_SPAN, before=_SPANS))
+def pat_anch_span(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "anch_span")
+
+
+@_query(_pattern_sql(_SIG, before=_SPANS))
+def pat_span_sig(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "span_sig")
+
+
+@_query(_pattern_sql(_SKIP2))
+def pat_skip2(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "a_skip2")
+
+
+@_query(_pattern_sql(_SKIP3))
+def pat_skip3(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir, "a_skip3", max_jump=4)
+
+
+_DEFAULT = f"{_WIN} UNION ALL {_PAIR} UNION ALL {_SKEL} UNION ALL {_CSKEL}"
+
+
+@_query(_pattern_sql(_DEFAULT, before=_ANCSET))
+def pat_all_default(spark, sf_dir):
+    return _pattern_stats(spark, sf_dir)
+
+
+# Statistics.
+
+_PRIOR = f"pat AS ({_PAIR}),\nprior AS (SELECT pattern_key, count(*) AS count_occurrences, count(DISTINCT sid) AS count_sentences FROM pat GROUP BY pattern_key)"
+
+
+def anchor_pair_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = S.prior(extracted(spark, sf_dir, "anch_pair"))
+    return stats.select("pattern_key", "count_occurrences", "count_sentences", F.round("p_global", 6).alias("p_global"))
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT pattern_key, count_occurrences, count_sentences, round(count_sentences / sum(count_sentences) OVER (), 6) AS p_global FROM prior")
+def prior_stats(spark, sf_dir):
+    return anchor_pair_prior(spark, sf_dir)
+
+
+_EMIT = _PAIR.replace("SELECT x.sid,", "SELECT x.sid, x.i AS e1, y.i AS e2,", 1)
+
+
+@_query(_with("occ", more=f"pat AS ({_EMIT})") + f"SELECT pattern_key, realization FROM (SELECT *, row_number() OVER (PARTITION BY pattern_key ORDER BY place) AS n FROM (SELECT pattern_key, realization, min({{'s': sid, 'a': e1, 'b': e2}}) AS place FROM pat WHERE realization <> '' GROUP BY 1, 2)) WHERE n <= {CAP}")
+def prior_realizations_capped(spark, sf_dir):
+    return S.realizations(P.explode(extracted(spark, sf_dir, "anch_pair")), CAP)
+
+
+_PERSONAL = f"ppat AS (SELECT * FROM ({_PAIR}) WHERE sid // 100000 IN (SELECT doc_id FROM labels WHERE quality = 1)),\nown AS (SELECT pattern_key, count(*) AS count_seen, count(DISTINCT sid) AS distinct_sentence_count, count(*) >= 3 AND count(DISTINCT sid) >= 2 AS emerged FROM ppat GROUP BY pattern_key)"
+
+
+def _personal(spark, sf_dir):
+    return S.personal(extracted(spark, sf_dir, "anch_pair", personal=True))
+
+
+@_query(_with("occ", more=_PERSONAL) + "SELECT pattern_key, 'anch_pair' AS family, count_seen, distinct_sentence_count, emerged FROM own")
+def personal_stats(spark, sf_dir):
+    return _personal(spark, sf_dir).drop("last_seen_at")
+
+
+@_query("SELECT l_suppkey, count(*) AS c, count(DISTINCT l_orderkey) AS s, count(*) >= 3 AND count(DISTINCT l_orderkey) >= 2 AS emerged, round(ln(1 + count(*)), 6) AS mastery FROM lineitem GROUP BY l_suppkey")
+def emerged_mastery(spark, sf_dir):
+    n = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("c"), F.countDistinct("l_orderkey").alias("s"))
+    return n.select("l_suppkey", "c", "s", emerged(F.col("c"), F.col("s")).alias("emerged"), F.round(mastery(F.col("c")), 6).alias("mastery"))
+
+
+_LEX = "lex AS (SELECT token AS simplified, CAST(ascii(token) % 8 AS INTEGER) AS level, CAST(length(token) AS INTEGER) AS frequency FROM bench),\nbest AS (SELECT * FROM lex WHERE level <= 6 AND level <> 7)"
+
+
+def _lexicon(spark, sf_dir):
+    t = F.col("token")
+    return _benchmark_tokens(spark, sf_dir).select(t.alias("simplified"), (F.ascii(t) % 8).cast("int").alias("level"), F.char_length(t).alias("frequency"))
+
+
+def _vocabulary(spark, sf_dir):
+    return S.vocabulary(personal_tokens(spark, sf_dir), S.best_entries(_lexicon(spark, sf_dir)))
+
+
+_VOCAB = _BENCH + ",\n" + _LEX + ",\nvocab AS (SELECT t AS word, count(*) AS count, ln(1 + count(*)) AS mastery, any_value(level) AS hsk_level, any_value(frequency) AS hsk_frequency FROM ptok LEFT JOIN best ON t = simplified GROUP BY t)"
+
+
+@_query(_with("ptok", more=_VOCAB) + "SELECT word, count, round(mastery, 6) AS mastery, hsk_level, hsk_frequency FROM vocab")
+def vocab_stats_lexicon(spark, sf_dir):
+    return _vocabulary(spark, sf_dir).select("word", "count", F.round("mastery", 6).alias("mastery"), "hsk_level", "hsk_frequency")
+
+
+@_query(_with("sent") + "SELECT min(sid) AS sid, text AS zh_text, 'corpus' AS source FROM sent GROUP BY text")
+def sentences_keep_first(spark, sf_dir):
+    rows = sentences(spark, sf_dir).select("sid", F.col("text").alias("zh_text"), F.lit("corpus").alias("source"))
+    return S.keep_first(rows)
+
+
+_HALVES = " UNION ALL ".join(f"(SELECT l_partkey, count(*) AS count_sentences, CAST(sum(l_linenumber) AS BIGINT) AS count_occurrences, CAST(max(l_linenumber) AS BIGINT) AS distinct_realization_count FROM lineitem WHERE l_orderkey % 2 = {h} GROUP BY 1)" for h in (0, 1))
+
+
+@_query(f"SELECT CAST(l_partkey AS VARCHAR) AS pattern_key, CAST(sum(count_sentences) AS BIGINT) AS count_sentences, CAST(sum(count_occurrences) AS BIGINT) AS count_occurrences, max(distinct_realization_count) AS distinct_realization_count FROM ({_HALVES}) GROUP BY 1")
+def merge_counts(spark, sf_dir):
+    def half(h: int) -> DataFrame:
+        own = _read(spark, sf_dir, "lineitem").where(f"l_orderkey % 2 = {h}").groupBy(F.col("l_partkey").cast("string").alias("pattern_key"))
+        return own.agg(F.count("*").alias("count_sentences"), F.sum("l_linenumber").alias("count_occurrences"), F.max("l_linenumber").cast("long").alias("distinct_realization_count"))
+
+    return S.merge_counts(half(0), half(1))
+
+
+@_query("SELECT o_custkey AS key, max(o_orderkey) AS newest FROM orders GROUP BY 1")
+def replace_rows(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    even, every = orders.where("o_orderkey % 2 = 0"), orders
+    newest = lambda df: df.groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderkey").alias("newest"))
+    return S.replace_rows(newest(even), newest(every), "key")
+
+
+# Reports.
+
+_BOTH = _PRIOR + ",\n" + _PERSONAL
+
+
+def _prior(spark, sf_dir):
+    return S.prior(extracted(spark, sf_dir, "anch_pair"))
+
+
+@_query(_with("occ", more=_BOTH) + "SELECT count(*) AS emerged_patterns, round(sum(coalesce(p, 0)), 6) AS coverage_mass FROM (SELECT * FROM own WHERE emerged) LEFT JOIN (SELECT pattern_key, count_sentences / sum(count_sentences) OVER () AS p FROM prior) USING (pattern_key)")
+def coverage_mass(spark, sf_dir):
+    found = M.coverage_mass(_personal(spark, sf_dir), _prior(spark, sf_dir))
+    return found.select("emerged_patterns", F.round("coverage_mass", 6).alias("coverage_mass"))
+
+
+@_query(_with("occ", more=_PERSONAL) + "SELECT count_seen AS value, count(*) AS n_patterns FROM own GROUP BY 1")
+def count_histogram(spark, sf_dir):
+    return R.count_histogram(_personal(spark, sf_dir), "count_seen")
+
+
+_RANGES = ", ".join(f"({low}, '{low if low == high else f'{low}-{high or chr(0x221E)}'}', {high or 10**12})" for low, high in R.RANGES)
+
+
+@_query(_with("occ", more=_PRIOR) + f"SELECT CAST(low AS BIGINT) AS low, label, count(pattern_key) AS n_patterns FROM (VALUES {_RANGES}) r(low, label, high) LEFT JOIN prior ON count_sentences BETWEEN low AND high GROUP BY low, label")
+def bucket_histogram(spark, sf_dir):
+    return R.range_histogram(_prior(spark, sf_dir), "count_sentences")
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT count(*) AS total, count(*) FILTER (count_sentences = 1) AS eq_1, count(*) FILTER (count_sentences = 2) AS eq_2, count(*) FILTER (count_sentences = 3) AS eq_3, count(*) FILTER (count_sentences >= 5) AS ge_5, count(*) FILTER (count_sentences >= 10) AS ge_10, count(*) FILTER (count_sentences >= 100) AS ge_100 FROM prior")
+def count_thresholds(spark, sf_dir):
+    return R.count_thresholds(_prior(spark, sf_dir), "count_sentences")
+
+
+@_query(_with("occ", more=f"{_ANCSET},\npat AS ({_DEFAULT})") + "SELECT split_part(pattern_key, '|', 1) AS family, count(DISTINCT pattern_key) AS n_patterns FROM pat GROUP BY 1 ORDER BY n_patterns DESC, family LIMIT 12")
+def family_breakdown(spark, sf_dir):
+    return R.family_breakdown(S.key_counts(extracted(spark, sf_dir)))
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT quantile_disc(count_sentences, 0.5) AS p50, quantile_disc(count_sentences, 0.9) AS p90, quantile_disc(count_sentences, 0.99) AS p99 FROM prior")
+def quantiles(spark, sf_dir):
+    return R.quantiles(_prior(spark, sf_dir), "count_sentences")
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT count(*) AS total, count(*) FILTER (count_sentences = 1) AS n_single, round(count(*) FILTER (count_sentences = 1) / count(*), 6) AS share FROM prior")
+def singletons(spark, sf_dir):
+    return R.singletons(_prior(spark, sf_dir)).select("total", "n_single", F.round("share", 6).alias("share"))
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT pattern_key, count_sentences, count_occurrences FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 20")
+def top_patterns(spark, sf_dir):
+    return R.top_patterns(S.key_counts(extracted(spark, sf_dir, "anch_pair"))).select("pattern_key", "count_sentences", "count_occurrences")
+
+
+@_query(_with("occ", more=_PERSONAL) + "SELECT pattern_key, count_seen, distinct_sentence_count FROM own WHERE emerged ORDER BY count_seen DESC, distinct_sentence_count DESC, pattern_key LIMIT 20")
+def top_emerged(spark, sf_dir):
+    return R.top_emerged(_personal(spark, sf_dir)).select("pattern_key", "count_seen", "distinct_sentence_count")
+
+
+@_query(_with("occ", more=_PRIOR + ",\ntop AS (SELECT pattern_key FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 12)") + f"SELECT pattern_key, realization FROM (SELECT pattern_key, realization, row_number() OVER (PARTITION BY pattern_key ORDER BY sha256('{SEED}:' || realization), realization) AS n FROM (SELECT DISTINCT pattern_key, realization FROM pat WHERE pattern_key IN (SELECT pattern_key FROM top))) WHERE n <= 6")
+def top_realizations(spark, sf_dir):
+    rows = extracted(spark, sf_dir, "anch_pair")
+    top = R.top_patterns(S.key_counts(rows), 12)
+    return R.with_realizations(top, S.realizations(P.explode(rows)), 6, SEED)
+
+
+@_query(_with("ptok", more=_VOCAB) + "SELECT word, count FROM vocab ORDER BY count DESC, word LIMIT 20")
+def top_vocab(spark, sf_dir):
+    return R.top_vocabulary(_vocabulary(spark, sf_dir)).select("word", "count")
+
+
+@_query(_with("ptok", more=_VOCAB) + "SELECT count(*) AS n_words, count(*) FILTER (hsk_level IS NULL) AS n_unknown, count(*) FILTER (length(word) = 1) AS n_single, round(count(*) FILTER (hsk_level IS NULL) / count(*), 6) AS unknown_share, round(count(*) FILTER (length(word) = 1) / count(*), 6) AS single_share FROM vocab")
+def unknown_vocab_ratio(spark, sf_dir):
+    found = R.vocabulary_health(_vocabulary(spark, sf_dir))
+    return found.select("n_words", "n_unknown", "n_single", F.round("unknown_share", 6).alias("unknown_share"), F.round("single_share", 6).alias("single_share"))
+
+
+@_query(_with("occ") + "SELECT (SELECT count(*) FROM sent) AS n_sentences, (SELECT count(DISTINCT sid) FROM occ) AS n_any, CAST(0 AS BIGINT) AS n_skel, round((SELECT count(DISTINCT sid) FROM occ) / (SELECT count(*) FROM sent), 6) AS any_share, CAST(0 AS DOUBLE) AS skel_share")
+def sentence_coverage(spark, sf_dir):
+    rows = extracted(spark, sf_dir, "cskel").select(F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
+    found = R.sentence_coverage(rows)
+    return found.select("n_sentences", "n_any", "n_skel", F.round("any_share", 6).alias("any_share"), F.round("skel_share", 6).alias("skel_share"))
+
+
+@_query(_with("occ", more=_PRIOR + ",\ntop AS (SELECT pattern_key FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 200)") + "SELECT t AS token, count(pattern_key) AS n_keys FROM anc LEFT JOIN top ON contains(pattern_key, t) GROUP BY t")
+def anchor_presence(spark, sf_dir):
+    top = R.top_patterns(S.key_counts(extracted(spark, sf_dir, "anch_pair")), 200)
+    return M.anchor_presence(_anchors(spark, sf_dir), top)
+
+
+_OVERLAP = f"low AS (SELECT t FROM tok WHERE length(t) <= {MAX_LEN} GROUP BY t ORDER BY count(*) DESC, t LIMIT {TOP_K})"
+
+
+@_query(_with("anc", more=_OVERLAP) + "SELECT n_a, n_b, n_both, round(n_both / n_a, 6) AS share_of_a, round(n_both / (n_a + n_b - n_both), 6) AS jaccard FROM (SELECT (SELECT count(*) FROM anc) AS n_a, (SELECT count(*) FROM low) AS n_b, (SELECT count(*) FROM anc JOIN low USING (t)) AS n_both)")
+def anchor_overlap(spark, sf_dir):
+    by_tf = A.top_tokens(tokens(spark, sf_dir), TOP_K, "tf", MAX_LEN)
+    found = M.list_overlap(_anchors(spark, sf_dir), by_tf)
+    return found.select("n_a", "n_b", "n_both", F.round("share_of_a", 6).alias("share_of_a"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@_query(_with("anc", more=_BENCH) + "SELECT t AS token, t IN (SELECT token FROM bench) AS is_candidate FROM anc")
+def anchors_against_candidates(spark, sf_dir):
+    return R.anchors_against_candidates(_anchors(spark, sf_dir), _benchmark_tokens(spark, sf_dir))
+
+
+_TABLES = ("documents", "labels", "benchmark", "pages", "conversations", "events", "embeddings")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES))
+def table_health(spark, sf_dir):
+    return R.table_health({t: _read(spark, sf_dir, t) for t in _TABLES})
+
+
+@_query(f"SELECT count(*) AS lines_seen, count(*) FILTER (regexp_replace(l, '{_W}', '', 'g') <> '') AS lines_kept FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM documents)")
+def line_totals(spark, sf_dir):
+    lines = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return lines.agg(F.count("*").alias("lines_seen"), F.count_if(T.strip(F.col("value")) != "").alias("lines_kept"))
+
+
+# Similarity.
+
+_DOCSETS = _with("anc") + ",\nsets AS (SELECT doc_id, list_distinct(list(t)) AS s FROM tok WHERE t IN (SELECT t FROM anc) GROUP BY doc_id)"
+
+
+def _document_sets(spark, sf_dir):
+    own = tokens(spark, sf_dir).withColumn("tokens", F.filter("tokens", P.membership(anchor_tokens(spark, sf_dir))))
+    return own.select("doc_id", F.explode("tokens").alias("t")).groupBy("doc_id").agg(F.collect_set("t").alias("s"))
+
+
+def _neighbours(spark, sf_dir):
+    """Pairs of a document and the next one."""
+    sets = _document_sets(spark, sf_dir)
+    following = sets.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("b"))
+    return sets.join(following, "doc_id").select(F.col("doc_id").alias("pair_id"), F.col("s").alias("a"), "b")
+
+
+@_query(_DOCSETS + "\nSELECT x.doc_id AS pair_id, round(len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))), 6) AS similarity FROM sets x JOIN sets y ON y.doc_id = x.doc_id + 1")
+def jaccard_pairs(spark, sf_dir):
+    return _neighbours(spark, sf_dir).select("pair_id", F.round(M.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+@_query(
+    _DOCSETS
+    + ",\nn AS (SELECT count(*) AS n FROM sets),\ndf AS (SELECT t, count(*) AS df FROM (SELECT doc_id, unnest(s) AS t FROM sets) GROUP BY t),\nboth AS (SELECT x.doc_id AS pair_id, unnest(list_distinct(list_concat(x.s, y.s))) AS t, list_intersect(x.s, y.s) AS common FROM sets x JOIN sets y ON y.doc_id = x.doc_id + 1)\nSELECT pair_id, round(CASE WHEN sum(ln(n.n / df)) > 0 THEN coalesce(sum(ln(n.n / df)) FILTER (list_contains(common, t)), 0) / sum(ln(n.n / df)) ELSE 0 END, 6) AS similarity FROM both JOIN df USING (t), n GROUP BY pair_id".replace("both AS", "pairs AS").replace("FROM both", "FROM pairs")
+)
+def idf_jaccard_pairs(spark, sf_dir):
+    sets = _document_sets(spark, sf_dir)
+    df = sets.select(F.explode("s").alias("pattern_key")).groupBy("pattern_key").agg(F.count("*").alias("df"))
+    found = M.idf_jaccard(_neighbours(spark, sf_dir), df, sets.count())
+    return found.select("pair_id", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(None)
+def length_robustness(spark, sf_dir):
+    """Key-set similarity of three short sentences with longer ones of the same build."""
+    pairs = [("我把它扔掉", "我把你昨天用的杯子扔掉了"), ("他在学校学习", "他今天在学校认真地学习了"), ("我给你打电话", "我昨天晚上给你打了一个电话")]
+    rows = spark.createDataFrame([(i, s) for i, pair in enumerate(pairs) for s in pair], "pair_id long, value string")
+    split = rows.select("pair_id", "value", TK.characters(F.col("value")).alias("tokens"))
+    found = P.extract(split, ["把", "在", "给", "了", "的", "地"]).select("pair_id", F.length("value").alias("n"), F.transform("patterns", lambda p: p["pattern_key"]).alias("k"))
+    sets = found.groupBy("pair_id").agg(F.min_by("k", "n").alias("a"), F.max_by("k", "n").alias("b"))
+    return sets.select("pair_id", F.round(M.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+# Corpora and dictionaries.
+
+
+@_query(_with("sent") + "SELECT DISTINCT text AS value FROM sent")
+def dedup_sentences(spark, sf_dir):
+    return C.distinct_lines(sentences(spark, sf_dir).select(F.col("text").alias("value")))
+
+
+_HASHED = "(SELECT text AS value FROM sent WHERE doc_id % 2 = {} ORDER BY sha256('7:' || text), text LIMIT {})"
+
+
+@_query(_with("sent") + f"SELECT DISTINCT value FROM (SELECT * FROM {_HASHED.format(0, 600)} UNION ALL SELECT * FROM {_HASHED.format(1, 400)})")
+def mix_corpora_hash_sample(spark, sf_dir):
+    own = sentences(spark, sf_dir).select("doc_id", F.col("text").alias("value"))
+    return C.mix(own.where("doc_id % 2 = 0"), 600, own.where("doc_id % 2 = 1"), 400, SEED)
+
+
+_LEVELS = "[CASE WHEN p_size % 3 = 0 THEN 'new-' || (p_size % 9) ELSE 'x' END, 'old-' || (p_size % 7), CASE WHEN p_size % 5 = 0 THEN 'new-' || (p_size % 4) ELSE 'old-9' END]"
+
+
+@_query(f"SELECT p_partkey, coalesce(list_min(list_transform(list_filter(l, lambda x: regexp_full_match(x, 'new-\\d+')), lambda x: CAST(substr(x, 5) AS INTEGER))), list_min(list_transform(list_filter(l, lambda x: regexp_full_match(x, 'old-\\d+')), lambda x: CAST(substr(x, 5) AS INTEGER)))) AS level FROM (SELECT p_partkey, {_LEVELS} AS l FROM part)")
+def parse_level(spark, sf_dir):
+    size = F.col("p_size")
+    numbered = lambda kind, m: F.concat(F.lit(kind), (size % m).cast("string"))
+    tags = F.array(F.when(size % 3 == 0, numbered("new-", 9)).otherwise("x"), numbered("old-", 7), F.when(size % 5 == 0, numbered("new-", 4)).otherwise("old-9"))
+    return _read(spark, sf_dir, "part").select("p_partkey", L.level(tags).alias("level"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_brand = p_type THEN p_brand ELSE p_brand || '; ' || p_type END AS joined FROM part")
+def uniq_join(spark, sf_dir):
+    items = F.array(F.concat(F.lit(" "), "p_brand"), F.col("p_type"), F.lit(""), F.col("p_brand"), F.lit(None).cast("string"))
+    return _read(spark, sf_dir, "part").select("p_partkey", L.unique_join(items).alias("joined"))
+
+
+@_query("SELECT simplified, level, frequency FROM (SELECT *, row_number() OVER (PARTITION BY simplified ORDER BY level, coalesce(frequency, 1000000000)) AS n FROM (SELECT p_brand AS simplified, CAST(p_size % 9 AS INTEGER) AS level, CAST(CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey END AS INTEGER) AS frequency FROM part) WHERE level <= 6 AND level <> 7) WHERE n = 1")
+def lexicon_best_entry(spark, sf_dir):
+    rows = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("simplified"), (F.col("p_size") % 9).cast("int").alias("level"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_partkey")).cast("int").alias("frequency"))
+    return S.best_entries(rows)
+
+
+@_query("SELECT frequency, token FROM (SELECT p_type AS token, min(coalesce(CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END, 1000000000)) FILTER (o = first) AS frequency FROM (SELECT *, p_partkey AS o, min(p_partkey) OVER (PARTITION BY p_type) AS first FROM part WHERE length(p_type) <= 20 AND p_size % 8 BETWEEN 1 AND 5) GROUP BY p_type)")
+def dictionary_candidates(spark, sf_dir):
+    size = F.col("p_size")
+    rows = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ordinal"), F.col("p_type").alias("simplified"), (size % 8).alias("level"), F.when(size % 4 != 0, size).alias("frequency"), F.array(F.lit("u")).alias("pos"))
+    return A.dictionary_candidates(rows, max_len=20, min_level=1, max_level=5).select(F.col("frequency").cast("int").alias("frequency"), "token")
+
+
+@_query(None)
+def spot_checks(spark, sf_dir):
+    rows = sentences(spark, sf_dir).select("sid", F.col("text").alias("zh_text"))
+    return R.spot_checks(rows, 5, SEED)
+
+
+_SQL["spot_checks"] = _with("sent") + f"SELECT sid, text AS zh_text FROM sent ORDER BY sha256('{SEED}:' || text), sid LIMIT 5"
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
