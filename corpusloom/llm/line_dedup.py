@@ -6,20 +6,23 @@ with it; whether that earlier line is itself removed makes no difference.
 
 Words are ordered by rarity: one pass counts the words of all texts in a
 sketch of a fixed number of slots, and a word ranks by its slot's count (on a scale of
-half powers of two), then by length, then by hash.  Any order gives the same result;
+thirds of powers of two), then by hash.  Any order gives the same result;
 this one puts words that few lines have in front.  Lines with equal sets form
 a class, in which only the first goes on.  Two similar lines share a word
-among their first ones (prefix filter), have similar sizes (length filter) and enough
-room behind the shared word (positional filter).  Words that only one class has in
-its prefix are dropped by counting.  A line is first compared with the earliest
-line that has a prefix word in common; only lines that this doesn't remove are compared with all
-earlier ones, so groups of similar lines aren't expanded into pairs.  All candidates
-are verified on the full sets.
+among their first ones (prefix filter), have similar sizes (length filter), enough
+room behind the shared word (positional filter), and differ in few words:
+128 bits of parity over all words differ in at most as many places.  Before that, a
+line is compared with the earliest one that has one of its three smallest hashes in common,
+so most members of a group of similar lines are decided without listing
+the group's pairs; only the others are joined with all earlier lines, and of their candidates
+the one of the closest parity is verified first.  All candidates that could still
+matter are verified on the full sets.
 
 Defined results: lines end at line feeds; blank lines and lines of fewer than
-``min_words`` different words stay.  Null texts stay null and have no lines, empty ones have one
-blank line.  Words are compared by a 48-bit hash.  Rows that repeat an id
-count as one document: their lines of the same number share their fate.  A null id comes before all others.
+``min_words`` different words stay.  Words are what spaces separate.  Null texts stay null and have no lines, empty ones have one
+blank line.  Words are compared by a 64-bit hash.  Rows that repeat an id
+count as one document: their lines of the same number share their fate.  A null id comes before
+all others, and its lines are compared for equal sets only.
 Empty tables give empty results.  Extra columns are carried by
 :func:`remove_later`.
 """
@@ -35,10 +38,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.storage import drop, materialize
 
-SLOT_BITS = 16
-HASH_BITS = 48
-_HASH_MASK = (1 << HASH_BITS) - 1
-_BLANK = r"[ \t\n\x0B\f\r]+"
+SLOT_BITS = 18
+_SLOTS = 1 << SLOT_BITS
+#: Groups by smallest hash that a line belongs to.
+HUBS = 3
 
 
 @contextmanager
@@ -56,21 +59,21 @@ def _bloom_filters(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(prefix + k, v)
 
 
-def _hash(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(_HASH_MASK))
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
 
 
-def _slot(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.lower(text), " "), "")
 
 
 def rarity_table(docs: DataFrame) -> list[int]:
-    """Per slot twice the binary logarithm of the number of words of all texts that fall into it."""
-    words = docs.select(F.explode(F.split(F.lower("text"), _BLANK)).alias("w")).where("w <> ''")
-    counts = words.select(_slot(_hash(F.col("w"))).alias("slot")).groupBy("slot").count().collect()
-    table = [0] * (1 << SLOT_BITS)
+    """Per slot three times the binary logarithm of the number of words of all texts that fall into it."""
+    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count().collect()
+    table = [0] * _SLOTS
     for slot, n in counts:
-        table[slot] = round(2 * math.log2(n))
+        table[slot] = min(126, int(3 * math.log2(n)))
     return table
 
 
@@ -79,10 +82,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _word_set(line: Column) -> Column:
-    """Distinct words as numbers: a long word's bits are low, its hash lowest."""
-    words = F.filter(F.split(F.lower(line), _BLANK), lambda w: w != "")
-    number = lambda w: F.shiftleft(31 - F.least(F.char_length(w), F.lit(31)).cast("long"), HASH_BITS).bitwiseOR(_hash(w))
-    return F.array_distinct(F.transform(words, number))
+    """Distinct words as 64-bit hashes."""
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
@@ -90,18 +91,46 @@ def _prefix_length(n: Column, percent: int) -> Column:
 
 
 def _prefixes(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
-    """``doc_id, line_no, h1, h2, n, prefix`` of every line that takes part."""
+    """``doc_id, line_no, h1, h2, n, b1, b2, least, prefix`` of every line that takes part."""
     table = F.from_json(F.lit(str(rarity_table(docs))), "array<int>")
-    sets = _lines(docs).select("doc_id", "line_no", _word_set(F.col("line")).alias("s")).where(F.size("s") >= min_words)
-    ranked = lambda x: F.shiftleft(F.element_at(table, _slot(x) + 1).cast("long"), HASH_BITS + 5).bitwiseOR(x)
-    ordered = sets.select("doc_id", "line_no", F.sort_array(F.transform("s", ranked)).alias("s"), F.size("s").alias("n"))
-    return ordered.select("doc_id", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "n", F.slice("s", F.lit(1), _prefix_length(F.col("n"), percent)).alias("prefix"))
+    sets = _lines(docs).select("doc_id", "line_no", F.sort_array(_word_set(F.col("line"))).alias("s"))
+    sets = sets.select("doc_id", "line_no", "s", F.size("s").alias("n")).where(F.col("n") >= min_words)
+    # rarity above, the hash's other bits below
+    ranked = lambda x: F.shiftleft(F.element_at(table, _slot(x) + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
+    # a word's bit lies in the first or the second half
+    half = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long"))
+    bit = lambda x, h: F.call_function("shiftleft", h, x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda flip: F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, half(x).bitwiseXOR(F.lit(flip).cast("long")))))
+    front = F.slice(F.sort_array(F.transform("s", ranked)), F.lit(1), _prefix_length(F.col("n"), percent))
+    return sets.select(
+        "doc_id", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "n",
+        parity(1).alias("b1"), parity(0).alias("b2"),
+        F.slice("s", F.lit(1), F.lit(HUBS)).alias("least"),
+        # a word's key needs no more than 32 bits: a clash only adds a candidate
+        F.transform(front, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+    )
+
+
+def _apart(line: str, other: str) -> Column:
+    """In how many places the parities differ; columns named 1 and 2.
+
+    Every word that only one of the lines has changes one place.
+    """
+    differ = [F.bit_count(F.col(f"{line}{i}").bitwiseXOR(F.col(f"{other}{i}"))) for i in (1, 2)]
+    return differ[0] + differ[1]
+
 
+def _alike(percent: int) -> Column:
+    """Length and parity filter for lines (n, b1, b2) and (m, c1, c2)."""
+    n, m = F.col("n"), F.col("m")
+    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
+    return sizes & ((100 + percent) * _apart("b", "c") <= (100 - percent) * (n + m))
 
-def _fit(nx: Column, px: Column, ny: Column, py: Column, percent: int) -> Column:
-    """Length and positional filter; places count from 0."""
-    room = F.least(nx - px, ny - py)
-    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * room >= percent * (nx + ny))
+
+def _room(n: str, p: str, m: str, q: str, percent: int) -> Column:
+    """Positional filter for sizes and places from 0."""
+    n, p, m, q = map(F.col, (n, p, m, q))
+    return (100 + percent) * F.least(n - p, m - q) >= percent * (n + m)
 
 
 def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -125,30 +154,44 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Da
     lines = materialize(_prefixes(docs.where("text is not null"), min_words, percent), "lines")
     at = F.struct("doc_id", "line_no")
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(at).alias("first")), "line-classes")
-    placed = lines.join(firsts, ["h1", "h2"]).select("doc_id", "line_no", "n", "prefix", (F.col("first") < at).alias("copy"))
-    placed = materialize(placed.select("doc_id", "line_no", "n", "copy", F.when(~F.col("copy"), F.col("prefix")).alias("prefix")), "line-prefixes")
-    drop(lines)
-    copies = placed.where("copy").select("doc_id", "line_no")
-    postings = placed.where("not copy").select("doc_id", "line_no", "n", F.posexplode("prefix").alias("p", "word"))
-    shared = materialize(postings.groupBy("word").agg(F.count("*").alias("c")).where("c > 1"), "shared-words")
-    with _bloom_filters(docs.sparkSession):
-        postings = materialize(postings.join(shared.where("c > 1").select("word"), "word", "left_semi"), "postings")
-    early = materialize(postings.groupBy("word").agg(F.min(F.struct("doc_id", "line_no", "n", "p")).alias("e")).select("word", F.col("e.doc_id").alias("d"), F.col("e.line_no").alias("l"), F.col("e.n").alias("m"), F.col("e.p").alias("q")), "earliest")
+    placed = lines.join(firsts, ["h1", "h2"]).withColumn("copy", F.col("first") < at)
+    kept = lambda c: F.when(~F.col("copy"), F.col(c)).alias(c)
+    placed = materialize(placed.select("doc_id", "line_no", "n", "b1", "b2", "copy", kept("least"), kept("prefix")), "line-prefixes")
+    drop(lines, firsts)
+    copies, own = placed.where("copy").select("doc_id", "line_no"), placed.where("not copy")
+    pair = ["doc_id", "line_no", "d", "l"]
     later = F.struct("d", "l") < at
-    fits = _fit(F.col("n"), F.col("p"), F.col("m"), F.col("q"), percent)
-    with_first = materialize(postings.join(early, "word").where(later & fits).select("doc_id", "line_no", "d", "l").distinct(), "line-pairs")
-    near = materialize(_similar(docs, with_first, percent), "later-lines")
-    open_ = postings.join(near, ["doc_id", "line_no"], "left_anti")
-    others = postings.select("word", F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("n").alias("m"), F.col("p").alias("q"))
-    pairs = open_.join(others, "word").where(later & fits).select("doc_id", "line_no", "d", "l").distinct()
-    pairs = materialize(pairs.join(with_first, ["doc_id", "line_no", "d", "l"], "left_anti"), "line-pairs")
-    return copies.unionByName(near).unionByName(_similar(docs, pairs, percent)).distinct()
+    other = {"doc_id": "d", "line_no": "l", "n": "m", "b1": "c1", "b2": "c2"}
+
+    grouped = own.select(*other, F.explode("least").alias("key"))
+    hubs = grouped.groupBy("key").agg(F.min(F.struct(*other)).alias("e"), F.max(at).alias("last"))
+    hubs = hubs.where(F.struct("e.doc_id", "e.line_no") < F.col("last")).select("key", *[F.col(f"e.{c}").alias(o) for c, o in other.items()])
+    with_hub = grouped.join(materialize(hubs, "line-hubs"), "key").where(later & _alike(percent))
+    near = materialize(_similar(docs, materialize(with_hub.select(*pair).distinct(), "hub-pairs"), percent), "hub-lines")
+
+    decided = near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.lit(0).alias("decided"))
+    marked = own.drop("copy", "least").join(decided, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left")
+    postings = marked.select("doc_id", "line_no", "n", "b1", "b2", F.coalesce("decided", F.lit(1)).alias("open"), F.posexplode("prefix").alias("p", "word"))
+    earlier = postings.select(*[F.col(c).alias(o) for c, o in other.items()], F.col("open").alias("o"), F.col("p").alias("q"), "word")
+    # open lines only; both sides stay the same rows, so they are shuffled once
+    undecided = F.col("open") + F.col("o") > F.col("o")
+    pairs = postings.join(earlier, "word").where(later & undecided & _alike(percent) & _room("n", "p", "m", "q", percent))
+    pairs = materialize(pairs.select(*pair, _apart("b", "c").alias("apart")).distinct(), "line-pairs")
+    best = pairs.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "d", "l")).alias("e")).select("doc_id", "line_no", "e.d", "e.l")
+    closest = materialize(_similar(docs, materialize(best, "closest-pairs"), percent), "closest-lines")
+    rest = materialize(pairs.join(closest, ["doc_id", "line_no"], "left_anti").join(best, pair, "left_anti").select(*pair), "rest-pairs")
+    return copies.unionByName(near).unionByName(closest).unionByName(_similar(docs, rest, percent)).distinct()
+
+
+def _gone(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
+    """``__id, removed``: line numbers, ascending, of documents that lose lines."""
+    gone = repeated_lines(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    return materialize(gone, "removed-lines")
 
 
 def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...]) -> DataFrame:
     """``row`` (a struct of the ``keep`` columns), ``text``, ``n_lines``, ``removed`` (line numbers, ascending)."""
-    gone = repeated_lines(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    gone = materialize(gone, "removed-lines")
+    gone = _gone(docs, percent, min_words)
     none = F.array().cast("array<int>")
     source = docs.select("doc_id", "text", F.struct(*keep).alias("row"))
     joined = source.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("removed", F.coalesce("removed", none))
@@ -159,9 +202,12 @@ def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...
 
 
 def report(docs: DataFrame, percent: int = 80, min_words: int = 2) -> DataFrame:
-    """Per document: its lines, those removed, and the text that is left."""
-    cleaned = _cleaned(docs, percent, min_words, ("doc_id",))
-    return cleaned.select("row.doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), "text")
+    """Per document: the number of its lines, of those removed, and their line numbers."""
+    gone = _gone(docs, percent, min_words)
+    own = docs.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"))
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
 def remove_later(docs: DataFrame, percent: int = 80, min_words: int = 2) -> DataFrame:
@@ -170,6 +216,6 @@ def remove_later(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Data
     A document that loses lines and has nothing but blanks left is dropped.
     """
     text = F.col("text")
-    cleaned = _cleaned(docs, percent, min_words, tuple(docs.columns)).where((F.size("removed") == 0) | text.rlike(r"[^ \t\n\x0B\f\r]"))
+    cleaned = _cleaned(docs, percent, min_words, tuple(docs.columns)).where((F.size("removed") == 0) | text.rlike(r"[^ \n]"))
     chars = {c: F.when(F.size("removed") > 0, F.char_length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
     return cleaned.select(*[text.alias(c) if c == "text" else chars.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

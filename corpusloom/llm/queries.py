@@ -118,7 +118,7 @@ OP9_SQL = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 sets AS (
-    SELECT doc_id, line_no, list_distinct(list_filter(regexp_split_to_array(lower(line), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) AS s FROM lines),
+    SELECT doc_id, line_no, list_distinct(list_filter(string_split(lower(line), ' '), lambda x: x <> '')) AS s FROM lines),
 big AS (SELECT doc_id, line_no, s, len(s) AS n FROM sets WHERE len(s) >= 2),
 classes AS (
     SELECT min({'d': doc_id, 'l': line_no}) AS first, any_value(list_sort(s)) AS s, any_value(n) AS n FROM big GROUP BY list_sort(s)),
@@ -134,12 +134,11 @@ near AS (
 gone AS (
     SELECT b.doc_id, b.line_no FROM big b JOIN classes c ON list_sort(b.s) = c.s
     WHERE {'d': b.doc_id, 'l': b.line_no} <> c.first OR c.first IN (SELECT later FROM near)),
-marked AS (SELECT l.doc_id, l.line_no, l.line, g.doc_id IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no),
+marked AS (SELECT l.doc_id, l.line_no, g.doc_id IS NOT NULL AS removed FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no),
 docs AS (
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (removed), '') AS removed,
-           coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT removed), '') AS text
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed, coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (removed), '') AS removed
     FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed, docs.text FROM documents d LEFT JOIN docs USING (doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents d LEFT JOIN docs USING (doc_id)
 """
 
 OP10_SQL = """
