@@ -123,3 +123,20 @@ def test_bootstrap(spark, tmp_path):
     assert (pair["count_seen"], pair["distinct_sentence_count"], pair["emerged"]) == (3, 3, True)
     assert read("runs").count() == 1 and json.loads(readers.meta(spark, f"{store}/meta")["anchors_json"]) == ["了", "学"]
     assert reports.vocabulary_health(read("vocab_stats")).first()["n_unknown"] == 1
+
+
+def test_inspections(spark, tmp_path):
+    from corpusloom.plans import inspect
+
+    known = spark.createDataFrame([("a b a",), ("b c",)], "value string")
+    lexicon = spark.createDataFrame([("a", 1, 5, None, None, None, None)], schemas.LEXICON)
+    state, store = str(tmp_path / "state"), str(tmp_path / "prior")
+    B.bootstrap(spark, known, lexicon, state)
+    prior.build(spark, known, ["a", "b"], store)
+    candidates = spark.createDataFrame([("a",), ("zz",)], "token string")
+    for sections in (inspect.inspect_state(spark, state, candidates, recompute=True), inspect.inspect_prior(spark, store, candidates, with_samples=True), inspect.inspect_pipeline(spark, state, store)):
+        assert all(title in inspect.render(sections) for title in sections)
+    sections = inspect.inspect_pipeline(spark, state, store)
+    assert sections["keys of the prior"].first()["n_invalid"] == 0
+    empty = str(tmp_path / "none")
+    assert inspect.inspect_prior(spark, empty)["counts"].first()["total"] == 0
