@@ -116,7 +116,7 @@ class Codec:
         """Little-endian u32 ids of a text."""
         if not text:
             return b""
-        if "  " in text or "\0" in text or " \n" in text or text[-1] == " ":
+        if "  " in text or "\0" in text or " \n" in text or text[0] == " " or text[-1] == " ":
             chunks = _CHUNK.findall(" " + text)
         else:
             chunks = _MARK.sub("\0", " " + text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
