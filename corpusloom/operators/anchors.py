@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.statistics import anchor_score, entropy_term
+from corpusloom.functions.statistics import anchor_score
 from corpusloom.operators.patterns import membership
 
 BEGIN, FINISH = "<BOS>", "<EOS>"
@@ -116,7 +116,3 @@ def dictionary_candidates(entries: DataFrame, pos: Iterable[str] = ("u", "p", "c
 def zero_df(anchors: DataFrame, sentences: DataFrame) -> DataFrame:
     """Anchors that no sentence has."""
     return anchors.select("token").join(token_df(sentences), "token", "left_anti")
-
-
-def share_entropy(part: Column, total: Column) -> Column:
-    return F.sum(entropy_term(part, total))

@@ -167,8 +167,6 @@ def word_tokens(spark, sf_dir):
     return tokens(spark, sf_dir).select("sid", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("words"))
 
 
-_NATIONS = "(SELECT string_agg(n_name, '|' ORDER BY length(n_name) DESC, n_name) FROM nation)"
-
 
 @_query(r"SELECT p_partkey, array_to_string(regexp_extract_all(p_name || ' CHINA INDIA 42', '(?:GERMANY|INDIA|CHINA|blue|red|green|lace|box|[\x{4E00}-\x{9FFF}\p{Nd}])'), '/') AS tokens FROM part")
 def lexicon_longest_match(spark, sf_dir):
@@ -312,10 +310,6 @@ def _pattern_sql(rows: str, *, before: str = "") -> str:
     return _with("occ", more=(before + ",\n" if before else "") + f"pat AS ({rows})") + "SELECT pattern_key, count(*) AS count_occurrences, count(DISTINCT sid) AS count_sentences, count(DISTINCT nullif(realization, '')) AS n_realizations FROM pat GROUP BY pattern_key"
 
 
-_IN = "list_contains((SELECT list(t) FROM anc), {})"
-_SLOTTED = "array_to_string(list_transform({}, lambda x: CASE WHEN list_contains((SELECT list(t) FROM anc), x) THEN x ELSE '<X>' END), ' ')"
-_KEPT = "array_to_string(list_filter({}, lambda x: list_contains((SELECT list(t) FROM anc), x)), ',')"
-
 _ANCSET = "aset AS (SELECT list(t) AS a FROM anc)"
 
 
