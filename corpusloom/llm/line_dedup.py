@@ -36,7 +36,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.storage import drop, materialize
+from corpusloom.llm.storage import checked_broadcast, drop, materialize, release_shuffles
 
 SLOT_BITS = 18
 _SLOTS = 1 << SLOT_BITS
@@ -139,7 +139,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     ends = materialize(ends, "line-ends")
     wanted = materialize(ends.groupBy("doc_id").agg(F.count("*").alias("c")), "line-documents")
     with _bloom_filters(docs.sparkSession):
-        texts = docs.select("doc_id", "text").join(wanted.where("c > 0").select("doc_id"), "doc_id", "left_semi")
+        texts = docs.select("doc_id", "text").join(checked_broadcast(wanted.where("c > 0").select("doc_id")), "doc_id", "left_semi")
         sets = _lines(texts).join(ends, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _word_set(F.col("line")).alias("s"))
         sets = materialize(sets, "line-sets")
     x = sets.withColumnRenamed("s", "x")
@@ -158,6 +158,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Da
     kept = lambda c: F.when(~F.col("copy"), F.col(c)).alias(c)
     placed = materialize(placed.select("doc_id", "line_no", "n", "b1", "b2", "copy", kept("least"), kept("prefix")), "line-prefixes")
     drop(lines, firsts)
+    release_shuffles(docs.sparkSession)
     copies, own = placed.where("copy").select("doc_id", "line_no"), placed.where("not copy")
     pair = ["doc_id", "line_no", "d", "l"]
     later = F.struct("d", "l") < at
@@ -169,7 +170,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Da
     with_hub = grouped.join(materialize(hubs, "line-hubs"), "key").where(later & _alike(percent))
     near = materialize(_similar(docs, materialize(with_hub.select(*pair).distinct(), "hub-pairs"), percent), "hub-lines")
 
-    decided = near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.lit(0).alias("decided"))
+    release_shuffles(docs.sparkSession)
+
+    decided = checked_broadcast(near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.lit(0).alias("decided")))
     marked = own.drop("copy", "least").join(decided, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left")
     postings = marked.select("doc_id", "line_no", "n", "b1", "b2", F.coalesce("decided", F.lit(1)).alias("open"), F.posexplode("prefix").alias("p", "word"))
     earlier = postings.select(*[F.col(c).alias(o) for c, o in other.items()], F.col("open").alias("o"), F.col("p").alias("q"), "word")
@@ -177,6 +180,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Da
     undecided = F.col("open") + F.col("o") > F.col("o")
     pairs = postings.join(earlier, "word").where(later & undecided & _alike(percent) & _room("n", "p", "m", "q", percent))
     pairs = materialize(pairs.select(*pair, _apart("b", "c").alias("apart")).distinct(), "line-pairs")
+    release_shuffles(docs.sparkSession)
     best = pairs.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "d", "l")).alias("e")).select("doc_id", "line_no", "e.d", "e.l")
     closest = materialize(_similar(docs, materialize(best, "closest-pairs"), percent), "closest-lines")
     rest = materialize(pairs.join(closest, ["doc_id", "line_no"], "left_anti").join(best, pair, "left_anti").select(*pair), "rest-pairs")
@@ -186,7 +190,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Da
 def _gone(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     """``__id, removed``: line numbers, ascending, of documents that lose lines."""
     gone = repeated_lines(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
-    return materialize(gone, "removed-lines")
+    gone = materialize(gone, "removed-lines")
+    release_shuffles(docs.sparkSession)
+    return checked_broadcast(gone, 1 + F.size("removed"))
 
 
 def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...]) -> DataFrame:
@@ -216,6 +222,8 @@ def remove_later(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Data
     A document that loses lines and has nothing but blanks left is dropped.
     """
     text = F.col("text")
-    cleaned = _cleaned(docs, percent, min_words, tuple(docs.columns)).where((F.size("removed") == 0) | text.rlike(r"[^ \n]"))
+    # the text travels beside the other columns, once
+    rest = tuple(c for c in docs.columns if c != "text")
+    cleaned = _cleaned(docs, percent, min_words, rest).where((F.size("removed") == 0) | text.rlike(r"[^ \n]"))
     chars = {c: F.when(F.size("removed") > 0, F.char_length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType) for c in docs.columns if c == "n_chars"}
     return cleaned.select(*[text.alias(c) if c == "text" else chars.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

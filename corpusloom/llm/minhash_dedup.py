@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.graph import components
-from corpusloom.llm.storage import materialize
+from corpusloom.llm.storage import checked_broadcast, materialize, release_shuffles
 
 BANDS, ROWS = 32, 5
 SLICE_DOCS = 128
@@ -175,7 +175,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     hub = F.min(F.struct(F.col("id").alias("b"), F.col("n").alias("nb"))).alias("hub")
     buckets = materialize(postings.groupBy("key").agg(hub, F.max("id").alias("last")).where("last <> hub.b").select("key", "hub.b", "hub.nb"), "buckets")
     members = materialize(postings.join(buckets, "key"), "members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
+    wanted = checked_broadcast(materialize(members.select(F.col("id").alias("doc_id")).distinct(), "candidates"))
     sets = materialize(_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k), "shingle-sets")
     near = members.where((F.col("id") != F.col("b")) & _similar_sizes("n", "nb", percent)).select(F.col("id").alias("a"), "b").distinct()
     links = materialize(_verified(materialize(near, "hub-pairs"), sets, percent), "hub-links")
@@ -207,10 +207,11 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     repeat an id one stays, the one with the least text.
     """
     verdict = materialize(link(docs, k, percent), "verdicts")
-    gone = verdict.where(~F.col("kept")).select("doc_id").distinct()
+    release_shuffles(docs.sparkSession)
+    gone = materialize(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     repeated = materialize(verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
     whole = F.struct(*docs.columns)
     once = docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
     once = once.groupBy("doc_id").agg(F.min_by(whole, F.struct("text")).alias("row")).select("row.*")

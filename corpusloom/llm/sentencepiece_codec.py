@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\u2581"
-CACHED_CHUNKS = 900_000
+CACHED_CHUNKS = 500_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: A mark after a letter: no piece may hold both, so a chunk ends there too.
 _MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%&$*|])")

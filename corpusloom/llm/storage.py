@@ -7,9 +7,11 @@ never a recomputation of what came before.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,28 +32,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    The shuffle files of the write are deleted with its end, not when the
-    driver happens to collect garbage: the table replaces them.
-    """
+    """Write ``df`` as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.table_path = path
     return table
 
 
+def checked_broadcast(table: DataFrame, weight: Column | None = None, most: int = 500_000) -> DataFrame:
+    """``table``, marked for broadcast if its rows weigh at most ``most`` together.
+
+    A row weighs 1 (a few numbers), or ``weight``.  The size is counted, and a larger
+    table is joined by a shuffle as it would be otherwise.
+    """
+    total = table.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(table) if total <= most else table
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the cleaner delete the shuffle files of finished writes now.
+
+    It does so once their plans are garbage on the driver, which on an idle
+    driver may take long while the executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` once nothing reads them."""
     for table in tables:
