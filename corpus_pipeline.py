@@ -35,7 +35,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, their number, checksum and whether they decode to the text."""
-    encoded = sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=1, keep=tuple(docs.columns))
+    encoded = sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=1, keep=tuple(docs.columns), cached_chunks=400_000)
     return encoded.select("row.*", "ids", "n_tokens", "ids_crc32", "lossless")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\u2581"
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 900_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: A mark after a letter: no piece may hold both, so a chunk ends there too.
 _MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%&$*|])")
@@ -43,7 +43,7 @@ _MASK = (1 << 64) - 1
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, cached_chunks: int = CACHED_CHUNKS):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -66,6 +66,7 @@ class Codec:
             raise ValueError("pieces reach over line ends, over the space after a word or over its mark")
         self._threshold = int(dropout * 2**32)
         self._seed = seed
+        self._most = cached_chunks
         self._variants = variants if dropout > 0 else 1
         self._known: list[dict[str, bytes]] = [{} for _ in range(self._variants)]
 
@@ -132,7 +133,7 @@ class Codec:
         try:
             return b"".join(map(operator.getitem, map(known.__getitem__, chosen), chunks))
         except KeyError:
-            if sum(map(len, known)) > CACHED_CHUNKS:
+            if sum(map(len, known)) > self._most:
                 for own in known:
                     own.clear()
             for v, chunk in zip(chosen, chunks, strict=True):
@@ -149,15 +150,15 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4) -> Codec:
+def codec(path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, cached_chunks: int = CACHED_CHUNKS) -> Codec:
     """One codec per worker process and setting."""
-    key = (path, dropout, seed, variants)
+    key = (path, dropout, seed, variants, cached_chunks)
     if key not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, keep: tuple[str, ...] = ("doc_id",), cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
     """``row`` (a struct of the ``keep`` columns), ``ids``, their ``n_tokens`` and ``ids_crc32``, and
     whether decoding them gave back the text (``lossless``)."""
     source = docs.select("doc_id", "text", F.struct(*keep).alias("row"))
@@ -165,7 +166,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, var
     schema = source.select("row", empty.alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(True).alias("lossless")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, dropout, seed, variants)
+        own = codec(model, dropout, seed, variants, cached_chunks)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
