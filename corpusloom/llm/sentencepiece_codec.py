@@ -2,14 +2,18 @@
 
 A SentencePiece BPE model is applied by an agenda of candidate merges, best
 score first.  Each candidate that comes up is skipped with probability
-``dropout``, decided by a keyed hash of seed, variant, chunk, place and piece,
-so a run can be repeated exactly anywhere.  Skipped candidates don't come back, which
+``dropout``, on its own in every occurrence.  Skipped candidates don't come back, which
 yields finer segmentations of the same text.
 
+Which candidates an occurrence skips is drawn as the numbers of candidates between skips,
+which are geometric, from a keyed hash of seed, document, place of the chunk and number
+of the draw, so a run can be repeated exactly anywhere.
+
 Pieces of the model never reach over a line end, over the space after a word or from a
-letter to a mark (which is checked), so texts are segmented chunk by chunk and chunks are remembered.  An
-occurrence of a chunk takes one of ``variants`` segmentations, chosen by a keyed hash of the
-document and the place in it; with ``dropout=0`` all are the model's own.
+letter to a mark (which is checked), so texts are segmented chunk by chunk.  The segmentation of a
+chunk by the candidates that are skipped is remembered from its second occurrence on, so an occurrence looks up what it
+has drawn; what is remembered changes no result.  Chunks of more than ``LONG_CHUNK`` characters are
+segmented anew each time.  With ``dropout=0`` all segmentations are the model's own.
 
 Defined results: null and empty texts have no ids and decode to the empty text.
 Characters without a piece become byte pieces, and so does U+2581 in a text, which
@@ -20,10 +24,11 @@ encoded whole.  Extra columns are carried when named in ``keep``.
 
 from __future__ import annotations
 
-import operator
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -34,16 +39,28 @@ from pyspark.sql import functions as F
 
 SPACE = "\u2581"
 CACHED_CHUNKS = 900_000
+LONG_CHUNK = 40
+#: Chunks that are looked up together, and candidates that a remembered chunk can have.
+_TOGETHER = 1 << 16
+_CANDIDATES = 4 * LONG_CHUNK
+#: Skips drawn at once for a chunk that isn't remembered.
+_DRAWS = 4
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: A mark after a letter: no piece may hold both, so a chunk ends there too.
 _MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%&$*|])")
-_MASK = (1 << 64) - 1
+_NEVER = 1 << 62
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, cached_chunks: int = CACHED_CHUNKS):
+    def __init__(self, path: str, dropout: float, seed: int, cached_chunks: int = CACHED_CHUNKS):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -64,18 +81,64 @@ class Codec:
                 self._bytes.append(piece.replace(SPACE, " ").encode())
         if any("\n" in p or re.search(f"[^{SPACE}]{SPACE}", p) or _MARK.search(p) for p in self._id):
             raise ValueError("pieces reach over line ends, over the space after a word or over its mark")
-        self._threshold = int(dropout * 2**32)
+        self._dropout = dropout
+        self._scale = 1 / math.log1p(-dropout) if 0 < dropout < 1 else -0.0
         self._seed = seed
         self._most = cached_chunks
-        self._variants = variants if dropout > 0 else 1
-        self._known: list[dict[str, bytes]] = [{} for _ in range(self._variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Nodes are segmentations: of a chunk without skips, or of a parent's chunk with one skip more.
+
+        Node 0 stands for chunks that aren't remembered.
+        """
+        self._known: dict[str, int] = {}
+        self._children: dict[int, int] = {}
+        self._data: list[bytes] = [b""]
+        self._chunk: list[str] = [""]
+        self._count, self._parent, self._skip = array("q", [0]), array("q", [0]), array("q", [0])
+
+    def _add(self, chunk: str, parent: int, skip: int, skips: list[int]) -> int:
+        ids, count = self.segment(chunk, skips)
+        self._data.append(np.array(ids, "<u4").tobytes())
+        self._chunk.append(chunk)
+        self._count.append(count)
+        self._parent.append(parent)
+        self._skip.append(skip)
+        return len(self._data) - 1
 
-    def segment(self, chunk: str, variant: int = 0) -> list[int]:
-        """Ids of one chunk, in which a space is a space."""
+    def _child(self, key: int) -> int:
+        node, skip = divmod(key, _CANDIDATES)
+        skips, at = [skip], node
+        while self._skip[at] >= 0:
+            skips.append(self._skip[at])
+            at = self._parent[at]
+        self._children[key] = found = self._add(self._chunk[node], node, skip, skips[::-1])
+        return found
+
+    def _gaps(self, keys: np.ndarray, draw: int | np.ndarray) -> np.ndarray:
+        """How many candidates come up before the next skip."""
+        hashed = _mixed(keys ^ _mixed(np.atleast_1d(np.asarray(draw, np.uint64)) + np.uint64(0x9E3779B97F4A7C15)))
+        uniform = ((hashed >> np.uint64(11)) + 0.5) * 2.0**-53
+        return np.minimum(np.log(uniform) * self._scale, float(1 << 40)).astype(np.int64)
+
+    def _skips(self, key: np.uint64, first: list[int]) -> Iterator[int]:
+        """The candidates that one occurrence skips, ascending, of which the ``first`` ones are drawn."""
+        yield from first
+        at, draw = first[-1], len(first)
+        while True:
+            for gap in self._gaps(np.full(64, key), np.arange(draw, draw + 64)).tolist():
+                at += 1 + gap
+                yield at
+            draw += 64
+
+    def segment(self, chunk: str, skips: Iterable[int] = ()) -> tuple[list[int], int]:
+        """Ids of one chunk, in which a space is a space, and how many candidates came up; ``skips`` are the numbers of those to skip, ascending."""
         symbols: list[str | None] = [SPACE if c == " " else "\0" + c if c == SPACE else c for c in chunk]
         n = len(symbols)
-        rank, ids, threshold = self._rank, self._id, self._threshold
-        key = xxhash.xxh3_64_intdigest(chunk, self._seed + variant) if threshold else 0
+        rank, ids = self._rank, self._id
+        ahead = iter(skips)
+        skip, count = next(ahead, _NEVER), 0
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
         for i in range(n - 1):
@@ -88,10 +151,10 @@ class Codec:
             left, j = symbols[i], after[i]
             if left is None or j >= n or left + symbols[j] != piece:
                 continue
-            if threshold:
-                mixed = (key ^ (i << 40) ^ ids[piece]) * 0xFF51AFD7ED558CCD & _MASK
-                if (mixed ^ (mixed >> 31)) * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF < threshold:
-                    continue
+            count += 1
+            if count > skip:
+                skip = next(ahead, _NEVER)
+                continue
             symbols[i], symbols[j] = piece, None
             after[i] = k = after[j]
             if k < n:
@@ -111,36 +174,94 @@ class Codec:
                     out.append(ids[s])
                 else:
                     out += [self._byte_id[b] for b in s.removeprefix("\0" if len(s) > 1 else "").encode()]
+        return out, count
+
+    def _chunks(self, text: str) -> list[str]:
+        if "  " in text or "\0" in text or " \n" in text or text[0] == " " or text[-1] == " ":
+            return _CHUNK.findall(" " + text)
+        return _MARK.sub("\0", " " + text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _encoded(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of chunks, each with the key of its occurrence."""
+        if len(self._data) + len(self._known) > self._most:
+            self._forget()
+        known = self._known
+        nodes = list(map(known.get, chunks))
+        anew = []
+        if None in nodes or 0 in nodes:
+            for i, node in enumerate(nodes):
+                if not node:
+                    chunk = chunks[i]
+                    node = known.get(chunk)
+                    if len(chunk) > LONG_CHUNK or node is None:
+                        # a chunk is remembered when it comes again
+                        if len(chunk) <= LONG_CHUNK:
+                            known[chunk] = 0
+                        nodes[i] = 0
+                        anew.append(i)
+                    else:
+                        nodes[i] = known[chunk] = node or self._add(chunk, 0, -1, [])
+        if self._dropout > 0:
+            at = np.array(nodes, np.int64)
+            open_ = np.arange(len(nodes))
+            skip = self._gaps(keys, 0)
+            draw = 0
+            while True:
+                hit = skip < np.frombuffer(self._count, np.int64)[at[open_]]
+                open_, skip = open_[hit], skip[hit]
+                if not open_.size:
+                    break
+                wanted = (at[open_] * _CANDIDATES + skip).tolist()
+                found = list(map(self._children.get, wanted))
+                if None in found:
+                    for i, child in enumerate(found):
+                        if child is None:
+                            found[i] = self._children.get(wanted[i]) or self._child(wanted[i])
+                at[open_] = found
+                draw += 1
+                skip = skip + 1 + self._gaps(keys[open_], draw)
+            nodes = at.tolist()
+        out = list(map(self._data.__getitem__, nodes))
+        if anew and self._dropout > 0:
+            own = keys[anew]
+            skips = np.cumsum(1 + np.stack([self._gaps(own, draw) for draw in range(_DRAWS)], axis=1), axis=1) - 1
+            for i, few in zip(anew, skips.tolist(), strict=True):
+                out[i] = self._packed(chunks[i], self._skips(keys[i], few))
+        else:
+            for i in anew:
+                out[i] = self._packed(chunks[i])
+        return out
+
+    def _packed(self, chunk: str, skips: Iterable[int] = ()) -> bytes:
+        return np.array(self.segment(chunk, skips)[0], "<u4").tobytes()
+
+    def encode_all(self, doc_ids: list[object], texts: list[str | None]) -> list[bytes]:
+        """Little-endian u32 ids of each text."""
+        out: list[bytes] = []
+        waiting: list[str] = []
+        keys: list[np.ndarray] = []
+        ends: list[int] = []
+
+        def flush() -> None:
+            found = self._encoded(waiting, np.concatenate(keys)) if waiting else []
+            out.extend(b"".join(found[a:b]) for a, b in zip([0, *ends], ends))
+            waiting.clear(), keys.clear(), ends.clear()
+
+        for doc_id, text in zip(doc_ids, texts, strict=True):
+            if text:
+                chunks = self._chunks(text)
+                waiting += chunks
+                key = xxhash.xxh3_64_intdigest(f"{self._seed}:{doc_id}")
+                keys.append(_mixed(np.arange(len(chunks), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key)))
+            ends.append(len(waiting))
+            if len(waiting) >= _TOGETHER:
+                flush()
+        flush()
         return out
 
     def encode(self, doc_id: object, text: str | None) -> bytes:
         """Little-endian u32 ids of a text."""
-        if not text:
-            return b""
-        if "  " in text or "\0" in text or " \n" in text or text[0] == " " or text[-1] == " ":
-            chunks = _CHUNK.findall(" " + text)
-        else:
-            chunks = _MARK.sub("\0", " " + text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
-        if self._variants == 1:
-            chosen = [0] * len(chunks)
-        else:
-            place = np.arange(len(chunks), dtype=np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(str(doc_id), self._seed) >> 1)
-            place *= np.uint64(0x9E3779B97F4A7C15)
-            place ^= place >> np.uint64(32)
-            place *= np.uint64(0xD6E8FEB86659FD93)
-            chosen = ((place >> np.uint64(40)) % np.uint64(self._variants)).tolist()
-        known = self._known
-        try:
-            return b"".join(map(operator.getitem, map(known.__getitem__, chosen), chunks))
-        except KeyError:
-            if sum(map(len, known)) > self._most:
-                for own in known:
-                    own.clear()
-            for v, chunk in zip(chosen, chunks, strict=True):
-                own = known[v]
-                if chunk not in own:
-                    own[chunk] = np.array(self.segment(chunk, v), "<u4").tobytes()
-            return b"".join(map(operator.getitem, map(known.__getitem__, chosen), chunks))
+        return self.encode_all([doc_id], [text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; the space that encoding puts first is taken off."""
@@ -150,15 +271,15 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, cached_chunks: int = CACHED_CHUNKS) -> Codec:
+def codec(path: str, dropout: float = 0.1, seed: int = 0, cached_chunks: int = CACHED_CHUNKS) -> Codec:
     """One codec per worker process and setting."""
-    key = (path, dropout, seed, variants, cached_chunks)
+    key = (path, dropout, seed, cached_chunks)
     if key not in _codecs:
         _codecs[key] = Codec(*key)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, variants: int = 4, keep: tuple[str, ...] = ("doc_id",), cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, keep: tuple[str, ...] = ("doc_id",), cached_chunks: int = CACHED_CHUNKS) -> DataFrame:
     """``row`` (a struct of the ``keep`` columns), ``ids``, their ``n_tokens`` and ``ids_crc32``, and
     whether decoding them gave back the text (``lossless``)."""
     source = docs.select("doc_id", "text", F.struct(*keep).alias("row"))
@@ -166,12 +287,12 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, var
     schema = source.select("row", empty.alias("ids"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("ids_crc32"), F.lit(True).alias("lossless")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model, dropout, seed, variants, cached_chunks)
+        own = codec(model, dropout, seed, cached_chunks)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(1).to_pylist()
-                found = [own.encode(i, t) for i, t in zip(batch.column(0).to_pylist(), texts, strict=True)]
+                found = own.encode_all(batch.column(0).to_pylist(), texts)
                 lossless = [own.decode(np.frombuffer(x, "<u4").tolist()) == (t or "") for x, t in zip(found, texts, strict=True)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))

@@ -83,6 +83,28 @@ def test_merge_dropout_is_lossless_seeded_and_varied(spark):
     assert all(r["text"] == (r["row"]["text"] or "") for r in back)
 
 
+def test_merge_dropout_is_drawn_for_every_occurrence(monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    own = sentencepiece_codec.codec(path, 0.1, 1)
+    for word in ("the", "of", "de", "to"):
+        plain, count = own.segment(" " + word)
+        runs = [tuple(np.frombuffer(own.encode(i, word), "<u4")) for i in range(4000)]
+        varied = sum(r != tuple(plain) for r in runs) / len(runs)
+        # an occurrence that skips nothing is the model's own; a skip may lead to the same pieces
+        assert count > 0 and len(set(runs)) > 1 and 0.05 < varied <= 1 - 0.9**count + 0.03, (word, varied)
+    # seeds and places are told apart, and other seeds don't repeat them
+    many = [own.encode(i, " ".join(["internationalization"] * 50)) for i in range(3)]
+    other = sentencepiece_codec.codec(path, 0.1, 2).encode(0, " ".join(["internationalization"] * 50))
+    assert len({*many, other}) == 4
+    # what is remembered, or that nothing is, changes no result
+    docs = [(i, t) for i, t in enumerate(texts(200) * 2)]
+    want = [own.encode(i, t) for i, t in docs]
+    assert sentencepiece_codec.Codec(path, 0.1, 1).encode_all(*map(list, zip(*docs))) == want
+    monkeypatch.setattr(sentencepiece_codec, "LONG_CHUNK", 0)
+    assert sentencepiece_codec.Codec(path, 0.1, 1, 1).encode_all(*map(list, zip(*docs))) == want
+    assert len(own.encode(1, "a" * 5000)) > 0 and own.decode(np.frombuffer(own.encode(1, "ab" * 5000), "<u4").tolist()) == "ab" * 5000
+
+
 def test_masks_hit_every_passage():
     for n, errors in ((13, 2), (15, 3), (20, 4)):
         for wrong in itertools.combinations(range(n), errors):
