@@ -159,7 +159,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> Da
     placed = materialize(placed.select("doc_id", "line_no", "n", "b1", "b2", "copy", kept("least"), kept("prefix")), "line-prefixes")
     drop(lines, firsts)
     release_shuffles(docs.sparkSession)
-    copies, own = placed.where("copy").select("doc_id", "line_no"), placed.where("not copy")
+    copies = placed.where("copy").select("doc_id", "line_no")
+    # no set but an equal one is similar to a set that one word more would make unlike
+    own = placed.where(~F.col("copy") & (100 * F.col("n") >= percent * (F.col("n") + 1)))
     pair = ["doc_id", "line_no", "d", "l"]
     later = F.struct("d", "l") < at
     other = {"doc_id": "d", "line_no": "l", "n": "m", "b1": "c1", "b2": "c2"}

@@ -54,7 +54,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(_read(spark, sf_dir, "documents"))
+    return line_dedup.report(_read(spark, sf_dir, "documents"), min_words=1)
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,3 +137,17 @@ def test_line_dedup_runs_without_python(spark):
     docs = documents(spark, [(1, "a b c"), (2, "a b c")])
     plan = line_dedup._prefixes(docs, 2, 80)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_registered_queries_remove_repeated_lines_of_one_word(spark, tmp_path):
+    import corpus_pipeline
+    from corpusloom.llm import queries
+
+    rows = [(0, "Les.\na\tb\tc\nfirst line here"), (1, "les.\n\nhttps://example.org/x\nLes. les."), (2, "日本語の文です。\nother words\na\tb\tc"), (3, "https://example.org/x\n日本語の文です。"), (4, "w1 w2 w3 w4"), (5, "w1 w2 w3 w4 w5"), (6, "w1"), (7, "w1 w2 w3\nw1 \n  ")]
+    docs = documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["removed"] for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows, 1).items()}
+    assert got[1] == "0,3" and got[2] == "2" and got[3] == "0,1" and got[5] == "0" and got[7] == "1"
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_lines(spark, docs, str(tmp_path)).collect()}
+    assert left[1] == "\nhttps://example.org/x" and left[2] == "日本語の文です。\nother words" and 3 not in left
