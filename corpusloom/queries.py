@@ -284,8 +284,7 @@ def anchor_score_final(spark, sf_dir):
 
 @_query(_with("tok", more=_BENCH) + "SELECT token FROM bench WHERE token NOT IN (SELECT t FROM tok WHERE doc_id % 2 = 0)")
 def zero_df_anchors(spark, sf_dir):
-    even = tokens(spark, sf_dir).where("doc_id % 2 = 0")
-    return A.zero_df(_benchmark_tokens(spark, sf_dir), even)
+    return A.zero_df(_benchmark_tokens(spark, sf_dir), tokens(spark, sf_dir))
 
 
 @_query(_with("tok", more=_BENCH) + "SELECT token, coalesce(c, 0) AS df FROM bench LEFT JOIN (SELECT t, count(DISTINCT sid) AS c FROM tok GROUP BY t) ON t = token ORDER BY df DESC, token LIMIT 25")
