@@ -178,7 +178,7 @@ def lexicon_longest_match(spark, sf_dir):
 @_query(_with("tok") + "SELECT g, count(*) AS n FROM (SELECT array_to_string(ts[i + 1:i + 3], ' ') AS g FROM tok WHERE i + 3 <= len(ts)) GROUP BY g HAVING count(*) > 1")
 def token_ngrams(spark, sf_dir):
     grams = tokens(spark, sf_dir).select(F.explode(TK.ngrams(F.col("tokens"), 3)).alias("g"))
-    return grams.select(F.array_join("g", " ").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    return grams.select(F.array_join("g", " ").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
 
 
 @_query(r"SELECT event_id, coalesce(from_json_strict, '') AS keys FROM (SELECT event_id, array_to_string(list_sort(json_keys(props)), ',') AS from_json_strict FROM events)")

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -18,3 +19,9 @@ def sf_dir(spark, tmp_path_factory):
 
 def test_zero_df_anchors_reads_all_documents(spark, sf_dir):
     assert [r["token"] for r in Q.zero_df_anchors(spark, sf_dir).collect()] == ["absent"]
+
+
+def test_token_ngrams_keeps_those_that_occur_once(spark, sf_dir):
+    want = Counter(" ".join(s[i : i + 3]) for s in SENTENCES for i in range(len(s) - 2))
+    assert 1 in want.values()
+    assert {r["g"]: r["n"] for r in Q.token_ngrams(spark, sf_dir).collect()} == want
