@@ -382,7 +382,7 @@ def pat_skip2(spark, sf_dir):
 
 @_query(_pattern_sql(_SKIP3))
 def pat_skip3(spark, sf_dir):
-    return _pattern_stats(spark, sf_dir, "a_skip3", max_jump=4)
+    return _pattern_stats(spark, sf_dir, "a_skip3")
 
 
 _DEFAULT = f"{_WIN} UNION ALL {_PAIR} UNION ALL {_SKEL} UNION ALL {_CSKEL}"

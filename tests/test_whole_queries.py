@@ -25,3 +25,15 @@ def test_token_ngrams_keeps_those_that_occur_once(spark, sf_dir):
     want = Counter(" ".join(s[i : i + 3]) for s in SENTENCES for i in range(len(s) - 2))
     assert 1 in want.values()
     assert {r["g"]: r["n"] for r in Q.token_ngrams(spark, sf_dir).collect()} == want
+
+
+def test_pat_skip3_reaches_as_far_as_pat_skip2(spark, sf_dir):
+    found = Counter()
+    for s in SENTENCES:
+        at = [(i, t) for i, t in enumerate(s) if len(t) <= Q.MAX_LEN]
+        for i, a in at:
+            for j, b in at:
+                for k, c in at:
+                    if 0 < j - i <= 10 and 0 < k - j <= 10:
+                        found[f"a_skip3|a={a},{b},{c}|p=max_jump=10"] += 1
+    assert {r["pattern_key"]: r["count_occurrences"] for r in Q.pat_skip3(spark, sf_dir).collect()} == found
