@@ -558,7 +558,7 @@ def unknown_vocab_ratio(spark, sf_dir):
 
 @_query(_with("occ") + "SELECT (SELECT count(*) FROM sent) AS n_sentences, (SELECT count(DISTINCT sid) FROM occ) AS n_any, CAST(0 AS BIGINT) AS n_skel, round((SELECT count(DISTINCT sid) FROM occ) / (SELECT count(*) FROM sent), 6) AS any_share, CAST(0 AS DOUBLE) AS skel_share")
 def sentence_coverage(spark, sf_dir):
-    rows = extracted(spark, sf_dir, "cskel").select(F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
+    rows = extracted(spark, sf_dir).select(F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
     found = R.sentence_coverage(rows)
     return found.select("n_sentences", "n_any", "n_skel", F.round("any_share", 6).alias("any_share"), F.round("skel_share", 6).alias("skel_share"))
 

@@ -37,3 +37,8 @@ def test_pat_skip3_reaches_as_far_as_pat_skip2(spark, sf_dir):
                     if 0 < j - i <= 10 and 0 < k - j <= 10:
                         found[f"a_skip3|a={a},{b},{c}|p=max_jump=10"] += 1
     assert {r["pattern_key"]: r["count_occurrences"] for r in Q.pat_skip3(spark, sf_dir).collect()} == found
+
+
+def test_sentence_coverage_counts_skeletons(spark, sf_dir):
+    n = sum(bool(s) for s in SENTENCES) + 2
+    assert tuple(Q.sentence_coverage(spark, sf_dir).first()) == (n, n, n, 1.0, 1.0)
