@@ -221,3 +221,10 @@ def test_repeated_call_ids_link_to_the_first(spark):
     rows = [(1, 1, "assistant", call), (1, 2, "assistant", call), (1, 3, "tool", json.dumps({"tool_call_id": "a", "content": 1})), (1, 3, "tool", json.dumps({"tool_call_id": "a", "content": 1}))]
     got = chat_format.format_messages(chat(spark, rows)).orderBy("turn").collect()
     assert [r["n_linked"] for r in got] == [1, 0, 1, 1]
+
+
+def test_chat_reads_json_after_white_space(spark):
+    call = " \n\t" + json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {"y": "1"}}]})
+    rows = [(1, 0, "assistant", call), (1, 1, "tool", "\r\n" + json.dumps({"tool_call_id": "a", "content": 1}))]
+    got = chat_format.format_messages(chat(spark, rows), SCHEMAS).orderBy("turn").collect()
+    assert [(r["n_calls"], r["n_linked"], r["n_invalid"]) for r in got] == [(1, 1, 1), (0, 1, 0)]
