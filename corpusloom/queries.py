@@ -175,7 +175,7 @@ def lexicon_longest_match(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(tokenize(named), "/").alias("tokens"))
 
 
-@_query(_with("tok") + "SELECT g, count(*) AS n FROM (SELECT array_to_string(ts[i + 1:i + 3], ' ') AS g FROM tok WHERE i + 3 <= len(ts)) GROUP BY g HAVING count(*) > 1")
+@_query(_with("tok") + "SELECT g, count(*) AS n FROM (SELECT array_to_string(ts[i + 1:i + 3], ' ') AS g FROM tok WHERE i + 3 <= len(ts)) GROUP BY g")
 def token_ngrams(spark, sf_dir):
     grams = tokens(spark, sf_dir).select(F.explode(TK.ngrams(F.col("tokens"), 3)).alias("g"))
     return grams.select(F.array_join("g", " ").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
@@ -282,7 +282,7 @@ def anchor_score_final(spark, sf_dir):
     return best.select("token", "df", "tf", *[F.round(c, 6).alias(c) for c in ("df_rate", "entropy", "score")])
 
 
-@_query(_with("tok", more=_BENCH) + "SELECT token FROM bench WHERE token NOT IN (SELECT t FROM tok WHERE doc_id % 2 = 0)")
+@_query(_with("tok", more=_BENCH) + "SELECT token FROM bench WHERE token NOT IN (SELECT t FROM tok)")
 def zero_df_anchors(spark, sf_dir):
     return A.zero_df(_benchmark_tokens(spark, sf_dir), tokens(spark, sf_dir))
 
@@ -332,7 +332,7 @@ _SPANS = "spans AS (SELECT sid, ts, t, i, CASE WHEN ni - i <= 20 THEN nt ELSE '<
 _SPAN = f"SELECT sid, 'anch_span|a=' || t || ',' || tail || '|p=gap=' || {_sql_bucket('gap')} AS pattern_key, array_to_string(ts[i + 1:last + 1], ' ') AS realization FROM spans"
 _SIG = f"SELECT sid, 'span_sig|a=' || t || ',' || tail || '|p=gap=' || {_sql_bucket('gap')} || ',kA=0,kX=' || gap AS pattern_key, array_to_string(ts[i + 1:last + 1], ' ') AS realization FROM spans"
 _SKIP2 = "SELECT x.sid, 'a_skip2|a=' || x.t || ',' || y.t || '|p=max_jump=10' AS pattern_key, x.t || ' ... ' || y.t AS realization FROM occ x JOIN occ y ON x.sid = y.sid AND y.i > x.i AND y.i - x.i <= 10"
-_SKIP3 = "SELECT x.sid, 'a_skip3|a=' || x.t || ',' || y.t || ',' || z.t || '|p=max_jump=4' AS pattern_key, x.t || ' ... ' || y.t || ' ... ' || z.t AS realization FROM occ x JOIN occ y ON x.sid = y.sid AND y.i > x.i AND y.i - x.i <= 4 JOIN occ z ON y.sid = z.sid AND z.i > y.i AND z.i - y.i <= 4"
+_SKIP3 = "SELECT x.sid, 'a_skip3|a=' || x.t || ',' || y.t || ',' || z.t || '|p=max_jump=10' AS pattern_key, x.t || ' ... ' || y.t || ' ... ' || z.t AS realization FROM occ x JOIN occ y ON x.sid = y.sid AND y.i > x.i AND y.i - x.i <= 10 JOIN occ z ON y.sid = z.sid AND z.i > y.i AND z.i - y.i <= 10"
 
 
 @_query(_pattern_sql(_TOK_NG, before=_ANCSET))
@@ -556,7 +556,10 @@ def unknown_vocab_ratio(spark, sf_dir):
     return found.select("n_words", "n_unknown", "n_single", F.round("unknown_share", 6).alias("unknown_share"), F.round("single_share", 6).alias("single_share"))
 
 
-@_query(_with("occ") + "SELECT (SELECT count(*) FROM sent) AS n_sentences, (SELECT count(DISTINCT sid) FROM occ) AS n_any, CAST(0 AS BIGINT) AS n_skel, round((SELECT count(DISTINCT sid) FROM occ) / (SELECT count(*) FROM sent), 6) AS any_share, CAST(0 AS DOUBLE) AS skel_share")
+@_query(
+    _with("occ", more=f"{_ANCSET},\npat AS ({_DEFAULT}),\nhits AS (SELECT (SELECT count(*) FROM sent) AS n, (SELECT count(DISTINCT sid) FROM pat) AS n_any, (SELECT count(DISTINCT sid) FROM pat WHERE starts_with(pattern_key, 'skel|')) AS n_skel)")
+    + "SELECT n AS n_sentences, n_any, n_skel, round(n_any / n, 6) AS any_share, round(n_skel / n, 6) AS skel_share FROM hits"
+)
 def sentence_coverage(spark, sf_dir):
     rows = extracted(spark, sf_dir).select(F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
     found = R.sentence_coverage(rows)
@@ -631,13 +634,35 @@ def idf_jaccard_pairs(spark, sf_dir):
     return found.select("pair_id", F.round("similarity", 6).alias("similarity"))
 
 
-@_query(None)
+#: The sentence pairs of the length report.
+LENGTH_PAIRS = [("我把它扔掉", "我把你昨天用的杯子扔掉了"), ("他在学校学习", "他今天在学校认真地学习了"), ("我给你打电话", "我昨天晚上给你打了一个电话")]
+_LENGTH_ANCHORS = ["把", "在", "给", "了", "的", "地"]
+
+
+def _length_sql() -> str:
+    """The default families over the characters of the fixed pairs."""
+    listed = ", ".join(f"({2 * i + j}, {i}, '{s}')" for i, pair in enumerate(LENGTH_PAIRS) for j, s in enumerate(pair))
+    anchors = ", ".join(f"('{t}')" for t in _LENGTH_ANCHORS)
+    parts = [
+        f"line AS (SELECT * FROM (VALUES {listed}) v(sid, pair_id, text))",
+        "toks AS (SELECT sid, pair_id AS doc_id, string_split(text, '') AS ts FROM line)",
+        _CTE["tok"],
+        f"anc AS (SELECT * FROM (VALUES {anchors}) v(t))",
+        _CTE["occ"],
+        _ANCSET,
+        f"pat AS ({_DEFAULT})",
+        "sets AS (SELECT sid, list_distinct(list(pattern_key)) AS s FROM pat GROUP BY sid)",
+    ]
+    both = "len(list_intersect(x.s, y.s))"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(x.sid // 2 AS BIGINT) AS pair_id, round({both} / (len(x.s) + len(y.s) - {both}), 6) AS similarity FROM sets x JOIN sets y ON x.sid % 2 = 0 AND y.sid = x.sid + 1"
+
+
+@_query(_length_sql())
 def length_robustness(spark, sf_dir):
     """Key-set similarity of three short sentences with longer ones of the same build."""
-    pairs = [("我把它扔掉", "我把你昨天用的杯子扔掉了"), ("他在学校学习", "他今天在学校认真地学习了"), ("我给你打电话", "我昨天晚上给你打了一个电话")]
-    rows = spark.createDataFrame([(i, s) for i, pair in enumerate(pairs) for s in pair], "pair_id long, value string")
+    rows = spark.createDataFrame([(i, s) for i, pair in enumerate(LENGTH_PAIRS) for s in pair], "pair_id long, value string")
     split = rows.select("pair_id", "value", TK.characters(F.col("value")).alias("tokens"))
-    found = P.extract(split, ["把", "在", "给", "了", "的", "地"]).select("pair_id", F.length("value").alias("n"), F.transform("patterns", lambda p: p["pattern_key"]).alias("k"))
+    found = P.extract(split, _LENGTH_ANCHORS).select("pair_id", F.length("value").alias("n"), F.transform("patterns", lambda p: p["pattern_key"]).alias("k"))
     sets = found.groupBy("pair_id").agg(F.min_by("k", "n").alias("a"), F.max_by("k", "n").alias("b"))
     return sets.select("pair_id", F.round(M.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
