@@ -189,5 +189,10 @@ def extract(sentences: DataFrame, anchors: Iterable[str], **options) -> DataFram
 
 
 def explode(sentences: DataFrame) -> DataFrame:
-    """One row per pattern: ``sid``, its place ``emitted``, ``pattern_key``, ``realization``."""
-    return sentences.select("sid", F.posexplode("patterns").alias("emitted", "p")).select("sid", "emitted", "p.pattern_key", "p.realization")
+    """One row per pattern: ``sid``, its place ``emitted``, ``pattern_key``, ``realization``.
+
+    The rows come from a new array, so no filter on them can be inferred for, and evaluated on, the
+    expressions below.
+    """
+    rows = F.transform("patterns", lambda p, i: F.struct(i.cast("int").alias("emitted"), p["pattern_key"].alias("pattern_key"), p["realization"].alias("realization")))
+    return sentences.select("sid", F.inline(rows))

@@ -178,3 +178,14 @@ def test_flagship_plan_shuffles_keys_only(spark):
     docs = spark.createDataFrame([(1, ["a", "b"])], "sid long, tokens array<string>")
     plan = S.key_counts(P.extract(docs, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and json.dumps(plan)
+
+
+def test_exploded_patterns_are_built_once(spark):
+    """No filter on an exploded pattern is evaluated on the pattern expressions."""
+    split = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)).alias("tokens")
+    lines = spark.createDataFrame([(1, "a b c a"), (2, "c a")], "sid long, text string").select("sid", split)
+    rows = S.realizations(P.explode(P.extract(lines, ["a", "b"], families=("anch_pair",))), 5)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert filters and not any("regexp_extract_all" in f or "anch_pair" in f for f in filters)
+    assert sorted(map(tuple, rows.collect()))[0] == ("anch_pair|a=a,a|p=gap=2-3", "a b c a")
