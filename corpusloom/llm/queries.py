@@ -119,7 +119,7 @@ WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 sets AS (
     SELECT doc_id, line_no, list_distinct(list_filter(string_split(lower(line), ' '), lambda x: x <> '')) AS s FROM lines),
-big AS (SELECT doc_id, line_no, s, len(s) AS n FROM sets WHERE len(s) >= 2),
+big AS (SELECT doc_id, line_no, s, len(s) AS n FROM sets WHERE len(s) >= 1),
 classes AS (
     SELECT min({'d': doc_id, 'l': line_no}) AS first, any_value(list_sort(s)) AS s, any_value(n) AS n FROM big GROUP BY list_sort(s)),
 words AS (SELECT first, n, unnest(s) AS w FROM classes),
