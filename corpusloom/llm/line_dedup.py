@@ -4,7 +4,7 @@ A line is the set of its lower-cased words.  A line is removed if an earlier
 line, by document id and then place, has a Jaccard similarity of at least 0.8
 with it; whether that earlier line is itself removed makes no difference.
 
-Words are ordered by rarity: one pass counts the words of all texts in a
+Words are ordered by rarity: one pass counts in how many lines of all texts words occur, in a
 sketch of a fixed number of slots, and a word ranks by its slot's count (on a scale of
 thirds of powers of two), then by hash.  Any order gives the same result;
 this one puts words that few lines have in front.  Lines with equal sets form
@@ -16,13 +16,14 @@ line is compared with the earliest one that has one of its three smallest hashes
 so most members of a group of similar lines are decided without listing
 the group's pairs; only the others are joined with all earlier lines, and of their candidates
 the one of the closest parity is verified first.  All candidates that could still
-matter are verified on the full sets.
+matter are verified on the full sets.  The join reads one shuffle of narrow rows from
+both sides, its keys are words within bands of sizes, and it tests first what most pairs fail.
 
 Defined results: lines end at line feeds; blank lines and lines of fewer than
 ``min_words`` different words stay.  Words are what spaces separate.  Null texts stay null and have no lines, empty ones have one
 blank line.  Words are compared by a 64-bit hash.  Rows that repeat an id
 count as one document: their lines of the same number share their fate.  A null id comes before
-all others, and its lines are compared for equal sets only.
+all others.
 Empty tables give empty results.  Extra columns are carried by
 :func:`remove_later`.
 """
@@ -33,6 +34,7 @@ import math
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,32 +47,33 @@ HUBS = 3
 
 
 @contextmanager
-def _bloom_filters(spark: SparkSession) -> Iterator[None]:
-    """Within, joins drop rows before their shuffle by Bloom filters of a fixed largest size."""
-    prefix = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1", "creationSideThreshold": "1g"}
-    before = {k: spark.conf.get(prefix + k) for k in wanted}
+def _settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Within, the session has these settings."""
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
         for k, v in wanted.items():
-            spark.conf.set(prefix + k, v)
+            spark.conf.set(k, v)
         yield
     finally:
         for k, v in before.items():
-            spark.conf.set(prefix + k, v)
+            spark.conf.set(k, v)
 
 
-def _slot(hashed: Column) -> Column:
-    return hashed.bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
+def _bloom_filters(spark: SparkSession):
+    """Within, joins drop rows before their shuffle by Bloom filters of a fixed largest size."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    return _settings(spark, {prefix + "enabled": "true", prefix + "applicationSideScanSizeThreshold": "1", prefix + "creationSideThreshold": "1g"})
 
 
-def _words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), " "), "")
+def _slot(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(_SLOTS - 1)).cast("int")
 
 
-def rarity_table(docs: DataFrame) -> list[int]:
-    """Per slot three times the binary logarithm of the number of words of all texts that fall into it."""
-    words = docs.select(F.explode(F.split(F.replace(F.lower("text"), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(_slot(F.xxhash64("w")).alias("slot")).count().collect()
+def rarity_table(sets: DataFrame) -> list[int]:
+    """Per slot three times the binary logarithm of how often a line has a word that falls into it."""
+    # all slots fit into the aggregation's fast map
+    with _settings(sets.sparkSession, {"spark.sql.codegen.aggregate.fastHashMap.capacityBit": str(SLOT_BITS)}):
+        counts = sets.select(F.explode("s").alias("x")).groupBy(_slot(F.col("x")).alias("slot")).count().collect()
     table = [0] * _SLOTS
     for slot, n in counts:
         table[slot] = min(126, int(3 * math.log2(n)))
@@ -83,32 +86,40 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _word_set(line: Column) -> Column:
     """Distinct words as 64-bit hashes."""
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
     return n - F.ceil(percent * n / F.lit(100.0)).cast("int") + 1
 
 
-def _prefixes(docs: DataFrame, min_words: int, percent: int) -> DataFrame:
-    """``doc_id, line_no, h1, h2, n, b1, b2, least, prefix`` of every line that takes part."""
-    table = F.from_json(F.lit(str(rarity_table(docs))), "array<int>")
-    sets = _lines(docs).select("doc_id", "line_no", F.sort_array(_word_set(F.col("line"))).alias("s"))
-    sets = sets.select("doc_id", "line_no", "s", F.size("s").alias("n")).where(F.col("n") >= min_words)
+def _line_sets(docs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, s``: the distinct words of every line as hashes, ascending."""
+    return _lines(docs).select("doc_id", "line_no", F.sort_array(_word_set(F.col("line"))).alias("s"))
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, line_no, h1, n, b1, b2, least, prefix`` of every line.
+
+    Sorting and slicing are projections of their own, so that they run on primitive arrays.
+    """
+    table = F.from_json(F.lit(str(rarity_table(sets))), "array<int>")
+    zero, low31 = F.lit(0).cast("long"), F.lit(0x7FFFFFFF)
     # rarity above, the hash's other bits below
-    ranked = lambda x: F.shiftleft(F.element_at(table, _slot(x) + 1).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8))
-    # a word's bit lies in the first or the second half
-    half = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long"))
-    bit = lambda x, h: F.call_function("shiftleft", h, x.bitwiseAND(F.lit(63)).cast("int"))
-    parity = lambda flip: F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(bit(x, half(x).bitwiseXOR(F.lit(flip).cast("long")))))
-    front = F.slice(F.sort_array(F.transform("s", ranked)), F.lit(1), _prefix_length(F.col("n"), percent))
-    return sets.select(
-        "doc_id", "line_no", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "n",
-        parity(1).alias("b1"), parity(0).alias("b2"),
-        F.slice("s", F.lit(1), F.lit(HUBS)).alias("least"),
-        # a word's key needs no more than 32 bits: a clash only adds a candidate
-        F.transform(front, lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
+    ranked = lambda x: F.coalesce(F.shiftleft(F.get(table, _slot(x)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8)), zero)
+    # a key of words needs no more than 31 bits: a clash only adds a candidate
+    keys = lambda words: F.transform(words, lambda x: x.bitwiseAND(low31).cast("int"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    parity = lambda words: F.aggregate(words, zero, lambda acc, x: acc.bitwiseXOR(bit(x)))
+    # negative hashes end where a zero would stand
+    middle = F.array_position(F.sort_array(F.array_append("s", zero)), zero).cast("int")
+    placed = sets.select("doc_id", "line_no", "s", middle.alias("z"), F.sort_array(F.transform("s", ranked)).alias("r"))
+    n, z = F.size("r"), F.col("z")
+    parts = placed.select(
+        "doc_id", "line_no", F.xxhash64("s").alias("h1"), F.slice("s", F.lit(1), z - 1).alias("low"), F.slice("s", z, F.greatest(n - z + 1, F.lit(0))).alias("high"),
+        F.slice("s", F.lit(1), F.lit(HUBS)).alias("least"), F.slice("r", F.lit(1), _prefix_length(n, percent)).alias("front"),
     )
+    return parts.select("doc_id", "line_no", "h1", (F.size("low") + F.size("high")).alias("n"), parity("low").alias("b1"), parity("high").alias("b2"), keys("least").alias("least"), keys("front").alias("prefix"))
 
 
 def _apart(line: str, other: str) -> Column:
@@ -120,73 +131,147 @@ def _apart(line: str, other: str) -> Column:
     return differ[0] + differ[1]
 
 
-def _alike(percent: int) -> Column:
-    """Length and parity filter for lines (n, b1, b2) and (m, c1, c2)."""
-    n, m = F.col("n"), F.col("m")
-    sizes = (100 * n >= percent * m) & (100 * m >= percent * n)
-    return sizes & ((100 + percent) * _apart("b", "c") <= (100 - percent) * (n + m))
+def _alike(line: str, n: Column, other: str, m: Column, percent: int) -> Column:
+    """Parity and length filter for lines of n and m words; the test that most pairs fail is first."""
+    common = math.gcd(100 + percent, 100 - percent)
+    places, words = (100 + percent) // common, (100 - percent) // common
+    return (places * _apart(line, other) <= (n + m if words == 1 else words * (n + m))) & (100 * m >= percent * n) & (100 * n >= percent * m)
 
 
-def _room(n: str, p: str, m: str, q: str, percent: int) -> Column:
+def _room(n: Column, p: Column, m: Column, q: Column, percent: int) -> Column:
     """Positional filter for sizes and places from 0."""
-    n, p, m, q = map(F.col, (n, p, m, q))
     return (100 + percent) * F.least(n - p, m - q) >= percent * (n + m)
 
 
+def _same(*pairs: tuple[str, str]) -> Column:
+    """A place in the texts is the same, null ids among them."""
+    (d, e), (k, l) = pairs
+    return F.col(d).eqNullSafe(F.col(e)) & (F.col(k) == F.col(l))
+
+
+def _before(d: str, l: Column, doc_id: str, line_no: Column) -> Column:
+    """A place is an earlier one; null ids come first."""
+    d, doc_id = F.col(d), F.col(doc_id)
+    return F.coalesce(d < doc_id, d.isNull() & doc_id.isNotNull()) | (d.eqNullSafe(doc_id) & (l < line_no))
+
+
 def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The later lines ``(doc_id, line_no)`` of the ``pairs`` that are similar enough."""
     ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))).distinct()
-    ends = materialize(ends, "line-ends")
-    wanted = materialize(ends.groupBy("doc_id").agg(F.count("*").alias("c")), "line-documents")
+    ends = materialize(ends.withColumnsRenamed({"doc_id": "e", "line_no": "k"}), "line-ends")
+    wanted = materialize(ends.groupBy(F.col("e").alias("w")).agg(F.count("*").alias("c")), "line-documents")
     with _bloom_filters(docs.sparkSession):
-        texts = docs.select("doc_id", "text").join(checked_broadcast(wanted.where("c > 0").select("doc_id")), "doc_id", "left_semi")
-        sets = _lines(texts).join(ends, ["doc_id", "line_no"], "left_semi").select("doc_id", "line_no", _word_set(F.col("line")).alias("s"))
+        texts = docs.select("doc_id", "text").join(checked_broadcast(wanted.where("c > 0").select("w")), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
+        sets = _lines(texts).join(ends, _same(("doc_id", "e"), ("line_no", "k")), "left_semi").select("doc_id", "line_no", _word_set(F.col("line")).alias("s"))
         sets = materialize(sets, "line-sets")
-    x = sets.withColumnRenamed("s", "x")
-    y = sets.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("s").alias("y"))
+    x = sets.toDF("xd", "xl", "x")
+    y = sets.toDF("yd", "yl", "y")
     shared = F.size(F.array_intersect("x", "y"))
     linked = (100 * shared) >= percent * (F.size("x") + F.size("y") - shared)
-    return pairs.join(x, ["doc_id", "line_no"]).join(y, ["d", "l"]).where(linked).select("doc_id", "line_no").distinct()
+    both = pairs.join(x, _same(("doc_id", "xd"), ("line_no", "xl"))).join(y, _same(("d", "yd"), ("l", "yl")))
+    found = materialize(both.where(linked).select("doc_id", "line_no").distinct(), "similar-lines")
+    drop(ends, wanted, sets)
+    return found
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 2) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """``doc_id, line_no`` of every line that has an earlier similar one."""
-    lines = materialize(_prefixes(docs.where("text is not null"), min_words, percent), "lines")
+    spark = docs.sparkSession
+    # read twice and then let go; what a lost executor held of it is made again from the texts
+    sets = _line_sets(docs.where("text is not null")).persist(StorageLevel.DISK_ONLY)
+    lines = materialize(_prefixes(sets, percent), "lines", hashes=("h1", "b1", "b2", "least", "prefix"))
+    sets.unpersist(True)
+    taking_part = lines.where(F.col("n") >= max(min_words, 1))
     at = F.struct("doc_id", "line_no")
-    firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(at).alias("first")), "line-classes")
-    placed = lines.join(firsts, ["h1", "h2"]).withColumn("copy", F.col("first") < at)
+    # equal sets: a hash of 64 bits, the size and the 128 bits of parity
+    same_set = ["h1", "n", "b1", "b2"]
+    firsts = materialize(taking_part.groupBy(*same_set).agg(F.min(at).alias("first")), "line-classes")
+    placed = taking_part.join(firsts, same_set).withColumn("copy", F.col("first") < at)
     kept = lambda c: F.when(~F.col("copy"), F.col(c)).alias(c)
-    placed = materialize(placed.select("doc_id", "line_no", "n", "b1", "b2", "copy", kept("least"), kept("prefix")), "line-prefixes")
+    placed = materialize(placed.select("doc_id", "line_no", "n", "b1", "b2", "copy", kept("least"), kept("prefix")), "line-prefixes", hashes=("b1", "b2", "least", "prefix"))
     drop(lines, firsts)
-    release_shuffles(docs.sparkSession)
+    release_shuffles(spark)
     copies = placed.where("copy").select("doc_id", "line_no")
     # no set but an equal one is similar to a set that one word more would make unlike
     own = placed.where(~F.col("copy") & (100 * F.col("n") >= percent * (F.col("n") + 1)))
     pair = ["doc_id", "line_no", "d", "l"]
-    later = F.struct("d", "l") < at
-    other = {"doc_id": "d", "line_no": "l", "n": "m", "b1": "c1", "b2": "c2"}
-
-    grouped = own.select(*other, F.explode("least").alias("key"))
-    hubs = grouped.groupBy("key").agg(F.min(F.struct(*other)).alias("e"), F.max(at).alias("last"))
-    hubs = hubs.where(F.struct("e.doc_id", "e.line_no") < F.col("last")).select("key", *[F.col(f"e.{c}").alias(o) for c, o in other.items()])
-    with_hub = grouped.join(materialize(hubs, "line-hubs"), "key").where(later & _alike(percent))
-    near = materialize(_similar(docs, materialize(with_hub.select(*pair).distinct(), "hub-pairs"), percent), "hub-lines")
 
-    release_shuffles(docs.sparkSession)
+    members = own.select("doc_id", "line_no", "n", "b1", "b2", F.explode("least").alias("key"))
+    other = {"doc_id": "d", "line_no": "l", "n": "m", "b1": "c1", "b2": "c2"}
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.col("n").alias("m"), F.col("b1").alias("c1"), F.col("b2").alias("c2"))).alias("e"), F.count("*").alias("c"))
+    hubs = materialize(hubs.where("c > 1").select("key", "e.*"), "line-hubs")
+    with_hub = members.join(hubs, "key").where(_alike("b", F.col("n"), "c", F.col("m"), percent) & _before("d", F.col("l"), "doc_id", F.col("line_no")))
+    hub_pairs = materialize(with_hub.select(*pair).distinct(), "hub-pairs")
+    drop(hubs)
+    release_shuffles(spark)
+    near = _similar(docs, hub_pairs, percent)
+    drop(hub_pairs)
+    release_shuffles(spark)
 
     decided = checked_broadcast(near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.lit(0).alias("decided")))
-    marked = own.drop("copy", "least").join(decided, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_no") == F.col("l")), "left")
-    postings = marked.select("doc_id", "line_no", "n", "b1", "b2", F.coalesce("decided", F.lit(1)).alias("open"), F.posexplode("prefix").alias("p", "word"))
-    earlier = postings.select(*[F.col(c).alias(o) for c, o in other.items()], F.col("open").alias("o"), F.col("p").alias("q"), "word")
-    # open lines only; both sides stay the same rows, so they are shuffled once
-    undecided = F.col("open") + F.col("o") > F.col("o")
-    pairs = postings.join(earlier, "word").where(later & undecided & _alike(percent) & _room("n", "p", "m", "q", percent))
-    pairs = materialize(pairs.select(*pair, _apart("b", "c").alias("apart")).distinct(), "line-pairs")
-    release_shuffles(docs.sparkSession)
+    marked = own.drop("copy", "least").join(decided, _same(("doc_id", "d"), ("line_no", "l")), "left").drop("d", "l")
+    postings = _postings(marked, percent)
+    # both sides get new names, or they would not count as the same exchange
+    later, earlier = postings.toDF("id", "own", "x1", "x2", "place"), postings.toDF("d", "other", "c1", "c2", "seat")
+    n, m, p, q, l, line_no = _low("own"), _low("other"), _high("place"), _high("seat"), _high("other"), _high("own")
+    key = lambda c: F.shiftrightunsigned(_low(c), 2)
+    # the later line must be open, which is asked with the other line so that both sides stay the same rows, shuffled once
+    is_open = _low("place").bitwiseAND(F.lit(1)) + q > q
+    one_at_home = F.col("place").bitwiseAND(F.col("seat")).bitwiseAND(F.lit(2)) == 0
+    matched = _alike("x", n, "c", m, percent) & _room(n, p, m, q, percent) & one_at_home & is_open & _before("d", l, "id", line_no)
+    pairs = later.join(earlier, key("place") == key("seat")).where(matched)
+    pairs = materialize(pairs.select(F.col("id").alias("doc_id"), line_no.alias("line_no"), "d", l.alias("l"), _apart("x", "c").alias("apart")).distinct(), "line-pairs")
+    release_shuffles(spark)
     best = pairs.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "d", "l")).alias("e")).select("doc_id", "line_no", "e.d", "e.l")
-    closest = materialize(_similar(docs, materialize(best, "closest-pairs"), percent), "closest-lines")
-    rest = materialize(pairs.join(closest, ["doc_id", "line_no"], "left_anti").join(best, pair, "left_anti").select(*pair), "rest-pairs")
-    return copies.unionByName(near).unionByName(closest).unionByName(_similar(docs, rest, percent)).distinct()
+    best = materialize(best, "closest-pairs")
+    closest = _similar(docs, best, percent)
+    done = closest.toDF("xd", "xl")
+    tried = best.toDF("yd", "yl", "yd2", "yl2")
+    rest = pairs.join(done, _same(("doc_id", "xd"), ("line_no", "xl")), "left_anti")
+    rest = materialize(rest.join(tried, _same(("doc_id", "yd"), ("line_no", "yl")) & _same(("d", "yd2"), ("l", "yl2")), "left_anti").select(*pair), "rest-pairs")
+    last = _similar(docs, rest, percent)
+    drop(pairs, best, rest)
+    return copies.unionByName(near).unionByName(closest).unionByName(last).distinct()
+
+
+def _postings(lines: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, line, b1, b2, place`` for the words of the lines' prefixes.
+
+    A word's key also holds a band of sizes, each twice as large as the one before.  A line is at home
+    in its own band and visits those above that may hold a larger similar line, where the
+    shorter prefix of the smaller one of two lines is enough.  So a frequent word is split into
+    bands, and few pairs of unlike size meet.
+
+    Few wide columns make short rows: ``line`` is line number and size, ``place`` the word's place,
+    its key of 30 bits, whether the line is visiting and whether it is still open.
+    """
+    n = F.col("n")
+    band = lambda size: F.floor(F.log2(size)).cast("int")
+    larger = F.floor(F.lit(100) * n.cast("long") / F.lit(float(percent)))
+    own = lines.select(
+        "doc_id", "b1", "b2", _packed("line_no", n).alias("line"), F.coalesce("decided", F.lit(1)).alias("open"),
+        band(n).alias("home"), F.greatest(band(larger), band(n)).alias("top"),
+        (n - F.ceil(2 * percent * n / F.lit(100.0 + percent)).cast("int") + 1).alias("short"), F.posexplode("prefix").alias("p", "word"),
+    )
+    bands = F.sequence("home", F.when(F.col("p") < F.col("short"), F.col("top")).otherwise(F.col("home")))
+    each = own.select("doc_id", "b1", "b2", "line", "open", "home", "p", "word", F.explode(bands).alias("band"))
+    key = F.xxhash64("word", "band").bitwiseAND(F.lit(0x3FFFFFFF))
+    visiting = F.when(F.col("band") > F.col("home"), F.lit(2)).otherwise(F.lit(0))
+    return each.select("doc_id", "line", "b1", "b2", _packed("p", F.shiftleft(key, 2).bitwiseOR(visiting).bitwiseOR(F.col("open"))).alias("place"))
+
+
+def _packed(high: str, low: Column) -> Column:
+    """Two ints as one long."""
+    return F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(low.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def _high(packed: str) -> Column:
+    return F.shiftrightunsigned(packed, 32).cast("int")
+
+
+def _low(packed: str) -> Column:
+    """As a long, from 0 on."""
+    return F.col(packed).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def _gone(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
@@ -209,16 +294,17 @@ def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...
     return joined.select("row", text.alias("text"), F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"), "removed")
 
 
-def report(docs: DataFrame, percent: int = 80, min_words: int = 2) -> DataFrame:
+def report(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """Per document: the number of its lines, of those removed, and their line numbers."""
     gone = _gone(docs, percent, min_words)
-    own = docs.select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).cast("long").alias("n_lines"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
+    own = docs.select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
 
 
-def remove_later(docs: DataFrame, percent: int = 80, min_words: int = 2) -> DataFrame:
+def remove_later(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """The rows of ``docs``, all columns, with the text that is left and its ``n_chars``.
 
     A document that loses lines and has nothing but blanks left is dropped.

@@ -32,11 +32,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back."""
+def materialize(df: DataFrame, name: str, hashes: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
+
+    Columns of ``hashes`` hardly repeat, so no dictionary is tried for them, and a table with such is compressed lightly.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    arrays = {f.name for f in df.schema if f.dataType.typeName() == "array"}
+    plain = {f"parquet.enable.dictionary#{c}.list.element" if c in arrays else f"parquet.enable.dictionary#{c}": "false" for c in hashes}
+    df.write.options(compression="lz4_raw" if hashes else "zstd", **plain).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.table_path = path
     return table

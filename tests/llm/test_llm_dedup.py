@@ -94,9 +94,9 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(40)) and got[101] == got[100] == 100
 
 
-def brute_lines(rows, least=2):
+def brute_lines(rows, least=1):
     lines = [((i, j), frozenset(w for w in line.lower().split(" ") if w)) for i, t in rows if t is not None for j, line in enumerate(t.split("\n"))]
-    lines = sorted((at, s) for at, s in lines if len(s) >= least)
+    lines = sorted(((at, s) for at, s in lines if len(s) >= least), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1]))
     gone = {i: [] for i, _ in rows}
     for n, (at, s) in enumerate(lines):
         if any(100 * len(s & o) >= 80 * len(s | o) for _, o in lines[:n]):
@@ -117,9 +117,13 @@ def test_lines_against_brute_force(spark, seed):
                 line[rng.randrange(len(line))] = f"y{rng.randint(0, 30)}"
             lines.append(rng.choice(("", "  ")).join((" ".join(line).title() if rng.random() < 0.3 else " ".join(line), "")))
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x " * 3000 + "tail end")]
-    got = {r["doc_id"]: r["removed"] for r in line_dedup.report(documents(spark, rows)).collect()}
-    assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows).items()}
+    many = [f"z{i}" for i in range(700)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "x " * 3000 + "tail end"), (104, " ".join(many)), (105, " ".join([*many[80:], *"abcdefgh"]))]
+    rows += [(None, f"{rows[7][1]}\na b c d e f g h i\nfoo"), (-3, "a b c d e f g h j\nfoo\na b c d e f g h i"), (106, "a b c d e f g h i j\nFOO")]
+    for least in (1, 3):
+        got = {r["doc_id"]: r["removed"] for r in line_dedup.report(documents(spark, rows), min_words=least).collect()}
+        assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows, least).items()}
+        assert got[105] == "0" and got[106] == "0,1"[: 3 if least == 1 else 1] and "2" in got[-3].split(",")
 
 
 def test_line_dedup_keeps_columns(spark):
@@ -133,9 +137,29 @@ def test_line_dedup_keeps_columns(spark):
     assert sorted(r["n_removed"] for r in line_dedup.report(same).collect()) == [0, 1, 1]
 
 
+def test_line_join_shuffles_its_postings_once(spark, monkeypatch):
+    plans = []
+
+    def written(df, name, write=line_dedup.materialize, **options):
+        table = write(df, name, **options)
+        if name == "line-pairs":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table
+
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    docs = documents(spark, [(i, f"a{i} b c d e f g h i j k l m n o p q r s t") for i in range(50)])
+    with line_dedup._settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        line_dedup.report(docs).collect()
+    assert "ReusedExchange" in plans[0]
+
+
 def test_line_dedup_runs_without_python(spark):
     docs = documents(spark, [(1, "a b c"), (2, "a b c")])
-    plan = line_dedup._prefixes(docs, 2, 80)._jdf.queryExecution().executedPlan().toString()
+    sets = line_dedup._line_sets(docs)
+    prefixes = line_dedup._prefixes(sets, 80)
+    postings = line_dedup._postings(prefixes.withColumn("decided", F.lit(0)), 80)
+    plan = "".join(df._jdf.queryExecution().executedPlan().toString() for df in (sets, prefixes, postings))
     assert "Python" not in plan and "Arrow" not in plan
 
 
@@ -147,7 +171,7 @@ def test_registered_queries_remove_repeated_lines_of_one_word(spark, tmp_path):
     docs = documents(spark, rows)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["removed"] for r in queries.op9_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows, 1).items()}
+    assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows).items()}
     assert got[1] == "0,3" and got[2] == "2" and got[3] == "0,1" and got[5] == "0" and got[7] == "1"
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_lines(spark, docs, str(tmp_path)).collect()}
     assert left[1] == "\nhttps://example.org/x" and left[2] == "日本語の文です。\nother words" and 3 not in left
