@@ -1,6 +1,8 @@
 import importlib
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -32,3 +34,20 @@ def test_nothing_outside_imports_llm():
     for p in (root / "corpusloom").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "corpusloom.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_entry_runs_without_a_library_that_only_the_llm_subpackage_needs(monkeypatch):
+    class Missing:
+        def find_spec(self, name, path=None, target=None):
+            if name == "xxhash":
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    for name in [m for m in sys.modules if m in ("corpus_pipeline", "xxhash") or m.startswith("corpusloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    import corpusloom
+
+    monkeypatch.delattr(corpusloom, "llm", raising=False)
+    monkeypatch.setattr(sys, "meta_path", [Missing(), *sys.meta_path])
+    module = importlib.reload(entry)
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert len(module.queries()) > 60
