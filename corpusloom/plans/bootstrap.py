@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
@@ -19,6 +20,10 @@ from corpusloom.plans.prior import PatternConfig
 from corpusloom.sources import sinks
 
 
+#: Names the extraction that a state was made with.
+EXTRACTOR_VERSION = "corpusloom_patterns_1"
+
+
 @dataclass(frozen=True)
 class BootstrapConfig:
     """Parameters of a bootstrap.
@@ -49,15 +54,18 @@ def tokenized(known: DataFrame, lexicon: list[str], tokenizer: Tokenizer = words
     return known.select(F.monotonically_increasing_id().alias("sid"), normalize(text).alias("zh_text"), tokenizer(text).alias("tokens"), lexical(text).alias("tokens_hsk"), characters(text).alias("tokens_char"))
 
 
-def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store: str, candidates: DataFrame | None = None, config: BootstrapConfig = BootstrapConfig(), tokenizer: Tokenizer = words, now: datetime | None = None) -> None:
-    """Write the state of ``known`` sentences below ``store``."""
+def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store: str, candidates: DataFrame | None = None, config: BootstrapConfig = BootstrapConfig(), tokenizer: Tokenizer = words, now: datetime | None = None, provenance: Mapping[str, object] | None = None) -> None:
+    """Write the state of ``known`` sentences below ``store``.
+
+    ``provenance`` adds to the meta table where things came from, such as ``global_anchors_path`` and ``hsk_db_path``.
+    """
     now = now or datetime.now(timezone.utc)
     at = F.lit(now.replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
     sinks.create_state(spark, store)
     entries = statistics.best_entries(lexicon, config.max_level, config.include_level7)
     # a vocabulary's words: what the lexical tokeniser is compiled from
     vocabulary = [r["simplified"] for r in entries.select("simplified").collect()]
-    path = f"{store.rstrip('/')}/_tokenized"
+    path = sinks.scratch(spark, "tokenized")
     tokenized(known, vocabulary, tokenizer).write.mode("overwrite").parquet(path)
     sentences = spark.read.parquet(path)
     if candidates is not None and not config.activate_locally:
@@ -77,7 +85,11 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
     listed = json.dumps(anchors, ensure_ascii=False)
     anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
     flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns)
-    sinks.put_meta(spark, store, flat | {"anchors_count": len(anchors), "anchors_json": listed, "anchors_hash": anchors_hash, "config_hash": config.hash(), "bootstrapped_at": now.isoformat()})
+    source = f"global_candidates+local_{config.anchor_method}" if candidates is not None else f"local_{config.anchor_method}"
+    made = {"anchors_source": source, "extractor_version": EXTRACTOR_VERSION, **{k: v for k, v in (provenance or {}).items() if v is not None}}
+    if candidates is not None:
+        made["global_candidates_count"] = candidates.select("token").distinct().count()
+    sinks.put_meta(spark, store, flat | made | {"anchors_count": len(anchors), "anchors_json": listed, "anchors_hash": anchors_hash, "config_hash": config.hash(), "bootstrapped_at": now.isoformat()})
     run_id = spark.read.parquet(f"{store}/runs").count() + 1
     run = spark.createDataFrame([(run_id, "bootstrap", config.hash(), anchors_hash, None)], "id long, kind string, config_hash string, anchors_hash string, notes string")
     sinks.append(run.select("id", "kind", at.alias("created_at"), "config_hash", "anchors_hash", "notes"), store, "runs")

@@ -56,7 +56,7 @@ def build(spark: SparkSession, lines: DataFrame, anchors: Iterable[str], store:
     columns = ["pattern_key", "family", "count_sentences", "count_occurrences", "distinct_realization_count", "p_global"]
     if merge:
         sinks.merge_prior(stats.select(*columns), store)
-        sinks.insert_new(realizations, store, "pattern_global_realizations", ["pattern_key", "realization"])
+        sinks.merge_realizations(realizations, store, cap)
     else:
         sinks.replace(stats.select(*columns), store, "pattern_global_stats")
         sinks.replace(realizations, store, "pattern_global_realizations")

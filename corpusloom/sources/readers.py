@@ -13,6 +13,10 @@ from corpusloom.functions.text import strip
 from corpusloom.schemas import DICTIONARY_JSON, FLASH_CARDS, LEGACY_COLUMNS, WIKI_JSON
 
 
+#: What a table being replaced is called meanwhile, and the one it replaces.
+NEXT, OLD = "__next", "__old"
+
+
 def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
     """One column of a CSV file with a header as ``value``: stripped, blanks dropped, repeats kept."""
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
@@ -36,9 +40,17 @@ def lines(spark: SparkSession, path: str, limit: int | None = None, max_kept: in
     if limit is None and max_kept is None:
         rows = spark.read.text(path).select(strip(F.col("value")).alias("value"), F.monotonically_increasing_id().alias("line_no"))
         return rows.where("value <> ''")
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r\n|\n|\r")).alias("line_no", "value"))
-    rows = whole.where(F.col("line_no") < limit) if limit is not None else whole
-    kept = rows.select(strip(F.col("value")).alias("value"), F.col("line_no").cast("long")).where("value <> ''")
+    # rows come in the order of the file within a block, and the blocks' sizes tell where each begins
+    within = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = sorted(map(tuple, within.groupBy("block").agg(F.min("at").alias("first"), F.count("*").alias("n")).collect()))
+    starts, seen = [], 0
+    for block, first, n in blocks:
+        starts.append((block, seen - first))
+        seen += n
+    # one row for each block of a file
+    known = F.broadcast(spark.createDataFrame(starts, "block long, shift long"))
+    rows = within.join(known, "block").select(strip(F.col("value")).alias("value"), (F.col("at") + F.col("shift")).alias("line_no"))
+    kept = (rows.where(F.col("line_no") < limit) if limit is not None else rows).where("value <> ''")
     return kept.orderBy("line_no").limit(max_kept) if max_kept is not None else kept
 
 
@@ -117,6 +129,7 @@ def json_array(text: Column, kind: str = "string") -> Column:
 
 def meta(spark: SparkSession, path: str) -> dict[str, str]:
     """Keys and values of a store's small meta table; none if there is no such table."""
+    settle(spark, path)
     if not exists(spark, path):
         return {}
     return {r["key"]: r["value"] for r in spark.read.parquet(path).collect()}
@@ -127,13 +140,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def settle(spark: SparkSession, path: str) -> None:
+    """Finish a replacement of the table at ``path`` that broke off: a complete new table takes its place, or else the old one is put back."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(at(path)) or not fs.exists(at(path + OLD)):
+        return
+    # the old table is moved away only when the new one is complete
+    source = path + NEXT if fs.exists(at(f"{path}{NEXT}/_SUCCESS")) else path + OLD
+    if not fs.rename(at(source), at(path)):
+        raise OSError(f"can't move {source} to {path}")
+
+
 def tables(spark: SparkSession, store: str) -> list[str]:
     """Names of the tables in a store's folder."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory())
+    names = {s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()}
+    for name in names:
+        if name.endswith(OLD):
+            settle(spark, f"{store.rstrip('/')}/{name.removesuffix(OLD)}")
+    return sorted(n for n in {x.removesuffix(OLD) for x in names} if not n.endswith(NEXT))
 
 
 def first_table(spark: SparkSession, store: str, *names: str) -> str | None:
@@ -145,6 +175,7 @@ def first_table(spark: SparkSession, store: str, *names: str) -> str | None:
 def table(spark: SparkSession, store: str, name: str, schema: str | None = None) -> DataFrame:
     """A stored table under current column names; empty if it is missing and ``schema`` is given."""
     path = f"{store.rstrip('/')}/{name}"
+    settle(spark, path)
     if schema is not None and not exists(spark, path):
         return spark.createDataFrame([], StructType.fromDDL(schema))
     rows = spark.read.parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,27 +11,59 @@ from pyspark.sql.types import StructType
 
 from corpusloom.operators.statistics import merge_counts, replace_rows
 from corpusloom.schemas import PRIOR_SCHEMA_VERSION, PRIOR_TABLES, SCHEMA_VERSION, STATE_TABLES
-from corpusloom.sources.readers import exists, table
+from corpusloom.sources.readers import NEXT, OLD, exists, settle, table
 
 
 def _path(store: str, name: str) -> str:
     return f"{store.rstrip('/')}/{name}"
 
 
-def _move(spark: SparkSession, source: str, target: str) -> None:
+def _files(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(new, True)
-    if not fs.rename(old, new):
-        raise OSError(f"can't move {source} to {target}")
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def replace(rows: DataFrame, store: str, name: str) -> None:
-    """Write the table anew; ``rows`` may be computed from what it replaces."""
-    path = _path(store, name)
-    rows.write.mode("overwrite").parquet(path + "__next")
-    _move(rows.sparkSession, path + "__next", path)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; a local session may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file:///tmp/checkpoints"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def replace(rows: DataFrame, store: str, name: str, mark: str | None = None) -> None:
+    """Write the table anew; ``rows`` may be computed from what it replaces.
+
+    The new table is written beside the old one, which is moved away, not deleted, before the new one takes its
+    place.  Whatever step fails, a whole table is left, and :func:`corpusloom.sources.readers.settle` puts it in place.  ``mark``
+    names an empty file that comes with the table, in the same move.
+    """
+    spark, path = rows.sparkSession, _path(store, name)
+    settle(spark, path)
+    rows.write.mode("overwrite").parquet(path + NEXT)
+    fs, at = _files(spark, path)
+    if mark is not None:
+        fs.create(at(f"{path}{NEXT}/{_mark(mark)}"), True).close()
+    fs.delete(at(path + OLD), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(path + OLD)):
+        raise OSError(f"can't move {path} away")
+    if not fs.rename(at(path + NEXT), at(path)):
+        raise OSError(f"can't move {path}{NEXT} to {path}")
+    fs.delete(at(path + OLD), True)
+
+
+def _mark(mark: str) -> str:
+    return f"_mark-{mark}"
+
+
+def marked(spark: SparkSession, store: str, name: str, mark: str) -> bool:
+    """Whether the table was last replaced with that ``mark``."""
+    settle(spark, _path(store, name))
+    fs, at = _files(spark, store)
+    return fs.exists(at(f"{_path(store, name)}/{_mark(mark)}"))
 
 
 def create_store(spark: SparkSession, store: str, tables: Mapping[str, str], version_key: str, version: int) -> None:
@@ -70,7 +103,7 @@ def insert_new(rows: DataFrame, store: str, name: str, by: Sequence[str]) -> Non
     append(new, store, name)
 
 
-def merge_prior(new: DataFrame, store: str, name: str = "pattern_global_stats") -> None:
+def merge_prior(new: DataFrame, store: str, name: str = "pattern_global_stats", mark: str | None = None) -> None:
     """Add counts to the stored ones, keep the larger diversity, and renew the shares."""
     from pyspark.sql import functions as F
 
@@ -79,7 +112,22 @@ def merge_prior(new: DataFrame, store: str, name: str = "pattern_global_stats")
 
     old = table(new.sparkSession, store, name)
     merged = with_share(merge_counts(old, new)).withColumn("family", family_of(F.col("pattern_key")))
-    replace(merged.select(*old.columns), store, name)
+    replace(merged.select(*old.columns), store, name, mark)
+
+
+def merge_realizations(new: DataFrame, store: str, cap: int, name: str = "pattern_global_realizations", mark: str | None = None) -> None:
+    """Add distinct realizations to the stored ones, up to ``cap`` of a key (0: all); stored ones stay, new ones follow in order of their text."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    columns = ["pattern_key", "realization"]
+    old = table(new.sparkSession, store, name).select(*columns)
+    both = old.withColumn("late", F.lit(0)).unionByName(new.select(*columns).withColumn("late", F.lit(1)))
+    each = both.groupBy(*columns).agg(F.min("late").alias("late"))
+    if cap > 0:
+        order = Window.partitionBy("pattern_key").orderBy("late", "realization")
+        each = each.withColumn("n", F.row_number().over(order)).where((F.col("n") <= cap) | (F.col("late") == 0))
+    replace(each.select(*columns), store, name, mark)
 
 
 def append(rows: DataFrame, store: str, name: str) -> None:

@@ -140,3 +140,58 @@ def test_inspections(spark, tmp_path):
     assert sections["keys of the prior"].first()["n_invalid"] == 0
     empty = str(tmp_path / "none")
     assert inspect.inspect_prior(spark, empty)["counts"].first()["total"] == 0
+
+
+@pytest.mark.parametrize("complete", [True, False])
+def test_a_broken_replacement_leaves_a_whole_table(spark, tmp_path, complete):
+    store = str(tmp_path / "s")
+    rows = lambda v: spark.createDataFrame([("k", v)], "key string, value string")
+    sinks.replace(rows("old"), store, "meta")
+    rows("new").write.parquet(f"{store}/meta__next")
+    if not complete:
+        (tmp_path / "s" / "meta__next" / "_SUCCESS").unlink()
+    (tmp_path / "s" / "meta").rename(tmp_path / "s" / "meta__old")
+    assert readers.tables(spark, store) == ["meta"]
+    assert readers.meta(spark, f"{store}/meta") == {"k": "new" if complete else "old"}
+    sinks.replace(rows("third"), store, "meta", mark="3")
+    assert readers.meta(spark, f"{store}/meta") == {"k": "third"} and sinks.marked(spark, store, "meta", "3") and not sinks.marked(spark, store, "meta", "2")
+    assert sorted(p.name for p in (tmp_path / "s").iterdir()) == ["meta"]
+
+
+def test_a_stream_that_breaks_between_tables_counts_once(spark, tmp_path, monkeypatch):
+    src, store = tmp_path / "in", str(tmp_path / "store")
+    src.mkdir()
+    (src / "1.txt").write_text("a b a\nb c\na x b\n", encoding="utf-8")
+    run = lambda: maintain_prior(spark.readStream.text(str(src)), ["a", "b"], store, str(tmp_path / "cp"), cap=1).awaitTermination()
+    whole = sinks.merge_realizations
+
+    def broken(*args, **options):
+        raise OSError("lost")
+
+    monkeypatch.setattr(sinks, "merge_realizations", broken)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.setattr(sinks, "merge_realizations", whole)
+    run()
+    (src / "2.txt").write_text("a y b\n", encoding="utf-8")
+    run()
+    lines = spark.createDataFrame([("a b a",), ("b c",), ("a x b",), ("a y b",)], "value string")
+    prior.build(spark, lines, ["a", "b"], str(tmp_path / "once"), cap=1)
+    counts = lambda s: {r["pattern_key"]: (r["count_occurrences"], r["count_sentences"]) for r in readers.table(spark, s, "pattern_global_stats").collect()}
+    assert counts(store) == counts(str(tmp_path / "once"))
+    kept = readers.table(spark, store, "pattern_global_realizations").groupBy("pattern_key").count()
+    assert kept.where("count > 1").count() == 0 and kept.count() == len(counts(store))
+
+
+def test_limits_number_the_lines_of_a_split_file(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    raw = [f"line {i}" if i % 3 else " " for i in range(200)]
+    path.write_text("\n".join(raw), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = [(r["line_no"], r["value"]) for r in readers.lines(spark, str(path), limit=150, max_kept=90).collect()]
+        assert readers.lines(spark, str(path), limit=10**6).rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(i, x) for i, x in enumerate(raw[:150]) if x.strip()][:90]
