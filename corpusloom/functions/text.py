@@ -21,7 +21,7 @@ CJK_RUN = "[一-龯，。！？、；：“”‘’（）…—]+"
 TERMINATORS = "。！？"
 SOUND = r"\[sound:[^\]]+\]"
 KEPT_CHARACTER = r"[\x{4E00}-\x{9FFF}\p{Nd}\x{B2}\x{B3}\x{B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{2460}-\x{2468}\x{2474}-\x{247C}\x{2488}-\x{2490}\x{24EA}\x{24F5}-\x{24FD}\x{24FF}\x{2776}-\x{277E}\x{2780}-\x{2788}\x{278A}-\x{2792}]"
-PUNCTUATION = r"[，。！？、；：…（）()\x{201C}\x{201D}\x{22}'《》【】\[\]{}<>·—\-,.!?;:\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+PUNCTUATION = r"[，。！？、；：…（）()“”" + '"' + r"'《》【】\[\]{}<>·—\-,.!?;:\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NUMBER = r"^\p{Nd}+(\.\p{Nd}+)?$"
 
 

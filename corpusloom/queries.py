@@ -30,11 +30,13 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 TOP_K, MAX_LEN, CAP, SEED = 150, 4, 5, 7
+#: No text of 2 GB has more; ids beyond 2^32 would overflow, which is an error, never a collision.
+SENTENCES_PER_DOCUMENT = 1 << 31
 
 # SQL of the shared relations.
 _W = T.WHITE
 _CTE = {
-    "sent": r"sent AS (SELECT doc_id * 100000 + i - 1 AS sid, doc_id, trim(s) AS text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?\n]+'), 1) AS i FROM documents) WHERE trim(s) <> '')",
+    "sent": r"sent AS (SELECT doc_id * 2147483648 + i - 1 AS sid, doc_id, trim(s) AS text FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) AS s, generate_subscripts(regexp_split_to_array(text, '[.!?\n]+'), 1) AS i FROM documents) WHERE trim(s) <> '')",
     "toks": r"toks AS (SELECT sid, doc_id, regexp_extract_all(lower(text), '\p{L}+') AS ts FROM sent)",
     "tok": "tok AS (SELECT sid, doc_id, ts, unnest(ts) AS t, generate_subscripts(ts, 1) - 1 AS i FROM toks)",
     "anc": f"anc AS (SELECT t, c FROM (SELECT t, count(DISTINCT sid) AS c FROM tok WHERE length(t) <= {MAX_LEN} GROUP BY t) ORDER BY c DESC, t LIMIT {TOP_K})",
@@ -67,7 +69,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sid, doc_id, text`` of the documents' sentences."""
     split = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?\n]+")).alias("i", "s"))
-    return split.select((F.col("doc_id") * 100000 + F.col("i")).alias("sid"), "doc_id", F.trim("s").alias("text")).where("text <> ''")
+    return split.select((F.col("doc_id") * SENTENCES_PER_DOCUMENT + F.col("i")).alias("sid"), "doc_id", F.trim("s").alias("text")).where("text <> ''")
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +418,7 @@ def prior_realizations_capped(spark, sf_dir):
     return S.realizations(P.explode(extracted(spark, sf_dir, "anch_pair")), CAP)
 
 
-_PERSONAL = f"ppat AS (SELECT * FROM ({_PAIR}) WHERE sid // 100000 IN (SELECT doc_id FROM labels WHERE quality = 1)),\nown AS (SELECT pattern_key, count(*) AS count_seen, count(DISTINCT sid) AS distinct_sentence_count, count(*) >= 3 AND count(DISTINCT sid) >= 2 AS emerged FROM ppat GROUP BY pattern_key)"
+_PERSONAL = f"ppat AS (SELECT * FROM ({_PAIR}) WHERE sid // 2147483648 IN (SELECT doc_id FROM labels WHERE quality = 1)),\nown AS (SELECT pattern_key, count(*) AS count_seen, count(DISTINCT sid) AS distinct_sentence_count, count(*) >= 3 AND count(DISTINCT sid) >= 2 AS emerged FROM ppat GROUP BY pattern_key)"
 
 
 def _personal(spark, sf_dir):
