@@ -8,7 +8,7 @@ bounded size, is broadcast, and texts are scored in numpy: one gather from the
 matrix and one segmented sum for a block of documents.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0,
-as does every text when nothing could be learned.  Rows whose ``lang`` or text
+as does every text when nothing could be learned.  More than ``max_languages`` languages are an error.  Rows whose ``lang`` or text
 is null teach nothing.  Repeated rows are scored alike; ties between languages go to
 the first in alphabetical order.  Long texts are scored whole, in slices.
 Extra columns are ignored by training and kept out of the result.
@@ -132,8 +132,12 @@ def _blocks_of_grams(texts: list[str | None]):
         before = int(owners[-1])
 
 
-def fit(training: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5) -> Model:
-    """Count grams of every row of ``training`` whose text and language are set."""
+def fit(training: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.5, max_languages: int = 1000) -> Model:
+    """Count grams of every row of ``training`` whose text and language are set.
+
+    More than ``max_languages`` different values of ``lang`` are an error: the matrix, which has a column for
+    each, is held by every task.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -155,6 +159,8 @@ def fit(training: DataFrame, text: str = "text", lang: str = "lang", smoothing:
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at)), pa.array(at, pa.int32()), pa.array(ns, pa.int64())], ["lang", "bucket", "n"])
 
     rows = training.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    if rows.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     counts = np.zeros((BUCKETS + 1, len(languages)))
