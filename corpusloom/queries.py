@@ -726,8 +726,12 @@ _SQL["spot_checks"] = _with("sent") + f"SELECT sid, text AS zh_text FROM sent OR
 
 
 def queries() -> dict[str, Query]:
+    from corpusloom import store_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from corpusloom import store_queries  # noqa: F401  registers its own
+
     return dict(_SQL)
