@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,15 +41,16 @@ def thousands_text(number: Column) -> Column:
     return F.format_number(number, 0)
 
 
+# What counts as yes in a meta table.
 _TRUE = ("1", "true", "True", "yes", "YES")
 
 
-def meta_int(meta: dict[str, str], name: str, default: int) -> int:
-    try:
-        return int(meta[name])
-    except (KeyError, TypeError, ValueError):
-        return default
+def meta_int(meta: Mapping[str, str], name: str, default: int) -> int:
+    """A whole number of the meta table, or the default if it has none."""
+    text = (meta.get(name) or "").strip()
+    return int(text) if re.fullmatch(r"[+-]?\d+", text) else default
 
 
-def meta_bool(meta: dict[str, str], name: str, default: bool = False) -> bool:
-    return meta[name] in _TRUE if name in meta else default
+def meta_bool(meta: Mapping[str, str], name: str, default: bool = False) -> bool:
+    text = meta.get(name)
+    return default if text is None else text.strip() in _TRUE

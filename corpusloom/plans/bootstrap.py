@@ -84,7 +84,7 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
     sinks.insert_new(statistics.realizations(explode(extracted)), store, "pattern_personal_realizations", ["pattern_key", "realization"])
     listed = json.dumps(anchors, ensure_ascii=False)
     anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
-    flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns)
+    flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns) | {"families": ",".join(config.patterns.families)}
     source = f"global_candidates+local_{config.anchor_method}" if candidates is not None else f"local_{config.anchor_method}"
     made = {"anchors_source": source, "extractor_version": EXTRACTOR_VERSION, **{k: v for k, v in (provenance or {}).items() if v is not None}}
     if candidates is not None:

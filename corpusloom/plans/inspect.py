@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
+from corpusloom.functions.statistics import meta_int
+from corpusloom.functions.tokenizers import Tokenizer, characters
 from corpusloom.operators import similarity
-from corpusloom.operators.anchors import top_tokens
+from corpusloom.operators.anchors import anchor_list, top_tokens
 from corpusloom.operators.corpus import sample
+from corpusloom.operators.patterns import FAMILIES, extract
 from corpusloom.plans import reports
+from corpusloom.plans.prior import PatternConfig
 from corpusloom.sources import readers
 
 Sections = dict[str, DataFrame]
@@ -44,9 +48,34 @@ def inspect_state(spark: SparkSession, store: str, candidates: DataFrame | None
     out["their realizations"] = reports.with_realizations(emerged, readers.table(spark, store, "pattern_personal_realizations", schemas.PATTERN_PERSONAL_REALIZATIONS), seed=seed)
     out["vocabulary"] = reports.vocabulary_health(vocab)
     out["frequent words"] = reports.top_vocabulary(vocab, top)
+    stored = readers.meta(spark, f"{store.rstrip('/')}/meta")
+    if listed := anchor_list(anchors):
+        out["length robustness"] = length_robustness(spark, listed, _stored_config(stored))
     return out
 
 
+#: The sentence pairs of the length report.
+LENGTH_PAIRS = [("我把它扔掉", "我把你昨天用的杯子扔掉了"), ("他在学校学习", "他今天在学校认真地学习了"), ("我给你打电话", "我昨天晚上给你打了一个电话")]
+
+
+def length_robustness(spark: SparkSession, anchors: list[str], config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = characters) -> DataFrame:
+    """Per fixed pair of a short sentence and a longer one: how many pattern keys they share, and their similarity."""
+    rows = spark.createDataFrame([(i, s) for i, pair in enumerate(LENGTH_PAIRS) for s in pair], "pair_id long, value string")
+    split = rows.select("pair_id", "value", tokenizer(F.col("value")).alias("tokens"))
+    keys = F.array_distinct(F.transform("patterns", lambda p: p["pattern_key"]))
+    found = extract(split, anchors, **config.options()).select("pair_id", F.length("value").alias("n"), "value", keys.alias("k"))
+    sets = found.groupBy("pair_id").agg(F.min_by("value", "n").alias("short"), F.max_by("value", "n").alias("long"), F.min_by("k", "n").alias("a"), F.max_by("k", "n").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    return sets.select("pair_id", "short", "long", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("either"), similarity.jaccard(F.col("a"), F.col("b")).alias("similarity"))
+
+
+def _stored_config(meta: dict[str, str]) -> PatternConfig:
+    """What a state says its patterns were extracted with."""
+    usual = PatternConfig()
+    families = tuple(f for f in meta.get("families", "").split(",") if f in FAMILIES) or usual.families
+    return PatternConfig(families, *(meta_int(meta, k, getattr(usual, k)) for k in ("max_ngram_n", "max_gap", "max_jump")))
+
+
 def inspect_prior(spark: SparkSession, store: str, anchors: DataFrame | None = None, with_samples: bool = False, seed: int = 0, top: int = 20) -> Sections:
     """Tables, families, distribution and top patterns of a prior, under old or new names."""
     name = readers.first_table(spark, store, "pattern_global_stats", "global_pattern_stats", "pattern_stats") or "pattern_global_stats"

@@ -23,6 +23,7 @@ from corpusloom.operators import corpus as C
 from corpusloom.operators import patterns as P
 from corpusloom.operators import similarity as M
 from corpusloom.operators import statistics as S
+from corpusloom.plans import inspect
 from corpusloom.plans import reports as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -636,14 +637,12 @@ def idf_jaccard_pairs(spark, sf_dir):
     return found.select("pair_id", F.round("similarity", 6).alias("similarity"))
 
 
-#: The sentence pairs of the length report.
-LENGTH_PAIRS = [("我把它扔掉", "我把你昨天用的杯子扔掉了"), ("他在学校学习", "他今天在学校认真地学习了"), ("我给你打电话", "我昨天晚上给你打了一个电话")]
 _LENGTH_ANCHORS = ["把", "在", "给", "了", "的", "地"]
 
 
 def _length_sql() -> str:
     """The default families over the characters of the fixed pairs."""
-    listed = ", ".join(f"({2 * i + j}, {i}, '{s}')" for i, pair in enumerate(LENGTH_PAIRS) for j, s in enumerate(pair))
+    listed = ", ".join(f"({2 * i + j}, {i}, '{s}')" for i, pair in enumerate(inspect.LENGTH_PAIRS) for j, s in enumerate(pair))
     anchors = ", ".join(f"('{t}')" for t in _LENGTH_ANCHORS)
     parts = [
         f"line AS (SELECT * FROM (VALUES {listed}) v(sid, pair_id, text))",
@@ -656,17 +655,13 @@ def _length_sql() -> str:
         "sets AS (SELECT sid, list_distinct(list(pattern_key)) AS s FROM pat GROUP BY sid)",
     ]
     both = "len(list_intersect(x.s, y.s))"
-    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(x.sid // 2 AS BIGINT) AS pair_id, round({both} / (len(x.s) + len(y.s) - {both}), 6) AS similarity FROM sets x JOIN sets y ON x.sid % 2 = 0 AND y.sid = x.sid + 1"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(x.sid // 2 AS BIGINT) AS pair_id, CAST({both} AS INTEGER) AS shared, CAST(len(x.s) + len(y.s) - {both} AS INTEGER) AS either, round({both} / (len(x.s) + len(y.s) - {both}), 6) AS similarity FROM sets x JOIN sets y ON x.sid % 2 = 0 AND y.sid = x.sid + 1"
 
 
 @_query(_length_sql())
 def length_robustness(spark, sf_dir):
     """Key-set similarity of three short sentences with longer ones of the same build."""
-    rows = spark.createDataFrame([(i, s) for i, pair in enumerate(LENGTH_PAIRS) for s in pair], "pair_id long, value string")
-    split = rows.select("pair_id", "value", TK.characters(F.col("value")).alias("tokens"))
-    found = P.extract(split, _LENGTH_ANCHORS).select("pair_id", F.length("value").alias("n"), F.transform("patterns", lambda p: p["pattern_key"]).alias("k"))
-    sets = found.groupBy("pair_id").agg(F.min_by("k", "n").alias("a"), F.max_by("k", "n").alias("b"))
-    return sets.select("pair_id", F.round(M.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return inspect.length_robustness(spark, _LENGTH_ANCHORS).select("pair_id", "shared", "either", F.round("similarity", 6).alias("similarity"))
 
 
 # Corpora and dictionaries.
