@@ -11,15 +11,15 @@ bit slices of all scores.  The top rows are then selected from the most
 significant slice downward; rows still tied at the boundary have equal scores
 and are resolved by the smaller id.
 
-The index is a table in the shared folder.  Queries are taken in blocks of at
-most ``query_block`` rows and ``query_bytes``, broadcast one after the other, so
-what is broadcast doesn't grow with the data.  A task merges its blocks' results before they are
-shuffled: it ships ``k`` rows per query at most.
+The index and the queries are tables of blocks in the shared folder.  One job joins them: the blocks of the index
+are dealt to parts, and every block of queries meets all parts, so that each task holds one block of
+queries and one of the index at a time, nothing is broadcast and nothing but counts reaches the driver.  A task merges
+what a block of queries finds in its part before it is shuffled: ``k`` rows per query at most.
 
-Defined results: vectors that are null, empty or hold a null or non-finite
+Defined results: vectors that are null or hold a null or non-finite
 component take no part; neither do rows without an id.  Only vectors of the
-query's length are its candidates.  A query's own row is no candidate; other rows that
-repeat its id are neither.  Scores must fit a signed 64-bit integer.  Ties go
+query's length are its candidates, so empty vectors, whose scores are 0, have each other.  A query's own row is no candidate; other rows that
+repeat its id are, and each of them that is a query has ranks of its own.  Scores must fit a signed 64-bit integer.  Ties go
 to the smaller id, repeated candidate rows each take a rank.  Fewer than ``k``
 candidates: all.  Extra columns are ignored.
 """
@@ -33,24 +33,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.storage import materialize
+from corpusloom.llm.storage import drop, materialize
 
-BLOCK_ROWS = 16_384
+#: Rows of a block of the index, and queries of a block.
+BLOCK_ROWS, QUERY_ROWS = 8192, 256
+#: Parts that the index is dealt to if it has as many blocks, and blocks of a part beyond.
+PARTS, PART_BLOCKS = 2048, 32
 
 
 def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """``vec_id`` and ``q``, an array of longs, of the rows that take part."""
+    """``vec_id`` and ``q``, an array of longs, of the rows that take part, and ``row``, a number of their own."""
     x = F.col("embedding")
-    whole = F.size(x) > 0
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & whole & finite).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("q")
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("q"), F.monotonically_increasing_id().alias("row")
     )
 
 
 def _slices(u: np.ndarray) -> np.ndarray:
     """(bits, components, words) bitmaps of non-negative ``u`` (rows, components)."""
-    bits = max(1, int(u.max()).bit_length())
+    bits = max(1, int(u.max(initial=0)).bit_length())
     rows = -(-len(u) // 64) * 64
     padded = np.zeros((u.shape[1], rows), np.uint64)
     padded[:, : len(u)] = u.T
@@ -60,42 +62,59 @@ def _slices(u: np.ndarray) -> np.ndarray:
     return out
 
 
-def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row per block: ids in ascending order, dimensions, minima and slices."""
+def _blocks(vectors: DataFrame, size: int, pack, columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """Blocks of at most ``size`` rows of one length, as ``pack(row numbers, ids, values)`` makes them."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list[np.ndarray], list[np.ndarray], int]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
 
         def block(dim: int) -> pa.RecordBatch:
-            ids, values = np.concatenate(held[dim][0]), np.concatenate(held[dim][1])
-            held[dim] = ([], [], 0)
-            order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[order]
-            low = values.min(axis=0)
-            bits = _slices(values - low)
-            row = [[dim], [len(ids)], [bits.shape[0]], [ids.astype("<i8").tobytes()], [low.astype("<i8").tobytes()], [bits.astype("<u8").tobytes()]]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds, strict=True)], ["dim", "n", "bits", "ids", "low", "slices"])
+            parts = [np.concatenate(x) for x in zip(*held.pop(dim), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((dim, *pack(*parts)), columns.values(), strict=True)], list(columns))
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            lists = batch.column(1)
+            numbers, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
             flat, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
-            for dim in np.unique(sizes):
+            for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
-                values = flat[(ends[rows] - dim)[:, None] + np.arange(dim)]
-                for at in range(0, len(rows), block_rows):
-                    own = held.setdefault(int(dim), ([], [], 0))
-                    own[0].append(ids[rows[at : at + block_rows]])
-                    own[1].append(values[at : at + block_rows])
-                    held[int(dim)] = (own[0], own[1], own[2] + len(own[0][-1]))
-                    if held[int(dim)][2] >= block_rows:
-                        yield block(int(dim))
-        for dim in [d for d, x in held.items() if x[2]]:
+                values = flat[(ends[rows] - dim)[:, None] + np.arange(dim)].reshape(len(rows), dim).astype(np.int64)
+                while len(rows):
+                    own = held.setdefault(dim, [])
+                    room = size - sum(len(x[0]) for x in own)
+                    own.append([numbers[rows[:room]], ids[rows[:room]], values[:room]])
+                    if len(rows) >= room:
+                        yield block(dim)
+                    rows, values = rows[room:], values[room:]
+        for dim in list(held):
             yield block(dim)
 
-    return vectors.select("vec_id", "q").mapInArrow(build, "dim int, n int, bits int, ids binary, low binary, slices binary")
+    return vectors.select("row", "vec_id", "q").mapInArrow(run, schema)
+
+
+def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row per block: row numbers and ids in ascending order of the ids, minima and slices."""
+
+    def pack(numbers: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple:
+        order = np.argsort(ids, kind="stable")
+        numbers, ids, values = numbers[order], ids[order], values[order]
+        low = values.min(axis=0)
+        bits = _slices(values - low)
+        return bits.shape[0], numbers.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), low.astype("<i8").tobytes(), bits.astype("<u8").tobytes()
+
+    columns = {"dim": pa.int32(), "bits": pa.int32(), "numbers": pa.binary(), "ids": pa.binary(), "low": pa.binary(), "slices": pa.binary()}
+    return _blocks(vectors, block_rows, pack, columns, "dim int, bits int, numbers binary, ids binary, low binary, slices binary")
+
+
+def query_blocks(queries: DataFrame, block_rows: int = QUERY_ROWS) -> DataFrame:
+    """One row per block of queries: its number, their row numbers, ids and values."""
+
+    def pack(numbers: np.ndarray, ids: np.ndarray, values: np.ndarray) -> tuple:
+        return int(numbers[0]), numbers.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), values.astype("<i8").tobytes()
+
+    columns = {"dim": pa.int32(), "block": pa.int64(), "own": pa.binary(), "query_ids": pa.binary(), "q": pa.binary()}
+    return _blocks(queries, block_rows, pack, columns, "dim int, block long, own binary, query_ids binary, q binary")
 
 
 def _compress(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
@@ -179,14 +198,14 @@ def _values(slices: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search_block(query_id: int, query: np.ndarray, ids: np.ndarray, low: np.ndarray, slices: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the block's best ``k`` rows."""
+def _search_block(own: int, query: np.ndarray, numbers: np.ndarray, ids: np.ndarray, low: np.ndarray, slices: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the block's best ``k`` rows but the one of number ``own``."""
     total = score_slices(query, slices)
     # sum q*(u+low) from sum |q|*v, where v is u, or 2^bits-1-u for negative q
     full = (1 << slices.shape[0]) - 1
     constant = int(query @ low) - int(np.abs(query[query < 0]).sum()) * full
     live = np.zeros(slices.shape[2] * 64, np.uint8)
-    live[: len(ids)] = ids != query_id
+    live[: len(ids)] = numbers != own
     candidates = np.packbits(live, bitorder="little").view(np.uint64)
     rows = select_top(total, candidates, k)
     return ids[rows], _values(total, rows) + constant
@@ -197,46 +216,50 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _search(index: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    shared = index.sparkSession.sparkContext.broadcast([(i, np.array(q, np.int64)) for i, q in queries])
+def _search(pairs: DataFrame, k: int) -> DataFrame:
+    """The best rows of each query, merged over the blocks of the index that follow one another for its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        at, own, query_ids, best = None, np.zeros(0, np.int64), np.zeros(0, np.int64), {}
+
+        def found() -> Iterator[pa.RecordBatch]:
+            if best:
+                n = np.concatenate([np.full(len(x[0]), i) for i, x in best.items()])
+                vec, got = (np.concatenate([x[c] for x in best.values()]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (own[n], query_ids[n], vec, got)], ["number", "query_id", "vec_id", "score"])
+
         for batch in batches:
-            for dim, _, bits, ids, low, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, low = np.frombuffer(ids, "<i8"), np.frombuffer(low, "<i8")
-                slices = np.frombuffer(data, "<u8").reshape(bits, dim, -1)
-                for n, (query_id, query) in enumerate(shared.value):
-                    if len(query) == dim:
-                        found = _search_block(query_id, query, ids, low, slices, k)
-                        if n in best:
-                            found = tuple(np.concatenate(x) for x in zip(best[n], found, strict=True))
-                        best[n] = _best(*found, k)
-        if best:
-            number = np.concatenate([np.full(len(x[0]), n) for n, x in best.items()])
-            query = np.array([shared.value[n][0] for n in number], np.int64)
-            vec, got = (np.concatenate([x[c] for x in best.values()]) for c in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(got, pa.int64())], ["number", "query_id", "vec_id", "score"])
-
-    return index.select("dim", "n", "bits", "ids", "low", "slices").mapInArrow(run, "number long, query_id long, vec_id long, score long")
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 10, query_block: int = 2048, query_bytes: int = 16 << 20) -> DataFrame:
+            for row in range(batch.num_rows):
+                block, dim, their, query, values, bits, numbers, ids, low, data = (c[row].as_py() for c in batch.columns)
+                if block != at:
+                    yield from found()
+                    at, best = block, {}
+                    own, query_ids = np.frombuffer(their, "<i8"), np.frombuffer(query, "<i8")
+                    queries = np.frombuffer(values, "<i8").reshape(len(own), dim)
+                numbers, ids, low = (np.frombuffer(x, "<i8") for x in (numbers, ids, low))
+                slices = np.frombuffer(data, "<u8").reshape(bits, dim, -(-len(ids) // 64))
+                for i, q in enumerate(queries):
+                    new = _search_block(int(own[i]), q, numbers, ids, low, slices, k)
+                    best[i] = _best(*(np.concatenate(x) for x in zip(best[i], new, strict=True)), k) if i in best else _best(*new, k)
+        yield from found()
+
+    columns = ["block", "dim", "own", "query_ids", "q", "bits", "numbers", "ids", "low", "slices"]
+    return pairs.select(*columns).mapInArrow(run, "number long, query_id long, vec_id long, score long")
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` best rows for each query of ``vectors``."""
     table = materialize(quantise(vectors), "vectors")
-    index = materialize(build_index(table), "bit-slices")
-    results: list[DataFrame] = []
-    block: list[tuple[int, list[int]]] = []
-    size = 0
-    for row in table.where(is_query).toLocalIterator():
-        if block and (len(block) >= query_block or size + 8 * len(row["q"]) > query_bytes):
-            results.append(materialize(_search(index, block, k).withColumn("block", F.lit(len(results))), "best"))
-            block, size = [], 0
-        block.append((row["vec_id"], row["q"]))
-        size += 8 * len(row["q"])
-    best = _search(index, block, k).withColumn("block", F.lit(len(results)))
-    for other in results:
-        best = best.unionByName(other)
-    order = Window.partitionBy("block", "number").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    index = materialize(build_index(table, block_rows), "bit-slices")
+    queries = materialize(query_blocks(table.where(is_query), query_rows), "query-blocks")
+    drop(table)
+    n = index.count()
+    parts = max(1, min(n, PARTS), -(-n // PART_BLOCKS))
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("numbers"), F.lit(parts)).cast("int"))
+    everywhere = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # merged, so that a block of queries meets the blocks of a part one after the other
+    spread = min(parts, PARTS)
+    pairs = everywhere.repartition(spread, "dim", "part").join(dealt.repartition(spread, "dim", "part").hint("merge"), ["dim", "part"])
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+    ranked = _search(pairs, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

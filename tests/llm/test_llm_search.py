@@ -8,11 +8,11 @@ from corpusloom.llm import exact_topk
 
 
 def brute(rows, k=10, every=100):
-    ok = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for a, (i, q) in enumerate(ok):
         if i % every == 0:
-            found = sorted((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+            found = sorted((-int(q @ v), j) for b, (j, v) in enumerate(ok) if a != b and len(v) == len(q))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
     return sorted(out)
 
@@ -27,6 +27,7 @@ def test_exact_topk(spark, seed):
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 8)]) for i in range(350)]
     rows += [(i, rows[5][1]) for i in range(1000, 1060)]  # ties
     rows += [(2000, None), (2001, []), (2100, [1.0, float("nan")]), (2002, [float("inf")] * 8), (2003, [None] + [0.5] * 7), (2200, [1.0, 2.0]), (2201, [-3.0, 2.0]), (None, [1.0] * 8), (2300, [0.0] * 8)]
+    rows += [(300, rows[300][1]), (300, [0.25] * 8), (301, rows[301][1]), (2400, []), (2400, [])]  # repeated ids, empty vectors
     got = sorted(map(tuple, exact_topk.search(table(spark, rows).repartition(5), F.col("vec_id") % 100 == 0).collect()))
     assert got == brute(rows)
 
@@ -34,11 +35,21 @@ def test_exact_topk(spark, seed):
 def test_query_blocks_and_empty(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 2.5)) for _ in range(5)]) for i in range(40)]
-    small = exact_topk.search(table(spark, rows), F.col("vec_id") % 4 == 0, k=3, query_block=3)
+    small = exact_topk.search(table(spark, rows), F.col("vec_id") % 4 == 0, k=3, block_rows=7, query_rows=3)
     assert sorted(map(tuple, small.collect())) == brute(rows, 3, 4)
     assert exact_topk.search(table(spark, rows).limit(0), F.col("vec_id") % 4 == 0).count() == 0
 
 
+def test_parts_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "PARTS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 4)]) for i in range(300)]
+    found = exact_topk.search(table(spark, rows), F.col("vec_id") % 20 == 0, k=4, block_rows=16, query_rows=5)
+    assert sorted(map(tuple, found.collect())) == brute(rows, 4, 20)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
 def test_index_blocks(spark):
     rng = np.random.default_rng(7)
     u = rng.integers(0, 1000, (130, 3))
