@@ -1,10 +1,12 @@
 """Secret scans with an incremental blob ledger, in DataFrame operations only.
 
 Every version of every path is content-addressed by the SHA-256 of its text.
-The ledger holds one row per scanned blob: its address, the rule versions it
-was scanned with and the spans found.  A scan looks for blobs with a rule
-version that the ledger lacks, reduces them to distinct blobs, scans only these
-pairs, appends them to the ledger and joins the findings back to all paths.
+The ledger holds rows of a blob's address, the rule versions it
+was scanned with and the spans found, each with the version of the rule that found it.  A scan looks for
+addresses with a rule version that the ledger lacks, fetches the texts of these alone, scans only the
+missing pairs, and joins the findings back to all paths.  Findings of a rule's superseded versions stay in the
+ledger and are not reported.  :func:`append` keeps the new rows in a table of the
+caller's, from which :func:`open_ledger` reads them again in a later run.
 
 A rule is a regular expression whose matches are taken leftmost and without
 overlap; matches whose measured group is too short are dropped afterwards.
@@ -23,10 +25,13 @@ import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.storage import materialize
+from corpusloom.llm.storage import checked_broadcast, drop, materialize
+
+LEDGER = "blob binary, scanned array<string>, spans array<struct<version:string,start:bigint,end:bigint>>"
 
 
 @dataclass(frozen=True)
@@ -86,23 +91,49 @@ def _scan(blobs: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return matches.withColumn("end", end).where(F.col("measured") >= least).select("blob", "rule", (F.col("end") - F.col("match")).alias("start"), "end")
 
 
-def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """Rows to append to the ledger for the texts of ``versions``.
-
-    A row has ``blob``, ``scanned`` (rule versions) and ``spans`` (rule, start, end;
-    null if there are none).  They are written to the shared folder once.
-    """
+def _unseen(versions: DataFrame, ledger: DataFrame | None, rules: Sequence[Rule]) -> DataFrame:
+    """``blob, text, todo``: distinct blobs with the rule versions they were not scanned with."""
     every = F.array(*[F.lit(r.version) for r in rules])
     blobs = versions.select(_blob(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is None:
         pending = blobs.withColumn("todo", every)
     else:
+        # addresses alone tell what is missing
         known = ledger.select("blob", F.explode("scanned").alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
-        pending = blobs.join(known, "blob", "left").withColumn("todo", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    distinct = materialize(pending.select("blob", "text", "todo").dropDuplicates(["blob"]), "unseen-blobs")
-    spans = _scan(distinct, rules).groupBy("blob").agg(F.collect_list(F.struct("rule", "start", "end")).alias("spans"))
+        missing = blobs.select("blob").distinct().join(known, "blob", "left")
+        missing = missing.select("blob", F.array_except(every, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        pending = blobs.join(checked_broadcast(materialize(missing, "missing-pairs")), "blob")
+    return pending.select("blob", "text", "todo").dropDuplicates(["blob"])
+
+
+def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Rows to append to the ledger for the texts of ``versions``.
+
+    A row has ``blob``, ``scanned`` (rule versions) and ``spans`` (version of the rule, start, end;
+    null if there are none).  They are written to the shared folder once.
+    """
+    distinct = materialize(_unseen(versions, ledger, rules), "unseen-blobs")
+    version = F.coalesce(*[F.when(F.col("rule") == r.name, F.lit(r.version)) for r in rules])
+    spans = _scan(distinct, rules).groupBy("blob").agg(F.collect_list(F.struct(version.alias("version"), "start", "end")).alias("spans"))
     scanned = distinct.select("blob", F.col("todo").alias("scanned"))
-    return materialize(scanned.join(spans, "blob", "left"), "blob-ledger")
+    added = materialize(scanned.join(spans, "blob", "left").to(versions.sparkSession.createDataFrame([], LEDGER).schema), "blob-ledger")
+    drop(distinct)
+    return added
+
+
+def append(added: DataFrame, path: str) -> None:
+    """Add rows of :func:`update_ledger` to the ledger kept at ``path``; repeated rows change nothing."""
+    added.write.mode("append").parquet(path)
+
+
+def open_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``, or None before the first :func:`append`."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def scan(versions: DataFrame, path: Sequence[str], ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -113,14 +144,14 @@ def scan(versions: DataFrame, path: Sequence[str], ledger: DataFrame | None = No
     """
     added = update_ledger(versions, ledger, rules)
     whole = added if ledger is None else ledger.unionByName(added)
-    order = F.coalesce(*[F.when(F.col("s.rule") == r.name, i) for i, r in enumerate(rules)])
-    current = F.array(*[F.lit(r.name) for r in rules])
+    by_version = lambda value: F.coalesce(*[F.when(F.col("s.version") == r.version, F.lit(value(i, r))) for i, r in enumerate(rules)])
+    current = [r.version for r in rules]
     found = (
         whole.where(F.size("spans") > 0)
         .select("blob", F.explode("spans").alias("s"))
-        .where(F.array_contains(current, F.col("s.rule")))
+        .where(F.col("s.version").isin(current))
         .groupBy("blob")
-        .agg(F.array_sort(F.collect_set(F.struct(F.col("s.start"), order.alias("order"), F.col("s.end"), F.col("s.rule")))).alias("spans"))
+        .agg(F.array_sort(F.collect_set(F.struct(F.col("s.start"), by_version(lambda i, r: i).alias("order"), F.col("s.end"), by_version(lambda i, r: r.name).alias("rule")))).alias("spans"))
     )
     found = materialize(found, "findings")
     paths = versions.select(F.struct(*path).alias("path"), _blob(F.col("text")).alias("blob"))
