@@ -44,6 +44,11 @@ def _pattern(pattern_key: Column, realization: Column) -> Column:
     return F.struct(pattern_key.alias("pattern_key"), realization.alias("realization"))
 
 
+def _key_only(pattern_key: Column, realization: Column) -> Column:
+    """A pattern whose realization nobody asks for, so that its text is never put together."""
+    return _pattern(pattern_key, F.lit(None).cast("string"))
+
+
 def _text(tokens: Column) -> Column:
     return F.array_join(tokens, " ")
 
@@ -57,16 +62,16 @@ def _text_of(number: Column) -> Column:
     return number.cast("string")
 
 
-def token_ngrams(tokens, seq, is_anchor, max_n):
+def token_ngrams(tokens, seq, is_anchor, max_n, make=_pattern):
     def family(n: int) -> Column:
         grams = F.filter(ngrams(tokens, n), lambda g: F.exists(g, is_anchor))
         shape = lambda g: _text(F.transform(g, lambda t: F.when(is_anchor(t), t).otherwise(SLOT)))
-        return F.transform(grams, lambda g: _pattern(key("tok_ng", F.filter(g, is_anchor), n=F.lit(str(n)), sig=shape(g)), _text(g)))
+        return F.transform(grams, lambda g: make(key("tok_ng", F.filter(g, is_anchor), n=F.lit(str(n)), sig=shape(g)), _text(g)))
 
     return F.concat(*[family(n) for n in range(2, max_n + 1)]) if max_n >= 2 else F.array().cast(_PATTERN)
 
 
-def anchor_windows(tokens, seq, is_anchor, reach=2):
+def anchor_windows(tokens, seq, is_anchor, reach=2, make=_pattern):
     last = F.size(tokens) - 1
     # each step binds what the next one uses more than once
     ends = F.transform(seq, lambda a: F.struct(F.least(a["i"], F.lit(reach)).alias("l"), F.least(last - a["i"], F.lit(reach)).alias("r"), a["i"].alias("i")))
@@ -74,7 +79,7 @@ def anchor_windows(tokens, seq, is_anchor, reach=2):
 
     def window(x: Column) -> Column:
         shape = _text(F.transform(x["w"], lambda t: F.when(is_anchor(t), t).otherwise(SLOT)))
-        return _pattern(key("anch_win", F.filter(x["w"], is_anchor), l=_text_of(x["l"]), r=_text_of(x["r"]), sig=shape), _text(x["w"]))
+        return make(key("anch_win", F.filter(x["w"], is_anchor), l=_text_of(x["l"]), r=_text_of(x["r"]), sig=shape), _text(x["w"]))
 
     return F.transform(cut, window)
 
@@ -94,17 +99,17 @@ def _joined(family: str, anchors: list[Column], **params: Column) -> Column:
     return F.concat(*parts)
 
 
-def anchor_pairs(tokens, seq, max_gap):
+def anchor_pairs(tokens, seq, max_gap, make=_pattern):
     def pair(a: Column, b: Column) -> Column:
-        return _pattern(_joined("anch_pair", [a["e"], b["e"]], gap=gap_bucket(b["i"] - a["i"] - 1)), _text(_between(tokens, a["i"], b["i"])))
+        return make(_joined("anch_pair", [a["e"], b["e"]], gap=gap_bucket(b["i"] - a["i"] - 1)), _text(_between(tokens, a["i"], b["i"])))
 
     near = lambda a, k: _later(seq, k, max_gap + 1, lambda b: b["i"] - a["i"] - 1 <= max_gap)
     return F.flatten(F.transform(seq, lambda a, k: F.transform(near(a, k), lambda b: pair(a, b))))
 
 
-def anchor_sequence(seq):
+def anchor_sequence(seq, make=_pattern):
     anchors = F.transform(seq, lambda a: a["t"])
-    return F.when(F.size(seq) >= 2, F.array(_pattern(key("anch_seq", anchors), _text(anchors)))).otherwise(F.array().cast(_PATTERN))
+    return F.when(F.size(seq) >= 2, F.array(make(key("anch_seq", anchors), _text(anchors)))).otherwise(F.array().cast(_PATTERN))
 
 
 def skeleton_text(tokens: Column, is_anchor: Callable[[Column], Column]) -> Column:
@@ -113,18 +118,18 @@ def skeleton_text(tokens: Column, is_anchor: Callable[[Column], Column]) -> Colu
     return _text(F.transform(tokens, kind))
 
 
-def skeleton(tokens, seq, is_anchor):
-    return F.array(_pattern(key("skel", F.transform(seq, lambda a: a["t"]), sig=skeleton_text(tokens, is_anchor)), _text(tokens)))
+def skeleton(tokens, seq, is_anchor, make=_pattern):
+    return F.array(make(key("skel", F.transform(seq, lambda a: a["t"]), sig=skeleton_text(tokens, is_anchor)), _text(tokens)))
 
 
-def compressed_skeleton(tokens, seq):
+def compressed_skeleton(tokens, seq, make=_pattern):
     gap = lambda a, k: (k > 0) & (a["i"] - F.element_at(seq, F.greatest(k, F.lit(1)))["i"] > 1)
     shape = _text(F.transform(seq, lambda a, k: F.when(gap(a, k), F.concat(F.lit(SPAN + " "), a["t"])).otherwise(a["t"])))
-    own = F.array(_pattern(key("cskel", F.transform(seq, lambda a: a["t"]), sig=shape), _text(tokens)))
+    own = F.array(make(key("cskel", F.transform(seq, lambda a: a["t"]), sig=shape), _text(tokens)))
     return F.when(F.size(seq) > 0, own).otherwise(F.array().cast(_PATTERN))
 
 
-def anchor_spans(tokens, seq, max_gap, signature=False):
+def anchor_spans(tokens, seq, max_gap, signature=False, make=_pattern):
     n = F.size(tokens)
     nothing = F.struct(F.lit("").alias("t"), F.lit(-1).alias("i"), F.lit("").alias("e"))
     # every occurrence with the next one; the last one has none
@@ -144,15 +149,15 @@ def anchor_spans(tokens, seq, max_gap, signature=False):
         # an interior holds no anchor, as it ends at the next one
         counts = {"kA": F.lit("0"), "kX": _text_of(x["gap"])} if signature else {}
         own = _joined("span_sig" if signature else "anch_span", [x["e"], x["tail"]], gap=gap_bucket(x["gap"]), **counts)
-        return _pattern(own, _text(_between(tokens, x["i"], x["last"])))
+        return make(own, _text(_between(tokens, x["i"], x["last"])))
 
     return F.transform(spans, span)
 
 
-def skip_grams(seq, max_jump, triples=False):
+def skip_grams(seq, max_jump, triples=False, make=_pattern):
     near = lambda a, k: _later(seq, k, max_jump, lambda b: b["i"] - a["i"] <= max_jump)
     jump = F.lit(str(max_jump))
-    made = lambda family, *xs: _pattern(_joined(family, [x["e"] for x in xs], max_jump=jump), F.concat_ws(" ... ", *[x["t"] for x in xs]))
+    made = lambda family, *xs: make(_joined(family, [x["e"] for x in xs], max_jump=jump), F.concat_ws(" ... ", *[x["t"] for x in xs]))
     if not triples:
         return F.flatten(F.transform(seq, lambda a, k: F.transform(near(a, k), lambda b: made("a_skip2", a, b))))
     # the j-th occurrence near the k-th is number k + 1 + j of the sequence
@@ -160,22 +165,23 @@ def skip_grams(seq, max_jump, triples=False):
     return F.flatten(F.transform(seq, lambda a, k: F.flatten(F.transform(near(a, k), lambda b, j: third(a, b, k + 1 + j)))))
 
 
-def pattern_array(tokens: Column, seq: Column, is_anchor: Callable[[Column], Column], families: Sequence[str] = DEFAULT_FAMILIES, max_ngram_n: int = 4, max_gap: int = 20, max_jump: int = 10) -> Column:
-    """All patterns of the chosen families as one array."""
+def pattern_array(tokens: Column, seq: Column, is_anchor: Callable[[Column], Column], families: Sequence[str] = DEFAULT_FAMILIES, max_ngram_n: int = 4, max_gap: int = 20, max_jump: int = 10, realizations: bool = True) -> Column:
+    """All patterns of the chosen families as one array; without ``realizations`` those are null."""
     unknown = set(families) - set(FAMILIES)
     if unknown:
         raise ValueError(f"unknown families: {sorted(unknown)}")
+    make = _pattern if realizations else _key_only
     built = {
-        "tok_ng": lambda: token_ngrams(tokens, seq, is_anchor, max_ngram_n),
-        "anch_win": lambda: anchor_windows(tokens, seq, is_anchor),
-        "anch_pair": lambda: anchor_pairs(tokens, seq, max_gap),
-        "anch_seq": lambda: anchor_sequence(seq),
-        "skel": lambda: skeleton(tokens, seq, is_anchor),
-        "cskel": lambda: compressed_skeleton(tokens, seq),
-        "anch_span": lambda: anchor_spans(tokens, seq, max_gap),
-        "span_sig": lambda: anchor_spans(tokens, seq, max_gap, signature=True),
-        "a_skip2": lambda: skip_grams(seq, max_jump),
-        "a_skip3": lambda: skip_grams(seq, max_jump, triples=True),
+        "tok_ng": lambda: token_ngrams(tokens, seq, is_anchor, max_ngram_n, make=make),
+        "anch_win": lambda: anchor_windows(tokens, seq, is_anchor, make=make),
+        "anch_pair": lambda: anchor_pairs(tokens, seq, max_gap, make=make),
+        "anch_seq": lambda: anchor_sequence(seq, make=make),
+        "skel": lambda: skeleton(tokens, seq, is_anchor, make=make),
+        "cskel": lambda: compressed_skeleton(tokens, seq, make=make),
+        "anch_span": lambda: anchor_spans(tokens, seq, max_gap, make=make),
+        "span_sig": lambda: anchor_spans(tokens, seq, max_gap, signature=True, make=make),
+        "a_skip2": lambda: skip_grams(seq, max_jump, make=make),
+        "a_skip3": lambda: skip_grams(seq, max_jump, triples=True, make=make),
     }
     chosen = [built[f]() for f in FAMILIES if f in families]
     return F.concat(*chosen) if chosen else F.array().cast(_PATTERN)

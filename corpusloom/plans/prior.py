@@ -37,7 +37,7 @@ def tokenized(lines: DataFrame, tokenizer: Tokenizer = words, skip_empty: bool =
 
 def prior_of(lines: DataFrame, anchors: Iterable[str], config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = words, cap: int = 9999) -> tuple[DataFrame, DataFrame]:
     """The tables ``pattern_global_stats`` and ``pattern_global_realizations``."""
-    sentences = extract(tokenized(lines, tokenizer), anchors, **config.options())
+    sentences = extract(tokenized(lines, tokenizer), anchors, realizations=cap > 0, **config.options())
     rows = explode(sentences)
     stats = statistics.prior(sentences, cap > 0, cap)
     if cap <= 0:

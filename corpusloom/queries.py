@@ -25,6 +25,7 @@ from corpusloom.operators import similarity as M
 from corpusloom.operators import statistics as S
 from corpusloom.plans import inspect
 from corpusloom.plans import reports as R
+from corpusloom.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -69,7 +70,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``sid, doc_id, text`` of the documents' sentences."""
-    split = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[.!?\n]+")).alias("i", "s"))
+    texts = readers.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    split = texts.select("doc_id", F.posexplode(F.split("text", "[.!?\n]+")).alias("i", "s"))
     return split.select((F.col("doc_id") * SENTENCES_PER_DOCUMENT + F.col("i")).alias("sid"), "doc_id", F.trim("s").alias("text")).where("text <> ''")
 
 
@@ -402,7 +404,7 @@ _PRIOR = f"pat AS ({_PAIR}),\nprior AS (SELECT pattern_key, count(*) AS count_oc
 
 
 def anchor_pair_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = S.prior(extracted(spark, sf_dir, "anch_pair"))
+    stats = _prior(spark, sf_dir)
     return stats.select("pattern_key", "count_occurrences", "count_sentences", F.round("p_global", 6).alias("p_global"))
 
 
@@ -423,7 +425,7 @@ _PERSONAL = f"ppat AS (SELECT * FROM ({_PAIR}) WHERE sid // 2147483648 IN (SELEC
 
 
 def _personal(spark, sf_dir):
-    return S.personal(extracted(spark, sf_dir, "anch_pair", personal=True))
+    return S.personal(extracted(spark, sf_dir, "anch_pair", personal=True, realizations=False))
 
 
 @_query(_with("occ", more=_PERSONAL) + "SELECT pattern_key, 'anch_pair' AS family, count_seen, distinct_sentence_count, emerged FROM own")
@@ -489,7 +491,7 @@ _BOTH = _PRIOR + ",\n" + _PERSONAL
 
 
 def _prior(spark, sf_dir):
-    return S.prior(extracted(spark, sf_dir, "anch_pair"))
+    return S.prior(extracted(spark, sf_dir, "anch_pair", realizations=False))
 
 
 @_query(_with("occ", more=_BOTH) + "SELECT count(*) AS emerged_patterns, round(sum(coalesce(p, 0)), 6) AS coverage_mass FROM (SELECT * FROM own WHERE emerged) LEFT JOIN (SELECT pattern_key, count_sentences / sum(count_sentences) OVER () AS p FROM prior) USING (pattern_key)")
@@ -518,7 +520,7 @@ def count_thresholds(spark, sf_dir):
 
 @_query(_with("occ", more=f"{_ANCSET},\npat AS ({_DEFAULT})") + "SELECT split_part(pattern_key, '|', 1) AS family, count(DISTINCT pattern_key) AS n_patterns FROM pat GROUP BY 1 ORDER BY n_patterns DESC, family LIMIT 12")
 def family_breakdown(spark, sf_dir):
-    return R.family_breakdown(S.key_counts(extracted(spark, sf_dir)))
+    return R.family_breakdown(S.key_counts(extracted(spark, sf_dir, realizations=False)))
 
 
 @_query(_with("occ", more=_PRIOR) + "SELECT quantile_disc(count_sentences, 0.5) AS p50, quantile_disc(count_sentences, 0.9) AS p90, quantile_disc(count_sentences, 0.99) AS p99 FROM prior")
@@ -533,7 +535,7 @@ def singletons(spark, sf_dir):
 
 @_query(_with("occ", more=_PRIOR) + "SELECT pattern_key, count_sentences, count_occurrences FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 20")
 def top_patterns(spark, sf_dir):
-    return R.top_patterns(S.key_counts(extracted(spark, sf_dir, "anch_pair"))).select("pattern_key", "count_sentences", "count_occurrences")
+    return R.top_patterns(S.key_counts(extracted(spark, sf_dir, "anch_pair", realizations=False))).select("pattern_key", "count_sentences", "count_occurrences")
 
 
 @_query(_with("occ", more=_PERSONAL) + "SELECT pattern_key, count_seen, distinct_sentence_count FROM own WHERE emerged ORDER BY count_seen DESC, distinct_sentence_count DESC, pattern_key LIMIT 20")
@@ -564,14 +566,14 @@ def unknown_vocab_ratio(spark, sf_dir):
     + "SELECT n AS n_sentences, n_any, n_skel, round(n_any / n, 6) AS any_share, round(n_skel / n, 6) AS skel_share FROM hits"
 )
 def sentence_coverage(spark, sf_dir):
-    rows = extracted(spark, sf_dir).select(F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
+    rows = extracted(spark, sf_dir, realizations=False).select(F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
     found = R.sentence_coverage(rows)
     return found.select("n_sentences", "n_any", "n_skel", F.round("any_share", 6).alias("any_share"), F.round("skel_share", 6).alias("skel_share"))
 
 
 @_query(_with("occ", more=_PRIOR + ",\ntop AS (SELECT pattern_key FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 200)") + "SELECT t AS token, count(pattern_key) AS n_keys FROM anc LEFT JOIN top ON contains(pattern_key, t) GROUP BY t")
 def anchor_presence(spark, sf_dir):
-    top = R.top_patterns(S.key_counts(extracted(spark, sf_dir, "anch_pair")), 200)
+    top = R.top_patterns(S.key_counts(extracted(spark, sf_dir, "anch_pair", realizations=False)), 200)
     return M.anchor_presence(_anchors(spark, sf_dir), top)
 
 

@@ -25,6 +25,16 @@ def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
     return rows.select(strip(F.col(f"`{column}`")).alias("value")).where("value <> ''")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of a table of fewer files than cores, dealt out by ``key``.
+
+    Such a table may hold no more than one row group per file, which one task reads, so whatever is computed from
+    its texts would run in few tasks.  A table of more files is left as it is, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+
+
 def flash_cards(spark: SparkSession, path: str) -> DataFrame:
     """Two columns without a header; missing ones read as the text ``nan``, as exports are joined so."""
     return spark.read.csv(path, sep="\t", schema=FLASH_CARDS).na.fill("nan")
