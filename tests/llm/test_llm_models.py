@@ -42,6 +42,72 @@ def test_language_learns_from_texts_outside_the_fold_only(spark):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def plain_grams(text):
+    """Buckets of the 1- to 3-grams of lower-cased letters, by plain loops; a gram without a letter at its end or before has none."""
+    import unicodedata
+
+    m0, m1, m2 = (int(m) for m in language_id._MULTIPLIERS)
+    low = " " + (text or "").lower() + " "
+    letter = [unicodedata.category(c)[0] == "L" for c in low]
+    codes = [ord(c) if is_letter else 32 for c, is_letter in zip(low, letter)]
+    top = lambda x: (x % 2**32) >> (32 - language_id.BITS)
+    out = []
+    for i, c in enumerate(codes):
+        if letter[i]:
+            out.append(top((c * m0) % 2**32 ^ 0x27D4EB2F))
+        if i >= 1 and (letter[i] or letter[i - 1]):
+            out.append(top((c * m0 + codes[i - 1] * m1) % 2**32 ^ 0x165667B1))
+            if i >= 2:
+                out.append(top(c * m0 + codes[i - 1] * m1 + codes[i - 2] * m2))
+    return out, any(letter)
+
+
+def brute_bayes(rows, smoothing=0.5, evidence=60):
+    """Language and score of every text by dictionaries of counts."""
+    import math
+    from collections import Counter
+
+    counts, docs = {}, Counter()
+    for i, text, lang in rows:
+        if text is not None and lang is not None and zlib.crc32(("" if i is None else str(i)).encode()) % 5:
+            counts.setdefault(lang, Counter()).update(plain_grams(text)[0])
+            docs[lang] += 1
+    languages = sorted(counts)
+    total = {k: sum(counts[k].values()) + smoothing * language_id.BUCKETS for k in languages}
+    out = []
+    for _, text, _ in rows:
+        grams, has = plain_grams(text)
+        if not has or not languages:
+            out.append(("und", 0.0))
+            continue
+        sums = {k: sum(math.log((counts[k][g] + smoothing) / total[k]) for g in grams) for k in languages}
+        prior = {k: math.log(docs[k] / sum(docs.values())) for k in languages}
+        best = max(languages, key=lambda k: sums[k] + prior[k])
+        share = min(len(grams), evidence) / len(grams)
+        odds = {k: sums[k] * share + prior[k] for k in languages}
+        out.append((best, 1 / sum(math.exp(min(odds[k] - odds[best], 50)) for k in languages)))
+    return out
+
+
+def test_language_against_a_plain_naive_bayes(spark):
+    rows = corpus(60) + [(100, "Straße 12 und die Häuser", None), (101, "x", "en"), (102, None, "fr"), (None, "le la", "fr"), (103, "...", "fr"), (104, "der the la el", None)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(((str(r["doc_id"]), r["lang_pred"], round(r["score"], 4)) for r in language_id.identify(docs).collect()), key=str)
+    want = sorted(((str(i), lang, round(score, 4)) for (i, _, _), (lang, score) in zip(rows, brute_bayes(rows))), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(a[2] == pytest.approx(b[2], abs=2e-3) for a, b in zip(got, want))
+
+
+def test_language_ties_and_bound(spark):
+    # two languages with the same texts: the first in alphabetical order
+    rows = [(i, "abc abd", lang) for lang, ids in (("zz", (1, 2, 3)), ("aa", (4, 6, 7))) for i in ids if zlib.crc32(str(i).encode()) % 5]
+    rows = [*rows, *[(i, t, "aa" if lang == "zz" else "zz") for i, t, lang in rows]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in language_id.identify(docs).collect()} == {("aa", 0.5)}
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(docs, max_languages=1)
+
+
 def test_slices_count_every_gram_once():
     text = "Ärger über Öl und Straße " * 200
     whole = [np.bincount(np.concatenate(g), minlength=language_id.BUCKETS + 1)[:-1] for g, _, _, _ in language_id._blocks_of_grams([text])]
@@ -85,6 +151,61 @@ def test_toxicity_accuracy_and_fairness(spark):
     assert gap(5.0) < 0.3 * gap(0.0)
 
 
+def test_toxicity_scores_and_gradient_against_plain_loops(spark):
+    docs, labels = toxic_corpus(spark)
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        words = {w for w in (r["text"] or "").lower().split()}
+        z = model.bias + sum(model.weights.get(toxicity._hash(w), 0.0) for w in words)
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)))
+    # the loss written out, and its slope by differences
+    rng = np.random.default_rng(3)
+    rows, words = 7, 5
+    x = rng.integers(0, 2, (rows, words)).astype(float)
+    swapped = x.copy()
+    swapped[:4] = swapped[:4][:, [1, 0, 2, 3, 4]]
+    at = np.flatnonzero((x != swapped).any(axis=1))
+    y, weight, w, b = np.array([1.0, 0, 1, 0, 0, 1, 0]), rng.uniform(0.5, 2, rows), rng.normal(size=words), 0.3
+    delta = (swapped - x)[at]
+
+    def loss(w, b):
+        z = x @ w + b
+        logistic = (weight * (np.log1p(np.exp(z)) - y * z)).mean()
+        return logistic + 0.01 / 2 * w @ w + 2.0 * ((delta @ w) ** 2).mean()
+
+    drow, dcol = np.nonzero(delta)
+    g, gb = toxicity.gradient(w, b, y, weight, np.nonzero(x), (drow, dcol, delta[drow, dcol], len(at)), 2.0, 0.01)
+    step = 1e-6
+    want = [(loss(w + step * e, b) - loss(w - step * e, b)) / (2 * step) for e in np.eye(words)]
+    assert len(at) > 1 and np.allclose(g, want, atol=1e-6) and gb == pytest.approx((loss(w, b + step) - loss(w, b - step)) / (2 * step), abs=1e-6)
+
+
+def test_toxicity_penalty_acts_on_the_labelled_texts(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the driver's tables")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    free, held = (toxicity.fit(docs, labels, fairness=f) for f in (0.0, 1.0))
+    assert free.changed == held.changed > 20 and held.gap < 0.7 * free.gap
+    with pytest.warns(UserWarning, match="no labelled text"):
+        assert toxicity.fit(docs, labels, groups=(("nosuchterm", "norother"),)).changed == 0
+
+
+def test_toxicity_bounds_ties_and_odd_rows(spark):
+    docs, labels = toxic_corpus(spark)
+    features = toxicity.labelled_features(docs, labels, toxicity.IDENTITY_GROUPS, 20_000)
+    few = toxicity._bounded(features, 500)
+    assert 0 < len(few) < 100 and sum(len(x) // 8 for x in few["own"]) <= 500 and len(toxicity._bounded(features, 3)) == 0
+    twice = docs.unionByName(docs).unionByName(spark.createDataFrame([(3000, "scum " + "word " * 300_000), (3001, "river " * 300_000)], docs.schema)).withColumn("score", F.lit("own")).withColumn("toxic", F.lit("own"))
+    got = {}
+    for r in toxicity.classify(twice, labels.unionByName(labels)).collect():
+        assert got.setdefault(r["doc_id"], r) == r
+    assert got[3000]["predicted"] == 1 and got[3001]["predicted"] == 0
+
+
 def test_toxicity_without_labels(spark):
     docs, labels = toxic_corpus(spark)
     assert all(r["score"] == pytest.approx(0.0, abs=1e-6) for r in toxicity.classify(docs, labels.limit(0)).collect())
