@@ -7,6 +7,7 @@ White space means what Unicode calls so; the engine's ``trim`` and a plain
 from __future__ import annotations
 
 from collections.abc import Mapping
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,12 +70,40 @@ def split_sentences(text: Column) -> Column:
     return F.split(text, f"(?<=[{TERMINATORS}])")
 
 
+#: What a reader of a page doesn't see: scripts, styles and comments.
+UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+NUMERIC_ENTITY = "^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"
+NAMED_ENTITY = "^([A-Za-z][A-Za-z0-9]*);"
+#: Latin names as the standard library lists them.
+ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
+
+
+def unescape(text: Column) -> Column:
+    """Entities as characters, each once: numeric ones, those of Latin names, and nothing else."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def character(digits: Column) -> Column:
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("int")
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    def decoded(piece: Column) -> Column:
+        digits, name = F.regexp_extract(piece, NUMERIC_ENTITY, 1), F.regexp_extract(piece, NAMED_ENTITY, 1)
+        named = F.try_element_at(names, name)
+        return (
+            F.when(digits != "", F.concat(character(digits), F.regexp_replace(piece, NUMERIC_ENTITY, "")))
+            .when(named.isNotNull(), F.concat(named, F.substr(piece, F.char_length(name) + 2)))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(text, "&")
+    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), decoded), ""))
+
+
 def html_text(html: Column) -> Column:
-    """Text of HTML: no sound marks, tags become spaces, common entities are decoded, spaces normalised."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SOUND, ""), "<[^>]*>", " ")
-    for entity, character in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(character))
-    return normalize(text)
+    """Text of HTML: no sound marks, scripts, styles and comments; tags become spaces, entities are decoded, spaces normalised."""
+    seen = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), SOUND, ""), UNSEEN, " ")
+    return normalize(unescape(F.regexp_replace(seen, "<[^>]*>", " ")))
 
 
 def first_cjk_run(text: Column) -> Column:

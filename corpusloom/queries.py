@@ -146,12 +146,15 @@ def split_sentences(spark, sf_dir):
     return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.char_length("s")).alias("chars"), F.count_if(F.col("s").endswith("。")).alias("ended"))
 
 
-_HTML = r"regexp_replace(regexp_replace(coalesce(html, ''), '\[sound:[^\]]+\]', '', 'g'), '<[^>]*>', ' ', 'g')"
-for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_e}', '{_c}')"
+_SEEN = f"regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '\\[sound:[^\\]]+\\]', '', 'g'), '{T.UNSEEN}', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+_NAMES, _CHARACTERS = ("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]" for xs in (T.ENTITIES.keys(), T.ENTITIES.values()))
+_DIGITS, _NAME = f"regexp_extract(x, '{T.NUMERIC_ENTITY}', 1)", f"regexp_extract(x, '{T.NAMED_ENTITY}', 1)"
+_CODE = f"CASE WHEN lower({_DIGITS}) LIKE 'x%' THEN TRY_CAST('0x' || substr({_DIGITS}, 2) AS INTEGER) ELSE TRY_CAST({_DIGITS} AS INTEGER) END"
+_DECODED = f"CASE WHEN {_DIGITS} <> '' THEN chr({_CODE}) || regexp_replace(x, '{T.NUMERIC_ENTITY}', '') WHEN list_contains(names, {_NAME}) THEN characters[list_position(names, {_NAME})] || substr(x, length({_NAME}) + 2) ELSE '&' || x END"
+_HTML = f"(SELECT page_id, p[1] || array_to_string(list_transform(p[2:], lambda x: {_DECODED}), '') AS t FROM (SELECT page_id, string_split({_SEEN}, '&') AS p, {_NAMES} AS names, {_CHARACTERS} AS characters FROM pages))"
 
 
-@_query(f"SELECT page_id, regexp_replace(regexp_replace({_HTML}, '{_W}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM pages")
+@_query(f"SELECT page_id, regexp_replace(regexp_replace(t, '{_W}+', ' ', 'g'), '^ | $', '', 'g') AS text FROM {_HTML}")
 def html_to_text(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 

@@ -81,3 +81,14 @@ def test_statistics(spark):
     assert [value(spark, statistics.emerged(F.col("c"), F.col("s")), c=c, s=s) for c, s in ((3, 2), (2, 2), (3, 1))] == [True, False, False]
     assert value(spark, statistics.percent_text(F.lit(1), F.lit(0))) == "0.0%"
     assert statistics.meta_int({"a": "x"}, "a", 3) == 3 and statistics.meta_bool({"a": "YES"}, "a")
+
+
+@pytest.mark.parametrize(
+    ("raw", "expected"),
+    [
+        ("a<script type='x'>var t = '</p>';</script >b<STYLE>p{}</STYLE><!-- c <b> -->d", "a b d"), ("&copy; &middot;&amp;lt; &eacute; &nosuch; & &apos;", "© ·&lt; é &nosuch; & '"),
+        ("&#39;&#x5B57;&#X1F600 &#0;&#xD800;&#9999999;", "'字😀 ���"), ("&amp;#39;", "&#39;"), ("scripted <scripts>x</scripts>", "scripted x"), (None, ""),
+    ],
+)
+def test_html_text(spark, raw, expected):
+    assert value(spark, text.html_text(F.lit(raw).cast("string"))) == expected
