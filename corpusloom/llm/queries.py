@@ -33,6 +33,30 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_messages(_read(spark, sf_dir, "conversations"))
 
 
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with tool calls, made of the conversations: every turn that is a multiple of 3 becomes a call of
+    two tools, and a later turn (for some conversations an earlier one) their results.
+    """
+    turn, conv = F.col("turn"), F.col("conv_id")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
+    call = lambda name, place: F.concat(F.lit(f'{{"id":"{name}'), turn.cast("string"), F.lit('","arguments":{"n":'), F.coalesce(F.col("n").cast("string"), F.lit("null")), F.lit(f'}},"name":"{place}"}}'))
+    made = F.concat(F.lit('{"tool_calls": ['), call("a", "count"), F.lit(", "), call("b", "other"), F.lit("]}"))
+    # the result of turn t names the call of turn t - 1, or of t + 1 in conversations of even number
+    of = F.when(conv % 2 == 0, turn + 1).otherwise(turn - 1)
+    result = F.concat(F.lit('\n{"content":[1,"x"],"tool_call_id":"a'), of.cast("string"), F.lit('"}'))
+    is_call = turn % 3 == 0
+    return rows.select("conv_id", "turn", F.when(is_call, "assistant").otherwise("tool").alias("role"), F.when(is_call, made).otherwise(result).alias("text"))
+
+
+#: What the made calls may hold: the length of a text of at least 40 characters.
+TOOLS = {"count": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 40}}, "required": ["n"], "additionalProperties": False}}
+
+
+def tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat formatting of conversations with tool calls."""
+    return chat_format.format_messages(tool_calls(spark, sf_dir), TOOLS)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_read(spark, sf_dir, "documents"))
 
@@ -69,6 +93,27 @@ SELECT conv_id, turn, turn AS seq_turn, CAST(0 AS INTEGER) AS seq_after, role,
 FROM conversations
 """
 
+#: Calls of turns 0, 3, 6 and on; a result's call is the neighbour turn if that is one of them and there.
+TOOL_SQL = """
+WITH rows AS (SELECT conv_id, turn, length(text) AS n, turn % 3 = 0 AS is_call, CASE WHEN conv_id % 2 = 0 THEN turn + 1 ELSE turn - 1 END AS other FROM conversations),
+calls AS (SELECT conv_id, turn, min(n) AS n FROM rows WHERE is_call GROUP BY ALL),
+wanted AS (SELECT DISTINCT conv_id, other FROM rows WHERE NOT is_call),
+made AS (
+    SELECT r.conv_id, r.turn, r.turn AS seq_turn, 0 AS seq_after, 'assistant' AS role, 2 AS n_calls,
+           CASE WHEN w.other IS NULL THEN 0 ELSE 1 END AS n_linked, CASE WHEN r.n >= 40 THEN 1 ELSE 2 END AS n_invalid,
+           '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"n":' || coalesce(CAST(r.n AS VARCHAR), 'null') || '}' ||
+           CASE WHEN r.n >= 40 THEN '' WHEN r.n IS NULL THEN ',"error":"type of n"' ELSE ',"error":"value of n"' END || ',"id":"a' || r.turn ||
+           '","name":"count"},{"arguments":{"n":' || coalesce(CAST(r.n AS VARCHAR), 'null') || '},"error":"unknown tool","id":"b' || r.turn || '","name":"other"}]}' AS message
+    FROM rows r LEFT JOIN wanted w ON w.conv_id = r.conv_id AND w.other = r.turn WHERE r.is_call),
+results AS (
+    SELECT r.conv_id, r.turn, CASE WHEN c.turn >= r.turn THEN c.turn ELSE r.turn END AS seq_turn, CASE WHEN c.turn >= r.turn THEN 1 ELSE 0 END AS seq_after, 'tool' AS role, 0 AS n_calls,
+           CASE WHEN c.turn IS NULL THEN 0 ELSE 1 END AS n_linked, 0 AS n_invalid,
+           '{"content":[1,"x"],"role":"tool","tool_call_id":"a' || r.other || '"}' AS message
+    FROM rows r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.other WHERE NOT r.is_call)
+SELECT conv_id, turn, seq_turn, CAST(seq_after AS INTEGER) AS seq_after, role, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_linked AS BIGINT) AS n_linked, CAST(n_invalid AS BIGINT) AS n_invalid, message
+FROM (SELECT * FROM made UNION ALL SELECT * FROM results)
+"""
+
 #: Exact similarities by an inverted index, components by spreading the smallest id.
 OP1_SQL = r"""
 WITH RECURSIVE words AS (
@@ -159,6 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_chat_formatting": op3_chat_formatting,
+        "tool_call_linking": tool_call_linking,
         "op4_language_id": op4_language_id,
         "op5_token_files": op5_token_files,
         "op6_decontamination": op6_decontamination,
@@ -170,4 +216,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "tool_call_linking": TOOL_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL}
