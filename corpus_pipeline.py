@@ -7,6 +7,7 @@ the shared folder and read again as the next one's ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, language_id, line_dedup, minhash_dedup, sentencepiece_codec
 from corpusloom.llm.queries import tokenizer_path
@@ -34,9 +35,10 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, their number, checksum and whether they decode to the text."""
+    """Adds ids, their number, checksum and whether they decode to the text; columns of those names give way."""
     encoded = sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=1, keep=tuple(docs.columns), cached_chunks=400_000)
-    return encoded.select("row.*", "ids", "n_tokens", "ids_crc32", "lossless")
+    own = ["ids", "n_tokens", "ids_crc32", "lossless"]
+    return encoded.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *own)
 
 
 STAGES = [
