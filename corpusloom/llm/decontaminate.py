@@ -10,8 +10,9 @@ document is contaminated by an item if on some alignment a passage of at least
 2 substitutions in 13 tokens, 3 in 15, 4 in 20 and 5 in 25, and a longer passage contains
 one of these; shorter items get a mask of the run that must remain.
 
-The benchmark is broadcast in blocks of at most ``block_tokens`` tokens, one
-pass over the documents for each, so a broadcast never grows with the data.
+The benchmark is broadcast in blocks of at most ``block_tokens`` tokens, each with a Python pass
+of its own within one stage. A broadcast is bounded and doesn't grow with the documents; all of them together are as
+large as the benchmark, which is taken to be small beside a corpus.
 
 Defined results: tokens are runs of letters, digits and underscores in lower
 case.  Null and empty texts and items have no tokens and match nothing.  Repeated

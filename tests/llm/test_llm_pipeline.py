@@ -50,3 +50,19 @@ def test_run_equals_the_stages_and_survives_empty_tables(spark, sf_dir, tmp_path
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{sf_dir}/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_with_odd_rows(spark, sf_dir, tmp_path):
+    """Repeated rows, null ids and columns named like what stages add."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("*").where("doc_id < 12")
+    extra = spark.createDataFrame([(None, "the water of the house with stone", "en", "s", 0), (None, None, None, None, None), (3, "", "en", None, None)], docs.schema)
+    from pyspark.sql import functions as F
+
+    odd = docs.unionByName(docs.where("doc_id < 3")).unionByName(extra).withColumn("ids", F.lit("own")).withColumn("row", F.lit(1)).withColumn("lang_pred", F.lit("x")).withColumn("removed", F.lit(2)).withColumn("matches", F.lit(3))
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.run(spark, str(tmp_path))
+    assert kept.columns == [c for c in odd.columns if c != "ids"] + ["ids", "n_tokens", "ids_crc32", "lossless"]
+    rows = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted([str(i) for i in range(12)] + ["None"])
+    assert all(r["lossless"] and r["row"] == 1 and r["removed"] == 2 for r in rows)
