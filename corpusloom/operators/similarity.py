@@ -48,3 +48,14 @@ def anchor_presence(anchors: DataFrame, top_patterns: DataFrame) -> DataFrame:
     held = F.col("pattern_key").contains(F.col("token"))
     pairs = anchors.select("token").join(F.broadcast(top_patterns.select("pattern_key")), held, "left")
     return pairs.groupBy("token").agg(F.count("pattern_key").alias("n_keys"))
+
+
+def anchor_presence_summary(anchors: DataFrame, top_patterns: DataFrame, first: int = 80) -> DataFrame:
+    """One row: how many of the ``first`` anchors (by ``ordinal``) the listed keys hold, and whether that is suspiciously few.
+
+    Few are less than 5 or less than 15 of 100 (rounded down): the prior may have been built with other anchors.
+    """
+    checked = anchors.orderBy("ordinal").limit(first)
+    n = anchor_presence(checked, top_patterns).agg(F.count("*").alias("n_checked"), F.count_if(F.col("n_keys") > 0).alias("n_found"))
+    least = F.greatest(F.lit(5).cast("long"), F.floor(F.col("n_checked") * 15 / 100))
+    return n.select("n_checked", "n_found", F.when(F.col("n_checked") > 0, F.col("n_found") / F.col("n_checked")).otherwise(0.0).alias("share"), (F.col("n_found") < least).alias("is_low"))

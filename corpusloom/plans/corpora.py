@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,13 @@ def news_corpus(spark: SparkSession, path: str, out: str, min_len: int = 6, max_
 
 
 def mixed_corpus(spark: SparkSession, first: str, n_first: int, second: str, n_second: int, out: str, seed: int = 7) -> None:
-    """Samples of two corpora, shuffled, each line once."""
-    sinks.write_lines(corpus.mix(readers.lines(spark, first), n_first, readers.lines(spark, second), n_second, seed), out)
+    """Samples of two corpora, shuffled, each line once; a corpus with fewer lines than asked for is a warning."""
+    parts = (readers.lines(spark, first), n_first, first), (readers.lines(spark, second), n_second, second)
+    for rows, k, path in parts:
+        if (n := rows.limit(k).count()) < k:
+            warnings.warn(f"{path} has {n} lines, {k} were asked for", stacklevel=2)
+    (a, n_a, _), (b, n_b, _) = parts
+    sinks.write_lines(corpus.mix(a, n_a, b, n_b, seed), out)
 
 
 def flash_card_sentences(cards: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -15,6 +16,9 @@ from corpusloom.operators.patterns import DEFAULT_FAMILIES, explode, extract
 from corpusloom.sources import sinks
 
 
+log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class PatternConfig:
     """What is extracted from a sentence."""
@@ -68,3 +72,4 @@ def build(spark: SparkSession, lines: DataFrame, anchors: Iterable[str], store:
         "families": ",".join(config.families), "max_ngram_n": config.max_ngram_n, "max_gap": config.max_gap, "max_jump": config.max_jump, **(provenance or {}),
     }
     sinks.put_meta(spark, store, values)
+    log.info("prior: %s lines seen, %s sentences, sum of sentence counts %s, %s s", f"{seen:,}", f"{kept:,}", f"{total:,}", values["build_seconds"])

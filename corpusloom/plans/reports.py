@@ -100,6 +100,17 @@ def top_patterns(stats: DataFrame, k: int = 20, by: tuple[str, ...] = ("count_se
     return stats.orderBy(*[F.desc(c) for c in by], "pattern_key").limit(k)
 
 
+def lookup(stats: DataFrame, key: str, column: str = "pattern_key") -> DataFrame:
+    """The rows of one key; the filter reaches the files' statistics."""
+    return stats.where(F.col(column) == F.lit(key))
+
+
+def page(rows: DataFrame, order: Sequence[str], offset: int, limit: int = 1) -> DataFrame:
+    """``limit`` rows of an order from number ``offset`` (from 0) on; a minus sign before a column turns its order round."""
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    return rows.orderBy(*by).offset(max(offset, 0)).limit(limit)
+
+
 def top_emerged(personal: DataFrame, k: int = 20) -> DataFrame:
     return top_patterns(personal.where("emerged"), k, ("count_seen", "distinct_sentence_count"))
 

@@ -580,6 +580,26 @@ def anchor_presence(spark, sf_dir):
     return M.anchor_presence(_anchors(spark, sf_dir), top)
 
 
+_TOP_200 = _PRIOR + ",\ntop AS (SELECT pattern_key FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 200),\nfew AS (SELECT t FROM anc ORDER BY t LIMIT 80),\nhits AS (SELECT count(*) AS n_checked, count(*) FILTER (EXISTS (SELECT 1 FROM top WHERE contains(pattern_key, t))) AS n_found FROM few)"
+
+
+@_query(_with("occ", more=_TOP_200) + "SELECT n_checked, n_found, round(n_found / n_checked, 6) AS share, n_found < greatest(5, floor(n_checked * 15 / 100)) AS is_low FROM hits")
+def anchor_presence_summary(spark, sf_dir):
+    top = R.top_patterns(_prior(spark, sf_dir), 200)
+    listed = spark.createDataFrame(list(enumerate(anchor_tokens(spark, sf_dir))), "ordinal long, token string")
+    return M.anchor_presence_summary(listed, top).withColumn("share", F.round("share", 6))
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT pattern_key, count_sentences FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 5 OFFSET 100")
+def patterns_page(spark, sf_dir):
+    return R.page(_prior(spark, sf_dir).select("pattern_key", "count_sentences"), ["-count_sentences", "pattern_key"], 100, 5)
+
+
+@_query(_with("occ", more=_PRIOR) + "SELECT pattern_key, count_sentences, count_occurrences FROM prior WHERE pattern_key = 'anch_pair|a=in,the|p=gap=0'")
+def pattern_lookup(spark, sf_dir):
+    return R.lookup(_prior(spark, sf_dir), "anch_pair|a=in,the|p=gap=0").select("pattern_key", "count_sentences", "count_occurrences")
+
+
 _OVERLAP = f"low AS (SELECT t FROM tok WHERE length(t) <= {MAX_LEN} GROUP BY t ORDER BY count(*) DESC, t LIMIT {TOP_K})"
 
 
