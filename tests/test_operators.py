@@ -189,3 +189,13 @@ def test_exploded_patterns_are_built_once(spark):
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert filters and not any("regexp_extract_all" in f or "anch_pair" in f for f in filters)
     assert sorted(map(tuple, rows.collect()))[0] == ("anch_pair|a=a,a|p=gap=2-3", "a b c a")
+
+
+def test_lookup_pages_and_presence(spark):
+    stats = spark.createDataFrame([(f"k{i}", i % 4) for i in range(10)], "pattern_key string, n long")
+    assert [r["n"] for r in R.lookup(stats, "k7").collect()] == [3] and R.lookup(stats, "zz").count() == 0
+    assert [r["pattern_key"] for r in R.page(stats, ["-n", "pattern_key"], 2, 3).collect()] == ["k2", "k6", "k1"] and R.page(stats, ["n"], 10).count() == 0
+    top = spark.createDataFrame([("anch_pair|a=x,y|p=",), ("skel|a=z|p=",)], "pattern_key string")
+    anchors = lambda *ts: spark.createDataFrame(list(enumerate(ts)), "ordinal long, token string")
+    assert tuple(M.anchor_presence_summary(anchors("x", "q", "z"), top).first()) == (3, 2, pytest.approx(2 / 3), True)
+    assert tuple(M.anchor_presence_summary(anchors("x", "y", "z", "|", "a", "q"), top, first=5).first()) == (5, 5, 1.0, False)

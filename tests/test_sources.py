@@ -195,3 +195,13 @@ def test_limits_number_the_lines_of_a_split_file(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [(i, x) for i, x in enumerate(raw[:150]) if x.strip()][:90]
+
+
+def test_a_short_sample_warns(spark, tmp_path):
+    from corpusloom.plans import corpora
+
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("one\ntwo\n", encoding="utf-8")
+    with pytest.warns(UserWarning, match="2 lines, 3"):
+        corpora.mixed_corpus(spark, str(tmp_path / "a.txt"), 3, str(tmp_path / "b.txt"), 2, str(tmp_path / "out"))
+    assert sorted(r["value"] for r in readers.lines(spark, str(tmp_path / "out")).collect()) == ["one", "two"]
