@@ -20,6 +20,19 @@ from corpusloom.plans.prior import PatternConfig
 from corpusloom.sources import sinks
 
 
+# Keys of the meta table that tell which families were extracted.
+FAMILY_KEYS = {
+    "tok_ng": "add_tok_ngrams",
+    "anch_win": "add_anchor_windows",
+    "skel": "add_skeleton",
+    "cskel": "add_compressed_skeleton",
+    "anch_pair": "add_anchor_pairs",
+    "a_skip2": "add_anchor_skip2",
+    "a_skip3": "add_anchor_skip3",
+    "anch_seq": "add_anchor_sequence",
+    "anch_span": "add_anchor_spans",
+    "span_sig": "add_span_signatures",
+}
 #: Names the extraction that a state was made with.
 EXTRACTOR_VERSION = "corpusloom_patterns_1"
 
@@ -85,6 +98,15 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
     listed = json.dumps(anchors, ensure_ascii=False)
     anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
     flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns) | {"families": ",".join(config.patterns.families)}
+    # the same under the keys that tools for such states look for
+    flat |= {key: int(family in config.patterns.families) for family, key in FAMILY_KEYS.items()} | {
+        "hsk_max_level": config.max_level,
+        "include_level7": int(config.include_level7),
+        "span_max_gap": config.patterns.max_gap,
+        "skip_max_jump": config.patterns.max_jump,
+        "pattern_min_count_seen": config.min_count,
+        "pattern_min_distinct_sentences": config.min_sentences,
+    }
     source = f"global_candidates+local_{config.anchor_method}" if candidates is not None else f"local_{config.anchor_method}"
     made = {"anchors_source": source, "extractor_version": EXTRACTOR_VERSION, **{k: v for k, v in (provenance or {}).items() if v is not None}}
     if candidates is not None:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.functions.statistics import meta_int
+from corpusloom.functions.statistics import meta_bool, meta_int
 from corpusloom.functions.tokenizers import Tokenizer, characters
 from corpusloom.operators import similarity
 from corpusloom.operators.anchors import anchor_list, top_tokens
 from corpusloom.operators.corpus import sample
 from corpusloom.operators.patterns import FAMILIES, extract
 from corpusloom.plans import reports
+from corpusloom.plans.bootstrap import FAMILY_KEYS
 from corpusloom.plans.prior import PatternConfig
 from corpusloom.sources import readers
 
@@ -31,7 +32,7 @@ def inspect_state(spark: SparkSession, store: str, candidates: DataFrame | None
     vocab = readers.table(spark, store, "vocab_stats", schemas.VOCAB_STATS)
     anchors = readers.anchors_or_meta(spark, None, _meta(spark, store))
     emerged = reports.top_emerged(personal, top)
-    out: Sections = {"tables": reports.store_health(spark, store, schemas.STATE_TABLES), "meta": _meta(spark, store).orderBy("key")}
+    out: Sections = {"tables": reports.store_health(spark, store, schemas.STATE_TABLES), "meta": _meta(spark, store).orderBy("key"), "selected meta": reports.selected_meta(_meta(spark, store), SELECTED)}
     if candidates is not None:
         out["anchors against candidates"] = reports.anchors_against_candidates(anchors, candidates)
         out["candidates by sentences"] = reports.top_df_candidates(tokens, candidates)
@@ -72,8 +73,15 @@ def length_robustness(spark: SparkSession, anchors: list[str], config: PatternCo
 def _stored_config(meta: dict[str, str]) -> PatternConfig:
     """What a state says its patterns were extracted with."""
     usual = PatternConfig()
-    families = tuple(f for f in meta.get("families", "").split(",") if f in FAMILIES) or usual.families
-    return PatternConfig(families, *(meta_int(meta, k, getattr(usual, k)) for k in ("max_ngram_n", "max_gap", "max_jump")))
+    families = tuple(f for f in FAMILIES if meta_bool(meta, FAMILY_KEYS[f], f in usual.families))
+    return PatternConfig(families, meta_int(meta, "max_ngram_n", usual.max_ngram_n), meta_int(meta, "span_max_gap", usual.max_gap), meta_int(meta, "skip_max_jump", usual.max_jump))
+
+
+#: The settings that a state's report names.
+SELECTED = [
+    "schema_version", "bootstrapped_at", "anchors_source", "global_anchors_path", "global_candidates_count", "anchors_top_k", "anchor_method", "anchor_max_token_len", "anchors_count",
+    "hsk_db_path", "hsk_table", "hsk_max_level", "include_level7", "max_ngram_n", *FAMILY_KEYS.values(), "span_max_gap", "skip_max_jump", "pattern_min_count_seen", "pattern_min_distinct_sentences",
+]
 
 
 def inspect_prior(spark: SparkSession, store: str, anchors: DataFrame | None = None, with_samples: bool = False, seed: int = 0, top: int = 20) -> Sections:

@@ -138,6 +138,11 @@ def test_inspections(spark, tmp_path):
         assert all(title in inspect.render(sections) for title in sections)
     sections = inspect.inspect_pipeline(spark, state, store)
     assert sections["keys of the prior"].first()["n_invalid"] == 0
+    report = inspect.inspect_state(spark, state)
+    chosen = {r["key"]: r["value"] for r in report["selected meta"].collect()}
+    assert chosen["anchors_source"] == "local_df" and chosen["add_skeleton"] == "1" and chosen["add_span_signatures"] == "0" and chosen["span_max_gap"] == "20"
+    assert [r["pair_id"] for r in report["length robustness"].collect()] != [] and "_tokenized" not in readers.tables(spark, state)
+    assert inspect._stored_config(readers.meta(spark, f"{state}/meta")) == prior.PatternConfig()
     empty = str(tmp_path / "none")
     assert inspect.inspect_prior(spark, empty)["counts"].first()["total"] == 0
 
