@@ -37,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import release_memory
 from corpusloom.llm.graph import components
-from corpusloom.llm.storage import checked_broadcast, materialize, release_shuffles
+from corpusloom.llm.storage import checked_broadcast, drop, materialize, release_shuffles
 
 BANDS, ROWS = 32, 5
 SLICE_DOCS = 128
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -118,6 +119,7 @@ def _sketched(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "class_key", "bands"]
                 )
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, class_key binary, bands array<bigint>")
 
@@ -132,6 +134,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 batch = whole.slice(at, SLICE_DOCS)
                 sets = [shingles(t, k, hashes).view(np.int64) for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles array<bigint>")
 
@@ -157,10 +160,13 @@ def _rare_pairs(sets: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
     """
     each = sets.join(open_, "id").select("id", "n", "label", F.explode("shingles").alias("s"))
     each = materialize(each, "open-shingles")
-    counts = materialize(each.groupBy("s").agg(F.count("*").alias("c")), "shingle-counts")
+    # a shingle of one component's documents only leads to no pair, so large groups of copies don't meet themselves
+    counts = each.groupBy("s").agg(F.count("*").alias("c"), (F.min("label") != F.max("label")).alias("mixed"))
+    counts = materialize(counts, "shingle-counts")
     place = F.row_number().over(Window.partitionBy("id").orderBy("c", "s"))
-    placed = each.join(counts, "s").withColumn("p", place).where((F.col("c") > 1) & (100 * (F.col("n") - F.col("p") + 1) >= percent * F.col("n")))
+    placed = each.join(counts, "s").withColumn("p", place).where(F.col("mixed") & (100 * (F.col("n") - F.col("p") + 1) >= percent * F.col("n")))
     placed = materialize(placed.select("s", "id", "n", "label", "p"), "rare-shingles")
+    drop(each, counts)
     x = placed.where((100 + percent) * (F.col("n") - F.col("p") + 1) >= 2 * percent * F.col("n")).select("s", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("label").alias("la"))
     y = placed.select("s", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("label").alias("lb"))
     room = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
@@ -184,7 +190,9 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     mixed = materialize(labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed-buckets")
     open_ = labelled.join(mixed, "key").select("id", "n", "label").distinct()
     others = materialize(_rare_pairs(sets, open_, percent), "rare-pairs")
-    return components(links.unionByName(_verified(others, sets, percent)))
+    linked = components(links.unionByName(_verified(others, sets, percent)))
+    drop(buckets, members, sets, links, labelled, mixed, others)
+    return linked
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -194,6 +202,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = materialize(full.groupBy("class_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
     roots = _links(docs, reps, k, percent)
     classes = materialize(reps.join(roots, "id", "left").select("class_key", "id", F.coalesce("root", "id").alias("component_id")), "components")
+    drop(reps)
     # an id whose rows differ belongs to several classes, which its id links
     linked = full.select("doc_id", F.col("n").alias("n_shingles"), "class_key").join(classes, "class_key").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
     alone = table.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -203,16 +212,26 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, without later near-duplicates.
 
-    Of every component the document with the smallest id stays; of rows that
-    repeat an id one stays, the one with the least text.
+    Of every component the document with the smallest id stays.  Rows that share an id and differ in text
+    are documents of their own, the lesser text first; of rows that repeat id and text one stays.
     """
     verdict = materialize(link(docs, k, percent), "verdicts")
     release_shuffles(docs.sparkSession)
-    gone = materialize(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
     repeated = materialize(verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
+        gone = materialize(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
         return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-    whole = F.struct(*docs.columns)
-    once = docs.join(repeated, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
-    once = once.groupBy("doc_id").agg(F.min_by(whole, F.struct("text")).alias("row")).select("row.*")
-    return docs.join(gone.unionByName(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    number, component = _unused("row", docs), _unused("component", docs)
+    # numbers of their own for all rows but those without an id, which are linked with nothing
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).withColumn(number, F.monotonically_increasing_id())
+    own = materialize(own, "numbered")
+    linked = link(own.select(F.col(number).alias("doc_id"), "text"), k, percent)
+    found = own.select(number, "doc_id", "text").join(linked.select(F.col("doc_id").alias(number), F.col("component_id").alias(component)), number)
+    first = found.groupBy(component).agg(F.min(F.struct("doc_id", "text", number)).alias("first")).select(F.col(f"first.{number}").alias(number))
+    return own.join(first, number, "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name

@@ -73,6 +73,13 @@ def test_minhash_odd_rows(spark):
     kept = minhash_dedup.keep_first(docs).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "None", "None"]
     assert minhash_dedup.link(docs.limit(0)).count() == 0 and minhash_dedup.keep_first(docs.limit(0)).count() == 0
+    a, c = "one two three four five six seven", "quite another text of seven words here"
+    differing = documents(spark, [(5, a), (5, text), (3, text), (6, a), (6, c), (6, c), (None, c), (9, None), (9, "")]).withColumn("row", F.lit("own")).withColumn("component", F.lit(1))
+    left = minhash_dedup.keep_first(differing)
+    assert left.columns == differing.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, [(5, a), (3, text), (6, c), (None, c), (9, None), (9, "")]))
+    long = documents(spark, [(1, "long text " * 200_000), (2, "long text " * 200_001), (3, "x " + "long text " * 10)]).withColumn("bands", F.lit(0)).withColumn("kept", F.lit("own"))
+    assert sorted(r["component_id"] for r in minhash_dedup.link(long).collect()) == [1, 1, 3]
     twice = documents(spark, [(5, text), (5, text), (7, "other words entirely")])
     assert sorted(r["doc_id"] for r in minhash_dedup.keep_first(twice).collect()) == [5, 7]
 
