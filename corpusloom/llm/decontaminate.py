@@ -33,8 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.columns import beside, release_memory
+
 _WORD = re.compile(r"\w+")
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: The tokens of a window that a mask takes.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 5, 7, 8, 9), (0, 2, 3, 6, 7, 8))
 SHARE = 80
@@ -166,7 +168,8 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
     """``row`` (a struct of the ``keep`` columns) and ``matches``, an array of
     (item_id, first_token, end_token), empty for clean documents."""
     kind = "array<struct<item_id:bigint,first_token:bigint,end_token:bigint>>"
-    current = docs.select("text", F.struct(*keep).alias("row"), F.array().cast(kind).alias("matches"))
+    source, columns = beside(docs, ["text"], keep)
+    current = source.withColumn("matches", F.array().cast(kind))
     schema = current.schema
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("first_token", pa.int64()), ("end_token", pa.int64())]))
     for block in _blocks(benchmark, block_tokens):
@@ -177,9 +180,11 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id
             for whole in batches:
                 for at in range(0, whole.num_rows, SLICE_DOCS):
                     batch = whole.slice(at, SLICE_DOCS)
-                    found = seeds.matches([tokens(t, hashes) for t in batch.column(0).to_pylist()])
-                    out = [old + [{"item_id": i, "first_token": a, "end_token": b} for i, a, b in new] for old, new in zip(batch.column(2).to_pylist(), found, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, arrow)], ["text", "row", "matches"])
+                    (texts,) = columns(batch)
+                    found = seeds.matches([tokens(t, hashes) for t in texts.to_pylist()])
+                    out = [old + [{"item_id": i, "first_token": a, "end_token": b} for i, a, b in new] for old, new in zip(batch.column("matches").to_pylist(), found, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, arrow)], batch.schema.names)
+            release_memory()
 
         current = current.mapInArrow(scan, schema)
     return current.select("row", "matches")

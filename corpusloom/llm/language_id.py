@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.columns import held_out
+from corpusloom.llm.columns import beside, held_out, release_memory
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -199,7 +199,7 @@ def _score(model: Model, texts: list[str | None], evidence: int) -> tuple[list[s
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), evidence: int = 60) -> DataFrame:
     """For every row of ``docs``: ``row`` (a struct of the ``keep`` columns), ``lang_pred`` and ``score``."""
-    source = docs.select(F.col(text).alias("text"), F.struct(*keep).alias("row"))
+    source, columns = beside(docs, [text], keep)
     schema = source.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
     if not model.languages:
         return source.select("row", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -207,8 +207,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = _score(shared.value, batch.column(0).to_pylist(), evidence)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+            (texts,) = columns(batch)
+            langs, scores = _score(shared.value, texts.to_pylist(), evidence)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+        release_memory()
 
     return source.mapInArrow(score, schema)
 

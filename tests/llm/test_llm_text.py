@@ -54,6 +54,12 @@ def test_token_files(spark):
     assert got == want
     import zlib
 
+    again = new_path(spark, "tokens-repeated")
+    repeated = [(5, "a b"), (5, "c"), (5, "a b"), (2, None)]
+    token_files.write(spark.createDataFrame(repeated, "doc_id long, text string"), path, again)
+    found = sorted((r["start"], r["doc_id"], list(r["ids"])) for r in token_files.read(spark, again).collect())
+    assert [x[1] for x in found] == [2, 5, 5, 5] and [x[0] for x in found] == list(itertools.accumulate((len(x[2]) for x in found[:-1]), initial=0))
+    assert sorted(x[2] for x in found) == sorted(plain.encode(t or "", add_special_tokens=False).ids + [2] for _, t in repeated)
     digests = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_digests(spark, out).collect()}
     assert digests == {i: (s, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, s, ids in want}
     assert token_files.round_trip(docs.limit(0), path).count() == 0
@@ -78,11 +84,61 @@ def test_merge_dropout_is_lossless_seeded_and_varied(spark):
     assert list(runs[0][901]["ids"]) != list(runs[2][901]["ids"])
     plain = sentencepiece_codec.encode(docs, path, 0.0).where("row.doc_id = 901").first()["n_tokens"]
     assert runs[0][901]["n_tokens"] > plain
+    twice = sentencepiece_codec.encode(docs.unionByName(docs), path, 0.3, 1).select("row.doc_id", "ids").collect()
+    assert len(twice) == 2 * docs.count() and all(list(r["ids"]) == list(runs[0][r["doc_id"]]["ids"]) for r in twice)
+    assert sentencepiece_codec.encode(docs.limit(0), path).count() == 0 and sentencepiece_codec.decode(sentencepiece_codec.encode(docs.limit(0), path).select("ids", "row.*"), path).count() == 0
     whole = sentencepiece_codec.encode(docs, path, 0.3, 1, keep=("doc_id", "text")).select("ids", "row.*")
     back = sentencepiece_codec.decode(whole, path, keep=("text",)).collect()
     assert all(r["text"] == (r["row"]["text"] or "") for r in back)
 
 
+def naive_agenda(own, text, skips):
+    """Of the pairs of neighbours that are pieces, the best and first comes up; a skipped one never again."""
+    symbols = ["▁" if c == " " else c for c in " " + text]
+    barred, count = set(), 0
+    starts = list(range(len(symbols)))
+    while True:
+        pairs = [(own._rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in own._rank and (starts[i], a, b) not in barred]
+        if not pairs:
+            break
+        _, i = min(pairs)
+        if count in skips:
+            barred.add((starts[i], symbols[i], symbols[i + 1]))
+        else:
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del starts[i + 1]
+        count += 1
+    return [x for s in symbols for x in ([own._id[s]] if s in own._id else [own._byte_id[b] for b in s.encode()])], count
+
+
+def test_merge_dropout_against_a_naive_agenda():
+    own = sentencepiece_codec.codec(tokenizer_path("piece_bpe_32k.model"), 0.1, 1)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlucmäé日x3") for _ in range(rng.randint(1, 70))) for _ in range(300)] + ["internationalization", "aaaaaaaaaa", "thethethe", "x"]
+    for word in words:
+        for share in (0, 0.1, 0.5, 1):
+            skips = [i for i in range(200) if rng.random() < share]
+            assert own.segment(" " + word, skips) == naive_agenda(own, word, set(skips))
+        assert own._own([" " + word])[0] == own.segment(" " + word)
+    # an occurrence's ids are those of the skips its key draws
+    ids = [f"d{i}" for i in range(40)]
+    for doc_id in ids:
+        key = np.uint64(sentencepiece_codec.xxhash.xxh3_64_intdigest(f"1:{doc_id}"))
+        place = np.full(1, own._chunks(words[0]).index(" " + words[0]), np.uint64)
+        key = sentencepiece_codec._mixed(place * np.uint64(0x9E3779B97F4A7C15) + key)[0]
+        drawn = set(itertools.takewhile(lambda x: x < 200, own._skips(key, [int(own._gaps(np.array([key]), 0)[0])])))
+        assert np.frombuffer(own.encode(doc_id, words[0]), "<u4").tolist() == naive_agenda(own, words[0], drawn)[0]
+
+
+def test_a_model_whose_pieces_cross_words_is_segmented_whole(monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    own = sentencepiece_codec.Codec(path, 0.0, 1)
+    want = [own.encode(1, t) for t in texts(50)]
+    whole = sentencepiece_codec.Codec(path, 0.0, 1)
+    monkeypatch.setattr(whole, "_whole", True)
+    assert [whole.encode(1, t) for t in texts(50)] == want
+
+
 def test_merge_dropout_is_drawn_for_every_occurrence(monkeypatch):
     path = tokenizer_path("piece_bpe_32k.model")
     own = sentencepiece_codec.codec(path, 0.1, 1)
@@ -149,6 +205,11 @@ def test_decontamination_against_brute_force(spark):
     # the benchmark in several blocks gives the same
     blocks = decontaminate.find(table, bench, block_tokens=15).select("row.doc_id", F.array_join(F.array_sort(F.transform("matches", lambda m: m["item_id"])), ",").alias("x"))
     assert {r["doc_id"]: r["x"] for r in blocks.collect()} == want
+    # repeated documents are each reported, long ones are read to their end
+    late = "w0 " * 200_000 + " ".join(items[4])
+    more = table.unionByName(table.where("doc_id = 1")).unionByName(spark.createDataFrame([(200, late, 1), (None, late, 1)], table.schema))
+    each = sorted((str(r["doc_id"]), r["item_ids"]) for r in decontaminate.report(more, bench).collect())
+    assert each == sorted([*((str(i), x) for i, x in want.items()), ("1", want[1]), ("200", "4"), ("None", "4")])
     clean = decontaminate.keep_clean(table, bench)
     assert clean.columns == table.columns and {r["doc_id"] for r in clean.collect()} == {i for i, x in want.items() if not x}
     assert decontaminate.report(table, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.report(table.limit(0), bench).count() == 0
@@ -189,6 +250,27 @@ def test_secret_spans_and_ledger(spark):
     assert secret_scan.scan_documents(docs.limit(0)).count() == 0
 
 
+def test_a_new_rule_version_replaces_the_old_ones_findings(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    text = "x 0123456789abcdef00 y " + "0" * 40
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "0123456789abcdef")], "doc_id long, text string")
+    spans = lambda findings: {r["doc_id"]: r["spans"] for r in secret_scan.digest(findings).collect()}
+    assert secret_scan.open_ledger(spark, path) is None
+    secret_scan.append(secret_scan.update_ledger(docs), path)
+    strict = tuple(r if r.name != "hex" else secret_scan.Rule("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}") for r in secret_scan.RULES)
+    findings, whole = secret_scan.scan(docs, ["doc_id"], secret_scan.open_ledger(spark, path), strict)
+    fresh, _ = secret_scan.scan(docs, ["doc_id"], None, strict)
+    assert spans(findings) == spans(fresh) == {1: "hex:23:63", 2: "hex:23:63", 3: ""}
+    # only the changed rule was scanned again, and the old rules still have their findings
+    added = secret_scan.update_ledger(docs, secret_scan.open_ledger(spark, path), strict)
+    assert {tuple(r["scanned"]) for r in added.collect()} == {(strict[2].version,)}
+    secret_scan.append(added, path)
+    secret_scan.append(added, path)
+    again, _ = secret_scan.scan(docs, ["doc_id"], secret_scan.open_ledger(spark, path))
+    assert spans(again) == {i: base_spans(t) for i, t in ((1, text), (2, text), (3, "0123456789abcdef"))}
+    assert secret_scan.update_ledger(docs, secret_scan.open_ledger(spark, path), strict).count() == 0
+
+
 SCHEMAS = {"f": {"properties": {"x": {"type": "string", "enum": ["q"]}, "y": {"type": "integer"}}, "required": ["y"], "additionalProperties": False}}
 
 
@@ -228,3 +310,35 @@ def test_chat_reads_json_after_white_space(spark):
     rows = [(1, 0, "assistant", call), (1, 1, "tool", "\r\n" + json.dumps({"tool_call_id": "a", "content": 1}))]
     got = chat_format.format_messages(chat(spark, rows), SCHEMAS).orderBy("turn").collect()
     assert [(r["n_calls"], r["n_linked"], r["n_invalid"]) for r in got] == [(1, 1, 1), (0, 1, 0)]
+
+
+def validity(spark, schema, values):
+    """What is found wrong with each value of the argument v."""
+    calls = [{"id": str(i), "name": "f", "arguments": {"v": v}} for i, v in enumerate(values)]
+    row = chat_format.format_messages(chat(spark, [(1, 0, "assistant", json.dumps({"tool_calls": calls}))]), {"f": {"properties": {"v": schema}}}).first()
+    return [c.get("error") for c in json.loads(row["message"])["tool_calls"]]
+
+
+def test_schemas_are_checked_by_type_and_at_any_depth(spark):
+    bad = "value of v"
+    assert validity(spark, {"enum": [True, False]}, [True, "true", 1]) == [None, bad, bad]
+    assert validity(spark, {"enum": [1, "a", None, [1, {"b": 2}]]}, [1, 1.0, "1", "a", None, [1, {"b": 2}], True]) == [None, None, bad, None, None, None, bad]
+    assert validity(spark, {"type": ["string", "null"]}, ["x", None, 3]) == [None, None, "type of v"]
+    assert validity(spark, {"type": "integer", "minimum": 2, "exclusiveMaximum": 5}, [2, 2.0, 2.5, 1, 5, 10**25, "3"]) == [None, None, "type of v", bad, bad, bad, "type of v"]
+    nested = {"type": "object", "properties": {"a": {"type": "array", "items": {"type": "object", "required": ["k"], "properties": {"k": {"type": "boolean"}}}, "maxItems": 2}}, "additionalProperties": {"type": "number"}}
+    values = [{"a": [{"k": True}]}, {"a": [{"k": True}, {"k": 1}]}, {"a": [{}]}, {"a": 3}, {"a": [], "z": 1}, {"a": [], "z": "1"}, {"a": [{"k": True}] * 3}]
+    assert validity(spark, nested, values) == [None, "type of v.a[].k", "missing v.a[].k", "type of v.a", None, "type of v.*", "length of v.a"]
+    closed = {"type": "object", "properties": {"a": {}}, "additionalProperties": False, "required": ["a"]}
+    assert validity(spark, closed, [{"a": None}, {}, {"a": 1, "b c": 2}]) == [None, "missing v.a", "unknown v.b c"]
+    assert validity(spark, {"type": "string", "minLength": 2, "pattern": "^é", "description": "x"}, ["é日", "é", "ab"]) == [None, "length of v", bad]
+    for schema in ({"oneOf": []}, {"type": "text"}, {"items": {"not": {}}}):
+        with pytest.raises(ValueError):
+            validity(spark, schema, [[1]])
+
+
+def test_links_are_hash_joined_and_long_texts_pass(spark):
+    call = json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {"y": 1}}], "content": "x" * 300_000})
+    rows = [(1, 0, "assistant", call), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": "y" * 300_000})), (1, 1, "user", "plain " * 50_000)]
+    found = chat_format.format_messages(chat(spark, rows))
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(len(r["message"]) > 299_000 for r in found.collect()) == [True] * 3
