@@ -36,7 +36,7 @@ def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds ids, their number, checksum and whether they decode to the text; columns of those names give way."""
-    encoded = sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=1, keep=tuple(docs.columns), cached_chunks=400_000)
+    encoded = sentencepiece_codec.encode(docs, tokenizer_path("piece_bpe_32k.model"), dropout=0.1, seed=1, keep=tuple(docs.columns), cached_chunks=300_000, forget=True)
     own = ["ids", "n_tokens", "ids_crc32", "lossless"]
     return encoded.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in own], *own)
 
