@@ -155,6 +155,7 @@ def test_line_join_shuffles_its_postings_once(spark, monkeypatch):
         return table
 
     monkeypatch.setattr(line_dedup, "materialize", written)
+    monkeypatch.setattr(line_dedup, "HUBS", 0)  # so that the join has something to decide
     docs = documents(spark, [(i, f"a{i} b c d e f g h i j k l m n o p q r s t") for i in range(50)])
     with line_dedup._settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         line_dedup.report(docs).collect()
