@@ -279,12 +279,13 @@ def _gone(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
     gone = repeated_lines(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     gone = materialize(gone, "removed-lines")
     release_shuffles(docs.sparkSession)
-    return checked_broadcast(gone, 1 + F.size("removed"))
+    return gone
 
 
 def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...]) -> DataFrame:
     """``row`` (a struct of the ``keep`` columns), ``text``, ``n_lines``, ``removed`` (line numbers, ascending)."""
-    gone = _gone(docs, percent, min_words)
+    # the texts are shuffled at every size, so that small inputs tell what large ones take
+    gone = _gone(docs, percent, min_words).hint("merge")
     none = F.array().cast("array<int>")
     source = docs.select("doc_id", "text", F.struct(*keep).alias("row"))
     joined = source.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("removed", F.coalesce("removed", none))
@@ -297,6 +298,7 @@ def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...
 def report(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """Per document: the number of its lines, of those removed, and their line numbers."""
     gone = _gone(docs, percent, min_words)
+    gone = checked_broadcast(gone, 1 + F.size("removed"))
     ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
     own = docs.select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
