@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, secret_scan, sentencepiece_codec, token_files, toxicity
+from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, secret_scan, sentencepiece_codec, source_divergence, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -85,6 +85,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 #: Canonical messages of conversations without tool calls; the tables hold none.
 OP3_SQL = """
 SELECT conv_id, turn, turn AS seq_turn, CAST(0 AS INTEGER) AS seq_after, role,
@@ -198,6 +202,28 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
 """
 
+#: Every group has a row for every kept term of its language.
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+each AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM each GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+counts AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM each GROUP BY ALL),
+langs AS (SELECT lang, term, 1 + 1000000000 * (n + 2) // (sum(n) OVER l + 2 * count(*) OVER l) AS q FROM kept WINDOW l AS (PARTITION BY lang)),
+dense AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n
+    FROM (SELECT DISTINCT lang, source FROM docs) g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER g + 2 * count(*) OVER g) AS p FROM dense WINDOW g AS (PARTITION BY lang, source)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, b.source AS item FROM (SELECT DISTINCT lang, source FROM docs) a JOIN (SELECT DISTINCT lang, source FROM docs) b ON a.lang = b.lang AND a.source <> b.source),
+found AS (
+    SELECT lang, source, 'pair' AS part, item, coalesce(value, 0) AS value FROM pairs LEFT JOIN sums USING (lang, source, item)
+    UNION ALL SELECT s.lang, s.source, 'term', s.term, (p - q) * (p - q) // (p + q) FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE s.n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -212,8 +238,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_line_dedup": op9_line_dedup,
         "op10_exact_topk": op10_exact_topk,
+        "op11_source_divergence": op11_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "tool_call_linking": TOOL_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "tool_call_linking": TOOL_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL, "op11_source_divergence": OP11_SQL}
