@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, secret_scan, sentencepiece_codec, source_divergence, token_files, toxicity
+from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, packing, secret_scan, sentencepiece_codec, source_divergence, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -89,6 +89,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(_read(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 #: Canonical messages of conversations without tool calls; the tables hold none.
 OP3_SQL = """
 SELECT conv_id, turn, turn AS seq_turn, CAST(0 AS INTEGER) AS seq_after, role,
@@ -239,6 +244,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_exact_topk": op10_exact_topk,
         "op11_source_divergence": op11_source_divergence,
+        "op12_packing": op12_packing,
     }
 
 
