@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, packing, secret_scan, sentencepiece_codec, source_divergence, token_files, toxicity
+from corpusloom.llm import chat_format, decontaminate, exact_topk, language_id, line_dedup, minhash_dedup, packing, secret_scan, sentencepiece_codec, source_divergence, spelling, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -94,6 +94,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_read(spark, sf_dir, "documents"))
+
+
 #: Canonical messages of conversations without tool calls; the tables hold none.
 OP3_SQL = """
 SELECT conv_id, turn, turn AS seq_turn, CAST(0 AS INTEGER) AS seq_after, role,
@@ -229,6 +233,31 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number
 FROM found QUALIFY part = 'pair' OR rank <= 10
 """
 
+#: The checksum byte by byte; near words by deleting each character once.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+runs AS (
+    SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (
+    SELECT run, n, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h
+    FROM counted, crc),
+altered AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+without AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS key FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM without a JOIN words b ON b.word = a.key
+    UNION SELECT b.word, b.n, a.word, a.n FROM without a JOIN words b ON b.word = a.key
+    UNION SELECT a.word, a.n, b.word, b.n FROM without a JOIN without b ON a.key = b.key AND a.i = b.i AND a.word <> b.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, m, m >= 5 * n AS commoner FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+named AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN commoner THEN other END AS form, CASE WHEN commoner THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+path(word, place, form) AS (SELECT word, word, form FROM named UNION ALL SELECT p.word, p.form, n.form FROM path p JOIN named n ON n.word = p.form)
+SELECT n.word, n.form, p.place AS root, n.n, n.n_near, n.form_n FROM named n JOIN path p ON p.word = n.word AND p.form IS NULL
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -245,8 +274,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_topk": op10_exact_topk,
         "op11_source_divergence": op11_source_divergence,
         "op12_packing": op12_packing,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "tool_call_linking": TOOL_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL, "op11_source_divergence": OP11_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op3_chat_formatting": OP3_SQL, "tool_call_linking": TOOL_SQL, "op7_secret_scan": OP7_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_topk": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_spelling_variants": OP13_SQL}

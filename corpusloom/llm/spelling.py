@@ -229,8 +229,10 @@ def _roots(forms: DataFrame) -> DataFrame:
 def group_variants(docs: DataFrame, least: int = 6, least_n: int = 5, times: int = 5, every: int = 199) -> DataFrame:
     """``word, form, root, n, n_near, form_n`` of the words that occur ``least_n`` times or more.
 
-    A word's form is the commonest word one edit away, if that is at least ``times`` as common.
+    A word's form is the commonest word one edit away, if that is at least ``times`` (2 or more) as common.
     """
+    if times < 2:
+        raise ValueError("a form must be commoner than its word")
     words = materialize(word_counts(docs, least, every).where(F.col("n") >= least_n), "word-counts")
     near = near_words(words)
     drop(words)
