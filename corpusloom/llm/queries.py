@@ -34,8 +34,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages with tool calls, made of the conversations: every turn that is a multiple of 3 becomes a call of
-    two tools, and a later turn (for some conversations an earlier one) their results.
+    """Messages with tool calls, made of the conversations: every turn that is a multiple of 3 becomes two messages, a call of
+    two tools and one whose argument has an exponent, and a later turn (for some conversations an earlier one) the result of the first.
     """
     turn, conv = F.col("turn"), F.col("conv_id")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.char_length("text").alias("n"))
@@ -45,11 +45,13 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = F.when(conv % 2 == 0, turn + 1).otherwise(turn - 1)
     result = F.concat(F.lit('\n{"content":[1,"x"],"tool_call_id":"a'), of.cast("string"), F.lit('"}'))
     is_call = turn % 3 == 0
-    return rows.select("conv_id", "turn", F.when(is_call, "assistant").otherwise("tool").alias("role"), F.when(is_call, made).otherwise(result).alias("text"))
+    powers = F.concat(F.lit('{"tool_calls": [{"id":"w'), turn.cast("string"), F.lit('","arguments":{"n":'), F.coalesce(F.concat(F.col("n").cast("string"), F.lit(".50E1")), F.lit("null")), F.lit('},"name":"count"}]}'))
+    text = F.when(is_call, F.array(made, powers)).otherwise(F.array(result))
+    return rows.select("conv_id", "turn", F.when(is_call, "assistant").otherwise("tool").alias("role"), F.explode(text).alias("text"))
 
 
 #: What the made calls may hold: the length of a text of at least 40 characters.
-TOOLS = {"count": {"type": "object", "properties": {"n": {"type": "integer", "minimum": 40}}, "required": ["n"], "additionalProperties": False}}
+TOOLS = {"count": {"type": "object", "properties": {"n": {"type": "number", "minimum": 40, "exclusiveMaximum": 10**17}}, "required": ["n"], "additionalProperties": False}}
 
 
 def tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,13 +120,18 @@ made AS (
            CASE WHEN r.n >= 40 THEN '' WHEN r.n IS NULL THEN ',"error":"type of n"' ELSE ',"error":"value of n"' END || ',"id":"a' || r.turn ||
            '","name":"count"},{"arguments":{"n":' || coalesce(CAST(r.n AS VARCHAR), 'null') || '},"error":"unknown tool","id":"b' || r.turn || '","name":"other"}]}' AS message
     FROM rows r LEFT JOIN wanted w ON w.conv_id = r.conv_id AND w.other = r.turn WHERE r.is_call),
+powers AS (
+    SELECT conv_id, turn, turn AS seq_turn, 0 AS seq_after, 'assistant' AS role, 1 AS n_calls, 0 AS n_linked, CASE WHEN n >= 4 THEN 0 ELSE 1 END AS n_invalid,
+           '{"content":null,"role":"assistant","tool_calls":[{"arguments":{"n":' || coalesce(CAST(10 * n + 5 AS VARCHAR), 'null') || '}' ||
+           CASE WHEN n >= 4 THEN '' WHEN n IS NULL THEN ',"error":"type of n"' ELSE ',"error":"value of n"' END || ',"id":"w' || turn || '","name":"count"}]}' AS message
+    FROM rows WHERE is_call),
 results AS (
     SELECT r.conv_id, r.turn, CASE WHEN c.turn >= r.turn THEN c.turn ELSE r.turn END AS seq_turn, CASE WHEN c.turn >= r.turn THEN 1 ELSE 0 END AS seq_after, 'tool' AS role, 0 AS n_calls,
            CASE WHEN c.turn IS NULL THEN 0 ELSE 1 END AS n_linked, 0 AS n_invalid,
            '{"content":[1,"x"],"role":"tool","tool_call_id":"a' || r.other || '"}' AS message
     FROM rows r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.other WHERE NOT r.is_call)
 SELECT conv_id, turn, seq_turn, CAST(seq_after AS INTEGER) AS seq_after, role, CAST(n_calls AS BIGINT) AS n_calls, CAST(n_linked AS BIGINT) AS n_linked, CAST(n_invalid AS BIGINT) AS n_invalid, message
-FROM (SELECT * FROM made UNION ALL SELECT * FROM results)
+FROM (SELECT * FROM made UNION ALL SELECT * FROM powers UNION ALL SELECT * FROM results)
 """
 
 #: Exact similarities by an inverted index, components by spreading the smallest id.

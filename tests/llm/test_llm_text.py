@@ -312,6 +312,30 @@ def test_chat_reads_json_after_white_space(spark):
     assert [(r["n_calls"], r["n_linked"], r["n_invalid"]) for r in got] == [(1, 1, 1), (0, 1, 0)]
 
 
+def test_messages_of_one_turn_have_their_own_calls(spark):
+    call = lambda *ids: json.dumps({"tool_calls": [{"id": i, "name": "f", "arguments": {}} for i in ids]})
+    rows = [(1, 2, "assistant", call("z", "y")), (1, 2, "assistant", call("w")), (1, 3, "tool", json.dumps({"tool_call_id": "z", "content": 1})), (1, 2, "assistant", call("z")), (1, 2, "user", "w")]
+    got = chat_format.format_messages(chat(spark, rows)).collect()
+    linked = {r["message"]: r["n_linked"] for r in got}
+    assert len(got) == len(linked) == 5
+    by_id = {tuple(c["id"] for c in json.loads(m).get("tool_calls", [])): n for m, n in linked.items()}
+    # both messages with z may be the first of the turn; one of them is
+    assert by_id["w",] == 0 and by_id["z", "y"] + by_id["z",] == 1
+
+
+def test_numbers_are_canonical_and_exact(spark):
+    numbers = ["1e2", "100", "100.0", "1.50E1", "-0", "-0.0e5", "5e-3", "0.10", "123e-2", "-12.5e+1", "12345678901234567890123456789012345678", "1E37", "1e-38", "0e999999999999"]
+    text = lambda n: '{"tool_calls":[{"id":"a\\\\","name":"f 1e5 \\" 2e5","arguments":{"n":' + n + ',"s":"1e2,[3e4]"}}]}'
+    got = chat_format.format_messages(chat(spark, [(1, i, "assistant", text(n)) for i, n in enumerate(numbers)])).orderBy("turn").collect()
+    want = ["100", "100", "100", "15", "0", "0", "0.005", "0.1", "1.23", "-125", "12345678901234567890123456789012345678", "1" + "0" * 37, "0." + "0" * 37 + "1", "0"]
+    for r, n in zip(got, want, strict=True):
+        assert r["n_calls"] == 1 and '"arguments":{"n":' + n + ',"s":"1e2,[3e4]"}' in r["message"] and '"id":"a\\\\","name":"f 1e5 \\" 2e5"' in r["message"]
+    # what can't be held exactly stays a text
+    odd = ["1E400", "1e38", "1e-39", "1" * 39, "0." + "1" * 39, "1e99999999999"]
+    got = chat_format.format_messages(chat(spark, [(1, i, "assistant", text(n)) for i, n in enumerate(odd)])).orderBy("turn").collect()
+    assert [(r["n_calls"], json.loads(r["message"])["content"]) for r in got] == [(0, text(n)) for n in odd]
+
+
 def validity(spark, schema, values):
     """What is found wrong with each value of the argument v."""
     calls = [{"id": str(i), "name": "f", "arguments": {"v": v}} for i, v in enumerate(values)]
@@ -331,7 +355,12 @@ def test_schemas_are_checked_by_type_and_at_any_depth(spark):
     closed = {"type": "object", "properties": {"a": {}}, "additionalProperties": False, "required": ["a"]}
     assert validity(spark, closed, [{"a": None}, {}, {"a": 1, "b c": 2}]) == [None, "missing v.a", "unknown v.b c"]
     assert validity(spark, {"type": "string", "minLength": 2, "pattern": "^é", "description": "x"}, ["é日", "é", "ab"]) == [None, "length of v", bad]
-    for schema in ({"oneOf": []}, {"type": "text"}, {"items": {"not": {}}}):
+    assert validity(spark, {"enum": [{"b": 1.0, "a": [2, {"c": None}]}]}, [{"a": [2, {"c": None}], "b": 1}, {"b": 1, "a": [2]}, {"b": 1}, [1]]) == [None, bad, bad, bad]
+    assert validity(spark, {"const": 12345678901234567890}, [12345678901234567890, 12345678901234567891]) == [None, bad]
+    numbers = [-2.5, -2.49, -3, 0, 1, 10, 9.99, 10.001, 12345678901234567890]
+    assert validity(spark, {"minimum": -2.5, "maximum": 10}, numbers) == [bad if x < -2.5 or x > 10 else None for x in numbers]
+    assert validity(spark, {"exclusiveMinimum": -2.5, "exclusiveMaximum": 10}, numbers) == [bad if x <= -2.5 or x >= 10 else None for x in numbers]
+    for schema in ({"oneOf": []}, {"type": "text"}, {"items": {"not": {}}}, {"minimum": float("inf")}):
         with pytest.raises(ValueError):
             validity(spark, schema, [[1]])
 
