@@ -19,7 +19,8 @@ what a block of queries finds in its part before it is shuffled: ``k`` rows per
 Defined results: vectors that are null or hold a null or non-finite
 component take no part; neither do rows without an id.  Only vectors of the
 query's length are its candidates, so empty vectors, whose scores are 0, have each other.  A query's own row is no candidate; other rows that
-repeat its id are, and each of them that is a query has ranks of its own.  Scores must fit a signed 64-bit integer.  Ties go
+repeat its id are, and each of them that is a query has ranks of its own.  Scores are exact at any size; a component or a
+returned score that a signed 64-bit integer doesn't hold is an error.  Ties go
 to the smaller id, repeated candidate rows each take a rank.  Fewer than ``k``
 candidates: all.  Extra columns are ignored.
 """
@@ -45,9 +46,9 @@ def quantise(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """``vec_id`` and ``q``, an array of longs, of the rows that take part, and ``row``, a number of their own."""
     x = F.col("embedding")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double"))).alias("q"), F.monotonically_increasing_id().alias("row")
-    )
+    scaled = lambda v: F.lit(float(scale)) * v.cast("double")
+    whole = lambda v: F.when(F.abs(scaled(v)) < F.lit(2.0**63), F.floor(scaled(v))).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+    return vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, whole).alias("q"), F.monotonically_increasing_id().alias("row"))
 
 
 def _slices(u: np.ndarray) -> np.ndarray:
@@ -100,7 +101,7 @@ def build_index(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         order = np.argsort(ids, kind="stable")
         numbers, ids, values = numbers[order], ids[order], values[order]
         low = values.min(axis=0)
-        bits = _slices(values - low)
+        bits = _slices(values.astype(np.uint64) - low.astype(np.uint64))
         return bits.shape[0], numbers.astype("<i8").tobytes(), ids.astype("<i8").tobytes(), low.astype("<i8").tobytes(), bits.astype("<u8").tobytes()
 
     columns = {"dim": pa.int32(), "bits": pa.int32(), "numbers": pa.binary(), "ids": pa.binary(), "low": pa.binary(), "slices": pa.binary()}
@@ -190,11 +191,12 @@ def select_top(slices: list[np.ndarray], candidates: np.ndarray, k: int) -> np.n
     return np.concatenate((_rows(sure), _rows(tied)[:need])) if need else _rows(sure)
 
 
-def _values(slices: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+def _values(slices: list[np.ndarray], rows: np.ndarray, kind: type = np.int64) -> np.ndarray:
+    """The scores of some rows; of ``kind`` object, integers of any size."""
     word, bit = rows // 64, (rows % 64).astype(np.uint64)
-    out = np.zeros(len(rows), np.int64)
+    out = np.zeros(len(rows), kind)
     for w, s in enumerate(slices):
-        out += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
+        out += ((s[word] >> bit) & np.uint64(1)).astype(kind) << w
     return out
 
 
@@ -203,19 +205,35 @@ def _search_block(own: int, query: np.ndarray, numbers: np.ndarray, ids: np.ndar
     total = score_slices(query, slices)
     # sum q*(u+low) from sum |q|*v, where v is u, or 2^bits-1-u for negative q
     full = (1 << slices.shape[0]) - 1
-    constant = int(query @ low) - int(np.abs(query[query < 0]).sum()) * full
+    fits = np.abs(query.astype(float)) @ (np.abs(low.astype(float)) + full) < 2.0**61
+    kind = np.int64 if fits else object
+    # integers of any size where 64 bits may not do
+    wide, base = query.astype(kind), low.astype(kind)
+    constant = int(wide @ base) + int(wide[query < 0].sum()) * full
     live = np.zeros(slices.shape[2] * 64, np.uint8)
     live[: len(ids)] = numbers != own
     candidates = np.packbits(live, bitorder="little").view(np.uint64)
     rows = select_top(total, candidates, k)
-    return ids[rows], _values(total, rows) + constant
+    return ids[rows], _values(total, rows, kind) + constant
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
+    if scores.dtype == object:
+        order = np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
+    else:
+        order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
 
+def _longs(scores: np.ndarray) -> pa.Array:
+    """Scores as longs; null for one that is too low, of which a better one may take the place."""
+    if scores.dtype == object:
+        if max(scores) >= 1 << 63:
+            raise OverflowError("a score is beyond 64 bits")
+        return pa.array([x if x >= -(1 << 63) else None for x in scores.tolist()], pa.int64())
+    return pa.array(scores, pa.int64())
+
+
 def _search(pairs: DataFrame, k: int) -> DataFrame:
     """The best rows of each query, merged over the blocks of the index that follow one another for its block."""
 
@@ -223,10 +241,10 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
         at, own, query_ids, best = None, np.zeros(0, np.int64), np.zeros(0, np.int64), {}
 
         def found() -> Iterator[pa.RecordBatch]:
-            if best:
+            if any(len(x[0]) for x in best.values()):
                 n = np.concatenate([np.full(len(x[0]), i) for i, x in best.items()])
                 vec, got = (np.concatenate([x[c] for x in best.values()]) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (own[n], query_ids[n], vec, got)], ["number", "query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (own[n], query_ids[n], vec)), _longs(got)], ["number", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for row in range(batch.num_rows):
@@ -262,4 +280,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, block_rows: int =
     pairs = everywhere.repartition(spread, "dim", "part").join(dealt.repartition(spread, "dim", "part").hint("merge"), ["dim", "part"])
     order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     ranked = _search(pairs, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("score").isNull(), F.raise_error(F.lit("a score is beyond 64 bits")).cast("long")).otherwise(F.col("score"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))

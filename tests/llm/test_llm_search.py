@@ -32,6 +32,28 @@ def test_exact_topk(spark, seed):
     assert got == brute(rows)
 
 
+def wide(spark, rows, k=2):
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(map(tuple, exact_topk.search(docs, F.col("vec_id") % 100 == 0, k=k).collect()))
+
+
+def test_scores_are_exact_or_an_error(spark):
+    # sums beyond 64 bits on the way, but not in what is returned
+    rows = [(0, [3e6, 3e6]), (1, [3e6, -3e6]), (2, [2.9e6, -2.9e6]), (3, [-3e6, -3e6]), (4, [-3e6, 1.0])]
+    exact = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    score = lambda i: sum(a * b for a, b in zip(exact[0], exact[i], strict=True))
+    assert wide(spark, rows) == [(0, 1, 1, score(1)), (0, 2, 2, score(2))]
+    # the best one is beyond 64 bits, and so is one of a few
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        wide(spark, [*rows, (5, [3e6, 3e6])])
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        wide(spark, rows, k=5)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        wide(spark, [(0, [1.0]), (1, [1e300])])
+    # components that are further apart than 64 signed bits tell
+    assert wide(spark, [(0, [1 / 1024]), (1, [8e15]), (2, [-8e15])]) == [(0, 1, 1, 1024 * 8 * 10**15), (0, 2, 2, -1024 * 8 * 10**15)]
+
+
 def test_query_blocks_and_empty(spark):
     rng = random.Random(3)
     rows = [(i, [rng.choice((-1.0, 0.0, 0.5, 2.5)) for _ in range(5)]) for i in range(40)]
