@@ -32,15 +32,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.columns import release_memory
-from corpusloom.llm.storage import materialize, release_shuffles
-
-CACHED_WORDS = 600_000
-#: White space of Python that is not white space to the tokenizers.
-_ODD = "\x1c\x1d\x1e\x1f"
+from corpusloom.llm.storage import checked_broadcast, materialize, release_shuffles
+
+CACHED_WORDS = 1_000_000
+#: Bytes of texts that are split into words at once.
+SLICE_BYTES = 1 << 23
+#: Texts of other characters are left to the library: here white space is what Unicode calls so, and lower case a matter of single characters.
+_PLAIN = r"[^ -~\n\t\r\x{A1}-\x{FF}]"
+_MARKS = ".,;:!?"
 #: Bits of an item's number in a key of the plan.
 _NUMBER_BITS = 48
 
@@ -48,7 +52,8 @@ _NUMBER_BITS = 48
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file that drops white space, remembering the ids of words.
 
-    Fresh words go through the library as one text, with a digit of one id between them.
+    A slice of texts is cut into words and these are numbered by Arrow, so that only its distinct words are looked up.
+    Fresh ones go through the library as one text, without a mark at their end, and with a digit of one id between them.
     """
 
     def __init__(self, path: str):
@@ -57,37 +62,70 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [str(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._digit = self._library(["0"])[0]
-        # words are apart if a space leaves nothing and a digit always stands alone
-        self._apart = len(self._digit) == 4 and self._library([" \n", "a 0 b", "a00b"]) == [b"", *(self._library(["a"])[0] + n * self._digit + self._library(["b"])[0] for n in (1, 2))]
+        one = lambda text: self._library([text])[0]
+        self._digit = one("0")
+        # words are apart if a space leaves nothing, and a digit and a mark always stand alone
+        marked = all(one(f"a{m}") == one("a") + one(m) for m in _MARKS)
+        self._apart = len(self._digit) == 4 and marked and self._library([" \n", "a 0 b", "a00b"]) == [b"", *(one("a") + n * self._digit + one("b") for n in (1, 2))]
+        self._folds = one("AÀÞ") == one("aàþ")
         self._ids: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        fresh = list(words.difference(self._ids))
-        odd = [w for w in fresh if "0" in w]
+    def _learn(self, words: list[str]) -> None:
+        odd = [w for w in words if "0" in w]
         self._ids.update(zip(odd, self._library(odd), strict=True))
-        fresh = [w for w in fresh if "0" not in w]
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
+        words = [w for w in words if "0" not in w]
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
             found = np.frombuffer(self._library([" 0 ".join(part)])[0], "<u4")
             ends = np.flatnonzero(found == np.frombuffer(self._digit, "<u4")[0])
             data, begins, stops = found.tobytes(), [0, *(4 * (ends + 1)).tolist()], [*(4 * ends).tolist(), 4 * len(found)]
             self._ids.update(zip(part, map(data.__getitem__, map(slice, begins, stops)), strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian u32 ids of each text."""
-        split = [t.split() if t and self._plain(t) else None for t in texts]
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
         if len(self._ids) > CACHED_WORDS:
             self._ids = {}
-        self._learn(set().union(*filter(None, split)))
-        ids = self._ids.__getitem__
-        return [(self._library([t])[0] if t else b"") if words is None else b"".join(map(ids, words)) for t, words in zip(texts, split, strict=True)]
+        cut = [(w[:-1], w[-1]) if w[-1] in _MARKS and w[:-1].isalpha() else (w, "") for w in words]
+        known = self._ids
+        known[""] = b""
+        self._learn(list({x for pair in cut for x in pair if x not in known}))
+        return [known[w] + known[m] if m else known[w] for w, m in cut]
 
-    def _plain(self, text: str) -> bool:
-        return self._apart and not any(t in text for t in self._special) and not any(c in text for c in _ODD)
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Little-endian u32 ids of each text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        plain = pc.invert(pc.match_substring_regex(texts, _PLAIN)) if self._apart else pa.array([False] * len(texts))
+        for special in self._special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(texts, special)))
+        out: list[bytes] = [b""] * len(texts)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        for i in odd.tolist():
+            out[i] = self._library([texts[i].as_py()])[0]
+        rows = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)[rows])
+        for part in np.split(rows, np.flatnonzero(np.diff(ends // SLICE_BYTES)) + 1):
+            if len(part):
+                for i, ids in zip(part.tolist(), self._plain(texts.take(pa.array(part))), strict=True):
+                    out[i] = ids
+        return out
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        split = pc.utf8_split_whitespace(pc.utf8_lower(texts) if self._folds else texts)
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        # white space at an end leaves an empty word
+        ids = self._of_words([w or "0" for w in distinct])
+        size = np.array([len(x) // 4 if w else 0 for w, x in zip(distinct, ids, strict=True)], np.int64)
+        flat = np.frombuffer(b"".join(x if w else b"" for w, x in zip(distinct, ids, strict=True)), "<u4")
+        number = words.indices.to_numpy()
+        sizes = size[number]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        found = flat[np.repeat((np.cumsum(size) - size)[number] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        places = 4 * ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [found[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -226,9 +264,9 @@ def encode(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
 
         shard, row, places, enc = TaskContext.get().partitionId(), 0, Counter(), encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                ids = [x + end for x in enc.encode(part.column(1))]
                 items = []
                 for x in ids:
                     own = []
@@ -276,6 +314,8 @@ def _with_ids(pieces: DataFrame, tokens: DataFrame, take, kind: str) -> DataFram
     """``pieces`` with what ``take`` makes of their ids (little-endian u32), as ``taken``; a document's ids travel once."""
     columns = [c for c in pieces.columns if c not in ("shard", "row")]
     own = pieces.groupBy("shard", "row").agg(F.collect_list(F.struct(*columns)).alias("own"))
+    # pieces of few documents go to where the ids are; otherwise the ids are shuffled
+    own = checked_broadcast(own, F.size("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
