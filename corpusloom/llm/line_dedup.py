@@ -44,6 +44,8 @@ SLOT_BITS = 18
 _SLOTS = 1 << SLOT_BITS
 #: Groups by smallest hash that a line belongs to.
 HUBS = 3
+#: Bits of the key of a word; a clash only adds candidates.
+KEY_BITS = 54
 
 
 @contextmanager
@@ -104,11 +106,9 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     Sorting and slicing are projections of their own, so that they run on primitive arrays.
     """
     table = F.from_json(F.lit(str(rarity_table(sets))), "array<int>")
-    zero, low31 = F.lit(0).cast("long"), F.lit(0x7FFFFFFF)
+    zero = F.lit(0).cast("long")
     # rarity above, the hash's other bits below
     ranked = lambda x: F.coalesce(F.shiftleft(F.get(table, _slot(x)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x, 8)), zero)
-    # a key of words needs no more than 31 bits: a clash only adds a candidate
-    keys = lambda words: F.transform(words, lambda x: x.bitwiseAND(low31).cast("int"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     parity = lambda words: F.aggregate(words, zero, lambda acc, x: acc.bitwiseXOR(bit(x)))
     # negative hashes end where a zero would stand
@@ -119,7 +119,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
         "doc_id", "line_no", F.xxhash64("s").alias("h1"), F.slice("s", F.lit(1), z - 1).alias("low"), F.slice("s", z, F.greatest(n - z + 1, F.lit(0))).alias("high"),
         F.slice("s", F.lit(1), F.lit(HUBS)).alias("least"), F.slice("r", F.lit(1), _prefix_length(n, percent)).alias("front"),
     )
-    return parts.select("doc_id", "line_no", "h1", (F.size("low") + F.size("high")).alias("n"), parity("low").alias("b1"), parity("high").alias("b2"), keys("least").alias("least"), keys("front").alias("prefix"))
+    return parts.select("doc_id", "line_no", "h1", (F.size("low") + F.size("high")).alias("n"), parity("low").alias("b1"), parity("high").alias("b2"), "least", F.col("front").alias("prefix"))
 
 
 def _apart(line: str, other: str) -> Column:
@@ -213,10 +213,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Da
     postings = _postings(marked, percent)
     # both sides get new names, or they would not count as the same exchange
     later, earlier = postings.toDF("id", "own", "x1", "x2", "place"), postings.toDF("d", "other", "c1", "c2", "seat")
-    n, m, p, q, l, line_no = _low("own"), _low("other"), _high("place"), _high("seat"), _high("other"), _high("own")
-    key = lambda c: F.shiftrightunsigned(_low(c), 2)
+    n, m, l, line_no = _low("own"), _low("other"), _high("other"), _high("own")
+    p, q = (F.shiftright(F.col(c).bitwiseAND(F.lit(0x3FF)).cast("int"), 2) for c in ("place", "seat"))
+    key = lambda c: F.shiftright(c, 64 - KEY_BITS)
     # the later line must be open, which is asked with the other line so that both sides stay the same rows, shuffled once
-    is_open = _low("place").bitwiseAND(F.lit(1)) + q > q
+    is_open = F.col("place").bitwiseAND(F.lit(1)) + q > q
     one_at_home = F.col("place").bitwiseAND(F.col("seat")).bitwiseAND(F.lit(2)) == 0
     matched = _alike("x", n, "c", m, percent) & _room(n, p, m, q, percent) & one_at_home & is_open & _before("d", l, "id", line_no)
     pairs = later.join(earlier, key("place") == key("seat")).where(matched)
@@ -242,8 +243,8 @@ def _postings(lines: DataFrame, percent: int) -> DataFrame:
     shorter prefix of the smaller one of two lines is enough.  So a frequent word is split into
     bands, and few pairs of unlike size meet.
 
-    Few wide columns make short rows: ``line`` is line number and size, ``place`` the word's place,
-    its key of 30 bits, whether the line is visiting and whether it is still open.
+    Few wide columns make short rows: ``line`` is line number and size, ``place`` a key of 54 bits, the word's place (255 for
+    any later one, which lets more pairs pass and loses none), whether the line is visiting and whether it is still open.
     """
     n = F.col("n")
     band = lambda size: F.floor(F.log2(size)).cast("int")
@@ -255,9 +256,14 @@ def _postings(lines: DataFrame, percent: int) -> DataFrame:
     )
     bands = F.sequence("home", F.when(F.col("p") < F.col("short"), F.col("top")).otherwise(F.col("home")))
     each = own.select("doc_id", "b1", "b2", "line", "open", "home", "p", "word", F.explode(bands).alias("band"))
-    key = F.xxhash64("word", "band").bitwiseAND(F.lit(0x3FFFFFFF))
     visiting = F.when(F.col("band") > F.col("home"), F.lit(2)).otherwise(F.lit(0))
-    return each.select("doc_id", "line", "b1", "b2", _packed("p", F.shiftleft(key, 2).bitwiseOR(visiting).bitwiseOR(F.col("open"))).alias("place"))
+    rest = F.shiftleft(F.least("p", F.lit(255)), 2).bitwiseOR(visiting).bitwiseOR(F.col("open"))
+    return each.select("doc_id", "line", "b1", "b2", _posting_key(F.col("word"), F.col("band")).bitwiseOR(rest.cast("long")).alias("place"))
+
+
+def _posting_key(word: Column, band: Column) -> Column:
+    """The key of a word within a band of sizes, in the upper bits of a long."""
+    return F.xxhash64(word, band).bitwiseAND(F.lit(-1 << (64 - KEY_BITS)))
 
 
 def _packed(high: str, low: Column) -> Column:

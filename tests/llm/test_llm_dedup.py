@@ -162,6 +162,24 @@ def test_line_join_shuffles_its_postings_once(spark, monkeypatch):
     assert "ReusedExchange" in plans[0]
 
 
+def test_keys_of_postings_hardly_clash(spark):
+    n = 5_000_000
+    keys = spark.range(n).select(F.explode(F.array(*[line_dedup._posting_key(F.xxhash64("id"), F.lit(b)) for b in (2, 3)])).alias("key"))
+    assert keys.groupBy("key").count().where("count > 1").count() == 0
+    bits = keys.agg(F.bit_or("key").alias("k")).first()["k"]
+    assert bits & ((1 << 64 - line_dedup.KEY_BITS) - 1) == 0
+
+
+def test_long_lines_with_late_shared_words(spark):
+    # places beyond those that a posting tells apart
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    base = rng.sample(words, 3000)
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:2700], *(f"x{i}" for i in range(290))])), (3, " ".join([*base[:2600], *(f"y{i}" for i in range(500))])), (4, " ".join(rng.sample(words, 3000)))]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.report(documents(spark, rows)).collect()}
+    assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows).items()} and got[2] == "0" and got[3] == ""
+
+
 def test_line_dedup_runs_without_python(spark):
     docs = documents(spark, [(1, "a b c"), (2, "a b c")])
     sets = line_dedup._line_sets(docs)
