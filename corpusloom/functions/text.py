@@ -6,7 +6,6 @@ White space means what Unicode calls so; the engine's ``trim`` and a plain
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -58,13 +57,6 @@ def good_length(text: Column, least: int = 6, most: int = 60) -> Column:
     return F.char_length(text).between(least, most) & ~text.rlike(LONG_RUN)
 
 
-def is_simplified(text: Column, to_simplified: Mapping[str, str]) -> Column:
-    """Whether replacing each traditional character by its simplified one changes nothing."""
-    if not to_simplified:
-        return text.isNotNull()
-    return F.translate(text, "".join(to_simplified), "".join(to_simplified.values())) == text
-
-
 def split_sentences(text: Column) -> Column:
     """Sentences with their terminators; the rest after the last one too, even if empty."""
     return F.split(text, f"(?<=[{TERMINATORS}])")

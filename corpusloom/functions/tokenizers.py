@@ -39,26 +39,40 @@ class _Node(dict):
     ends = False
 
 
-def trie_pattern(lexicon: Iterable[str]) -> str:
+#: Branches of a node that are tried one after the other; more are halved until so few are left.
+FEW_BRANCHES = 4
+
+
+def trie_pattern(lexicon: Iterable[str], any_start: bool = False) -> str:
     """A regular expression that matches the longest word at a place, sharing prefixes.
 
-    Words that begin with punctuation can't match, since that is skipped first.
+    Where many characters may follow, the next one is looked for by halves of their range, so a place
+    costs in proportion to the logarithm of the number of characters and not to the number of words.
+    Words that begin with punctuation are left out, as tokenisers skip it first, unless ``any_start``.
     """
     root = _Node()
     skipped = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), PUNCTUATION))
     for word in lexicon:
-        if not word or skipped.match(word):
+        if not word or (skipped.match(word) and not any_start):
             continue
         node = root
         for c in word:
             node = node.setdefault(c, _Node())
         node.ends = True
 
+    def either(children: list[tuple[str, _Node]]) -> str:
+        if len(children) <= FEW_BRANCHES:
+            return "|".join(re.escape(c) + write(child) for c, child in children)
+        half = len(children) // 2
+        low, high = (children[i][0] for i in (0, half - 1))
+        return rf"(?=[\x{{{ord(low):X}}}-\x{{{ord(high):X}}}])(?:{either(children[:half])})|(?:{either(children[half:])})"
+
     def write(node: _Node) -> str:
-        branches = [re.escape(c) + write(child) for c, child in sorted(node.items())]
-        if not branches:
+        if not node:
             return ""
-        body = branches[0] if len(branches) == 1 and not node.ends else "(?:" + "|".join(branches) + ")"
+        body = either(sorted(node.items()))
+        if len(node) > 1 or node.ends:
+            body = f"(?:{body})"
         return body + ("?" if node.ends else "")
 
     return write(root)

@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.rewriting import Rewriter, is_unchanged
 
 
-def clean_news(lines: DataFrame, min_len: int = 6, max_len: int = 60, to_simplified: Mapping[str, str] | None = None) -> DataFrame:
-    """Good sentences of news lines (``value``)."""
+def clean_news(lines: DataFrame, simplify: Rewriter, min_len: int = 6, max_len: int = 60) -> DataFrame:
+    """Good sentences of news lines (``value``) that ``simplify`` leaves as they are."""
     cleaned = lines.select(T.clean_news(F.col("value")).alias("value"))
-    return _good(cleaned, min_len, max_len, to_simplified)
+    return _good(cleaned, simplify, min_len, max_len)
 
 
-def clean_wiki(texts: DataFrame, min_len: int = 6, max_len: int = 60, to_simplified: Mapping[str, str] | None = None) -> DataFrame:
-    """Good sentences of wiki texts (``text``)."""
+def clean_wiki(texts: DataFrame, simplify: Rewriter, min_len: int = 6, max_len: int = 60) -> DataFrame:
+    """Good sentences of wiki texts (``text``) that ``simplify`` leaves as they are."""
     sentences = texts.select(F.explode(T.split_sentences(F.coalesce("text", F.lit("")))).alias("value"))
-    return _good(sentences.select(T.clean_wiki(F.col("value")).alias("value")), min_len, max_len, to_simplified)
+    return _good(sentences.select(T.clean_wiki(F.col("value")).alias("value")), simplify, min_len, max_len)
 
 
-def _good(lines: DataFrame, min_len: int, max_len: int, to_simplified: Mapping[str, str] | None) -> DataFrame:
+def _good(lines: DataFrame, simplify: Rewriter, min_len: int, max_len: int) -> DataFrame:
     value = F.col("value")
-    return lines.where((value != "") & T.good_length(value, min_len, max_len) & T.is_simplified(value, to_simplified or {}))
+    return lines.where((value != "") & T.good_length(value, min_len, max_len) & is_unchanged(value, simplify))
 
 
 def distinct_lines(lines: DataFrame, order: str | None = None) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rewriting import Rewriter
 from corpusloom.functions.text import first_cjk_run, html_text
 from corpusloom.functions.tokenizers import Tokenizer, visible_characters
 from corpusloom.operators import anchors as A
@@ -15,15 +15,15 @@ from corpusloom.operators import corpus
 from corpusloom.sources import readers, sinks
 
 
-def wiki_corpus(spark: SparkSession, root: str, out: str, min_len: int = 6, max_len: int = 60, to_simplified: Mapping[str, str] | None = None) -> None:
-    """Wiki JSON lines to distinct good sentences."""
-    sinks.write_lines(corpus.distinct_lines(corpus.clean_wiki(readers.wiki_texts(spark, root), min_len, max_len, to_simplified)), out)
+def wiki_corpus(spark: SparkSession, root: str, out: str, simplify: Rewriter, min_len: int = 6, max_len: int = 60) -> None:
+    """Wiki JSON lines to distinct good sentences in the script that ``simplify`` leaves as it is."""
+    sinks.write_lines(corpus.distinct_lines(corpus.clean_wiki(readers.wiki_texts(spark, root), simplify, min_len, max_len)), out)
 
 
-def news_corpus(spark: SparkSession, path: str, out: str, min_len: int = 6, max_len: int = 60, to_simplified: Mapping[str, str] | None = None) -> None:
-    """News lines to distinct good sentences."""
+def news_corpus(spark: SparkSession, path: str, out: str, simplify: Rewriter, min_len: int = 6, max_len: int = 60) -> None:
+    """News lines to distinct good sentences in the script that ``simplify`` leaves as it is."""
     raw = spark.read.text(path)
-    sinks.write_lines(corpus.distinct_lines(corpus.clean_news(raw, min_len, max_len, to_simplified)), out)
+    sinks.write_lines(corpus.distinct_lines(corpus.clean_news(raw, simplify, min_len, max_len)), out)
 
 
 def mixed_corpus(spark: SparkSession, first: str, n_first: int, second: str, n_second: int, out: str, seed: int = 7) -> None:

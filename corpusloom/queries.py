@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import keys as K
 from corpusloom.functions import lexicon as L
+from corpusloom.functions import rewriting, segmentation
 from corpusloom.functions import text as T
 from corpusloom.functions import tokenizers as TK
 from corpusloom.functions.statistics import emerged, mastery
@@ -183,6 +184,89 @@ def lexicon_longest_match(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(tokenize(named), "/").alias("tokens"))
 
 
+#: The different words of all documents, and the words of the benchmark that may stand at each place of them.
+_RUNS = "runs AS MATERIALIZED (SELECT row_number() OVER () AS sid, t AS r, length(t) AS n FROM (SELECT DISTINCT t FROM tok))"
+_GRAPH = (
+    _RUNS
+    + r""",
+freq AS (SELECT t, count(*) AS c FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM benchmark) GROUP BY t),
+lex AS (SELECT t, CAST(length(t) AS INTEGER) AS l, CAST(round_even(ln(c / (SELECT sum(c) FROM freq)) * 1000000, 0) AS BIGINT) AS s FROM freq),
+lone AS (SELECT CAST(round_even(ln(1 / sum(c)) * 1000000, 0) AS BIGINT) AS s FROM freq),
+spots AS (SELECT sid, r, unnest(range(1, n + 1)) AS i FROM runs),
+found AS MATERIALIZED (SELECT sid, i, lex.l, lex.s FROM (SELECT sid, r, i, unnest((SELECT list(DISTINCT l) FROM lex)) AS k FROM spots) JOIN lex ON lex.l = k AND lex.t = substr(r, i, k))"""
+)
+
+
+def _runs(spark, sf_dir):
+    return tokens(spark, sf_dir).select(F.explode(F.array_distinct("tokens")).alias("r")).distinct()
+
+
+def _benchmark_words(spark, sf_dir):
+    return _read(spark, sf_dir, "benchmark").select(F.explode(TK.words(F.col("text"))).alias("simplified")).groupBy("simplified").agg(F.count("*").alias("frequency"))
+
+
+@_query(
+    _with("tok", more=_GRAPH).replace("WITH ", "WITH RECURSIVE ", 1)
+    + """, edges AS MATERIALIZED (
+    SELECT sid, i, list({'s': s, 'l': l}) AS es FROM (SELECT sid, i, l, s FROM found UNION ALL SELECT p.sid, p.i, 1, lone.s FROM spots p ANTI JOIN (SELECT sid, i FROM found WHERE l = 1) f ON f.sid = p.sid AND f.i = p.i, lone) GROUP BY sid, i),
+path(sid, i, scores, steps) AS (
+    SELECT sid, n + 1, [0::BIGINT], []::INTEGER[] FROM runs
+    UNION ALL SELECT sid, i, list_prepend(b.s, scores), list_prepend(b.l, steps) FROM (
+        SELECT e.sid, e.i, scores, steps, list_max(list_transform(e.es, lambda x: {'s': x.s + scores[x.l], 'l': x.l})) AS b FROM path p JOIN edges e ON e.sid = p.sid AND e.i = p.i - 1)),
+walk(sid, place, words) AS (
+    SELECT sid, 1, []::VARCHAR[] FROM runs
+    UNION ALL SELECT w.sid, w.place + p.steps[w.place], list_append(w.words, substr(r, w.place, p.steps[w.place])) FROM walk w JOIN path p ON p.sid = w.sid AND p.i = 1 JOIN runs r ON r.sid = w.sid WHERE w.place <= n)
+SELECT r AS word, array_to_string(words, '/') AS words FROM walk w JOIN runs r ON r.sid = w.sid WHERE place = n + 1"""
+)
+def segment_words(spark, sf_dir):
+    """All words of the documents, taken apart by the frequencies of the benchmark's words."""
+    cut = segmentation.lexicon(_benchmark_words(spark, sf_dir), unit=segmentation.CHARACTERS).words()
+    return _runs(spark, sf_dir).select(F.col("r").alias("word"), F.array_join(cut(F.col("r")), "/").alias("words"))
+
+
+_WALK = """, longest AS MATERIALIZED (SELECT sid, i, max(l) AS l FROM found GROUP BY sid, i),
+walk(sid, place, words) AS (
+    SELECT sid, 1, []::VARCHAR[] FROM runs
+    UNION ALL SELECT w.sid, w.place + coalesce(f.l, 1), CASE WHEN f.l IS NULL THEN w.words ELSE list_append(w.words, substr(r, w.place, f.l)) END
+    FROM walk w JOIN runs r ON r.sid = w.sid LEFT JOIN longest f ON f.sid = w.sid AND f.i = w.place WHERE w.place <= n)
+"""
+
+
+@_query(_with("tok", more=_GRAPH).replace("WITH ", "WITH RECURSIVE ", 1) + _WALK + "SELECT r AS word, array_to_string(words, '/') AS words FROM walk w JOIN runs r ON r.sid = w.sid WHERE place = n + 1")
+def lexicon_words(spark, sf_dir):
+    """All words of the documents, matched with the longest words of the benchmark."""
+    # a vocabulary
+    listed = [r["simplified"] for r in _benchmark_words(spark, sf_dir).select("simplified").collect()]
+    return _runs(spark, sf_dir).select(F.col("r").alias("word"), F.array_join(TK.lexicon_words(listed)(F.col("r")), "/").alias("words"))
+
+
+#: Words of the benchmark are put into brackets, pairs of letters that begin one are turned round, and an e gets an accent.
+_MAPPING = r"""bench AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{L}+')) AS t FROM benchmark),
+mapping AS (SELECT s, min(t) AS t FROM (SELECT t AS s, '<' || t || '>' AS t FROM bench WHERE length(t) > 2 UNION ALL SELECT DISTINCT left(t, 2), reverse(left(t, 2)) FROM bench WHERE length(t) > 1 UNION ALL SELECT 'e', 'é') GROUP BY s)"""
+
+
+@_query(
+    f"""WITH RECURSIVE {_MAPPING},
+lines AS MATERIALIZED (SELECT row_number() OVER () AS k, conv_id, turn, text, length(text) AS n FROM conversations WHERE text IS NOT NULL),
+found AS MATERIALIZED (
+    SELECT k, i, arg_max(m.t, w) AS t, max(w) AS w FROM (SELECT k, text, i, unnest((SELECT list(DISTINCT length(s)) FROM mapping)) AS w FROM (SELECT k, text, unnest(range(1, n + 1)) AS i FROM lines))
+    JOIN mapping m ON length(m.s) = w AND m.s = substr(text, i, w) GROUP BY k, i),
+walk(k, place, out) AS (
+    SELECT k, 1, '' FROM lines
+    UNION ALL SELECT w.k, w.place + coalesce(f.w, 1), w.out || coalesce(f.t, substr(l.text, w.place, 1)) FROM walk w JOIN lines l ON l.k = w.k LEFT JOIN found f ON f.k = w.k AND f.i = w.place WHERE w.place <= n)
+SELECT conv_id, turn, out AS text, out = text AS is_unchanged FROM walk w JOIN lines l ON l.k = w.k WHERE place = n + 1"""
+)
+def phrase_rewriting(spark, sf_dir):
+    """Messages rewritten by a table of words, pairs of letters and a letter."""
+    t = F.col("token")
+    bench = _benchmark_tokens(spark, sf_dir)
+    words = bench.where(F.char_length(t) > 2).select(t.alias("source"), F.concat(F.lit("<"), t, F.lit(">")).alias("target"))
+    pairs = bench.where(F.char_length(t) > 1).select(F.left(t, F.lit(2)).alias("source"), F.reverse(F.left(t, F.lit(2))).alias("target"))
+    rewrite = rewriting.rewriter(words.unionByName(pairs).unionByName(spark.createDataFrame([("e", "é")], "source string, target string")))
+    rows = _read(spark, sf_dir, "conversations").where("text is not null")
+    return rows.select("conv_id", "turn", rewrite(F.col("text")).alias("new"), "text").select("conv_id", "turn", F.col("new").alias("text"), (F.col("new") == F.col("text")).alias("is_unchanged"))
+
+
 @_query(_with("tok") + "SELECT g, count(*) AS n FROM (SELECT array_to_string(ts[i + 1:i + 3], ' ') AS g FROM tok WHERE i + 3 <= len(ts)) GROUP BY g")
 def token_ngrams(spark, sf_dir):
     grams = tokens(spark, sf_dir).select(F.explode(TK.ngrams(F.col("tokens"), 3)).alias("g"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import queries as Q
 from corpusloom import schemas
+from corpusloom.functions import rewriting
 from corpusloom.plans import bootstrap as B
 from corpusloom.plans import corpora, inspect
 from corpusloom.plans import prior as prior_plan
@@ -76,12 +77,13 @@ def flash_cards_to_csv(spark, sf_dir):
 _COMMAS = "replace(p_name, ' ', '，') || '，' || p_size"
 
 
-@_query(f"SELECT DISTINCT v AS value FROM (SELECT {_COMMAS} AS v FROM part) WHERE length(v) BETWEEN 6 AND 60 AND NOT regexp_matches(v, '[A-Za-z0-9]{{6,}}')")
+@_query(f"SELECT DISTINCT v AS value FROM (SELECT {_COMMAS} AS v FROM part) WHERE length(v) BETWEEN 6 AND 60 AND NOT regexp_matches(v, '[A-Za-z0-9]{{6,}}') AND NOT contains(v, 'bolt')")
 def news_corpus_file(spark, sf_dir):
     path = sinks.scratch(spark, "news")
     line = F.concat(F.col("p_partkey").cast("string"), F.lit("\t “"), F.replace("p_name", F.lit(" "), F.lit("，")), F.lit("” ，"), F.col("p_size").cast("string"))
     sinks.write_lines(_read(spark, sf_dir, "part").select(line.alias("value")), f"{path}/in")
-    corpora.news_corpus(spark, f"{path}/in", f"{path}/out")
+    # what has a bolt in its name counts as another script
+    corpora.news_corpus(spark, f"{path}/in", f"{path}/out", rewriting.rewriter(spark.createDataFrame([("bolt", "nut")], "source string, target string")))
     return readers.lines(spark, f"{path}/out").select("value")
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.functions import keys, lexicon, statistics, text, tokenizers
+from corpusloom.functions import keys, lexicon, rewriting, statistics, text, tokenizers
 
 
 def value(spark, column, **inputs):
@@ -35,10 +35,16 @@ def test_good_length(spark, t, good):
     assert value(spark, text.good_length(F.col("t")), t=t) is good
 
 
-def test_simplified(spark):
-    table = {"學": "学", "習": "习"}
-    assert value(spark, text.is_simplified(F.col("t"), table), t="学习")
-    assert not value(spark, text.is_simplified(F.col("t"), table), t="學习")
+def test_rewriting_takes_the_longest_phrase(spark):
+    pairs = [("學", "学"), ("習", "习"), ("乾", "干"), ("乾坤", "乾坤"), ("乾坤學", "X"), ("學", "龟"), ("a.", "1"), ("，", ","), (None, "x"), ("", "x"), ("y", None), ("𠮷", "吉")]
+    rewrite = rewriting.rewriter(spark.createDataFrame(pairs, "source string, target string"))
+    texts = ["學習乾坤", "乾坤學習", "乾乾坤坤", "a.ab，𠮷\n學", "y学习", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(rewrite(F.col("t"))).collect()]
+    assert got == ["学习乾坤", "X习", "干乾坤坤", "1ab,吉\n学", "y学习", "", None]
+    assert [value(spark, rewriting.is_unchanged(F.col("t"), rewrite), t=t) for t in ("学习", "學习", "乾坤", "乾")] == [True, False, True, False]
+    assert value(spark, rewriting.is_unchanged(F.col("t"), rewriting.any_script), t="學")
+    with pytest.raises(ValueError, match="empty"):
+        rewriting.rewriter(spark.createDataFrame(pairs[8:11], "source string, target string"))
 
 
 def test_tokenizers(spark):

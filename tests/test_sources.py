@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
+from corpusloom.functions import rewriting
 from corpusloom.plans import bootstrap as B
 from corpusloom.plans import corpora, prior, reports
 from corpusloom.sources import readers, sinks
@@ -63,8 +64,9 @@ def test_anchor_files(spark, tmp_path):
 
 def test_wiki_news_and_flash_cards(spark, tmp_path):
     (tmp_path / "w" / "AA").mkdir(parents=True)
-    (tmp_path / "w" / "AA" / "wiki_00").write_text('{"id": "1", "text": "这是一个很好的句子。短。"}\nnot json\n{"id": "2"}\n', encoding="utf-8")
-    corpora.wiki_corpus(spark, str(tmp_path / "w"), str(tmp_path / "wiki"))
+    (tmp_path / "w" / "AA" / "wiki_00").write_text('{"id": "1", "text": "这是一个很好的句子。短。这个句子里有學字。"}\nnot json\n{"id": "2"}\n', encoding="utf-8")
+    simplify = rewriting.rewriter(spark.createDataFrame([("學", "学")], "source string, target string"))
+    corpora.wiki_corpus(spark, str(tmp_path / "w"), str(tmp_path / "wiki"), simplify)
     assert [r["value"] for r in spark.read.text(str(tmp_path / "wiki")).collect()] == ["这是一个很好的句子。"]
     cards = tmp_path / "cards.txt"
     cards.write_text("<b>你好。</b>[sound:a.mp3]\thello\nonly\n", encoding="utf-8")
