@@ -43,6 +43,8 @@ from corpusloom.llm.storage import checked_broadcast, drop, materialize, release
 
 BANDS, ROWS = 32, 5
 SLICE_DOCS = 128
+#: Pairs of one document that are verified in one place.
+PART_PAIRS = 5_000
 CACHED_WORDS = 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -140,12 +142,20 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets are similar enough."""
+    """The ``pairs`` (a, b) whose full sets are similar enough.
+
+    The sets of a document that many others are compared with go to as many parts as those fill, so no part holds more than ``PART_PAIRS`` sets of one hub's partners.
+    """
+    hubs = pairs.groupBy("b").agg(F.count("*").alias("c")).where(F.col("c") > PART_PAIRS)
+    # at most one row for each PART_PAIRS pairs
+    parts = checked_broadcast(materialize(hubs.select("b", F.ceil(F.col("c") / PART_PAIRS).cast("long").alias("parts")), "hubs"))
+    dealt = pairs.join(parts, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).alias("part"))
     first = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    second = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(parts, "b", "left")
+    second = second.select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = (100 * shared) >= percent * (F.size("sa") + F.size("sb") - shared)
-    return pairs.join(first, "a").join(second, "b").where(linked).select("a", "b")
+    return dealt.join(first, "a").join(second, ["b", "part"]).where(linked).select("a", "b")
 
 
 def _similar_sizes(x: str, y: str, percent: int):
@@ -215,11 +225,11 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Of every component the document with the smallest id stays.  Rows that share an id and differ in text
     are documents of their own, the lesser text first; of rows that repeat id and text one stays.
     """
-    verdict = materialize(link(docs, k, percent), "verdicts")
-    release_shuffles(docs.sparkSession)
-    repeated = materialize(verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        verdict = materialize(link(docs, k, percent), "verdicts")
+        release_shuffles(docs.sparkSession)
         gone = materialize(verdict.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+        drop(verdict)
         return docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
     number, component = _unused("row", docs), _unused("component", docs)
     # numbers of their own for all rows but those without an id, which are linked with nothing

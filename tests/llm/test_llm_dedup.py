@@ -65,6 +65,19 @@ def test_minhash_against_brute_force(spark, seed, k):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got) and len(got) == len(rows)
 
 
+def test_hubs_of_many_pairs_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "PART_PAIRS", 3)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: 60 - i % 9], *(rng.choice(base) for _ in range(i % 9))])) for i in range(80)]
+    parts = []
+    write = minhash_dedup.materialize
+    monkeypatch.setattr(minhash_dedup, "materialize", lambda df, name, **options: parts.append((name, t := write(df, name, **options))) or t)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash_dedup.link(documents(spark, rows), k=4).collect()}
+    assert got == brute_components(rows, 4)
+    assert max(r["parts"] for name, t in parts if name == "hubs" for r in t.collect()) > 3
+
+
 def test_minhash_odd_rows(spark):
     text = "a b c d e f g h i j"
     docs = documents(spark, [(5, text), (5, text), (3, text), (None, text), (None, None)])
