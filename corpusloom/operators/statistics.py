@@ -25,19 +25,48 @@ def key_counts(sentences: DataFrame) -> DataFrame:
     return sentences.select(F.inline(both)).groupBy("pattern_key").agg(F.sum("o").alias("count_occurrences"), F.sum("s").alias("count_sentences"))
 
 
+def _place(sid: Column, emitted: Column) -> Column:
+    """Where a pattern stands in the corpus, as one number, so that the first of many needs no sort."""
+    return sid.cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + emitted.cast("decimal(10,0)")
+
+
+def pattern_pairs(sentences: DataFrame, placed: bool = False) -> DataFrame:
+    """``pattern_key, realization, o, s``: occurrences of each pair, and, without a realization, sentences of each key.
+
+    With ``placed``, ``at`` is the first place of a pair; sentences have a whole number ``sid`` then.  Everything that
+    is counted of a corpus comes from this one pass.
+    """
+    struct = lambda k, r, o, s, at: F.struct(k.alias("pattern_key"), r.alias("realization"), F.lit(o).alias("o"), F.lit(s).alias("s"), *([at.alias("at")] if placed else []))
+    none = F.lit(None)
+    own = F.transform("patterns", lambda p, i: struct(p["pattern_key"], p["realization"], 1, 0, _place(F.col("sid"), i) if placed else none))
+    keys = F.array_distinct(F.transform("patterns", lambda p: p["pattern_key"]))
+    alone = F.transform(keys, lambda k: struct(k, none.cast("string"), 0, 1, none.cast("decimal(32,0)")))
+    first = [F.min("at").alias("at")] if placed else []
+    return sentences.select(F.inline(F.concat(own, alone))).groupBy("pattern_key", "realization").agg(F.sum("o").alias("o"), F.sum("s").alias("s"), *first)
+
+
+def counts_of_pairs(pairs: DataFrame) -> DataFrame:
+    """``pattern_key, count_occurrences, count_sentences, n_realizations``."""
+    filled = F.count_if(F.coalesce(F.col("realization") != "", F.lit(False)))
+    return pairs.groupBy("pattern_key").agg(F.sum("o").alias("count_occurrences"), F.sum("s").alias("count_sentences"), filled.alias("n_realizations"))
+
+
+def first_realizations(pairs: DataFrame, cap: int = NO_CAP) -> DataFrame:
+    """Distinct non-empty realizations of each key, the first ``cap`` by place (all if 0)."""
+    filled = pairs.where(F.col("realization") != "")
+    if cap > 0:
+        order = Window.partitionBy("pattern_key").orderBy("at")
+        filled = filled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap)
+    return filled.select("pattern_key", "realization")
+
+
 def pattern_counts(sentences: DataFrame) -> DataFrame:
     """``pattern_key, count_occurrences, count_sentences, n_realizations`` in one pass.
 
     (key, realization) pairs are counted first, with map-side sums; a key's sentences ride along
     as rows without a realization of their own.
     """
-    of = lambda p, o: F.struct(p["pattern_key"].alias("pattern_key"), p["realization"].alias("realization"), F.lit(o).alias("o"), F.lit(0).alias("s"))
-    alone = lambda k: F.struct(k.alias("pattern_key"), F.lit(None).cast("string").alias("realization"), F.lit(0).alias("o"), F.lit(1).alias("s"))
-    keys = F.array_distinct(F.transform("patterns", lambda p: p["pattern_key"]))
-    rows = sentences.select(F.inline(F.concat(F.transform("patterns", lambda p: of(p, 1)), F.transform(keys, alone))))
-    pairs = rows.groupBy("pattern_key", "realization").agg(F.sum("o").alias("o"), F.sum("s").alias("s"))
-    filled = F.count_if(F.coalesce(F.col("realization") != "", F.lit(False)))
-    return pairs.groupBy("pattern_key").agg(F.sum("o").alias("count_occurrences"), F.sum("s").alias("count_sentences"), filled.alias("n_realizations"))
+    return counts_of_pairs(pattern_pairs(sentences))
 
 
 def with_share(stats: DataFrame, count: str = "count_sentences", share: str = "p_global") -> DataFrame:
@@ -54,17 +83,21 @@ def realizations(patterns: DataFrame, cap: int = NO_CAP) -> DataFrame:
     filled = patterns.where(F.col("realization") != "")
     if cap <= 0:
         return filled.select("pattern_key", "realization").distinct()
-    first = filled.groupBy("pattern_key", "realization").agg(F.min(F.struct("sid", "emitted")).alias("at"))
-    order = Window.partitionBy("pattern_key").orderBy("at")
-    return first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select("pattern_key", "realization")
+    first = filled.groupBy("pattern_key", "realization").agg(F.min(_place(F.col("sid"), F.col("emitted"))).alias("at"))
+    return first_realizations(first, cap)
 
 
 def prior(sentences: DataFrame, diversity: bool = False, cap: int = NO_CAP) -> DataFrame:
     """The global prior: counts, share and, with ``diversity``, distinct realizations up to ``cap``."""
     if not diversity:
         return with_share(key_counts(sentences)).withColumn("family", family_of(F.col("pattern_key")))
+    return prior_of_pairs(pattern_pairs(sentences), cap)
+
+
+def prior_of_pairs(pairs: DataFrame, cap: int = NO_CAP) -> DataFrame:
+    """The prior with distinct realizations up to ``cap`` (0: all)."""
     n = F.col("n_realizations")
-    stats = with_share(pattern_counts(sentences)).withColumn("family", family_of(F.col("pattern_key")))
+    stats = with_share(counts_of_pairs(pairs)).withColumn("family", family_of(F.col("pattern_key")))
     return stats.withColumn("distinct_realization_count", F.least(n, F.lit(cap).cast("long")) if cap > 0 else n).drop("n_realizations")
 
 

@@ -7,13 +7,13 @@ import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.tokenizers import Tokenizer, words
 from corpusloom.operators import statistics
-from corpusloom.operators.patterns import DEFAULT_FAMILIES, explode, extract
-from corpusloom.sources import sinks
+from corpusloom.operators.patterns import DEFAULT_FAMILIES, extract
+from corpusloom.sources import readers, sinks
 
 
 log = logging.getLogger(__name__)
@@ -39,37 +39,53 @@ def tokenized(lines: DataFrame, tokenizer: Tokenizer = words, skip_empty: bool =
     return rows.where(F.size("tokens") > 0) if skip_empty else rows
 
 
-def prior_of(lines: DataFrame, anchors: Iterable[str], config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = words, cap: int = 9999) -> tuple[DataFrame, DataFrame]:
-    """The tables ``pattern_global_stats`` and ``pattern_global_realizations``."""
-    sentences = extract(tokenized(lines, tokenizer), anchors, realizations=cap > 0, **config.options())
-    rows = explode(sentences)
-    stats = statistics.prior(sentences, cap > 0, cap)
+@dataclass(frozen=True)
+class Prior:
+    """The tables ``pattern_global_stats`` and ``pattern_global_realizations`` of some lines, and what was counted on the way."""
+
+    stats: DataFrame
+    realizations: DataFrame
+    seen: int
+    kept: int
+
+
+def prior_of(lines: DataFrame, anchors: Iterable[str], config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = words, cap: int = 9999) -> Prior:
+    """Reads the lines once: pairs of keys and realizations are written, lines and sentences are counted in passing."""
+    spark = lines.sparkSession
+    seen, kept = Observation(), Observation()
+    n = F.count(F.lit(1)).alias("n")
+    rows = tokenized(lines.observe(seen, n), tokenizer).observe(kept, n)
+    found = statistics.pattern_pairs(extract(rows, anchors, realizations=cap > 0, **config.options()), placed=True)
+    path = sinks.scratch(spark, "pairs")
+    found.write.parquet(path)
+    pairs = spark.read.parquet(path)
+    stats = statistics.prior_of_pairs(pairs, cap)
     if cap <= 0:
-        return stats.withColumn("distinct_realization_count", F.lit(0).cast("long")), rows.select("pattern_key", "realization").limit(0)
-    return stats, statistics.realizations(rows, cap)
+        stats = stats.withColumn("distinct_realization_count", F.lit(0).cast("long"))
+    return Prior(stats, statistics.first_realizations(pairs, max(cap, 0)), seen.get["n"], kept.get["n"])
+
 
+def build(spark: SparkSession, lines: DataFrame, anchors: Iterable[str], store: str, config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = words, cap: int = 9999, merge: bool = False, provenance: dict | None = None, mark: str | None = None) -> None:
+    """Write (or, with ``merge``, add to) the prior below ``store``.
 
-def build(spark: SparkSession, lines: DataFrame, anchors: Iterable[str], store: str, config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = words, cap: int = 9999, merge: bool = False, provenance: dict | None = None) -> None:
-    """Write (or, with ``merge``, add to) the prior below ``store``."""
+    A merge changes both tables at once; one that comes again with the ``mark`` of the last adds nothing.
+    """
     began = time.time()
     listed = sorted(set(anchors))
     if not listed:
         raise ValueError("no anchors")
     sinks.create_prior(spark, store)
-    stats, realizations = prior_of(lines, listed, config, tokenizer, cap)
+    found = prior_of(lines, listed, config, tokenizer, cap)
     columns = ["pattern_key", "family", "count_sentences", "count_occurrences", "distinct_realization_count", "p_global"]
     if merge:
-        sinks.merge_prior(stats.select(*columns), store)
-        sinks.merge_realizations(realizations, store, cap)
+        sinks.merge_prior(found.stats, found.realizations, store, cap, mark)
     else:
-        sinks.replace(stats.select(*columns), store, "pattern_global_stats")
-        sinks.replace(realizations, store, "pattern_global_realizations")
-    seen = lines.agg(F.count("*").alias("n")).first()["n"]
-    kept = tokenized(lines, tokenizer).count()
-    total = spark.read.parquet(f"{store}/pattern_global_stats").agg(F.sum("count_sentences").alias("n")).first()["n"] or 0
+        sinks.replace(found.stats.select(*columns), store, "pattern_global_stats")
+        sinks.replace(found.realizations, store, "pattern_global_realizations")
+    total = readers.table(spark, store, "pattern_global_stats").agg(F.sum("count_sentences").alias("n")).first()["n"] or 0
     values = {
-        "built_at_unix": int(began), "anchors_count": len(listed), "lines_seen": seen, "sentences_processed": kept, "total_df_sum": total, "max_realizations_per_pattern": cap, "build_seconds": round(time.time() - began, 2),
+        "built_at_unix": int(began), "anchors_count": len(listed), "lines_seen": found.seen, "sentences_processed": found.kept, "total_df_sum": total, "max_realizations_per_pattern": cap, "build_seconds": round(time.time() - began, 2),
         "families": ",".join(config.families), "max_ngram_n": config.max_ngram_n, "max_gap": config.max_gap, "max_jump": config.max_jump, **(provenance or {}),
     }
     sinks.put_meta(spark, store, values)
-    log.info("prior: %s lines seen, %s sentences, sum of sentence counts %s, %s s", f"{seen:,}", f"{kept:,}", f"{total:,}", values["build_seconds"])
+    log.info("prior: %s lines seen, %s sentences, sum of sentence counts %s, %s s", f"{found.seen:,}", f"{found.kept:,}", f"{total:,}", values["build_seconds"])

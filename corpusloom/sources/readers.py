@@ -10,7 +10,9 @@ from pyspark.sql.types import StructType
 
 from corpusloom.functions.lexicon import forms, frequency, level, unique_join
 from corpusloom.functions.text import strip
+from corpusloom.operators.statistics import with_share
 from corpusloom.schemas import DICTIONARY_JSON, FLASH_CARDS, LEGACY_COLUMNS, WIKI_JSON
+from corpusloom.sources import buckets
 
 
 #: What a table being replaced is called meanwhile, and the one it replaces.
@@ -173,7 +175,7 @@ def tables(spark: SparkSession, store: str) -> list[str]:
     for name in names:
         if name.endswith(OLD):
             settle(spark, f"{store.rstrip('/')}/{name.removesuffix(OLD)}")
-    return sorted(n for n in {x.removesuffix(OLD) for x in names} if not n.endswith(NEXT))
+    return sorted(n for n in {x.removesuffix(OLD) for x in names} | buckets.tables(spark, store) if not n.endswith(NEXT) and not n.startswith("_"))
 
 
 def first_table(spark: SparkSession, store: str, *names: str) -> str | None:
@@ -184,6 +186,10 @@ def first_table(spark: SparkSession, store: str, *names: str) -> str | None:
 
 def table(spark: SparkSession, store: str, name: str, schema: str | None = None) -> DataFrame:
     """A stored table under current column names; empty if it is missing and ``schema`` is given."""
+    bucketed = buckets.table(spark, store, name)
+    if bucketed is not None:
+        # shares aren't stored in buckets, as each changes with every merge
+        return with_share(bucketed) if name == "pattern_global_stats" else bucketed
     path = f"{store.rstrip('/')}/{name}"
     settle(spark, path)
     if schema is not None and not exists(spark, path):

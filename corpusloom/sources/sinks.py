@@ -6,11 +6,14 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from corpusloom.functions.keys import family_of
 from corpusloom.operators.statistics import merge_counts, replace_rows
 from corpusloom.schemas import PRIOR_SCHEMA_VERSION, PRIOR_TABLES, SCHEMA_VERSION, STATE_TABLES
+from corpusloom.sources import buckets
 from corpusloom.sources.readers import NEXT, OLD, exists, settle, table
 
 
@@ -53,6 +56,7 @@ def replace(rows: DataFrame, store: str, name: str, mark: str | None = None) ->
     if not fs.rename(at(path + NEXT), at(path)):
         raise OSError(f"can't move {path}{NEXT} to {path}")
     fs.delete(at(path + OLD), True)
+    buckets.forget(spark, store, name)
 
 
 def _mark(mark: str) -> str:
@@ -68,8 +72,9 @@ def marked(spark: SparkSession, store: str, name: str, mark: str) -> bool:
 
 def create_store(spark: SparkSession, store: str, tables: Mapping[str, str], version_key: str, version: int) -> None:
     """Make missing tables, empty, and stamp the schema's version."""
+    there = buckets.tables(spark, store)
     for name, schema in tables.items():
-        if not exists(spark, _path(store, name)):
+        if name not in there and not exists(spark, _path(store, name)):
             spark.createDataFrame([], StructType.fromDDL(schema)).write.parquet(_path(store, name))
     put_meta(spark, store, {version_key: version})
 
@@ -103,31 +108,35 @@ def insert_new(rows: DataFrame, store: str, name: str, by: Sequence[str]) -> Non
     append(new, store, name)
 
 
-def merge_prior(new: DataFrame, store: str, name: str = "pattern_global_stats", mark: str | None = None) -> None:
-    """Add counts to the stored ones, keep the larger diversity, and renew the shares."""
-    from pyspark.sql import functions as F
-
-    from corpusloom.functions.keys import family_of
-    from corpusloom.operators.statistics import with_share
-
-    old = table(new.sparkSession, store, name)
-    merged = with_share(merge_counts(old, new)).withColumn("family", family_of(F.col("pattern_key")))
-    replace(merged.select(*old.columns), store, name, mark)
-
-
-def merge_realizations(new: DataFrame, store: str, cap: int, name: str = "pattern_global_realizations", mark: str | None = None) -> None:
-    """Add distinct realizations to the stored ones, up to ``cap`` of a key (0: all); stored ones stay, new ones follow in order of their text."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
+def merge_prior(stats: DataFrame, realizations: DataFrame, store: str, cap: int, mark: str | None = None) -> dict[str, int]:
+    """Add a batch's counts and realizations to the stored ones, both at once; the number of buckets rewritten of each table.
 
+    Diversities keep the larger value, realizations those stored before and then new ones in order of their text, up to ``cap`` of a key (0: all).
+    Shares change with every count, so they aren't stored but taken when the table is read.
+    """
+    spark = stats.sparkSession
     columns = ["pattern_key", "realization"]
-    old = table(new.sparkSession, store, name).select(*columns)
-    both = old.withColumn("late", F.lit(0)).unionByName(new.select(*columns).withColumn("late", F.lit(1)))
-    each = both.groupBy(*columns).agg(F.min("late").alias("late"))
-    if cap > 0:
-        order = Window.partitionBy("pattern_key").orderBy("late", "realization")
-        each = each.withColumn("n", F.row_number().over(order)).where((F.col("n") <= cap) | (F.col("late") == 0))
-    replace(each.select(*columns), store, name, mark)
+
+    def counts(old: DataFrame, new: DataFrame) -> DataFrame:
+        return merge_counts(old, new).withColumn("family", family_of(F.col("pattern_key")))
+
+    def texts(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.select(*columns).withColumn("late", F.lit(0)).unionByName(new.select(*columns).withColumn("late", F.lit(1)))
+        each = both.groupBy(*columns).agg(F.min("late").alias("late"))
+        if cap > 0:
+            order = Window.partitionBy("pattern_key").orderBy("late", "realization")
+            each = each.withColumn("n", F.row_number().over(order)).where((F.col("n") <= cap) | (F.col("late") == 0))
+        return each.select(*columns)
+
+    batch = {"pattern_global_stats": buckets.Merge(stats.drop("p_global"), "pattern_key", counts), "pattern_global_realizations": buckets.Merge(realizations, "pattern_key", texts)}
+    plain = {name: table(spark, store, name) for name in batch if name not in buckets.tables(spark, store) and exists(spark, _path(store, name))}
+    # an empty table has nothing to put into buckets
+    start = {name: None if rows.isEmpty() else rows for name, rows in plain.items()}
+    written = buckets.merge(spark, store, batch, mark, start.get)
+    for name in plain:
+        fs, at = _files(spark, _path(store, name))
+        fs.delete(at(_path(store, name)), True)
+    return written
 
 
 def append(rows: DataFrame, store: str, name: str) -> None:

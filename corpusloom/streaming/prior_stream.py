@@ -15,21 +15,17 @@ from corpusloom.sources import sinks
 def maintain_prior(lines: DataFrame, anchors: Iterable[str], store: str, checkpoint: str, config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = words, cap: int = 9999) -> StreamingQuery:
     """Add the available lines (``value``) to the prior below ``store`` and stop.
 
-    Counts are additive, so a batch is aggregated alone and added.  Each of the two tables is replaced
-    together with a mark of the batch, so after a failure at any point a batch that comes again is merged just
-    into the table that lacks it.  A key keeps at most ``cap`` realizations over all batches.
+    Counts are additive, so a batch is aggregated alone and added, to the buckets that it touches.  Both tables change at once, and
+    the store remembers the last batch, so one that comes again after a failure at any point is merged once.  A key
+    keeps at most ``cap`` realizations over all batches.
     """
     listed = sorted(set(anchors))
     spark = lines.sparkSession
     sinks.create_prior(spark, store)
 
     def merge(batch: DataFrame, number: int) -> None:
-        mark = f"batch-{number}"
-        stats, realizations = prior_of(batch, listed, config, tokenizer, cap)
-        if not sinks.marked(spark, store, "pattern_global_stats", mark):
-            sinks.merge_prior(stats, store, mark=mark)
-        if not sinks.marked(spark, store, "pattern_global_realizations", mark):
-            sinks.merge_realizations(realizations, store, cap, mark=mark)
+        found = prior_of(batch, listed, config, tokenizer, cap)
+        sinks.merge_prior(found.stats, found.realizations, store, cap, f"batch-{number}")
         sinks.put_meta(spark, store, {"last_batch": number})
 
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,6 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions.rewriting import any_script
 from corpusloom.operators import anchors as A
 from corpusloom.operators import corpus as C
 from corpusloom.operators import patterns as P
@@ -158,7 +159,7 @@ def test_reports(spark):
 
 def test_corpus(spark):
     lines = spark.createDataFrame([("1\t他 说好 他说好吧。",), ("2\t他说好他说好吧。",), ("短",)], "value string")
-    assert [r["value"] for r in C.distinct_lines(C.clean_news(lines)).collect()] == ["他说好他说好吧。"]
+    assert [r["value"] for r in C.distinct_lines(C.clean_news(lines, any_script)).collect()] == ["他说好他说好吧。"]
     rows = spark.createDataFrame([(str(i),) for i in range(100)], "value string")
     a, b = ([r["value"] for r in C.sample(rows.repartition(n), 10, 1).collect()] for n in (1, 5))
     assert a == b and len(set(a)) == 10

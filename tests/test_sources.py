@@ -7,7 +7,7 @@ from corpusloom import schemas
 from corpusloom.functions import rewriting
 from corpusloom.plans import bootstrap as B
 from corpusloom.plans import corpora, prior, reports
-from corpusloom.sources import readers, sinks
+from corpusloom.sources import buckets, readers, sinks
 from corpusloom.streaming.prior_stream import maintain_prior
 
 
@@ -98,7 +98,9 @@ def test_prior_rebuild_merge_and_stream(spark, tmp_path):
     assert sum(r["p_global"] for r in once.values()) == pytest.approx(1.0)
     assert all(r["count_sentences"] <= r["count_occurrences"] for r in once.values())
     prior.build(spark, lines, ["a", "b"], store, merge=True)
-    twice = {r["pattern_key"]: r["count_occurrences"] for r in spark.read.parquet(f"{store}/pattern_global_stats").collect()}
+    merged = readers.table(spark, store, "pattern_global_stats")
+    assert merged.agg(F.sum("p_global")).first()[0] == pytest.approx(1.0) and "pattern_global_stats" in readers.tables(spark, store)
+    twice = {r["pattern_key"]: r["count_occurrences"] for r in merged.collect()}
     assert twice == {k: 2 * r["count_occurrences"] for k, r in once.items()}
     meta = readers.meta(spark, f"{store}/meta")
     assert meta["lines_seen"] == "3" and meta["sentences_processed"] == "2"
@@ -108,7 +110,7 @@ def test_prior_rebuild_merge_and_stream(spark, tmp_path):
     streamed = str(tmp_path / "streamed")
     for _ in range(2):  # nothing new the second time
         maintain_prior(spark.readStream.text(str(src)), ["a", "b"], streamed, str(tmp_path / "cp")).awaitTermination()
-    got = {r["pattern_key"]: r["count_occurrences"] for r in spark.read.parquet(f"{streamed}/pattern_global_stats").collect()}
+    got = {r["pattern_key"]: r["count_occurrences"] for r in readers.table(spark, streamed, "pattern_global_stats").collect()}
     assert got == {k: r["count_occurrences"] for k, r in once.items()}
 
 
@@ -170,15 +172,20 @@ def test_a_stream_that_breaks_between_tables_counts_once(spark, tmp_path, monkey
     src.mkdir()
     (src / "1.txt").write_text("a b a\nb c\na x b\n", encoding="utf-8")
     run = lambda: maintain_prior(spark.readStream.text(str(src)), ["a", "b"], store, str(tmp_path / "cp"), cap=1).awaitTermination()
-    whole = sinks.merge_realizations
-
     def broken(*args, **options):
         raise OSError("lost")
 
-    monkeypatch.setattr(sinks, "merge_realizations", broken)
-    with pytest.raises(Exception, match="lost"):
-        run()
-    monkeypatch.setattr(sinks, "merge_realizations", whole)
+    # both tables are written, but the switch doesn't come
+    with monkeypatch.context() as m:
+        m.setattr(buckets, "_commit", broken)
+        with pytest.raises(Exception, match="lost"):
+            run()
+    assert readers.table(spark, store, "pattern_global_stats").isEmpty()
+    # the switch comes, but not what follows it
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "put_meta", lambda spark, store, values: broken() if "last_batch" in values else None)
+        with pytest.raises(Exception, match="lost"):
+            run()
     run()
     (src / "2.txt").write_text("a y b\n", encoding="utf-8")
     run()
@@ -190,6 +197,47 @@ def test_a_stream_that_breaks_between_tables_counts_once(spark, tmp_path, monkey
     assert kept.where("count > 1").count() == 0 and kept.count() == len(counts(store))
 
 
+def test_a_merge_rewrites_the_buckets_it_touches(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = lambda keys: spark.createDataFrame([(f"k{i}", 1) for i in keys], "key string, n long")
+    add = lambda old, new: old.unionByName(new).groupBy("key").agg(F.sum("n").alias("n"))
+    merge = lambda keys, mark=None: buckets.merge(spark, store, {"t": buckets.Merge(rows(keys), "key", add)}, mark, buckets=16)
+    assert merge(range(300)) == {"t": 16}
+    before = buckets.manifest(spark, store)["tables"]["t"]["at"]
+    touched = {r[0] for r in rows([5, 6, 1000]).select(buckets.bucket_of("key", 16)).collect()}
+    assert merge([5, 6, 6, 1000], "second") == {"t": len(touched)}
+    after = buckets.manifest(spark, store)["tables"]["t"]["at"]
+    assert {b for b in after if after[b] != before.get(b)} == {str(b) for b in touched}
+    # a batch that comes again counts once, and one without rows rewrites nothing
+    assert merge([5, 6, 6, 1000], "second") == {} and merge([], "third") == {"t": 0}
+    counts = {r["key"]: r["n"] for r in buckets.table(spark, store, "t").collect()}
+    assert counts == {f"k{i}": 1 for i in range(300)} | {"k5": 2, "k6": 3, "k1000": 1}
+    # a manifest whose writer broke off is passed over; what no version names is cleared away
+    (tmp_path / "store" / "_manifest" / "9").write_text('{"version": 9', encoding="utf-8")
+    assert buckets.table(spark, store, "t").count() == 301
+    merge([7], "fourth")
+    merge([7], "fifth")
+    kept = {(int(p.parent.name), p.name) for p in (tmp_path / "store" / "_buckets" / "t").glob("*/bucket=*")}
+    assert {(v, f"bucket={b}") for b, v in buckets.manifest(spark, store)["tables"]["t"]["at"].items()} <= kept and len(kept) <= 17
+    sinks.replace(rows([1]), store, "t")
+    assert [r["key"] for r in readers.table(spark, store, "t").collect()] == ["k1"]
+
+
+def test_a_build_reads_its_lines_once(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame([("a b a",), ("b c",), ("...",)] * 50, "value string").mapInArrow(counted, "value string")
+    prior.build(spark, lines, ["a", "b"], str(tmp_path / "p"), cap=2)
+    assert reads.value == 150
+    meta = readers.meta(spark, str(tmp_path / "p" / "meta"))
+    assert (meta["lines_seen"], meta["sentences_processed"]) == ("150", "100")
+
+
 def test_limits_number_the_lines_of_a_split_file(spark, tmp_path):
     path = tmp_path / "lines.txt"
     raw = [f"line {i}" if i % 3 else " " for i in range(200)]
