@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +54,7 @@ def inspect_state(spark: SparkSession, store: str, candidates: DataFrame | None
     out["frequent words"] = reports.top_vocabulary(vocab, top)
     stored = readers.meta(spark, f"{store.rstrip('/')}/meta")
     if listed := anchor_list(anchors):
-        out["length robustness"] = length_robustness(spark, listed, _stored_config(stored))
+        out["length robustness"] = length_robustness(fixed_pairs(spark), listed, _stored_config(stored))
     return out
 
 
@@ -59,13 +62,18 @@ def inspect_state(spark: SparkSession, store: str, candidates: DataFrame | None
 LENGTH_PAIRS = [("我把它扔掉", "我把你昨天用的杯子扔掉了"), ("他在学校学习", "他今天在学校认真地学习了"), ("我给你打电话", "我昨天晚上给你打了一个电话")]
 
 
-def length_robustness(spark: SparkSession, anchors: list[str], config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = characters) -> DataFrame:
-    """Per fixed pair of a short sentence and a longer one: how many pattern keys they share, and their similarity."""
-    rows = spark.createDataFrame([(i, s) for i, pair in enumerate(LENGTH_PAIRS) for s in pair], "pair_id long, value string")
-    split = rows.select("pair_id", "value", tokenizer(F.col("value")).alias("tokens"))
-    keys = F.array_distinct(F.transform("patterns", lambda p: p["pattern_key"]))
-    found = extract(split, anchors, **config.options()).select("pair_id", F.length("value").alias("n"), "value", keys.alias("k"))
-    sets = found.groupBy("pair_id").agg(F.min_by("value", "n").alias("short"), F.max_by("value", "n").alias("long"), F.min_by("k", "n").alias("a"), F.max_by("k", "n").alias("b"))
+def fixed_pairs(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *pair) for i, pair in enumerate(LENGTH_PAIRS)], "pair_id long, short string, long string")
+
+
+def length_robustness(pairs: DataFrame, anchors: list[str], config: PatternConfig = PatternConfig(), tokenizer: Tokenizer = characters) -> DataFrame:
+    """Per pair of a short sentence and a longer one (``pair_id, short, long``): how many pattern keys they share, and their similarity."""
+
+    def keyed(rows: DataFrame, text: str, name: str) -> DataFrame:
+        found = extract(rows.withColumn("tokens", tokenizer(F.col(text))), anchors, realizations=False, **config.options())
+        return found.withColumn(name, F.array_distinct(F.transform("patterns", lambda p: p["pattern_key"]))).drop("tokens", "patterns")
+
+    sets = keyed(keyed(pairs, "short", "a"), "long", "b")
     shared = F.size(F.array_intersect("a", "b"))
     return sets.select("pair_id", "short", "long", shared.alias("shared"), (F.size("a") + F.size("b") - shared).alias("either"), similarity.jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
@@ -77,7 +85,7 @@ def _stored_config(meta: dict[str, str]) -> PatternConfig:
     return PatternConfig(families, meta_int(meta, "max_ngram_n", usual.max_ngram_n), meta_int(meta, "span_max_gap", usual.max_gap), meta_int(meta, "skip_max_jump", usual.max_jump))
 
 
-#: The settings that a state's report names.
+#: The settings that a state's report names.
 SELECTED = [
     "schema_version", "bootstrapped_at", "anchors_source", "global_anchors_path", "global_candidates_count", "anchors_top_k", "anchor_method", "anchor_max_token_len", "anchors_count",
     "hsk_db_path", "hsk_table", "hsk_max_level", "include_level7", "max_ngram_n", *FAMILY_KEYS.values(), "span_max_gap", "skip_max_jump", "pattern_min_count_seen", "pattern_min_distinct_sentences",
@@ -126,6 +134,34 @@ def inspect_pipeline(spark: SparkSession, state: str, prior: str, sample_size: i
     }
 
 
+def flat(sections: Sections, keys: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``section, key, field, value`` of all sections as one table, whose rows are told apart by the ``keys`` of each section.
+
+    Values are texts: fractions in whole millionths, lists joined by spaces.
+    """
+    parts = []
+    for title, rows in sections.items():
+        by = list(keys.get(title, ()))
+        fields = []
+        for f in rows.schema:
+            if f.name not in by:
+                kind, c = f.dataType.typeName(), F.col(f"`{f.name}`")
+                value = F.rint(c * 1_000_000).cast("long") if kind == "double" else F.array_join(c, " ") if kind == "array" else c
+                fields.append(F.struct(F.lit(f.name).alias("field"), value.cast("string").alias("value")))
+        key = F.concat_ws("/", *[F.col(f"`{c}`").cast("string") for c in by]) if by else F.lit("")
+        none = F.struct(F.lit("there").alias("field"), F.lit("true").alias("value"))
+        parts.append(rows.select(F.lit(title).alias("section"), key.alias("key"), F.inline(F.array(*(fields or [none])))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: What tells the rows of each section apart.
+KEYS = {
+    "tables": ["table_name"], "prior tables": ["table_name"], "state tables": ["table_name"], "meta": ["key"], "selected meta": ["key"], "families": ["family"], "ranges": ["low"], "top patterns": ["pattern_key"],
+    "realizations": ["pattern_key", "realization"], "anchor presence": ["token"], "anchors by sentences": ["token"], "anchors without sentences": ["token"], "anchors against candidates": ["token"], "candidates by sentences": ["token"],
+    "tokens by sentences": ["token"], "sentences": ["zh_text"], "pattern histogram": ["value"], "emerged patterns": ["pattern_key"], "their realizations": ["pattern_key", "realization"], "frequent words": ["word"], "length robustness": ["pair_id"], "runs": ["id"],
+}
+
+
 def render(sections: Sections, rows: int = 25) -> str:
     """The first rows of every section as text."""
     return "\n".join(f"=== {title} ===\n{df._show_string(rows, 80, False) if hasattr(df, '_show_string') else df}" for title, df in sections.items())

@@ -564,12 +564,12 @@ def merge_counts(spark, sf_dir):
     return S.merge_counts(half(0), half(1))
 
 
-@_query("SELECT o_custkey AS key, max(o_orderkey) AS newest FROM orders GROUP BY 1")
+@_query("SELECT o_custkey AS key, max(o_orderkey) FILTER (o_custkey % 3 = 0 OR o_orderkey % 2 = 0) AS newest FROM orders GROUP BY 1 HAVING newest IS NOT NULL")
 def replace_rows(spark, sf_dir):
+    """The newest even order of each customer, replaced by the newest of all for a third of the customers."""
     orders = _read(spark, sf_dir, "orders")
-    even, every = orders.where("o_orderkey % 2 = 0"), orders
     newest = lambda df: df.groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderkey").alias("newest"))
-    return S.replace_rows(newest(even), newest(every), "key")
+    return S.replace_rows(newest(orders.where("o_orderkey % 2 = 0")), newest(orders.where("o_custkey % 3 = 0")), "key")
 
 
 # Reports.
@@ -746,31 +746,25 @@ def idf_jaccard_pairs(spark, sf_dir):
     return found.select("pair_id", F.round("similarity", 6).alias("similarity"))
 
 
-_LENGTH_ANCHORS = ["把", "在", "给", "了", "的", "地"]
-
-
 def _length_sql() -> str:
-    """The default families over the characters of the fixed pairs."""
-    listed = ", ".join(f"({2 * i + j}, {i}, '{s}')" for i, pair in enumerate(inspect.LENGTH_PAIRS) for j, s in enumerate(pair))
-    anchors = ", ".join(f"('{t}')" for t in _LENGTH_ANCHORS)
-    parts = [
-        f"line AS (SELECT * FROM (VALUES {listed}) v(sid, pair_id, text))",
-        "toks AS (SELECT sid, pair_id AS doc_id, string_split(text, '') AS ts FROM line)",
-        _CTE["tok"],
-        f"anc AS (SELECT * FROM (VALUES {anchors}) v(t))",
-        _CTE["occ"],
-        _ANCSET,
-        f"pat AS ({_DEFAULT})",
-        "sets AS (SELECT sid, list_distinct(list(pattern_key)) AS s FROM pat GROUP BY sid)",
-    ]
-    both = "len(list_intersect(x.s, y.s))"
-    return "WITH " + ",\n".join(parts) + f"\nSELECT CAST(x.sid // 2 AS BIGINT) AS pair_id, CAST({both} AS INTEGER) AS shared, CAST(len(x.s) + len(y.s) - {both} AS INTEGER) AS either, round({both} / (len(x.s) + len(y.s) - {both}), 6) AS similarity FROM sets x JOIN sets y ON x.sid % 2 = 0 AND y.sid = x.sid + 1"
+    """The default families over the first half of each personal sentence, under an even number, and over the whole of it."""
+    good = _CTE["tok"].replace("FROM toks", "FROM both_")
+    halves = "both_ AS (SELECT 2 * k AS sid, doc_id, ts[1:CAST(ceil(len(ts) / 2) AS BIGINT)] AS ts FROM numbered UNION ALL SELECT 2 * k + 1, doc_id, ts FROM numbered)"
+    numbered = "numbered AS (SELECT row_number() OVER () AS k, sid AS pair_id, doc_id, ts FROM toks WHERE len(ts) > 1 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))"
+    pairs = [_CTE["occ"], _ANCSET, f"pat AS ({_DEFAULT})"]
+    renamed = [x.replace("FROM tok ", "FROM ptoks ").replace("FROM toks,", "FROM both_,").replace("FROM tok WHERE", "FROM ptoks WHERE") for x in pairs]
+    parts = [_CTE["sent"], _CTE["toks"], _CTE["tok"], _CTE["anc"], numbered, halves, good.replace("tok AS", "ptoks AS", 1), *renamed, "sets AS (SELECT sid, list_distinct(list(pattern_key)) AS s FROM pat GROUP BY sid)"]
+    shared = "len(list_intersect(x.s, y.s))"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT n.pair_id, CAST({shared} AS INTEGER) AS shared, CAST(len(x.s) + len(y.s) - {shared} AS INTEGER) AS either, round({shared} / (len(x.s) + len(y.s) - {shared}), 6) AS similarity FROM numbered n JOIN sets x ON x.sid = 2 * k JOIN sets y ON y.sid = 2 * k + 1"
 
 
 @_query(_length_sql())
 def length_robustness(spark, sf_dir):
-    """Key-set similarity of three short sentences with longer ones of the same build."""
-    return inspect.length_robustness(spark, _LENGTH_ANCHORS).select("pair_id", "shared", "either", F.round("similarity", 6).alias("similarity"))
+    """Key-set similarity of the first half of every personal sentence with the whole."""
+    listed, n = F.col("tokens"), F.size("tokens")
+    halves = personal_tokens(spark, sf_dir).where(n > 1).select(F.col("sid").alias("pair_id"), F.array_join(F.slice(listed, F.lit(1), F.ceil(n / 2).cast("int")), " ").alias("short"), F.array_join(listed, " ").alias("long"))
+    found = inspect.length_robustness(halves, anchor_tokens(spark, sf_dir), tokenizer=TK.words)
+    return found.select("pair_id", "shared", "either", F.round("similarity", 6).alias("similarity"))
 
 
 # Corpora and dictionaries.

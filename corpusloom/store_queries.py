@@ -5,6 +5,8 @@ Each query writes below a scratch folder of its own, so a run leaves the driver
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,6 +184,155 @@ def inspect_state_counts(spark, sf_dir):
     return inspect.inspect_state(spark, _state(spark, sf_dir))["pattern counts"]
 
 
+# Whole reports: every section, as rows of (section, key, field, value).
+
+#: Keys of the meta table that hold times and what is derived from them.
+_TIMES = ("built_at_unix", "build_seconds", "bootstrapped_at", "config_hash")
+
+
+def _section(title: str, sql: str, fields: str, keys: str = "") -> str:
+    """SQL of a section; a field that begins with a tilde is a fraction."""
+    by = f"concat_ws('/', {keys})" if keys else "''"
+    value = lambda f: f"CAST(CAST(round_even({f[1:]} * 1000000, 0) AS BIGINT) AS VARCHAR)" if f[0] == "~" else f"CAST({f} AS VARCHAR)"
+    each = [f"SELECT '{title}' AS section, {by} AS key, '{f.lstrip('~')}' AS field, {value(f)} AS value FROM ({sql})" for f in fields.split()]
+    return " UNION ALL ".join(each or [f"SELECT '{title}' AS section, {by} AS key, 'there' AS field, 'true' AS value FROM ({sql})"])
+
+
+def _sections(*parts: str) -> str:
+    return " UNION ALL ".join(parts)
+
+
+def _health(*tables: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS table_name, true AS present, ({count}) AS n_rows" for name, count in tables)
+
+
+def _without_times(sections: inspect.Sections) -> inspect.Sections:
+    return {title: rows.where(~F.col("key").isin(*_TIMES)) if "meta" in title else rows for title, rows in sections.items()}
+
+
+_THRESHOLDS = "SELECT count(*) AS total, count(*) FILTER (c = 1) AS eq_1, count(*) FILTER (c = 2) AS eq_2, count(*) FILTER (c = 3) AS eq_3, count(*) FILTER (c >= 5) AS ge_5, count(*) FILTER (c >= 10) AS ge_10, count(*) FILTER (c >= 100) AS ge_100 FROM (SELECT {0} AS c FROM {1})"
+_SHARED = _PRIOR_STATS + ",\nshared AS (SELECT *, count_sentences / sum(count_sentences) OVER () AS p_global FROM prior),\ntop AS (SELECT *, 'anch_pair' AS family FROM shared ORDER BY count_sentences DESC, pattern_key LIMIT 20)"
+_KEPT_TEXTS = f",\nkept AS (SELECT pattern_key, realization FROM (SELECT pattern_key, realization, row_number() OVER (PARTITION BY pattern_key ORDER BY min({{'s': sid, 'a': e1, 'b': e2}})) AS n FROM ({Q._EMIT}) WHERE realization <> '' AND pattern_key IN (SELECT pattern_key FROM top ORDER BY count_sentences DESC, pattern_key LIMIT 12) GROUP BY pattern_key, realization) WHERE n <= {Q.CAP})"
+_PRIOR_TABLES = (("meta", "SELECT 12"), ("pattern_global_realizations", "SELECT CAST(sum(distinct_realization_count) AS BIGINT) FROM prior"), ("pattern_global_stats", "SELECT count(*) FROM prior"))
+_PRIOR_META = f"""SELECT 'prior_schema_version' AS key, '{schemas.PRIOR_SCHEMA_VERSION}' AS value UNION ALL SELECT 'anchors_count', CAST(count(*) AS VARCHAR) FROM anc UNION ALL SELECT 'lines_seen', CAST(count(*) AS VARCHAR) FROM sent
+UNION ALL SELECT 'sentences_processed', CAST(count(*) AS VARCHAR) FROM toks WHERE len(ts) > 0 UNION ALL SELECT 'total_df_sum', CAST(CAST(sum(count_sentences) AS BIGINT) AS VARCHAR) FROM prior UNION ALL SELECT 'max_realizations_per_pattern', '{Q.CAP}'
+UNION ALL SELECT 'families', 'anch_pair' UNION ALL SELECT 'max_ngram_n', '4' UNION ALL SELECT 'max_gap', '20' UNION ALL SELECT 'max_jump', '10'"""
+
+
+@_query(
+    _with("occ", more=_SHARED + _KEPT_TEXTS)
+    + _sections(
+        _section("tables", _health(*_PRIOR_TABLES), "present n_rows", "table_name"),
+        _section("meta", _PRIOR_META, "value", "key"),
+        _section("families", "SELECT 'anch_pair' AS family, count(*) AS n_patterns FROM prior", "n_patterns", "family"),
+        _section("counts", _THRESHOLDS.format("count_sentences", "prior"), "total eq_1 eq_2 eq_3 ge_5 ge_10 ge_100"),
+        _section("ranges", f"SELECT CAST(low AS BIGINT) AS low, label, count(pattern_key) AS n_patterns FROM (VALUES {Q._RANGES}) r(low, label, high) LEFT JOIN prior ON count_sentences BETWEEN low AND high GROUP BY low, label", "label n_patterns", "low"),
+        _section("top patterns", "SELECT * FROM top", "family count_sentences count_occurrences distinct_realization_count ~p_global", "pattern_key"),
+        _section("realizations", "SELECT * FROM kept", "", "pattern_key, realization"),
+        _section("anchor presence", "SELECT t AS token, count(pattern_key) AS n_keys FROM anc LEFT JOIN (SELECT pattern_key FROM prior ORDER BY count_sentences DESC, pattern_key LIMIT 200) ON contains(pattern_key, t) GROUP BY t", "n_keys", "token"),
+    )
+)
+def inspect_prior_report(spark, sf_dir):
+    """All sections of a prior's report."""
+    store = sinks.scratch(spark, "reported")
+    _build_prior(spark, sf_dir, _lines(spark, sf_dir), store)
+    anchors = spark.createDataFrame([(t,) for t in Q.anchor_tokens(spark, sf_dir)], "token string")
+    return inspect.flat(_without_times(inspect.inspect_prior(spark, store, anchors, with_samples=True)), inspect.KEYS)
+
+
+def _of_good(sql: str) -> str:
+    """Relations of the personal corpus, under names of their own."""
+    return re.sub(r"\b(sent|toks|tok|anc|occ|pat|own)\b", r"g\1", sql).replace("FROM documents)", _GOOD)
+
+
+_NORM = f"regexp_replace(regexp_replace(text, '{Q._W}+', ' ', 'g'), '^ | $', '', 'g')"
+_STATE = ",\n".join(
+    [_of_good(part) for part in (*(Q._CTE[n] for n in ("sent", "toks", "tok", "anc", "occ")), _OWN)]
+    + ["gown_share AS (SELECT * FROM gown WHERE count_seen >= 3 AND distinct_sentence_count >= 2)", f"gline AS (SELECT {_NORM} AS zh_text, min(sid) AS sid FROM gsent GROUP BY ALL)"]
+)
+_SAMPLE = ",\npicked AS (SELECT zh_text, sid FROM gline ORDER BY sha256('0:' || zh_text), zh_text LIMIT 200),\nseen AS (SELECT t, count(DISTINCT sid) AS df FROM gtok WHERE sid IN (SELECT sid FROM picked) GROUP BY t)"
+_STATE_TABLES = (
+    ("pattern_personal_realizations", "SELECT count(*) FROM (SELECT DISTINCT pattern_key, realization FROM gpat WHERE realization <> '')"), ("pattern_personal_stats", "SELECT count(*) FROM gown"), ("runs", "SELECT 1"),
+    ("sentences", "SELECT count(*) FROM gline"),
+)
+_VALID = "SELECT count(*) AS n_keys, count(*) AS n_valid, 0 AS n_invalid FROM {0}"
+
+
+@_query(
+    _with("occ", more=_SHARED + ",\n" + _STATE + _SAMPLE)
+    + _sections(
+        _section("prior tables", _health(*_PRIOR_TABLES), "present n_rows", "table_name"),
+        _section("state tables", _health(*_STATE_TABLES), "present n_rows", "table_name"),
+        _section("singletons", "SELECT count(*) AS total, count(*) FILTER (count_sentences = 1) AS n_single, count(*) FILTER (count_sentences = 1) / count(*) AS share FROM prior", "total n_single ~share"),
+        _section("quantiles", "SELECT quantile_disc(count_sentences, 0.5) AS p50, quantile_disc(count_sentences, 0.9) AS p90, quantile_disc(count_sentences, 0.99) AS p99 FROM prior", "p50 p90 p99"),
+        _section("top patterns", "SELECT * FROM top", "family count_sentences count_occurrences distinct_realization_count ~p_global", "pattern_key"),
+        _section("coverage", "SELECT count(*) AS emerged_patterns, sum(coalesce(p_global, 0)) AS coverage_mass FROM gown_share LEFT JOIN shared USING (pattern_key)", "emerged_patterns ~coverage_mass"),
+        _section("sentence coverage", "SELECT n AS n_sentences, n_any, 0 AS n_skel, n_any / n AS any_share, 0.0 AS skel_share FROM (SELECT count(*) AS n, count(*) FILTER (sid IN (SELECT sid FROM gpat)) AS n_any FROM picked)", "n_sentences n_any n_skel ~any_share ~skel_share"),
+        _section("anchors by sentences", "SELECT a.t AS token, coalesce(df, 0) AS df FROM ganc a LEFT JOIN seen USING (t) ORDER BY df DESC, token LIMIT 25", "df", "token"),
+        _section("anchors without sentences", "SELECT t AS token FROM ganc WHERE t NOT IN (SELECT t FROM seen)", "", "token"),
+        _section("keys of the prior", _VALID.format("prior"), "n_keys n_valid n_invalid"),
+        _section("keys of the state", _VALID.format("gown"), "n_keys n_valid n_invalid"),
+    )
+)
+def inspect_pipeline_report(spark, sf_dir):
+    """All sections of the report on a prior and a state together; rows of the meta and vocabulary tables are other queries' matter."""
+    store = sinks.scratch(spark, "reported")
+    _build_prior(spark, sf_dir, _lines(spark, sf_dir), store)
+    found = inspect.flat(inspect.inspect_pipeline(spark, _state(spark, sf_dir), store), inspect.KEYS)
+    return found.where(~((F.col("section") == "state tables") & F.col("key").isin("meta", "vocab_stats")))
+
+
+#: The words of the lexicon in the personal corpus, by a walk over its different runs of letters; digits stand alone.
+_VOCAB = rf"""{Q._BENCH},
+{Q._LEX},
+gruns AS MATERIALIZED (SELECT row_number() OVER () AS k, r, c, length(r) AS n FROM (SELECT r, count(*) AS c FROM (SELECT unnest(regexp_extract_all(text, '\p{{L}}+')) AS r FROM gsent) GROUP BY r)),
+gfound AS MATERIALIZED (
+    SELECT k, i, max(w) AS w FROM (SELECT k, r, i, unnest((SELECT list(DISTINCT length(simplified)) FROM best)) AS w FROM (SELECT k, r, unnest(range(1, n + 1)) AS i FROM gruns)) JOIN best ON length(simplified) = w AND simplified = substr(r, i, w) GROUP BY k, i),
+gwalk(k, place, words) AS (
+    SELECT k, 1, []::VARCHAR[] FROM gruns
+    UNION ALL SELECT w.k, w.place + coalesce(f.w, 1), CASE WHEN f.w IS NULL THEN words ELSE list_append(words, substr(r, w.place, f.w)) END
+    FROM gwalk w JOIN gruns r ON r.k = w.k LEFT JOIN gfound f ON f.k = w.k AND f.i = w.place WHERE w.place <= n),
+gwords AS (SELECT unnest(words) AS word, c FROM gwalk w JOIN gruns r ON r.k = w.k WHERE place = n + 1 UNION ALL SELECT unnest(regexp_extract_all(text, '\p{{Nd}}')), 1 FROM gsent),
+gvocab AS (SELECT word, CAST(sum(c) AS BIGINT) AS count, ln(1 + sum(c)) AS mastery, any_value(level) AS hsk_level, any_value(frequency) AS hsk_frequency FROM gwords LEFT JOIN best ON simplified = word GROUP BY word)"""
+_ONCE = ",\nonce AS (SELECT DISTINCT zh_text, ts FROM gline JOIN gtoks USING (sid)),\nuses AS (SELECT t, count(*) AS tf, count(DISTINCT zh_text) AS df FROM (SELECT zh_text, unnest(ts) AS t FROM once) GROUP BY t)"
+_SELECTED = " UNION ALL ".join(
+    [f"SELECT '{k}' AS key, '{v}' AS value" for k, v in {
+        "schema_version": schemas.SCHEMA_VERSION, "anchors_source": "local_df", "anchors_top_k": Q.TOP_K, "anchor_method": "df", "anchor_max_token_len": Q.MAX_LEN, "hsk_max_level": 6, "include_level7": 0, "max_ngram_n": 4,
+        "span_max_gap": 20, "skip_max_jump": 10, "pattern_min_count_seen": 3, "pattern_min_distinct_sentences": 2, **{key: int(family == "anch_pair") for family, key in B.FAMILY_KEYS.items()},
+    }.items()]
+    + ["SELECT 'anchors_count', CAST(count(*) AS VARCHAR) FROM ganc"]
+)
+_LISTED = "list_transform(ts, lambda x: " + Q._CLASSES + ")"
+
+
+@_query(
+    _with("sent", more=_STATE + ",\n" + _VOCAB + _ONCE + ",\ngset AS (SELECT list(t) AS a FROM ganc),\ngtop AS (SELECT * FROM gown_share ORDER BY count_seen DESC, distinct_sentence_count DESC, pattern_key LIMIT 20)").replace("WITH ", "WITH RECURSIVE ", 1)
+    + _sections(
+        _section("tables", _health(*_STATE_TABLES, ("vocab_stats", "SELECT count(*) FROM gvocab")), "present n_rows", "table_name"),
+        _section("selected meta", _SELECTED, "value", "key"),
+        _section("anchors against candidates", "SELECT t AS token, t IN (SELECT token FROM bench) AS is_candidate FROM ganc", "is_candidate", "token"),
+        _section("candidates by sentences", "SELECT token, coalesce(df, 0) AS df FROM bench LEFT JOIN uses ON t = token ORDER BY df DESC, token LIMIT 25", "df", "token"),
+        _section("tokens by sentences", "SELECT t AS token, df, tf FROM uses ORDER BY df DESC, token LIMIT 25", "df tf", "token"),
+        _section("sentences", f"SELECT zh_text, array_to_string(ts, ' ') AS tokens_word, array_to_string({_LISTED}, ' ') AS skeleton FROM once, gset ORDER BY sha256('0:' || zh_text), zh_text LIMIT 5", "tokens_word skeleton", "zh_text"),
+        _section("pattern counts", "SELECT count(*) AS total, count(*) FILTER (count_seen = 1) AS eq_1, count(*) FILTER (count_seen = 2) AS eq_2, count(*) FILTER (count_seen >= 5) AS ge_5 FROM gown", "total eq_1 eq_2 ge_5"),
+        _section("pattern histogram", "SELECT count_seen AS value, count(*) AS n_patterns FROM gown GROUP BY 1", "n_patterns", "value"),
+        _section("emerged patterns", "SELECT *, 'anch_pair' AS family, true AS emerged FROM gtop", "family count_seen distinct_sentence_count emerged", "pattern_key"),
+        _section("their realizations", "SELECT pattern_key, realization FROM (SELECT pattern_key, realization, row_number() OVER (PARTITION BY pattern_key ORDER BY sha256('0:' || realization), realization) AS n FROM (SELECT DISTINCT pattern_key, realization FROM gpat WHERE realization <> '' AND pattern_key IN (SELECT pattern_key FROM gtop))) WHERE n <= 6", "", "pattern_key, realization"),
+        _section("vocabulary", "SELECT count(*) AS n_words, count(*) FILTER (hsk_level IS NULL) AS n_unknown, count(*) FILTER (length(word) = 1) AS n_single, count(*) FILTER (hsk_level IS NULL) / count(*) AS unknown_share, count(*) FILTER (length(word) = 1) / count(*) AS single_share FROM gvocab", "n_words n_unknown n_single ~unknown_share ~single_share"),
+        _section("frequent words", "SELECT * FROM gvocab ORDER BY count DESC, word LIMIT 20", "count ~mastery hsk_level hsk_frequency", "word"),
+    )
+)
+def inspect_state_report(spark, sf_dir):
+    """All sections of a state's report but for those of times, ids and fixed sentences."""
+    sections = inspect.inspect_state(spark, _state(spark, sf_dir), Q._benchmark_tokens(spark, sf_dir))
+    kept = {k: v for k, v in sections.items() if k not in ("meta", "length robustness")}
+    kept["sentences"] = kept["sentences"].drop("id")
+    kept["emerged patterns"] = kept["emerged patterns"].drop("last_seen_at")
+    kept["frequent words"] = kept["frequent words"].drop("last_seen")
+    found = inspect.flat(_without_times(kept), inspect.KEYS)
+    return found.where(~((F.col("section") == "tables") & (F.col("key") == "meta")))
+
+
 @_query(_with("occ", more=_PRIOR_STATS) + "SELECT count(*) AS total, count(*) FILTER (count_sentences = 1) AS n_single, round(count(*) FILTER (count_sentences = 1) / count(*), 6) AS share FROM prior")
 def inspect_pipeline_singletons(spark, sf_dir):
     store = sinks.scratch(spark, "inspected")
