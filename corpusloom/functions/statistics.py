@@ -13,12 +13,6 @@ def mastery(count: Column) -> Column:
     return F.log1p(count)
 
 
-def entropy_term(part: Column, total: Column) -> Column:
-    """What an outcome adds to the entropy, in nats."""
-    share = part / total
-    return -share * F.ln(share)
-
-
 def anchor_score(df_rate: Column, entropy: Column, tf: Column) -> Column:
     """Documents first, then variety of neighbours, then frequency."""
     return 2.0 * df_rate + 0.25 * entropy + 0.10 * F.log1p(tf)

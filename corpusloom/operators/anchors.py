@@ -64,12 +64,6 @@ def neighbour_entropy(sentences: DataFrame, candidates: Iterable[str]) -> DataFr
     return each.groupBy("token").agg(side("l").alias("h_left"), side("r").alias("h_right"))
 
 
-def entropy(counts: DataFrame, by: str, count: str) -> DataFrame:
-    """Entropy of the outcomes counted for each ``by``; groups of nothing have none."""
-    totals = counts.groupBy(by).agg(F.sum(count).alias("__n"), F.sum(F.when(F.col(count) > 0, F.col(count) * F.ln(count))).alias("__s"))
-    return totals.select(by, F.coalesce(F.when(F.col("__n") > 0, F.ln("__n") - F.col("__s") / F.col("__n")), F.lit(0.0)).alias("entropy"))
-
-
 def score_candidates(sentences: DataFrame, candidates: Iterable[str]) -> DataFrame:
     """``token, df, tf, df_rate, h_left, h_right, entropy, score`` of the candidates that occur."""
     listed = list(candidates)

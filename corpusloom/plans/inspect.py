@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
-from corpusloom.functions.statistics import meta_bool, meta_int
+from corpusloom.functions.statistics import meta_bool, meta_int, percent_text, thousands_text
 from corpusloom.functions.tokenizers import Tokenizer, characters
 from corpusloom.operators import similarity
 from corpusloom.operators.anchors import anchor_list, top_tokens
@@ -162,6 +162,22 @@ KEYS = {
 }
 
 
+def printed(rows: DataFrame) -> DataFrame:
+    """``rows`` as people read them: counts with thousands marked, shares in per cent."""
+
+    def shown(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind == "long":
+            return thousands_text(c)
+        return percent_text(c, F.lit(1.0)) if kind == "double" and name.endswith(("share", "mass")) else c
+
+    return rows.select(*[shown(f.name, f.dataType.typeName()).alias(f.name) for f in rows.schema])
+
+
 def render(sections: Sections, rows: int = 25) -> str:
-    """The first rows of every section as text."""
-    return "\n".join(f"=== {title} ===\n{df._show_string(rows, 80, False) if hasattr(df, '_show_string') else df}" for title, df in sections.items())
+    """The first rows of every section as text, under its title."""
+    out = []
+    for title, df in sections.items():
+        table = [df.columns, *([str(x) for x in r] for r in printed(df.limit(rows)).collect())]
+        out += [f"=== {title} ===", *(" | ".join(line) for line in table)]
+    return "\n".join(out)

@@ -267,6 +267,23 @@ def phrase_rewriting(spark, sf_dir):
     return rows.select("conv_id", "turn", rewrite(F.col("text")).alias("new"), "text").select("conv_id", "turn", F.col("new").alias("text"), (F.col("new") == F.col("text")).alias("is_unchanged"))
 
 
+@_query(f"SELECT conv_id, turn, len(regexp_extract_all(text, '[^{_W[1:-1]}]')) AS n, array_to_string(regexp_extract_all(text, '[^{_W[1:-1]}]'), ' ') AS tokens FROM conversations")
+def scoring_tokens(spark, sf_dir):
+    """Every visible character of a message, punctuation included."""
+    found = TK.visible_characters(F.col("text"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("tokens"))
+
+
+_PUNCTUATED = T.PUNCTUATION.replace("'", "''")
+
+
+@_query(f"SELECT conv_id, turn, regexp_replace(text, '{_PUNCTUATED}+', '|', 'g') AS parted, length(text) - length(regexp_replace(text, '{_PUNCTUATED}', '', 'g')) AS n FROM conversations")
+def punctuation(spark, sf_dir):
+    """What parts the words of a message."""
+    bare = F.regexp_replace("text", T.PUNCTUATION, "")
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", f"{T.PUNCTUATION}+", "|").alias("parted"), (F.char_length("text") - F.char_length(bare)).cast("long").alias("n"))
+
+
 @_query(_with("tok") + "SELECT g, count(*) AS n FROM (SELECT array_to_string(ts[i + 1:i + 3], ' ') AS g FROM tok WHERE i + 3 <= len(ts)) GROUP BY g")
 def token_ngrams(spark, sf_dir):
     grams = tokens(spark, sf_dir).select(F.explode(TK.ngrams(F.col("tokens"), 3)).alias("g"))
@@ -289,6 +306,13 @@ def escape_component(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", K.escape(F.col("html")).alias("escaped"))
 
 
+@_query("SELECT p_partkey, 'fam|a=' || replace(p_name, ' ', ',') || '|p=brand=' || " + _ESC.format("p_brand || '=|'") + " || ',size=' || p_size AS pattern_key FROM part")
+def key_of_parameters(spark, sf_dir):
+    """Keys of parameters given as a map: names trimmed and in order, blank ones left out."""
+    params = F.create_map(F.lit(" size "), F.col("p_size").cast("string"), F.lit("brand"), F.concat("p_brand", F.lit("=|")), F.lit("  "), F.lit("x"))
+    return _read(spark, sf_dir, "part").select("p_partkey", K.key_of(F.lit("fam"), F.split("p_name", " "), params).alias("pattern_key"))
+
+
 def _sql_bucket(gap: str) -> str:
     return f"CASE WHEN {gap} <= 0 THEN '0' WHEN {gap} = 1 THEN '1' WHEN {gap} <= 3 THEN '2-3' WHEN {gap} <= 7 THEN '4-7' ELSE '8+' END"
 

@@ -5,6 +5,7 @@ Each query writes below a scratch folder of its own, so a run leaves the driver
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from corpusloom import queries as Q
 from corpusloom import schemas
 from corpusloom.functions import rewriting
+from corpusloom.functions import tokenizers as TK
 from corpusloom.plans import bootstrap as B
-from corpusloom.plans import corpora, inspect
+from corpusloom.plans import corpora, inspect, reports
 from corpusloom.plans import prior as prior_plan
 from corpusloom.plans.prior import PatternConfig
 from corpusloom.sources import readers, sinks
@@ -103,6 +105,13 @@ _ENTRY_LEVEL = "CASE WHEN n_nationkey % 4 = 0 THEN NULL WHEN n_nationkey % 2 = 0
 @_query(f"SELECT n_name AS simplified, CAST({_ENTRY_LEVEL} AS INTEGER) AS level, CAST(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_nationkey END AS INTEGER) AS frequency, 'p' || n_regionkey AS pinyin, CASE WHEN n_regionkey = 1 THEN 'm1' ELSE 'm1; m' || n_regionkey END AS meanings, 'n;v' AS pos, 't' || n_nationkey AS traditional FROM nation")
 def dictionary_to_lexicon(spark, sf_dir):
     path = sinks.scratch(spark, "dictionary")
+    sinks.write_text(spark, _dictionary_text(spark, sf_dir), f"{path}.json")
+    corpora.build_lexicon(spark, f"{path}.json", path)
+    return readers.lexicon(spark, path)
+
+
+def _dictionary_text(spark, sf_dir) -> str:
+    """The nations as a dictionary's JSON."""
     key, region = F.col("n_nationkey"), F.col("n_regionkey").cast("string")
     tag = F.when(key % 4 == 0, "x").when(key % 2 == 0, F.concat(F.lit("new-"), (key % 6).cast("string"))).otherwise(F.concat(F.lit("old-"), (key % 7).cast("string")))
     meanings = F.array(F.lit("m1"), F.lit(" "), F.concat(F.lit("m"), region))
@@ -112,10 +121,69 @@ def dictionary_to_lexicon(spark, sf_dir):
         F.array(F.lit("n"), F.lit("v"), F.lit("n")).alias("pos"), F.array(form).alias("forms"),
     )
     # nations are few by definition
-    text = "[" + ",".join(r[0] for r in _read(spark, sf_dir, "nation").select(F.to_json(entry)).collect()) + "]"
-    sinks.write_text(spark, text, f"{path}.json")
-    corpora.build_lexicon(spark, f"{path}.json", path)
-    return readers.lexicon(spark, path)
+    return "[" + ",".join(r[0] for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").select(F.to_json(entry)).collect()) + "]"
+
+
+@_query("SELECT n_name AS token, CAST(row_number() OVER (ORDER BY CASE WHEN n_nationkey % 3 = 0 THEN 1000000000 ELSE n_nationkey END, n_nationkey) - 1 AS BIGINT) AS ordinal FROM nation WHERE length(n_name) <= 20 AND (n_nationkey % 4 = 0 OR (CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 6 ELSE n_nationkey % 7 END) BETWEEN 1 AND 4)")
+def global_candidates_file(spark, sf_dir):
+    """Anchor candidates of a dictionary file, by part of speech, written and read back."""
+    path = sinks.scratch(spark, "candidates")
+    sinks.write_text(spark, _dictionary_text(spark, sf_dir), f"{path}.json")
+    corpora.global_candidates(spark, f"{path}.json", f"{path}-anchors.json", pos=("v", "u"), max_len=20, min_level=1, max_level=4)
+    return readers.anchors(spark, f"{path}-anchors.json")
+
+
+_FINAL = (
+    Q._SIDES.replace("FROM occ o", "FROM cocc o")
+    + ",\nlines AS (SELECT count(*) AS n FROM toks WHERE len(ts) > 0),\nscored AS (SELECT o.t AS token, count(DISTINCT sid) AS df, count(*) AS tf, count(DISTINCT sid) / any_value(lines.n) AS df_rate FROM cocc o, lines GROUP BY o.t),\n"
+    "final AS (SELECT s.*, (l.h + r.h) / 2 AS entropy, 2.0 * df_rate + 0.25 * (l.h + r.h) / 2 + 0.10 * ln(1 + tf) AS score FROM scored s JOIN h l ON l.t = token AND l.side = 'l' JOIN h r ON r.t = token AND r.side = 'r')"
+)
+
+
+@_query(_with("tok", more=Q._BENCH + ",\ncocc AS (SELECT sid, ts, t, i FROM tok WHERE t IN (SELECT token FROM bench WHERE length(token) <= 4)),\n" + _FINAL) + "SELECT row_number() OVER (ORDER BY round(score, 9) DESC, token) - 1 AS ordinal, token FROM final WHERE df >= 20 AND entropy >= 2.0 ORDER BY 1 LIMIT 60")
+def corpus_anchors_file(spark, sf_dir):
+    """Final anchors by the use of candidates in the corpus, written and read back; candidates repeat and some are too long."""
+    path = f"{sinks.scratch(spark, 'final')}.json"
+    words = Q._benchmark_tokens(spark, sf_dir)
+    listed = words.unionByName(words.where(F.char_length("token") > 2)).select("token", F.monotonically_increasing_id().alias("ordinal"))
+    corpora.corpus_anchors(spark, listed, _lines(spark, sf_dir), path, max_len=4, top_k=60, min_df=20, min_entropy=2.0, tokenizer=TK.words)
+    return readers.anchors(spark, path)
+
+
+@_query(
+    "WITH n AS (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal, n_name AS token FROM nation) SELECT 'file' AS source, ordinal, token FROM n UNION ALL SELECT 'list', ordinal, token FROM n UNION ALL SELECT 'meta', ordinal, token FROM n UNION ALL SELECT 'file before meta', ordinal, token FROM n"
+    " UNION ALL SELECT 'refused', 0, 'a list' UNION ALL SELECT 'refused', 1, 'no anchors' UNION ALL SELECT 'refused', 2, 'nothing listed'"
+)
+def anchors_of_any_kind(spark, sf_dir):
+    """Anchors of an object, of a plain list and of a store's memory, and what isn't accepted."""
+    path = sinks.scratch(spark, "kinds")
+    names = [r["n_name"] for r in _read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    texts = {"file": sinks.anchors_json(names), "list": json.dumps(names), "none": '{"meta": {}}', "empty": '{"anchors": [" "]}'}
+    for name, text in texts.items():
+        sinks.write_text(spark, text, f"{path}/{name}.json")
+    meta = spark.createDataFrame([("anchors_json", json.dumps(names))], schemas.META)
+    found = [
+        ("file", readers.anchors(spark, f"{path}/file.json", allow_list=False)), ("list", readers.anchors(spark, f"{path}/list.json")),
+        ("meta", readers.anchors_or_meta(spark, None, meta)), ("file before meta", readers.anchors_or_meta(spark, f"{path}/file.json", meta.limit(0))),
+    ]
+    refused = []
+    for i, (what, name, options) in enumerate([("a list", "list", {"allow_list": False}), ("no anchors", "none", {}), ("nothing listed", "empty", {})]):
+        try:
+            readers.anchors(spark, f"{path}/{name}.json", **options)
+        except ValueError:
+            refused.append((i, what))
+    out = spark.createDataFrame(refused, "ordinal long, token string").select(F.lit("refused").alias("source"), "ordinal", "token")
+    for source, rows in found:
+        out = out.unionByName(rows.select(F.lit(source).alias("source"), F.col("ordinal").cast("long").alias("ordinal"), "token"))
+    return out
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN '' ELSE replace(p_name, ' ', '/') || '/' || p_size END AS tokens FROM part")
+def json_tokens(spark, sf_dir):
+    """Token lists kept as JSON text, some of them malformed."""
+    listed = F.to_json(F.array_append(F.split("p_name", " "), F.col("p_size").cast("string")))
+    text = F.when(F.col("p_size") % 4 == 0, F.substring(listed, F.lit(1), F.char_length(listed) - 2)).otherwise(listed)
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(readers.json_array(text), "/").alias("tokens"))
 
 
 # Stores.
@@ -153,8 +221,8 @@ def prior_store_meta(spark, sf_dir):
     return readers.table(spark, store, "meta").where(F.col("key").isin(*wanted))
 
 
-def _state(spark, sf_dir) -> str:
-    store = sinks.scratch(spark, "state")
+def _state(spark, sf_dir, store: str | None = None) -> str:
+    store = store or sinks.scratch(spark, "state")
     good = _read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     known = _lines(spark, sf_dir).join(good, "doc_id", "left_semi").select("value")
     config = B.BootstrapConfig(anchors_top_k=Q.TOP_K, anchor_max_token_len=Q.MAX_LEN, patterns=_PAIRS)
@@ -184,6 +252,24 @@ def inspect_state_counts(spark, sf_dir):
     return inspect.inspect_state(spark, _state(spark, sf_dir))["pattern counts"]
 
 
+_RUN = "SELECT CAST(k AS BIGINT) AS id, 'bootstrap' AS kind, sha256('[' || string_agg('\"' || t || '\"', ', ' ORDER BY t) || ']') AS anchors_hash, length(sha256('')) AS hash_length FROM anc, range(1, 3) r(k) GROUP BY k"
+
+
+@_query(_with("anc").replace("FROM documents)", _GOOD) + _RUN)
+def state_runs(spark, sf_dir):
+    """Two bootstraps of one store: each leaves a run."""
+    store = _state(spark, sf_dir)
+    _state(spark, sf_dir, store)
+    runs = readers.table(spark, store, "runs")
+    return runs.select("id", "kind", "anchors_hash", F.char_length("config_hash").cast("long").alias("hash_length"))
+
+
+@_query(_with("occ", more=_PRIOR_STATS) + "SELECT format('{:,}', count(*)) AS total, format('{:,}', count(*) FILTER (count_sentences = 1)) AS n_single, format('{:.1f}%', 100 * (count(*) FILTER (count_sentences = 1) / count(*))) AS share FROM prior")
+def printed_report(spark, sf_dir):
+    """A section as it is printed."""
+    return inspect.printed(reports.singletons(Q._prior(spark, sf_dir)))
+
+
 # Whole reports: every section, as rows of (section, key, field, value).
 
 #: Keys of the meta table that hold times and what is derived from them.
@@ -305,6 +391,14 @@ _SELECTED = " UNION ALL ".join(
 _LISTED = "list_transform(ts, lambda x: " + Q._CLASSES + ")"
 
 
+@_query(_with("sent", more=_of_good(Q._CTE["sent"]) + ",\n" + _VOCAB).replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT word, CAST(count AS VARCHAR) AS count, CAST(hsk_level AS VARCHAR) AS hsk_level FROM gvocab")
+def vocabulary_dump(spark, sf_dir):
+    """The state's vocabulary as CSV, read back."""
+    store, path = _state(spark, sf_dir), sinks.scratch(spark, "vocabulary")
+    corpora.dump_vocabulary(spark, store, path)
+    return spark.read.csv(path, header=True, escape='"').select("word", "count", "hsk_level")
+
+
 @_query(
     _with("sent", more=_STATE + ",\n" + _VOCAB + _ONCE + ",\ngset AS (SELECT list(t) AS a FROM ganc),\ngtop AS (SELECT * FROM gown_share ORDER BY count_seen DESC, distinct_sentence_count DESC, pattern_key LIMIT 20)").replace("WITH ", "WITH RECURSIVE ", 1)
     + _sections(
