@@ -72,7 +72,9 @@ ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} |
 
 def unescape(text: Column) -> Column:
     """Entities as characters, each once: numeric ones, those of Latin names, and nothing else."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    # one short list of names for each first letter
+    listed = [[F.lit(x) for name, character in ENTITIES.items() if ord(name[0]) == c for x in (name, character)] for c in range(ord("A"), ord("z") + 1)]
+    names = F.array(*[F.create_map(*own) if own else F.lit(None).cast("map<string,string>") for own in listed])
 
     def character(digits: Column) -> Column:
         code = F.when(F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)).otherwise(digits).cast("int")
@@ -81,7 +83,7 @@ def unescape(text: Column) -> Column:
 
     def decoded(piece: Column) -> Column:
         digits, name = F.regexp_extract(piece, NUMERIC_ENTITY, 1), F.regexp_extract(piece, NAMED_ENTITY, 1)
-        named = F.try_element_at(names, name)
+        named = F.try_element_at(F.get(names, F.ascii(name) - ord("A")), name)
         return (
             F.when(digits != "", F.concat(character(digits), F.regexp_replace(piece, NUMERIC_ENTITY, "")))
             .when(named.isNotNull(), F.concat(named, F.substr(piece, F.char_length(name) + 2)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +13,9 @@ from corpusloom.functions.keys import is_valid, legacy_family_of
 from corpusloom.functions.statistics import ratio
 from corpusloom.operators.anchors import token_df, token_tf, zero_df
 from corpusloom.operators.corpus import sample
-from corpusloom.sources import readers
+from corpusloom.sources import readers, sinks
 
-#: Bounds of the histogram's ranges; the last has none.
+#: Bounds of the histogram's ranges; the last has none.
 RANGES = ((1, 1), (2, 2), (3, 3), (4, 4), (5, 9), (10, 19), (20, 49), (50, 99), (100, 199), (200, 499), (500, 999), (1000, None))
 
 
@@ -85,10 +87,35 @@ def family_breakdown(stats: DataFrame, top_k: int = 12) -> DataFrame:
     return counted.orderBy(F.desc("n_patterns"), "family").limit(top_k)
 
 
+#: Bits of a count that one pass of :func:`quantiles` tells.
+_DIGIT = 12
+
+
 def quantiles(stats: DataFrame, count: str, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """One row: nearest-rank quantiles, 0 for an empty table."""
-    exprs = [F.expr(f"coalesce(percentile_disc({q}) within group (order by {count}), 0)").cast("long").alias(f"p{round(q * 100)}") for q in at]
-    return stats.agg(*exprs)
+    """One row: nearest-rank quantiles of a whole number from 0 on, 0 for an empty table.
+
+    The counts' histogram is written once.  Then each pass tells the next digits of all quantiles by how many rows have which digit,
+    a few thousand numbers however many different counts there are, so no task sorts them all.
+    """
+    spark = stats.sparkSession
+    path = sinks.scratch(spark, "histogram")
+    stats.groupBy(F.col(count).cast("long").alias("value")).agg(F.count("*").alias("n")).where("value IS NOT NULL").write.parquet(path)
+    histogram = spark.read.parquet(path)
+    total = histogram.agg(F.sum("n").alias("n")).first()["n"] or 0
+    left = {q: max(math.ceil(Decimal(str(q)) * total), 1) for q in at}
+    found = dict.fromkeys(at, 0)
+    for shift in range(60, -1, -_DIGIT) if total else ():
+        prefix, digit = (F.shiftright("value", shift + _DIGIT) if shift < 60 else F.lit(0).cast("long")), F.shiftright("value", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+        counted = histogram.select(prefix.alias("prefix"), digit.alias("digit"), "n").where(F.col("prefix").isin(sorted(set(found.values()))))
+        rows = sorted(map(tuple, counted.groupBy("prefix", "digit").agg(F.sum("n").alias("n")).collect()))
+        for q in at:
+            own = [(d, n) for p, d, n in rows if p == found[q]]
+            for d, n in own:
+                if left[q] <= n:
+                    found[q] = (found[q] << _DIGIT) + d
+                    break
+                left[q] -= n
+    return spark.createDataFrame([tuple(found[q] for q in at)], ", ".join(f"p{round(q * 100)} long" for q in at))
 
 
 def singletons(stats: DataFrame, count: str = "count_sentences") -> DataFrame:

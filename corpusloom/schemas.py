@@ -25,7 +25,6 @@ STATE_TABLES = {
 }
 PRIOR_TABLES = {"meta": META, "pattern_global_stats": PATTERN_GLOBAL_STATS, "pattern_global_realizations": PATTERN_GLOBAL_REALIZATIONS}
 
-WIKI_JSON = "id STRING, text STRING"
 FLASH_CARDS = "front STRING, back STRING"
 DICTIONARY_JSON = (
     "simplified STRING, level ARRAY<STRING>, frequency STRING, pos ARRAY<STRING>, "

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from corpusloom.functions.lexicon import forms, frequency, level, unique_join
 from corpusloom.functions.text import strip
 from corpusloom.operators.statistics import with_share
-from corpusloom.schemas import DICTIONARY_JSON, FLASH_CARDS, LEGACY_COLUMNS, WIKI_JSON
+from corpusloom.schemas import DICTIONARY_JSON, FLASH_CARDS, LEGACY_COLUMNS
 from corpusloom.sources import buckets
 
 
@@ -72,10 +72,23 @@ def line_totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).agg(F.count("*").alias("lines_seen"), F.count_if(value != "").alias("lines_kept"))
 
 
-def wiki_texts(spark: SparkSession, root: str) -> DataFrame:
-    """Texts of JSON lines in a folder tree; a record that can't be read is left out alone."""
-    rows = spark.read.option("recursiveFileLookup", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema(WIKI_JSON + ", _bad STRING").json(root)
-    return rows.where("_bad is null").select("id", F.coalesce("text", F.lit("")).alias("text"))
+def wiki_texts(spark: SparkSession, root: str, skip_rest: bool = True) -> DataFrame:
+    """``id, text`` of JSON lines in a folder tree.
+
+    A record that isn't an object, or has a text that isn't one, ends its file: what follows it there is left out
+    too, or, without ``skip_rest``, nothing but the record.  A record that repeats a key counts as such a one.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(root)
+    # rows come in the order of the file within a block
+    doc = lines.select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), F.try_parse_json("value").alias("doc"))
+    text = F.try_variant_get("doc", "$.text", "variant")
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT<"), F.lit(False))
+    good = is_object & (text.isNull() | (F.schema_of_variant(text) == "STRING"))
+    rows = doc.select("file", "at", good.alias("good"), F.try_variant_get("doc", "$.id", "string").alias("id"), F.coalesce(F.try_variant_get("doc", "$.text", "string"), F.lit("")).alias("text"))
+    if skip_rest:
+        ends = rows.where(~F.col("good")).groupBy("file").agg(F.min("at").alias("end"))
+        rows = rows.join(ends, "file", "left").where(F.col("end").isNull() | (F.col("at") < F.col("end")))
+    return rows.where("good").select("id", "text")
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:

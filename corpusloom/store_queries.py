@@ -65,6 +65,19 @@ def wiki_json_round_trip(spark, sf_dir):
     return readers.wiki_texts(spark, path)
 
 
+_BROKEN = "doc_id % 41 = 17 OR text IS NULL"
+
+
+@_query(f"SELECT CAST(doc_id AS VARCHAR) AS id, text FROM (SELECT *, coalesce(min(CASE WHEN {_BROKEN} THEN doc_id END) OVER (PARTITION BY doc_id % 9), 9223372036854775807) AS first FROM documents) WHERE doc_id < first")
+def wiki_json_broken(spark, sf_dir):
+    """Files with a line in their middle that can't be read: nothing after it is."""
+    path = sinks.scratch(spark, "broken")
+    line = F.when(F.expr("doc_id % 82 = 17"), "{broken").when(F.expr("doc_id % 41 = 17"), '{"id": 1, "text": null}').otherwise(F.to_json(F.struct(F.col("doc_id").alias("id"), "text"), {"ignoreNullFields": "false"}))
+    rows = _read(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("part"), "doc_id", line.alias("value"))
+    rows.repartition(9, "part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    return readers.wiki_texts(spark, path)
+
+
 _RUN = "CASE WHEN p_size % 5 > 0 THEN repeat('字', p_size % 5) || '。' ELSE '' END"
 
 

@@ -198,3 +198,12 @@ def test_lookup_pages_and_presence(spark):
     anchors = lambda *ts: spark.createDataFrame(list(enumerate(ts)), "ordinal long, token string")
     assert tuple(M.anchor_presence_summary(anchors("x", "q", "z"), top).first()) == (3, 2, pytest.approx(2 / 3), True)
     assert tuple(M.anchor_presence_summary(anchors("x", "y", "z", "|", "a", "q"), top, first=5).first()) == (5, 5, 1.0, False)
+
+
+@pytest.mark.parametrize("values", [[], [0], [3, 1, 2], [5] * 7 + [1], [2**61 + 5, 2**61, 7, 2**40], list(range(0, 9000, 7))])
+def test_quantiles_are_nearest_ranks(spark, values):
+    rows = spark.createDataFrame([(v,) for v in values], "n long")
+    at = (0.0, 0.1, 0.5, 0.9, 0.99, 1.0)
+    got = R.quantiles(rows, "n", at).first()
+    want = [sorted(values)[max(math.ceil(round(q * len(values), 9)), 1) - 1] if values else 0 for q in at]
+    assert list(got) == want
