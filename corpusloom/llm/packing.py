@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.columns import release_memory
 from corpusloom.llm.storage import checked_broadcast, materialize, release_shuffles
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 #: Bytes of texts that are split into words at once.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 22
 #: Texts of other characters are left to the library: here white space is what Unicode calls so, and lower case a matter of single characters.
 _PLAIN = r"[^ -~\n\t\r\x{A1}-\x{FF}]"
 _MARKS = ".,;:!?"
