@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.statistics import anchor_score
@@ -42,16 +42,22 @@ def anchor_list(tokens: DataFrame) -> list[str]:
     return sorted(r["token"] for r in tokens.select("token").collect())
 
 
-def neighbours(sentences: DataFrame, candidates: Iterable[str]) -> DataFrame:
-    """``token, side, neighbour`` of every candidate occurrence, with marks for sentence ends."""
-    wanted = membership(candidates)
+def _around(wanted) -> Column:
+    """Every occurrence of a candidate as ``token, l, r``: itself and its neighbours, with marks for sentence ends."""
     tokens, n = F.col("tokens"), F.size("tokens")
     left = lambda i: F.when(i > 0, F.element_at(tokens, F.greatest(i, F.lit(1)))).otherwise(BEGIN)
     right = lambda i: F.when(i + 1 < n, F.element_at(tokens, F.least(i + 2, n))).otherwise(FINISH)
-    around = F.transform(tokens, lambda t, i: F.struct(t.alias("token"), left(i).alias("l"), right(i).alias("r")))
-    found = sentences.select(F.explode(F.filter(around, lambda x: wanted(x["token"]))).alias("x"))
-    sides = F.array(F.struct(F.lit("l").alias("side"), F.col("x.l").alias("neighbour")), F.struct(F.lit("r").alias("side"), F.col("x.r").alias("neighbour")))
-    return found.select("x.token", F.inline(sides))
+    return F.filter(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), left(i).alias("l"), right(i).alias("r"))), lambda x: wanted(x["token"]))
+
+
+def _row(token: Column, side: str, neighbour: Column) -> Column:
+    return F.struct(token.alias("token"), F.lit(side).alias("side"), neighbour.alias("neighbour"))
+
+
+def neighbours(sentences: DataFrame, candidates: Iterable[str]) -> DataFrame:
+    """``token, side, neighbour`` of every candidate occurrence."""
+    found = sentences.select(F.explode(_around(membership(candidates))).alias("x"))
+    return found.select(F.inline(F.array(_row(F.col("x.token"), "l", F.col("x.l")), _row(F.col("x.token"), "r", F.col("x.r")))))
 
 
 def neighbour_entropy(sentences: DataFrame, candidates: Iterable[str]) -> DataFrame:
@@ -65,18 +71,27 @@ def neighbour_entropy(sentences: DataFrame, candidates: Iterable[str]) -> DataFr
 
 
 def score_candidates(sentences: DataFrame, candidates: Iterable[str]) -> DataFrame:
-    """``token, df, tf, df_rate, h_left, h_right, entropy, score`` of the candidates that occur."""
-    listed = list(candidates)
-    wanted = membership(listed)
-    used = sentences.where(F.size("tokens") > 0)
-    lines = used.agg(F.count("*").alias("lines"))
-    own = used.withColumn("tokens", F.filter("tokens", wanted))
-    flagged = F.concat(F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("tf"), F.lit(0).alias("df"))), F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))
-    counts = own.select(F.inline(flagged)).groupBy("token").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    scored = counts.join(neighbour_entropy(used, listed), "token").crossJoin(F.broadcast(lines))
-    both = (F.col("h_left") + F.col("h_right")) / 2
-    scored = scored.withColumn("df_rate", F.col("df") / F.col("lines")).withColumn("entropy", both)
-    return scored.select("token", "df", "tf", "df_rate", "h_left", "h_right", "entropy", anchor_score(F.col("df_rate"), F.col("entropy"), F.col("tf")).alias("score"))
+    """``token, df, tf, df_rate, h_left, h_right, entropy, score`` of the candidates that occur.
+
+    A sentence sends the neighbours of its candidates, each candidate once, and itself, so lines, both
+    frequencies and both entropies come from one pass and one aggregation.
+    """
+    wanted = membership(list(candidates))
+    none = F.lit(None).cast("string")
+    around = _around(wanted)
+    sides = F.concat(F.transform(around, lambda x: _row(x["token"], "l", x["l"])), F.transform(around, lambda x: _row(x["token"], "r", x["r"])))
+    once = F.transform(F.array_distinct(F.filter("tokens", wanted)), lambda t: _row(t, "once", none))
+    rows = sentences.where(F.size("tokens") > 0).select(F.inline(F.concat(sides, once, F.array(_row(none, "line", none)))))
+    counts = rows.groupBy("token", "side", "neighbour").agg(F.count("*").alias("c"))
+    lines = counts.where("side = 'line'").agg(F.sum("c").alias("lines"))
+    of = lambda side, x: F.sum(F.when(F.col("side") == side, x))
+    c = F.col("c")
+    sums = counts.where("side <> 'line'").groupBy("token").agg(of("once", c).alias("df"), *[x for s in ("l", "r") for x in (of(s, c).alias(f"n_{s}"), of(s, c * F.ln(c)).alias(f"s_{s}"))])
+    # H = ln N - sum(c ln c) / N
+    h = lambda s: F.ln(f"n_{s}") - F.col(f"s_{s}") / F.col(f"n_{s}")
+    scored = sums.crossJoin(F.broadcast(lines)).select("token", "df", F.col("n_l").alias("tf"), (F.col("df") / F.col("lines")).alias("df_rate"), h("l").alias("h_left"), h("r").alias("h_right"))
+    scored = scored.withColumn("entropy", (F.col("h_left") + F.col("h_right")) / 2)
+    return scored.withColumn("score", anchor_score(F.col("df_rate"), F.col("entropy"), F.col("tf")))
 
 
 def final_anchors(scored: DataFrame, top_k: int = 400, min_df: int = 0, min_df_rate: float = 0.0, min_entropy: float = 0.0) -> DataFrame:
