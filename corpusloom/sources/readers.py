@@ -92,11 +92,20 @@ def wiki_texts(spark: SparkSession, root: str, skip_rest: bool = True) -> DataFr
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSON array with parsed level, frequency and forms, and their ``ordinal``."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_as_struct(DICTIONARY_JSON)}>>").alias("entries"), F.trim("value").startswith("[").alias("is_list"))
-    if raw.where(~F.col("is_list") | F.col("entries").isNull()).limit(1).count():
-        raise ValueError(f"{path} isn't a JSON array of entries")
-    each = raw.select(F.posexplode("entries").alias("ordinal", "e")).where("e is not null")
+    """Entries of a JSON array with parsed level, frequency and forms, and their ``ordinal``.
+
+    The file is read as a stream of entries, so it may be longer than a text can be.  Anything but an array of objects is an error.
+    """
+    # what stands before the first bracket, and the beginning of what follows it
+    parts = spark.read.text(path, lineSep="[").limit(2).collect()
+    rows = spark.read.schema(f"{DICTIONARY_JSON}, _bad STRING").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True).cache()
+    try:
+        if len(parts) < 2 or parts[0][0].strip() or not rows.where("_bad IS NOT NULL").isEmpty():
+            raise ValueError(f"{path} isn't a JSON array of entries")
+    finally:
+        rows.unpersist()
+    # one file is one partition, whose rows are numbered in order
+    each = rows.select(F.monotonically_increasing_id().cast("int").alias("ordinal"), F.struct(*[c for c in rows.columns if c != "_bad"]).alias("e"))
     own = forms(F.coalesce(F.col("e.forms"), F.array().cast(each.selectExpr("e.forms").schema[0].dataType)))
     simplified = strip(F.coalesce(F.col("e.simplified"), F.lit("")))
     return each.select(
@@ -105,12 +114,6 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     ).where("simplified <> ''")
 
 
-def _as_struct(schema: str) -> str:
-    import re
-
-    return re.sub(r"(^|, )(\w+) (?=[A-Z])", r"\1\2: ", schema)
-
-
 def lexicon_rows(entries: DataFrame) -> DataFrame:
     """Entries as rows of the lexicon table: parts of speech joined."""
     return entries.withColumn("pos", unique_join(F.col("pos"), ";")).drop("ordinal")

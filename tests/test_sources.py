@@ -44,9 +44,15 @@ def test_dictionary_lexicon_and_candidates(spark, tmp_path):
     out = tmp_path / "candidates.json"
     corpora.global_candidates(spark, str(p), str(out))
     assert json.loads(out.read_text(encoding="utf-8"))["anchors"] == ["了", "学"]
-    p.write_text("{}", encoding="utf-8")
-    with pytest.raises(ValueError):
-        readers.dictionary(spark, str(p))
+    p.write_text(" \n[\n" + ",\n".join(json.dumps({"simplified": f"w{i}", "forms": [{"meanings": ["[x]", "{"]}]}, indent=1) for i in range(500)) + "\n]\n", encoding="utf-8")
+    assert [(r["ordinal"], r["simplified"], r["meanings"]) for r in readers.dictionary(spark, str(p)).orderBy("ordinal").collect()] == [(i, f"w{i}", "[x]; {") for i in range(500)]
+    p.write_text("[]", encoding="utf-8")
+    assert readers.dictionary(spark, str(p)).count() == 0
+    for i, broken in enumerate(("{}", '{"a": [{"simplified": "x"}]}', "", " \n", '[{"simplified": "x"}, {"sim', '"x"', "[1]")):
+        own = tmp_path / f"broken-{i}.json"
+        own.write_text(broken, encoding="utf-8")
+        with pytest.raises(ValueError):
+            readers.dictionary(spark, str(own))
 
 
 def test_anchor_files(spark, tmp_path):
