@@ -17,12 +17,19 @@ from corpusloom.functions.statistics import emerged, mastery
 NO_CAP = 0
 
 
-def key_counts(sentences: DataFrame) -> DataFrame:
-    """``pattern_key, count_occurrences, count_sentences`` of sentences with ``patterns``."""
+def key_counts(sentences: DataFrame, own: Column | None = None) -> DataFrame:
+    """``pattern_key, count_occurrences, count_sentences`` of sentences with ``patterns``.
+
+    With ``own``, which tells some of the sentences, also ``own_occurrences`` and ``own_sentences``, in the same pass.
+    """
     keys = F.transform("patterns", lambda p: p["pattern_key"])
     each = lambda ks, o, s: F.transform(ks, lambda k: F.struct(k.alias("pattern_key"), F.lit(o).alias("o"), F.lit(s).alias("s")))
     both = F.concat(each(keys, 1, 0), each(F.array_distinct(keys), 0, 1))
-    return sentences.select(F.inline(both)).groupBy("pattern_key").agg(F.sum("o").alias("count_occurrences"), F.sum("s").alias("count_sentences"))
+    sums = [F.sum("o").alias("count_occurrences"), F.sum("s").alias("count_sentences")]
+    if own is None:
+        return sentences.select(F.inline(both)).groupBy("pattern_key").agg(*sums)
+    sums += [F.sum(F.when(F.col("own"), F.col(c)).otherwise(0)).alias(name) for c, name in (("o", "own_occurrences"), ("s", "own_sentences"))]
+    return sentences.select(F.coalesce(own, F.lit(False)).alias("own"), F.inline(both)).groupBy("pattern_key").agg(*sums)
 
 
 def _place(sid: Column, emitted: Column) -> Column:
@@ -103,9 +110,15 @@ def prior_of_pairs(pairs: DataFrame, cap: int = NO_CAP) -> DataFrame:
 
 def personal(sentences: DataFrame, seen_at: Column | None = None, min_count: int = 3, min_sentences: int = 2) -> DataFrame:
     """The personal state: what was seen, in how many sentences, and whether it has emerged."""
-    counts = key_counts(sentences).select("pattern_key", family_of(F.col("pattern_key")).alias("family"), F.col("count_occurrences").alias("count_seen"), F.col("count_sentences").alias("distinct_sentence_count"))
+    counts = key_counts(sentences).withColumnsRenamed({"count_occurrences": "own_occurrences", "count_sentences": "own_sentences"})
+    return personal_of_counts(counts, seen_at, min_count, min_sentences)
+
+
+def personal_of_counts(counts: DataFrame, seen_at: Column | None = None, min_count: int = 3, min_sentences: int = 2) -> DataFrame:
+    """The personal state by the ``own`` counts of :func:`key_counts`."""
+    seen = counts.where("own_occurrences > 0").select("pattern_key", family_of(F.col("pattern_key")).alias("family"), F.col("own_occurrences").alias("count_seen"), F.col("own_sentences").alias("distinct_sentence_count"))
     when = (seen_at if seen_at is not None else F.lit(None)).cast("timestamp")
-    return counts.withColumn("emerged", emerged(F.col("count_seen"), F.col("distinct_sentence_count"), min_count, min_sentences)).withColumn("last_seen_at", when)
+    return seen.withColumn("emerged", emerged(F.col("count_seen"), F.col("distinct_sentence_count"), min_count, min_sentences)).withColumn("last_seen_at", when)
 
 
 def vocabulary(sentences: DataFrame, lexicon: DataFrame, tokens: str = "tokens", seen_at: Column | None = None) -> DataFrame:

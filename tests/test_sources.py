@@ -116,6 +116,7 @@ def test_prior_rebuild_merge_and_stream(spark, tmp_path):
     streamed = str(tmp_path / "streamed")
     for _ in range(2):  # nothing new the second time
         maintain_prior(spark.readStream.text(str(src)), ["a", "b"], streamed, str(tmp_path / "cp")).awaitTermination()
+    assert (readers.meta(spark, f"{streamed}/meta")["lines_seen"], readers.meta(spark, f"{streamed}/meta")["sentences_processed"]) == ("3", "2")
     got = {r["pattern_key"]: r["count_occurrences"] for r in readers.table(spark, streamed, "pattern_global_stats").collect()}
     assert got == {k: r["count_occurrences"] for k, r in once.items()}
 
