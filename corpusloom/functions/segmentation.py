@@ -89,13 +89,15 @@ class Lexicon:
         return tokenize
 
 
-def lexicon(entries: DataFrame, word: str = "simplified", frequency: str = "frequency", unit: str = UNITS) -> Lexicon:
+def lexicon(entries: DataFrame, word: str = "simplified", frequency: str = "frequency", unit: str = UNITS, ranks: bool = False) -> Lexicon:
     """The lexicon of the rows with a word and a frequency of at least 1; repeated words add up.
 
-    A unit that is no word counts as one of frequency 1.  A word that units don't make up is left out.
+    A unit that is no word counts as one of frequency 1.  A word that units don't make up is left out.  With ``ranks``, as
+    dictionaries have them, a word of rank r counts as one of frequency 1,000,000 / r.
     """
-    w = F.col(word)
-    known = entries.where(w.isNotNull() & (w != "") & (F.col(frequency) >= 1)).groupBy(w.alias("key")).agg(F.sum(frequency).alias("n"))
+    w, n = F.col(word), F.col(frequency)
+    counted = F.greatest(F.rint(F.lit(1_000_000) / n), F.lit(1.0)).cast("long") if ranks else n
+    known = entries.where(w.isNotNull() & (w != "") & (n >= 1)).groupBy(w.alias("key")).agg(F.sum(counted).alias("n"))
     parts = F.regexp_extract_all("key", F.lit(unit), F.lit(0))
     known = known.where(F.array_join(parts, "") == F.col("key")).select("key", "n", F.get(parts, F.lit(0)).alias("first"), F.size(parts).alias("length"))
     total = max(known.agg(F.sum("n").alias("total")).first()["total"] or 1, 1)

@@ -57,6 +57,14 @@ def test_units_punctuation_and_odd_rows(spark):
     assert spark.createDataFrame([("学校ab",)], "t string").select(nothing(F.col("t"))).first()[0] == ["学", "校", "ab"]
 
 
+def test_ranks_count_the_other_way(spark):
+    ranked = {"学": 900, "校": 900, "学校": 3, "校学": 2_000_000}
+    cut = S.lexicon(entries(spark, ranked), ranks=True).words()
+    freq = {w: max(round(1_000_000 / r), 1) for w, r in ranked.items()}
+    texts = ["学校学", "校学校", "校学学"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(cut(F.col("t"))).collect()] == [best_path(list(t), freq) for t in texts]
+
+
 def test_a_lexicon_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(lookup, "MOST_ROWS", 2)
     with pytest.raises(ValueError, match="3 rows"):
