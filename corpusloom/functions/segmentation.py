@@ -44,17 +44,21 @@ class Lexicon:
         n = F.size(units)
         zero = F.struct(F.array(F.lit(0).cast("long")).alias("scores"), F.array().cast("array<int>").alias("steps"))
 
-        def step(state: Column, back: Column) -> Column:
-            at = n - back
-            reach = F.least(F.coalesce(self.table.get(F.element_at(units, at + 1))["reach"], F.lit(1)), back)
+        def best(state: Column, at: Column, back: Column, first: Column) -> Column:
+            def path(score: Column, length: Column) -> Column:
+                return F.struct((score + F.element_at(state["scores"], length)).alias("score"), length.alias("length"))
 
-            def path(length: Column) -> Column:
-                own = self.table.get(F.array_join(F.slice(units, at + 1, length), ""))["score"]
-                score = F.coalesce(own, F.when(length == 1, F.lit(self.unknown))) + F.element_at(state["scores"], length)
-                return F.struct(score.alias("score"), length.alias("length"))
+            reach = F.least(F.coalesce(first["reach"], F.lit(1)), back)
+            longer = F.when(reach > 1, F.sequence(F.lit(2), reach)).otherwise(F.array().cast("array<int>"))
+            words = F.transform(longer, lambda length: path(self.table.get(F.array_join(F.slice(units, at + 1, length), ""))["score"], length))
+            alone = path(F.coalesce(first["score"], F.lit(self.unknown)), F.lit(1))
+            return F.array_max(F.concat(F.array(alone), F.filter(words, lambda p: p["score"].isNotNull())))
 
-            best = F.array_max(F.filter(F.transform(F.sequence(F.lit(1), reach), path), lambda p: p["score"].isNotNull()))
-            return F.struct(F.concat(F.array(best["score"]), state["scores"]).alias("scores"), F.concat(F.array(best["length"]), state["steps"]).alias("steps"))
+        def step(state: Column, back: Column) -> Column:
+            at = n - back
+            chosen = F.transform(F.array(self.table.get(F.element_at(units, at + 1))), lambda first: best(state, at, back, first))
+            onward = F.transform(chosen, lambda p: F.struct(F.concat(F.array(p["score"]), state["scores"]).alias("scores"), F.concat(F.array(p["length"]), state["steps"]).alias("steps")))
+            return F.element_at(onward, 1)
 
         return F.aggregate(F.sequence(F.lit(1), n), zero, step, lambda s: s["steps"])
 
