@@ -28,13 +28,13 @@ def csv_column(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` of a table of fewer files than cores, dealt out by ``key``.
+    """``rows`` of a table that splits into fewer parts than there are cores, dealt out by ``key``.
 
     Such a table may hold no more than one row group per file, which one task reads, so whatever is computed from
-    its texts would run in few tasks.  A table of more files is left as it is, without a shuffle.
+    its texts would run in few tasks.  A table of more parts, be it of many files or of large ones, is left as it is, without a shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def flash_cards(spark: SparkSession, path: str) -> DataFrame:
