@@ -7,13 +7,14 @@ import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalize
 from corpusloom.functions.tokenizers import Tokenizer, characters, lexicon_words, words
-from corpusloom.operators import statistics
+from corpusloom.operators import anchor_pairs, statistics
 from corpusloom.operators.anchors import anchor_list, top_tokens
 from corpusloom.operators.patterns import explode, extract, membership, skeleton_text
 from corpusloom.plans.prior import PatternConfig
@@ -60,11 +61,31 @@ class BootstrapConfig:
         return hashlib.sha256(json.dumps(asdict(self), ensure_ascii=False, sort_keys=True).encode()).hexdigest()
 
 
-def tokenized(known: DataFrame, lexicon: list[str], tokenizer: Tokenizer = words) -> DataFrame:
-    """``sid, zh_text`` and the three token lists of known sentences (``value``)."""
-    text = F.col("value")
-    lexical = lexicon_words(lexicon)
-    return known.select(F.monotonically_increasing_id().alias("sid"), normalize(text).alias("zh_text"), tokenizer(text).alias("tokens"), lexical(text).alias("tokens_hsk"), characters(text).alias("tokens_char"))
+def tokenized(known: DataFrame, tokenizer: Tokenizer = words) -> DataFrame:
+    """``sid, value, tokens`` of known sentences (``value``)."""
+    return known.select(F.monotonically_increasing_id().alias("sid"), "value", tokenizer(F.col("value")).alias("tokens"))
+
+
+def first_lines(sentences: DataFrame) -> DataFrame:
+    """``sid, zh_text, value`` of the first sentence of each normalised text; the value is carried only where it differs."""
+    named = sentences.select("sid", normalize(F.col("value")).alias("zh_text"), "value")
+    row = F.struct("sid", F.when(F.col("value") != F.col("zh_text"), F.col("value")).alias("own"))
+    first = named.select("zh_text", row.alias("row")).groupBy("zh_text").agg(F.min("row").alias("row"))
+    return first.select("row.sid", "zh_text", F.coalesce("row.own", "zh_text").alias("value"))
+
+
+def _patterns(sentences: DataFrame, anchors: list[str], config: PatternConfig) -> tuple[DataFrame, DataFrame]:
+    """Counts of each key, and its distinct realizations; anchor pairs are counted as numbers."""
+    others = tuple(f for f in config.families if f != "anch_pair")
+    counts, texts = [], []
+    if len(others) < len(config.families):
+        counts.append(anchor_pairs.key_counts(sentences, anchors, config.max_gap))
+        texts.append(anchor_pairs.realizations(sentences, anchors, config.max_gap))
+    if others or not counts:
+        options = {**config.options(), "families": others}
+        counts.append(statistics.key_counts(extract(sentences, anchors, realizations=False, **options)))
+        texts.append(statistics.realizations(explode(extract(sentences, anchors, **options))))
+    return reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, texts)
 
 
 def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store: str, candidates: DataFrame | None = None, config: BootstrapConfig = BootstrapConfig(), tokenizer: Tokenizer = words, now: datetime | None = None, provenance: Mapping[str, object] | None = None) -> None:
@@ -79,22 +100,28 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
     # a vocabulary's words: what the lexical tokeniser is compiled from
     vocabulary = [r["simplified"] for r in entries.select("simplified").collect()]
     path = sinks.scratch(spark, "tokenized")
-    tokenized(known, vocabulary, tokenizer).write.mode("overwrite").parquet(path)
+    tokenized(known, tokenizer).write.mode("overwrite").parquet(path, compression="zstd")
     sentences = spark.read.parquet(path)
     if candidates is not None and not config.activate_locally:
         anchors = anchor_list(candidates)
     else:
         anchors = anchor_list(top_tokens(sentences, config.anchors_top_k, config.anchor_method, config.anchor_max_token_len, candidates))
-    extracted = extract(sentences, anchors, **config.patterns.options())
-    is_anchor = membership(anchors)
-    rows = extracted.select(
-        F.col("sid").alias("id"), "zh_text", F.col("tokens").alias("tokens_word"), "tokens_hsk", "tokens_char", F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"),
-        skeleton_text(F.col("tokens"), is_anchor).alias("skeleton"), F.lit(config.source).alias("source"), at.alias("created_at"),
+    is_anchor, lexical, text = membership(anchors), lexicon_words(vocabulary), F.col("value")
+    # texts are told apart before anything is made of them
+    new = sinks.missing(first_lines(sentences).withColumn("source", F.lit(config.source)), store, "sentences", ["zh_text", "source"])
+    made_of = new.withColumn("tokens", tokenizer(text))
+    rows = extract(made_of, anchors, realizations=False, **config.patterns.options()).select(
+        F.col("sid").alias("id"), "zh_text", F.col("tokens").alias("tokens_word"), lexical(text).alias("tokens_hsk"), characters(text).alias("tokens_char"), F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"),
+        skeleton_text(F.col("tokens"), is_anchor).alias("skeleton"), "source", at.alias("created_at"),
     )
-    sinks.insert_new(statistics.keep_first(rows, by=("zh_text", "source"), order="id"), store, "sentences", ["zh_text", "source"])
-    sinks.upsert(statistics.vocabulary(sentences, entries, "tokens_hsk", at), store, "vocab_stats", "word")
-    sinks.upsert(statistics.personal(extracted, at, config.min_count, config.min_sentences), store, "pattern_personal_stats", "pattern_key")
-    sinks.insert_new(statistics.realizations(explode(extracted)), store, "pattern_personal_realizations", ["pattern_key", "realization"])
+    sinks.append(rows, store, "sentences")
+    sinks.upsert(statistics.vocabulary(sentences.select(lexical(text).alias("tokens_hsk")), entries, "tokens_hsk", at), store, "vocab_stats", "word")
+    counts, texts = _patterns(sentences, anchors, config.patterns)
+    own = counts.withColumnsRenamed({"count_occurrences": "own_occurrences", "count_sentences": "own_sentences"})
+    sinks.upsert(statistics.personal_of_counts(own, at, config.min_count, config.min_sentences), store, "pattern_personal_stats", "pattern_key")
+    texts = sinks.missing(texts, store, "pattern_personal_realizations", ["pattern_key", "realization"])
+    # in order, as texts that begin alike are stored in little room
+    sinks.append(texts.sortWithinPartitions("pattern_key", "realization"), store, "pattern_personal_realizations")
     listed = json.dumps(anchors, ensure_ascii=False)
     anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
     flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns) | {"families": ",".join(config.patterns.families)}

@@ -54,3 +54,19 @@ def test_a_prior_of_mixed_families(spark):
     assert (found.seen, found.kept) == (4, 3)
     assert _set(found.stats.select("pattern_key", "count_sentences", "distinct_realization_count")) == [("anch_pair|a=a,b|p=gap=1", 2, 1), ("anch_pair|a=b,a|p=gap=0", 1, 1), ("anch_seq|a=a,b|p=", 2, 1), ("anch_seq|a=b,a|p=", 1, 1)]
     assert _set(found.realizations.where("pattern_key LIKE 'anch_pair%'")) == [("anch_pair|a=a,b|p=gap=1", "a x b"), ("anch_pair|a=b,a|p=gap=0", "b a")]
+
+
+def test_texts_are_told_apart_before_anything_is_made_of_them(spark):
+    from corpusloom.plans import bootstrap as B
+
+    rows = spark.createDataFrame([(3, "a b"), (1, " a  b"), (2, "a b"), (5, "c")], "sid long, value string")
+    assert _set(B.first_lines(rows)) == [(1, "a b", " a  b"), (5, "c", "c")]
+
+
+def test_missing_rows(spark, tmp_path):
+    from corpusloom.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v long")
+    assert _set(sinks.missing(rows, str(tmp_path), "t", ["k"])) == [("a", 1), ("b", 2)]
+    sinks.append(rows.where("k = 'a'"), str(tmp_path), "t")
+    assert _set(sinks.missing(rows, str(tmp_path), "t", ["k"])) == [("b", 2)]
