@@ -74,6 +74,13 @@ def first_lines(sentences: DataFrame) -> DataFrame:
     return first.select("row.sid", "zh_text", F.coalesce("row.own", "zh_text").alias("value"))
 
 
+def _with_keys(sentences: DataFrame, anchors: list[str], config: PatternConfig) -> DataFrame:
+    """Sentences with ``patterns``, the keys of all their patterns in order."""
+    if config.families == ("anch_pair",):
+        return anchor_pairs.with_keys(sentences, anchors, config.max_gap)
+    return extract(sentences, anchors, realizations=False, **config.options()).withColumn("patterns", F.transform("patterns", lambda p: p["pattern_key"]))
+
+
 def _patterns(sentences: DataFrame, anchors: list[str], config: PatternConfig) -> tuple[DataFrame, DataFrame]:
     """Counts of each key, and its distinct realizations; anchor pairs are counted as numbers."""
     others = tuple(f for f in config.families if f != "anch_pair")
@@ -110,8 +117,8 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
     # texts are told apart before anything is made of them
     new = sinks.missing(first_lines(sentences).withColumn("source", F.lit(config.source)), store, "sentences", ["zh_text", "source"])
     made_of = new.withColumn("tokens", tokenizer(text))
-    rows = extract(made_of, anchors, realizations=False, **config.patterns.options()).select(
-        F.col("sid").alias("id"), "zh_text", F.col("tokens").alias("tokens_word"), lexical(text).alias("tokens_hsk"), characters(text).alias("tokens_char"), F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"),
+    rows = _with_keys(made_of, anchors, config.patterns).select(
+        F.col("sid").alias("id"), "zh_text", F.col("tokens").alias("tokens_word"), lexical(text).alias("tokens_hsk"), characters(text).alias("tokens_char"), "patterns",
         skeleton_text(F.col("tokens"), is_anchor).alias("skeleton"), "source", at.alias("created_at"),
     )
     sinks.append(rows, store, "sentences")
@@ -120,8 +127,9 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
     own = counts.withColumnsRenamed({"count_occurrences": "own_occurrences", "count_sentences": "own_sentences"})
     sinks.upsert(statistics.personal_of_counts(own, at, config.min_count, config.min_sentences), store, "pattern_personal_stats", "pattern_key")
     texts = sinks.missing(texts, store, "pattern_personal_realizations", ["pattern_key", "realization"])
-    # in order, as texts that begin alike are stored in little room
-    sinks.append(texts.sortWithinPartitions("pattern_key", "realization"), store, "pattern_personal_realizations")
+    # in order, as texts that begin alike are stored in little room; those of pairs come so
+    ordered = texts if config.patterns.families == ("anch_pair",) else texts.sortWithinPartitions("pattern_key", "realization")
+    sinks.append(ordered, store, "pattern_personal_realizations")
     listed = json.dumps(anchors, ensure_ascii=False)
     anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
     flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns) | {"families": ",".join(config.patterns.families)}

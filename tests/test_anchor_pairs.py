@@ -70,3 +70,39 @@ def test_missing_rows(spark, tmp_path):
     assert _set(sinks.missing(rows, str(tmp_path), "t", ["k"])) == [("a", 1), ("b", 2)]
     sinks.append(rows.where("k = 'a'"), str(tmp_path), "t")
     assert _set(sinks.missing(rows, str(tmp_path), "t", ["k"])) == [("b", 2)]
+
+
+def test_windows_stand_for_all_realizations(spark):
+    # tokens with spaces and empty ones make texts alike that other tokens make, too
+    tokens = ["a", "b", "b c", "x", "x y", "y", "z", ""]
+    listed = ["a", "b", "b c", "x y", ""]
+    own = [[RNG.choice(tokens) for _ in range(RNG.randint(0, 30))] for _ in range(150)] + [["a", "x y", "z", "b"], ["a", "x", "y", "z", "b"], ["a", "x y", "b"]]
+    rows = spark.createDataFrame(list(enumerate(own + own[:20])), "sid long, tokens array<string>").repartition(3)
+    for gap in (20, 3):
+        assert _set(AP.realizations(rows, listed, gap)) == _set(S.realizations(P.explode(P.extract(rows, listed, families=("anch_pair",), max_gap=gap))))
+    # an anchor's pairs leave a task as one row, and a text once
+    long = spark.createDataFrame([(i, ["a", "x"] * 10) for i in range(50)], "sid long, tokens array<string>").coalesce(1)
+    assert AP.windows(long, ["a"]).count() == 9
+
+
+def test_keys_of_sentences_in_order(spark, rows):
+    native = P.extract(rows, ANCHORS, families=("anch_pair",), realizations=False, max_gap=5).select("sid", F.transform("patterns", lambda p: p["pattern_key"]).alias("patterns"))
+    assert _set(AP.with_keys(rows, ANCHORS, 5).select("sid", "patterns")) == _set(native)
+
+
+def test_upserted_rows_are_computed_once(spark, tmp_path):
+    from corpusloom.sources import sinks
+
+    n = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            n.add(batch.num_rows)
+            yield batch
+
+    for first, value in (("a", 1), ("b", 2)):
+        n.value = 0
+        rows = spark.createDataFrame([(first, value), ("c", value)], "k string, v long").mapInArrow(counted, "k string, v long")
+        sinks.upsert(rows, str(tmp_path), "t", "k")
+        assert n.value == 2
+    assert _set(spark.read.parquet(f"{tmp_path}/t")) == [("a", 1), ("b", 2), ("c", 2)]
