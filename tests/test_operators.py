@@ -207,3 +207,14 @@ def test_quantiles_are_nearest_ranks(spark, values):
     got = R.quantiles(rows, "n", at).first()
     want = [sorted(values)[max(math.ceil(round(q * len(values), 9)), 1) - 1] if values else 0 for q in at]
     assert list(got) == want
+
+
+def test_texts_of_realizations_are_not_shuffled(spark):
+    from corpusloom.operators import statistics
+
+    pattern = "struct<pattern_key:string,realization:string>"
+    own = [[("k", "t"), ("k", "t"), ("l", "")], [("k", "u")], [("l", None)], []]
+    found = statistics.pattern_counts(spark.createDataFrame([(p,) for p in own], f"patterns array<{pattern}>"))
+    assert sorted(map(tuple, found.collect())) == [("k", 3, 2, 2), ("l", 2, 2, 0)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "realization#" not in plan.split("Generate")[0]
