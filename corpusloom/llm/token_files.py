@@ -43,7 +43,8 @@ BLOCK = 128
 MAGIC = b"PFR1"
 SEGMENT_IDS = 1 << 19
 CACHED_WORDS = 1_000_000
-_MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%&$*|])")
+#: A mark after a letter; it begins with the mark, since such an expression is looked for by its first character.
+_MARK = re.compile(r"[.,;:!?%&$*|](?<=[A-Za-zÀ-ÖØ-öø-ÿ].)")
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -106,7 +107,7 @@ class WordEncoder:
         if any(t in text for t in self._special):
             return [text], False
         if " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text:
-            return _MARK.sub("\0", text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"), True
+            return _MARK.sub("\0\\g<0>", text).replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"), True
         words = _INNER_SPACE.split(text)
         return [words[0], *[" " + w for w in words[1:]]], False
 

@@ -371,3 +371,15 @@ def test_links_are_hash_joined_and_long_texts_pass(spark):
     found = chat_format.format_messages(chat(spark, rows))
     assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(len(r["message"]) > 299_000 for r in found.collect()) == [True] * 3
+
+
+def test_marks_are_cut_from_letters():
+    import re
+
+    from corpusloom.llm import token_files
+
+    # an expression that begins with a look behind is tried at every character
+    assert not token_files._MARK.pattern.startswith("(?")
+    plain = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[.,;:!?%&$*|])")
+    for text in ("a.,b. c;;d é! 1.", ".a", "a", "ß.×.÷, a\n.b."):
+        assert token_files._MARK.sub("\0\\g<0>", text) == plain.sub("\0", text)
