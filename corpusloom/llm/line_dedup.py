@@ -86,9 +86,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def _word_hashes(line: Column) -> Column:
+    """What spaces separate as 64-bit hashes, at least one."""
+    return F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))
+
+
 def _word_set(line: Column) -> Column:
     """Distinct words as 64-bit hashes."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(_word_hashes(line)), F.xxhash64(F.lit("")))
 
 
 def _prefix_length(n: Column, percent: int) -> Column:
@@ -96,8 +101,14 @@ def _prefix_length(n: Column, percent: int) -> Column:
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, s``: the distinct words of every line as hashes, ascending."""
-    return _lines(docs).select("doc_id", "line_no", F.sort_array(_word_set(F.col("line"))).alias("s"))
+    """``doc_id, line_no, s``: the distinct words of every line as hashes, ascending.
+
+    The hashes are a projection of their own, so that they are told apart and sorted as primitive arrays;
+    they are named twice, or the projections would become one.
+    """
+    hashed = _lines(docs).select("doc_id", "line_no", _word_hashes(F.col("line")).alias("h"))
+    words = F.sort_array(F.array_except("h", F.array(F.xxhash64(F.lit("")))))
+    return hashed.select("doc_id", "line_no", F.when(F.size("h") > 0, words).alias("s"))
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -185,8 +196,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Da
     at = F.struct("doc_id", "line_no")
     # equal sets: a hash of 64 bits, the size and the 128 bits of parity
     same_set = ["h1", "n", "b1", "b2"]
-    firsts = materialize(taking_part.groupBy(*same_set).agg(F.min(at).alias("first")), "line-classes")
-    placed = taking_part.join(firsts, same_set).withColumn("copy", F.col("first") < at)
+    # most classes are of one line, which is no copy
+    firsts = taking_part.groupBy(*same_set).agg(F.min(at).alias("first"), F.count("*").alias("c"))
+    firsts = materialize(firsts.where("c > 1").drop("c"), "line-classes")
+    placed = taking_part.join(firsts.hint("merge"), same_set, "left").withColumn("copy", F.coalesce(F.col("first") < at, F.lit(False)))
     kept = lambda c: F.when(~F.col("copy"), F.col(c)).alias(c)
     placed = materialize(placed.select("doc_id", "line_no", "n", "b1", "b2", "copy", kept("least"), kept("prefix")), "line-prefixes", hashes=("b1", "b2", "least", "prefix"))
     drop(lines, firsts)

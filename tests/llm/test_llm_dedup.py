@@ -175,6 +175,29 @@ def test_line_join_shuffles_its_postings_once(spark, monkeypatch):
     assert "ReusedExchange" in plans[0]
 
 
+def test_words_are_told_apart_and_sorted_as_primitive_arrays(spark):
+    plan = line_dedup._line_sets(documents(spark, [(1, "a b a\nc")]))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    hashed, sorted_words = (next(i for i, line in enumerate(plan) if made in line) for made in ("transform(", "sort_array("))
+    assert hashed != sorted_words
+
+
+def test_only_classes_with_copies_are_joined(spark, monkeypatch):
+    classes = []
+    write = line_dedup.materialize
+
+    def written(df, name, **options):
+        table = write(df, name, **options)
+        if name == "line-classes":
+            classes.extend(r["first"]["line_no"] for r in table.collect())
+        return table
+
+    monkeypatch.setattr(line_dedup, "materialize", written)
+    rows = [(1, "q w e r t\na b c\n"), (2, "a b c\nd\ne f"), (None, "g h\nC b a"), (3, "g h\na b b c")]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.report(documents(spark, rows)).collect()}
+    assert sorted(classes) == [0, 1]
+    assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows).items()} and got[1] == "1" and got[3] == "0,1" and got[None] == ""
+
+
 def test_keys_of_postings_hardly_clash(spark):
     n = 5_000_000
     keys = spark.range(n).select(F.explode(F.array(*[line_dedup._posting_key(F.xxhash64("id"), F.lit(b)) for b in (2, 3)])).alias("key"))
