@@ -101,18 +101,22 @@ def _prefix_length(n: Column, percent: int) -> Column:
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, s``: the distinct words of every line as hashes, ascending.
+    """``doc_id, n_lines, line_no, s``: of every line how many its text has and its distinct words as hashes, ascending.
 
     The hashes are a projection of their own, so that they are told apart and sorted as primitive arrays;
     they are named twice, or the projections would become one.
     """
-    hashed = _lines(docs).select("doc_id", "line_no", _word_hashes(F.col("line")).alias("h"))
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
+    # beside the explosion it would be counted anew for every line
+    texts = docs.select("doc_id", "text", (ends + 1).alias("n_lines"))
+    lines = texts.select("doc_id", "n_lines", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    hashed = lines.select("doc_id", "n_lines", "line_no", _word_hashes(F.col("line")).alias("h"))
     words = F.sort_array(F.array_except("h", F.array(F.xxhash64(F.lit("")))))
-    return hashed.select("doc_id", "line_no", F.when(F.size("h") > 0, words).alias("s"))
+    return hashed.select("doc_id", "n_lines", "line_no", F.when(F.size("h") > 0, words).alias("s"))
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``doc_id, line_no, h1, n, b1, b2, least, prefix`` of every line.
+    """``doc_id, n_lines, line_no, h1, n, b1, b2, least, prefix`` of every line.
 
     Sorting and slicing are projections of their own, so that they run on primitive arrays.
     """
@@ -124,13 +128,13 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     parity = lambda words: F.aggregate(words, zero, lambda acc, x: acc.bitwiseXOR(bit(x)))
     # negative hashes end where a zero would stand
     middle = F.array_position(F.sort_array(F.array_append("s", zero)), zero).cast("int")
-    placed = sets.select("doc_id", "line_no", "s", middle.alias("z"), F.sort_array(F.transform("s", ranked)).alias("r"))
+    placed = sets.select("doc_id", "n_lines", "line_no", "s", middle.alias("z"), F.sort_array(F.transform("s", ranked)).alias("r"))
     n, z = F.size("r"), F.col("z")
     parts = placed.select(
-        "doc_id", "line_no", F.xxhash64("s").alias("h1"), F.slice("s", F.lit(1), z - 1).alias("low"), F.slice("s", z, F.greatest(n - z + 1, F.lit(0))).alias("high"),
+        "doc_id", "n_lines", "line_no", F.xxhash64("s").alias("h1"), F.slice("s", F.lit(1), z - 1).alias("low"), F.slice("s", z, F.greatest(n - z + 1, F.lit(0))).alias("high"),
         F.slice("s", F.lit(1), F.lit(HUBS)).alias("least"), F.slice("r", F.lit(1), _prefix_length(n, percent)).alias("front"),
     )
-    return parts.select("doc_id", "line_no", "h1", (F.size("low") + F.size("high")).alias("n"), parity("low").alias("b1"), parity("high").alias("b2"), "least", F.col("front").alias("prefix"))
+    return parts.select("doc_id", "n_lines", "line_no", "h1", (F.size("low") + F.size("high")).alias("n"), parity("low").alias("b1"), parity("high").alias("b2"), "least", F.col("front").alias("prefix"))
 
 
 def _apart(line: str, other: str) -> Column:
@@ -166,8 +170,8 @@ def _before(d: str, l: Column, doc_id: str, line_no: Column) -> Column:
     return F.coalesce(d < doc_id, d.isNull() & doc_id.isNotNull()) | (d.eqNullSafe(doc_id) & (l < line_no))
 
 
-def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The later lines ``(doc_id, line_no)`` of the ``pairs`` that are similar enough."""
+def _sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id, line_no, s``: the distinct words of the lines of the ``pairs``, read from the texts."""
     ends = pairs.select("doc_id", "line_no").unionByName(pairs.select(F.col("d").alias("doc_id"), F.col("l").alias("line_no"))).distinct()
     ends = materialize(ends.withColumnsRenamed({"doc_id": "e", "line_no": "k"}), "line-ends")
     wanted = materialize(ends.groupBy(F.col("e").alias("w")).agg(F.count("*").alias("c")), "line-documents")
@@ -175,23 +179,33 @@ def _similar(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         texts = docs.select("doc_id", "text").join(checked_broadcast(wanted.where("c > 0").select("w")), F.col("doc_id").eqNullSafe(F.col("w")), "left_semi")
         sets = _lines(texts).join(ends, _same(("doc_id", "e"), ("line_no", "k")), "left_semi").select("doc_id", "line_no", _word_set(F.col("line")).alias("s"))
         sets = materialize(sets, "line-sets")
+    drop(ends, wanted)
+    return sets
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The later lines ``(doc_id, line_no)`` of the ``pairs`` that are similar enough; ``sets`` has all their lines."""
     x = sets.toDF("xd", "xl", "x")
     y = sets.toDF("yd", "yl", "y")
     shared = F.size(F.array_intersect("x", "y"))
     linked = (100 * shared) >= percent * (F.size("x") + F.size("y") - shared)
     both = pairs.join(x, _same(("doc_id", "xd"), ("line_no", "xl"))).join(y, _same(("d", "yd"), ("l", "yl")))
-    found = materialize(both.where(linked).select("doc_id", "line_no").distinct(), "similar-lines")
-    drop(ends, wanted, sets)
-    return found
+    return materialize(both.where(linked).select("doc_id", "line_no").distinct(), "similar-lines")
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """``doc_id, line_no`` of every line that has an earlier similar one."""
+    return _repeated_lines(docs, percent, min_words)[0].distinct()
+
+
+def _repeated_lines(docs: DataFrame, percent: int, min_words: int, counted: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Lines that have an earlier similar one; if ``counted``, also ``doc_id, n_lines`` of every row that has a text."""
     spark = docs.sparkSession
     # read twice and then let go; what a lost executor held of it is made again from the texts
     sets = _line_sets(docs.where("text is not null")).persist(StorageLevel.DISK_ONLY)
     lines = materialize(_prefixes(sets, percent), "lines", hashes=("h1", "b1", "b2", "least", "prefix"))
     sets.unpersist(True)
+    counts = materialize(lines.where("line_no = 0").select("doc_id", "n_lines"), "line-counts") if counted else None
     taking_part = lines.where(F.col("n") >= max(min_words, 1))
     at = F.struct("doc_id", "line_no")
     # equal sets: a hash of 64 bits, the size and the 128 bits of parity
@@ -217,8 +231,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Da
     hub_pairs = materialize(with_hub.select(*pair).distinct(), "hub-pairs")
     drop(hubs)
     release_shuffles(spark)
-    near = _similar(docs, hub_pairs, percent)
-    drop(hub_pairs)
+    ends = _sets_of(docs, hub_pairs)
+    near = _similar(hub_pairs, ends, percent)
+    drop(hub_pairs, ends)
     release_shuffles(spark)
 
     decided = checked_broadcast(near.select(F.col("doc_id").alias("d"), F.col("line_no").alias("l"), F.lit(0).alias("decided")))
@@ -238,14 +253,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80, min_words: int = 1) -> Da
     release_shuffles(spark)
     best = pairs.groupBy("doc_id", "line_no").agg(F.min(F.struct("apart", "d", "l")).alias("e")).select("doc_id", "line_no", "e.d", "e.l")
     best = materialize(best, "closest-pairs")
-    closest = _similar(docs, best, percent)
+    # the texts are read once for all pairs
+    ends = _sets_of(docs, pairs)
+    closest = _similar(best, ends, percent)
     done = closest.toDF("xd", "xl")
     tried = best.toDF("yd", "yl", "yd2", "yl2")
     rest = pairs.join(done, _same(("doc_id", "xd"), ("line_no", "xl")), "left_anti")
     rest = materialize(rest.join(tried, _same(("doc_id", "yd"), ("line_no", "yl")) & _same(("d", "yd2"), ("l", "yl2")), "left_anti").select(*pair), "rest-pairs")
-    last = _similar(docs, rest, percent)
-    drop(pairs, best, rest)
-    return copies.unionByName(near).unionByName(closest).unionByName(last).distinct()
+    last = _similar(rest, ends, percent)
+    drop(pairs, best, rest, ends)
+    return copies.unionByName(near).unionByName(closest).unionByName(last), counts
 
 
 def _postings(lines: DataFrame, percent: int) -> DataFrame:
@@ -263,14 +280,13 @@ def _postings(lines: DataFrame, percent: int) -> DataFrame:
     band = lambda size: F.floor(F.log2(size)).cast("int")
     larger = F.floor(F.lit(100) * n.cast("long") / F.lit(float(percent)))
     own = lines.select(
-        "doc_id", "b1", "b2", _packed("line_no", n).alias("line"), F.coalesce("decided", F.lit(1)).alias("open"),
-        band(n).alias("home"), F.greatest(band(larger), band(n)).alias("top"),
-        (n - F.ceil(2 * percent * n / F.lit(100.0 + percent)).cast("int") + 1).alias("short"), F.posexplode("prefix").alias("p", "word"),
+        "doc_id", "b1", "b2", _packed("line_no", n).alias("line"), F.coalesce("decided", F.lit(1)).alias("open"), "prefix", band(n).alias("home"),
+        (n - F.ceil(2 * percent * n / F.lit(100.0 + percent)).cast("int") + 1).alias("short"), F.explode(F.sequence(band(n), F.greatest(band(larger), band(n)))).alias("band"),
     )
-    bands = F.sequence("home", F.when(F.col("p") < F.col("short"), F.col("top")).otherwise(F.col("home")))
-    each = own.select("doc_id", "b1", "b2", "line", "open", "home", "p", "word", F.explode(bands).alias("band"))
-    visiting = F.when(F.col("band") > F.col("home"), F.lit(2)).otherwise(F.lit(0))
-    rest = F.shiftleft(F.least("p", F.lit(255)), 2).bitwiseOR(visiting).bitwiseOR(F.col("open"))
+    away = F.col("band") > F.col("home")
+    words = F.when(away, F.slice("prefix", F.lit(1), F.col("short"))).otherwise(F.col("prefix"))
+    each = own.select("doc_id", "b1", "b2", "line", "band", F.when(away, F.lit(2)).otherwise(F.lit(0)).bitwiseOR(F.col("open")).alias("state"), F.posexplode(words).alias("p", "word"))
+    rest = F.shiftleft(F.least("p", F.lit(255)), 2).bitwiseOR(F.col("state"))
     return each.select("doc_id", "line", "b1", "b2", _posting_key(F.col("word"), F.col("band")).bitwiseOR(rest.cast("long")).alias("place"))
 
 
@@ -293,18 +309,19 @@ def _low(packed: str) -> Column:
     return F.col(packed).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
-def _gone(docs: DataFrame, percent: int, min_words: int) -> DataFrame:
-    """``__id, removed``: line numbers, ascending, of documents that lose lines."""
-    gone = repeated_lines(docs, percent, min_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+def _gone(docs: DataFrame, percent: int, min_words: int, counted: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """``__id, removed``: line numbers, ascending, of documents that lose lines; the counts as in :func:`_repeated_lines`."""
+    gone, counts = _repeated_lines(docs, percent, min_words, counted)
+    gone = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     gone = materialize(gone, "removed-lines")
     release_shuffles(docs.sparkSession)
-    return gone
+    return gone, counts
 
 
 def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...]) -> DataFrame:
     """``row`` (a struct of the ``keep`` columns), ``text``, ``n_lines``, ``removed`` (line numbers, ascending)."""
     # the texts are shuffled at every size, so that small inputs tell what large ones take
-    gone = _gone(docs, percent, min_words).hint("merge")
+    gone = _gone(docs, percent, min_words)[0].hint("merge")
     none = F.array().cast("array<int>")
     source = docs.select("doc_id", "text", F.struct(*keep).alias("row"))
     joined = source.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("removed", F.coalesce("removed", none))
@@ -316,10 +333,10 @@ def _cleaned(docs: DataFrame, percent: int, min_words: int, keep: tuple[str, ...
 
 def report(docs: DataFrame, percent: int = 80, min_words: int = 1) -> DataFrame:
     """Per document: the number of its lines, of those removed, and their line numbers."""
-    gone = _gone(docs, percent, min_words)
+    gone, counts = _gone(docs, percent, min_words, counted=True)
     gone = checked_broadcast(gone, 1 + F.size("removed"))
-    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n")))
-    own = docs.select("doc_id", F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"))
+    # counted when the texts were split; only rows without a text are missing
+    own = counts.unionByName(docs.where("text is null").select("doc_id", F.lit(0).alias("n_lines"))).withColumn("n_lines", F.col("n_lines").cast("long"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     joined = own.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     return joined.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))

@@ -198,6 +198,23 @@ def test_only_classes_with_copies_are_joined(spark, monkeypatch):
     assert got == {i: ",".join(map(str, ls)) for i, ls in brute_lines(rows).items()} and got[1] == "1" and got[3] == "0,1" and got[None] == ""
 
 
+def test_texts_are_read_once_for_all_pairs_and_lines_counted_with_the_words(spark, monkeypatch):
+    names = []
+    write = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name, **options: names.append(name) or write(df, name, **options))
+    rows = [(1, "a b c d e f g h i\n\n"), (2, "a b c d e f g h j"), (2, "x\ny"), (3, None), (None, "\n"), (None, None), (4, ""), (5, "a b c d e f g h i j\na b c d e f g k j")]
+    got = line_dedup.report(documents(spark, rows)).collect()
+    counted = lambda rows: sorted(rows, key=str)
+    assert counted((r["doc_id"], r["n_lines"]) for r in got) == counted((i, 0 if t is None else t.count("\n") + 1) for i, t in rows)
+    assert names.count("line-sets") == 2 and names.count("line-counts") == 1
+
+
+def test_lines_are_counted_once_a_text(spark):
+    plan = line_dedup._line_sets(documents(spark, [(1, "a b a\nc")]).where("doc_id > 0"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counted, exploded = (next(i for i, line in enumerate(plan) if made in line) for made in ("replace(", "Generate posexplode"))
+    assert counted > exploded
+
+
 def test_keys_of_postings_hardly_clash(spark):
     n = 5_000_000
     keys = spark.range(n).select(F.explode(F.array(*[line_dedup._posting_key(F.xxhash64("id"), F.lit(b)) for b in (2, 3)])).alias("key"))
