@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalize
-from corpusloom.functions.tokenizers import Tokenizer, characters, lexicon_words, words
-from corpusloom.operators import anchor_pairs, statistics
+from corpusloom.functions.tokenizers import Tokenizer, characters, words
+from corpusloom.operators import anchor_pairs, lexical, statistics
 from corpusloom.operators.anchors import anchor_list, top_tokens
 from corpusloom.operators.patterns import explode, extract, membership, skeleton_text
 from corpusloom.plans.prior import PatternConfig
-from corpusloom.sources import sinks
+from corpusloom.sources import readers, sinks
 
 
 # Keys of the meta table that tell which families were extracted.
@@ -81,18 +81,42 @@ def _with_keys(sentences: DataFrame, anchors: list[str], config: PatternConfig)
     return extract(sentences, anchors, realizations=False, **config.options()).withColumn("patterns", F.transform("patterns", lambda p: p["pattern_key"]))
 
 
-def _patterns(sentences: DataFrame, anchors: list[str], config: PatternConfig) -> tuple[DataFrame, DataFrame]:
-    """Counts of each key, and its distinct realizations; anchor pairs are counted as numbers."""
+def _counts(sentences: DataFrame, anchors: list[str], config: PatternConfig) -> DataFrame:
+    """Counts of each key; anchor pairs are counted as numbers."""
     others = tuple(f for f in config.families if f != "anch_pair")
-    counts, texts = [], []
-    if len(others) < len(config.families):
-        counts.append(anchor_pairs.key_counts(sentences, anchors, config.max_gap))
-        texts.append(anchor_pairs.realizations(sentences, anchors, config.max_gap))
+    counts = [anchor_pairs.key_counts(sentences, anchors, config.max_gap)] if len(others) < len(config.families) else []
     if others or not counts:
-        options = {**config.options(), "families": others}
-        counts.append(statistics.key_counts(extract(sentences, anchors, realizations=False, **options)))
-        texts.append(statistics.realizations(explode(extract(sentences, anchors, **options))))
-    return reduce(DataFrame.unionByName, counts), reduce(DataFrame.unionByName, texts)
+        counts.append(statistics.key_counts(extract(sentences, anchors, realizations=False, **{**config.options(), "families": others})))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _texts(sentences: DataFrame, anchors: list[str], config: PatternConfig) -> DataFrame:
+    """Distinct realizations of each key."""
+    others = tuple(f for f in config.families if f != "anch_pair")
+    texts = [anchor_pairs.realizations(sentences, anchors, config.max_gap)] if len(others) < len(config.families) else []
+    if others or not texts:
+        texts.append(statistics.realizations(explode(extract(sentences, anchors, **{**config.options(), "families": others}))))
+    return reduce(DataFrame.unionByName, texts)
+
+
+def _unmet(sentences: DataFrame, store: str, config_hash: str, anchors_hash: str) -> DataFrame | None:
+    """Sentences whose realizations the store may lack; None if it lacks none.
+
+    It has those of all sentences that runs with the same anchors and parameters stored, as a run is written last and
+    sentences after realizations.  Sentences are alike if their tokens are, told by two 64-bit hashes.
+    """
+    spark = sentences.sparkSession
+    alike = (F.col("config_hash") == config_hash) & (F.col("anchors_hash") == anchors_hash)
+    # a time of other runs, too, doesn't tell whose a sentence is
+    times = readers.table(spark, store, "runs").groupBy("created_at").agg(F.min(F.coalesce(alike, F.lit(False))).alias("alike")).where("alike").select("created_at")
+    if times.isEmpty():
+        return sentences
+    told = lambda tokens: [F.xxhash64(F.lit(seed), tokens).alias(f"h{seed}") for seed in (1, 2)]
+    stored = readers.table(spark, store, "sentences").join(times, "created_at", "left_semi").select(*told("tokens_word"))
+    path = sinks.scratch(spark, "unmet")
+    sentences.select("sid", "tokens", *told("tokens")).join(stored, ["h1", "h2"], "left_anti").select("sid", "tokens").write.parquet(path, compression="zstd")
+    unmet = spark.read.parquet(path)
+    return None if unmet.isEmpty() else unmet
 
 
 def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store: str, candidates: DataFrame | None = None, config: BootstrapConfig = BootstrapConfig(), tokenizer: Tokenizer = words, now: datetime | None = None, provenance: Mapping[str, object] | None = None) -> None:
@@ -113,25 +137,26 @@ def bootstrap(spark: SparkSession, known: DataFrame, lexicon: DataFrame, store:
         anchors = anchor_list(candidates)
     else:
         anchors = anchor_list(top_tokens(sentences, config.anchors_top_k, config.anchor_method, config.anchor_max_token_len, candidates))
-    is_anchor, lexical, text = membership(anchors), lexicon_words(vocabulary), F.col("value")
+    listed = json.dumps(anchors, ensure_ascii=False)
+    anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
+    is_anchor, text, runs = membership(anchors), F.col("value"), lexical.run_lexicon(spark, vocabulary)
+    unmet = _unmet(sentences, store, config.hash(), anchors_hash)
+    if unmet is not None:
+        texts = sinks.missing(_texts(unmet, anchors, config.patterns), store, "pattern_personal_realizations", ["pattern_key", "realization"])
+        # in order, as texts that begin alike are stored in little room; those of pairs come so
+        ordered = texts if config.patterns.families == ("anch_pair",) else texts.sortWithinPartitions("pattern_key", "realization")
+        sinks.append(ordered, store, "pattern_personal_realizations")
     # texts are told apart before anything is made of them
     new = sinks.missing(first_lines(sentences).withColumn("source", F.lit(config.source)), store, "sentences", ["zh_text", "source"])
-    made_of = new.withColumn("tokens", tokenizer(text))
+    made_of = lexical.with_tokens(new.withColumn("tokens", tokenizer(text)), runs, text, "tokens_hsk")
     rows = _with_keys(made_of, anchors, config.patterns).select(
-        F.col("sid").alias("id"), "zh_text", F.col("tokens").alias("tokens_word"), lexical(text).alias("tokens_hsk"), characters(text).alias("tokens_char"), "patterns",
+        F.col("sid").alias("id"), "zh_text", F.col("tokens").alias("tokens_word"), "tokens_hsk", characters(text).alias("tokens_char"), "patterns",
         skeleton_text(F.col("tokens"), is_anchor).alias("skeleton"), "source", at.alias("created_at"),
     )
     sinks.append(rows, store, "sentences")
-    sinks.upsert(statistics.vocabulary(sentences.select(lexical(text).alias("tokens_hsk")), entries, "tokens_hsk", at), store, "vocab_stats", "word")
-    counts, texts = _patterns(sentences, anchors, config.patterns)
-    own = counts.withColumnsRenamed({"count_occurrences": "own_occurrences", "count_sentences": "own_sentences"})
+    sinks.upsert(statistics.vocabulary_of_counts(lexical.word_counts(sentences, runs, text), entries, at), store, "vocab_stats", "word")
+    own = _counts(sentences, anchors, config.patterns).withColumnsRenamed({"count_occurrences": "own_occurrences", "count_sentences": "own_sentences"})
     sinks.upsert(statistics.personal_of_counts(own, at, config.min_count, config.min_sentences), store, "pattern_personal_stats", "pattern_key")
-    texts = sinks.missing(texts, store, "pattern_personal_realizations", ["pattern_key", "realization"])
-    # in order, as texts that begin alike are stored in little room; those of pairs come so
-    ordered = texts if config.patterns.families == ("anch_pair",) else texts.sortWithinPartitions("pattern_key", "realization")
-    sinks.append(ordered, store, "pattern_personal_realizations")
-    listed = json.dumps(anchors, ensure_ascii=False)
-    anchors_hash = hashlib.sha256(listed.encode()).hexdigest()
     flat = {k: v for k, v in asdict(config).items() if k != "patterns"} | asdict(config.patterns) | {"families": ",".join(config.patterns.families)}
     # the same under the keys that tools for such states look for
     flat |= {key: int(family in config.patterns.families) for family, key in FAMILY_KEYS.items()} | {

@@ -106,3 +106,8 @@ def test_upserted_rows_are_computed_once(spark, tmp_path):
         sinks.upsert(rows, str(tmp_path), "t", "k")
         assert n.value == 2
     assert _set(spark.read.parquet(f"{tmp_path}/t")) == [("a", 1), ("b", 2), ("c", 2)]
+
+
+def test_no_windows_without_pairs(spark):
+    rows = spark.createDataFrame([(1, ["a"]), (2, ["x"]), (3, [])], "sid long, tokens array<string>")
+    assert AP.windows(rows, ["a", "b"]).collect() == [] and AP.realizations(rows, ["a", "b"]).collect() == []

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,28 @@ def test_texts_of_realizations_are_not_shuffled(spark):
     assert sorted(map(tuple, found.collect())) == [("k", 3, 2, 2), ("l", 2, 2, 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "realization#" not in plan.split("Generate")[0]
+
+
+def test_runs_have_the_tokens_of_the_longest_match(spark):
+    from corpusloom.functions.tokenizers import lexicon_words
+    from corpusloom.operators import lexical
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab学了 -.٣4²Zé𠀀") for _ in range(rng.randint(0, 25))) for _ in range(300)] + [None, "", " a  b "]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string").repartition(3)
+    for words in (["a", "ab", "abba", "学了", "了", "-a", "a-b", "4b", "é"], ["a b", "b ", " a", "𠀀a", "]", "a]", "\\", "^"], [], ["x" * 100]):
+        plain = lexicon_words(words)
+        known = lexical.run_lexicon(spark, words)
+        expected = rows.select("value", plain(F.col("value")).alias("hsk"))
+        assert sorted(map(str, lexical.with_tokens(rows, known, F.col("value"), "hsk").collect())) == sorted(map(str, expected.collect()))
+        counts = expected.select(F.explode("hsk").alias("word")).groupBy("word").count()
+        assert sorted(map(tuple, lexical.word_counts(rows, known, F.col("value")).collect())) == sorted(map(tuple, counts.collect()))
+
+
+def test_characters_drop_what_is_not_kept(spark):
+    from corpusloom.functions.text import KEPT_CHARACTER, PUNCTUATION, WHITE
+    from corpusloom.functions.tokenizers import characters
+
+    text = "".join(map(chr, range(1, 0x3100)))
+    row = spark.createDataFrame([(text,)], "t string").select(characters(F.col("t")).alias("c"), F.regexp_extract_all(F.regexp_replace("t", f"{PUNCTUATION}|{WHITE}", ""), F.lit(KEPT_CHARACTER), F.lit(0)).alias("e")).first()
+    assert row["c"] == row["e"] and len(row["c"]) > 100

@@ -1,10 +1,12 @@
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import schemas
 from corpusloom.functions import rewriting
+from corpusloom.operators import anchor_pairs as AP
 from corpusloom.plans import bootstrap as B
 from corpusloom.plans import corpora, prior, reports
 from corpusloom.sources import buckets, readers, sinks
@@ -267,3 +269,40 @@ def test_a_short_sample_warns(spark, tmp_path):
     with pytest.warns(UserWarning, match="2 lines, 3"):
         corpora.mixed_corpus(spark, str(tmp_path / "a.txt"), 3, str(tmp_path / "b.txt"), 2, str(tmp_path / "out"))
     assert sorted(r["value"] for r in readers.lines(spark, str(tmp_path / "out")).collect()) == ["one", "two"]
+
+
+def test_a_later_bootstrap_makes_realizations_of_unmet_sentences(spark, tmp_path, monkeypatch):
+    store, lexicon = str(tmp_path / "s"), spark.createDataFrame([("a", 1, 5, None, None, None, None)], schemas.LEXICON)
+    made, texts = [], B._texts
+    monkeypatch.setattr(B, "_texts", lambda sentences, *more: made.append(sorted(" ".join(r["tokens"]) for r in sentences.collect())) or texts(sentences, *more))
+
+    def known(*values, config=B.BootstrapConfig(patterns=prior.PatternConfig(families=("anch_pair",))), **more):
+        B.bootstrap(spark, spark.createDataFrame([(v,) for v in values], "value string"), lexicon, store, config=config, **more)
+        return {(r["pattern_key"], r["realization"]) for r in readers.table(spark, store, "pattern_personal_realizations").collect()}
+
+    def fresh(*values):
+        rows = spark.createDataFrame([(v.split(),) for v in values], "tokens array<string>")
+        return {(r["pattern_key"], r["realization"]) for r in AP.realizations(rows, ["a", "b", "c"]).collect()}
+
+    assert known("a b", "b c", "a b") == fresh("a b", "b c")
+    assert known("a b", "b c") == fresh("a b", "b c") and made == [["a b", "a b", "b c"]]
+    # the same anchors, and a sentence more
+    assert known("a b", "b c", "c a b") == fresh("a b", "b c", "c a b") and made[1:] == [["c a b"]]
+    # other parameters: all again
+    wide = B.BootstrapConfig(min_count=9, patterns=prior.PatternConfig(families=("anch_pair",)))
+    assert known("a b", "b c", config=wide) == fresh("a b", "b c", "c a b") and made[2:] == [["a b", "b c"]]
+    runs = readers.table(spark, store, "runs")
+    assert sorted(r["id"] for r in runs.collect()) == [1, 2, 3, 4]
+    counts = {r["word"]: r["count"] for r in readers.table(spark, store, "vocab_stats").collect()}
+    assert counts == {"a": 1}
+
+
+def test_sentences_of_a_run_at_the_time_of_another_count_as_unmet(spark, tmp_path):
+    store, lexicon = str(tmp_path / "s"), spark.createDataFrame([("a", 1, 5, None, None, None, None)], schemas.LEXICON)
+    at = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    pairs, keys = B.PatternConfig(families=("anch_pair",)), lambda: {r["pattern_key"] for r in readers.table(spark, store, "pattern_personal_realizations").collect()}
+    rows = spark.createDataFrame([("a x b",)], "value string")
+    B.bootstrap(spark, rows, lexicon, store, config=B.BootstrapConfig(patterns=B.PatternConfig(families=("anch_seq",))), now=at)
+    B.bootstrap(spark, spark.createDataFrame([("b a",), ("x x",)], "value string"), lexicon, store, config=B.BootstrapConfig(patterns=pairs), now=at)
+    B.bootstrap(spark, rows, lexicon, store, config=B.BootstrapConfig(patterns=pairs))
+    assert {"anch_pair|a=a,x|p=gap=0", "anch_pair|a=a,b|p=gap=1"} <= keys()
