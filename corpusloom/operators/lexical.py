@@ -1,11 +1,12 @@
 """Longest words of a vocabulary, found once for each different run of characters.
 
-The tokens are those of :func:`corpusloom.functions.tokenizers.lexicon_words`.  None of them reaches over a character that
-no word has, so a text is cut there, and a task takes each run that it meets apart once while it remembers it.
+The tokens are those of :func:`corpusloom.functions.tokenizers.lexicon_words`.  Unless a word holds white space none of them reaches
+over it, so a text is cut there, and a task takes each run that it meets apart once while it remembers it.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from corpusloom.functions.text import KEPT_CHARACTER, normalize
+from corpusloom.functions.text import KEPT_CHARACTER, WHITE, normalize
 from corpusloom.functions.tokenizers import usable
 
 #: Runs that a task remembers, their longest length, and words whose counts it holds.
@@ -26,20 +27,16 @@ REMEMBERED, SHORT, HELD = 200_000, 64, 300_000
 
 @dataclass(frozen=True)
 class RunLexicon:
-    """Beginnings of words and whether they are words, the characters that words are made of, and which of those are tokens of their own elsewhere."""
+    """Beginnings of words and whether they are words, characters that are tokens of their own elsewhere, and whether no word holds white space."""
 
     beginnings: dict[str, bool]
-    alphabet: frozenset[str]
     kept: frozenset[str]
+    cut: bool
 
     def runs(self, text: Column) -> Column:
-        """Runs of the words' characters, and other kept characters one by one."""
-        own = f"[{''.join(rf'\x{{{ord(c):X}}}' for c in sorted(self.alphabet))}]+|" if self.alphabet else ""
-        return F.regexp_extract_all(normalize(text), F.lit(own + KEPT_CHARACTER), F.lit(0))
+        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^{WHITE[1:-1]}]+"), F.lit(0)) if self.cut else F.array(normalize(text))
 
     def split(self, run: str) -> list[str]:
-        if run[0] not in self.alphabet:
-            return [run]
         at, found = 0, []
         while at < len(run):
             end = at
@@ -73,10 +70,10 @@ class RunLexicon:
 def run_lexicon(spark: SparkSession, lexicon: Iterable[str]) -> RunLexicon:
     words = set(usable(lexicon))
     beginnings = {w[:i]: False for w in words for i in range(1, len(w))} | dict.fromkeys(words, True)
-    alphabet = {c for w in words for c in w}
-    # by the engine's own tables of characters
-    kept = spark.range(1).select(F.regexp_extract_all(F.lit("".join(sorted(alphabet))), F.lit(KEPT_CHARACTER), F.lit(0))).first()[0]
-    return RunLexicon(beginnings, frozenset(alphabet), frozenset(kept))
+    # by the engine's own tables of characters; surrogates aren't characters
+    every = spark.range(0x110000).where(~F.col("id").between(0xD800, 0xDFFF)).select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    white = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: "\\u" + m[1].zfill(4), WHITE))
+    return RunLexicon(beginnings, frozenset(r["c"] for r in every.where(F.col("c").rlike(KEPT_CHARACTER)).collect()), not any(white.search(w) for w in words))
 
 
 def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:

@@ -111,3 +111,23 @@ def test_upserted_rows_are_computed_once(spark, tmp_path):
 def test_no_windows_without_pairs(spark):
     rows = spark.createDataFrame([(1, ["a"]), (2, ["x"]), (3, [])], "sid long, tokens array<string>")
     assert AP.windows(rows, ["a", "b"]).collect() == [] and AP.realizations(rows, ["a", "b"]).collect() == []
+
+
+def test_no_list_is_null_where_windows_go_to_python(spark, monkeypatch):
+    prefixes, nulls = AP._prefixes, spark.sparkContext.accumulator(0)
+
+    def counted(listed):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    nulls.add(batch.column(1).null_count + batch.column(2).null_count)
+                    yield batch
+
+            return prefixes(listed)(seen())
+
+        return run
+
+    monkeypatch.setattr(AP, "_prefixes", counted)
+    rows = spark.createDataFrame([(1, ["a", "x", "b"]), (2, ["b", "a"])], "sid long, tokens array<string>")
+    assert _set(AP.realizations(rows, ["a", "b"])) == [("anch_pair|a=a,b|p=gap=1", "a x b"), ("anch_pair|a=b,a|p=gap=0", "b a")]
+    assert nulls.value == 0
